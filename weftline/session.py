@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,6 +32,7 @@ def local_session(cpus: str | int = "*", shuffle_partitions: int = 8, **conf) ->
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; unset, a temporary one, in local mode only."""
+    ship(spark)
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         if not spark.sparkContext.master.startswith("local"):
@@ -62,5 +66,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def ship(spark: SparkSession) -> None:
+    """Lets Python workers import this package where PYTHONPATH or --py-files don't: by path in local mode, else as a zip."""
+    root, sc = str(Path(__file__).resolve().parents[1]), spark.sparkContext
+    if getattr(sc, "_weftline_shipped", False) or root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or root.endswith((".zip", ".egg")):
+        return
+    sc._weftline_shipped = True
+    if sc.master.startswith("local["):
+        known = [p for p in sc.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+        sc.environment["PYTHONPATH"] = os.pathsep.join([root, *known])
+    else:
+        sc.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp()}/weftline", "zip", root, "weftline"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
