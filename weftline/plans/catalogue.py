@@ -1,6 +1,10 @@
-"""All registered queries over the reference tables, with their SQL."""
+"""All registered queries over the reference's operators, with their SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from weftline.plans import corpus_queries
+
+_PARTS = [corpus_queries]
+
+QUERIES: dict = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
+SQL: dict = {name: sql for part in _PARTS for name, sql in part.SQL.items()}
