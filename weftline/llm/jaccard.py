@@ -5,7 +5,11 @@
 2. Pivots and regions. Two sets that link must share one of the first n - ceil(t n) + 1 shingles in any common
    order. Among the nodes that share such a shingle the least is the pivot, and each node falls into the regions
    of the few pivots it meets in this way, so every pair that links meets in the region of some pivot.
-3. Windows. Each node's distance d to its pivot is computed. Nodes within the radius r = 1 - t are linked to the
+   Cheap bounds come first: a node's signature counts its shingles by hash range, as many ranges as half its
+   shingles at least; the L1 distance of two signatures is at most the size of the sets' symmetric difference,
+   so it bounds their distance from below. Nodes beyond 2 (1 - t) of the pivot stay out of its windows, and those that
+   no other node of the region can link with leave it, all without their sets.
+3. Windows. Each other node's distance d to its pivot is computed. Nodes within the radius r = 1 - t are linked to the
    pivot, hence to one another, and need no more comparison among themselves; a node outside it can only link
    to another one outside, or, by the triangle inequality, to a node inside at a distance of d - r or more. Those
    boundary nodes are replicated with the outer ones.
@@ -22,6 +26,7 @@ no rows; a null id passes through and is never a component's id unless alone; ve
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,8 +40,8 @@ from weftline.llm.words import U, Words, blocks, chained, mix64
 from weftline.session import materialize
 
 #: Bits of the sketch that orders shingles, in this many slices.
-SKETCH, SLICES = 20, 16
-#: Prefix entries of a bucket, about; shingles that the sketch counts more often take the native path.
+SKETCH, SLICES = 23, 32
+#: Prefix entries of a bucket, about; shingles that the sketch counts so often take the native path.
 BUCKET, HOT = 400_000, 100_000
 #: Nodes of a region that one task joins.
 REGION = 2048
@@ -81,40 +86,106 @@ def _sets(column: pa.Array, width: int) -> Iterator[tuple[int, int, np.ndarray]]
             yield at + i, node_of(own) if own.size else 0, own
 
 
+def _cell(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> U(64 - SKETCH)).astype(np.int64)
+
+
+def signature(tokens: np.ndarray) -> bytes:
+    """Counts of shingles by range of their hash, deflated; between half as many ranges and as many as shingles, 32 at least."""
+    bits = min(16, max(5, int(tokens.size).bit_length() - 1))
+    return zlib.compress(np.minimum(np.bincount((tokens >> U(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes(), 1)
+
+
+def _unsigned(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), np.uint8).astype(np.int16)
+
+
+def _folded(sign: np.ndarray, length: int) -> np.ndarray:
+    return sign if sign.size == length else sign.reshape(length, -1).sum(1, dtype=np.int16)
+
+
+def least_distance(a: np.ndarray, b: np.ndarray, n_a, n_b):
+    """A lower bound of the Jaccard distance from signatures (b may be many rows) of sets of the given sizes."""
+    apart = np.abs(a - b).sum(-1, dtype=np.int64)
+    common = np.minimum((n_a + n_b - apart) // 2, np.minimum(n_a, n_b))
+    return 1 - common / np.maximum(n_a + n_b - common, 1)
+
+
 def _nodes_and_sketch(docs: DataFrame, width: int) -> DataFrame:
-    """A row for each text (slice null): doc_id, node, n; and each task's counts of shingles by sketch slice."""
+    """A row for each text (slice null): doc_id, node, n, signature; and each task's counts of shingles by sketch slice, deflated.
+
+    A slice is dense (a byte for each cell) or, where that is shorter, a list of cells and a list of counts.
+    """
+    span = (1 << SKETCH) // SLICES
+
+    def packed(cells: np.ndarray) -> list[tuple[int, bytes]]:
+        found, count = np.unique(cells, return_counts=True)
+        cuts = np.searchsorted(found, np.arange(SLICES + 1) * span)
+        out = []
+        for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            at, n = (found[a:b] - i * span).astype("<u4"), np.minimum(count[a:b], 255).astype(np.uint8)
+            if (b - a) * 5 < span:
+                data = b"s" + at.tobytes() + n.tobytes()
+            else:
+                dense = np.zeros(span, np.uint8)
+                dense[at] = n
+                data = b"d" + dense.tobytes()
+            if b > a:
+                out.append((i, zlib.compress(data, 1)))
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch, seen = np.zeros(1 << SKETCH, np.uint32), set()
+        seen, cells, held = set(), [], 0
+
+        def flush() -> pa.RecordBatch:
+            rows = packed(np.concatenate(cells))
+            none = pa.nulls(len(rows), pa.int64())
+            return pa.RecordBatch.from_arrays([none, none, none, pa.array([i for i, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=names)
+
         for b in batches:
-            nodes, sizes, fresh = [], [], []
+            nodes, sizes, signs = [], [], []
             for _, node, own in _sets(b.column(1), width):
                 nodes.append(node)
                 sizes.append(own.size)
-                if node not in seen:
+                signs.append(signature(own))
+                if node not in seen and own.size:
                     seen.add(node)
-                    fresh.append((own >> U(64 - SKETCH)).astype(np.int64))
-            if fresh:
-                sketch += np.bincount(np.concatenate(fresh), minlength=1 << SKETCH).astype(np.uint32)
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(len(nodes), pa.int32()), pa.nulls(len(nodes), pa.binary())], names=names)
-        if seen:
-            rows = [x.tobytes() for x in np.split(sketch, SLICES)]
-            none = pa.nulls(SLICES, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(range(SLICES), pa.int32()), pa.array(rows, pa.binary())], names=names)
+                    cells.append(_cell(own))
+                    held += own.size
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(len(nodes), pa.int32()), pa.array(signs, pa.binary())], names=names)
+            if held >= 1 << SKETCH:
+                yield flush()
+                cells, held = [], 0
+        if held:
+            yield flush()
 
     names = ["doc_id", "node", "n", "slice", "counts"]
     return docs.mapInArrow(run, "doc_id long, node long, n long, slice int, counts binary")
 
 
+def _level(count):
+    """Counts on a scale of ten steps to the octave, in a byte."""
+    return np.minimum(255, np.log2(1.0 + count) * 10).astype(np.uint8)
+
+
 def _sketch(parts: DataFrame) -> np.ndarray:
-    def add(rows: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x, np.uint32).astype(np.int64) for x in rows["counts"])
-        return pd.DataFrame({"slice": [rows["slice"].iloc[0]], "counts": [np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()]})
+    """The level of each cell."""
+    span = (1 << SKETCH) // SLICES
 
-    rows = parts.filter("slice is not null").select("slice", "counts").groupBy("slice").applyInPandas(add, "slice int, counts binary").collect()  # 2**SKETCH numbers
-    out = np.zeros(1 << SKETCH, np.int32)
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(span, np.int64)
+        for data in map(zlib.decompress, rows["counts"]):
+            if data[:1] == b"d":
+                total += np.frombuffer(data, np.uint8, offset=1)
+            else:
+                n = (len(data) - 1) // 5
+                total[np.frombuffer(data, "<u4", n, 1)] += np.frombuffer(data, np.uint8, n, 1 + 4 * n)
+        return pd.DataFrame({"slice": [rows["slice"].iloc[0]], "levels": [_level(total).tobytes()]})
+
+    rows = parts.filter("slice is not null").select("slice", "counts").groupBy("slice").applyInPandas(add, "slice int, levels binary").collect()  # 2**SKETCH bytes
+    out = np.zeros(1 << SKETCH, np.uint8)
     for r in rows:
-        out[r["slice"] << SKETCH - 4 : (r["slice"] + 1) << SKETCH - 4] = np.frombuffer(r["counts"], np.int32)
+        out[r["slice"] * span : (r["slice"] + 1) * span] = np.frombuffer(r["levels"], np.uint8)
     return out
 
 
@@ -122,79 +193,158 @@ def prefix_size(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def _prefixes(docs: DataFrame, sketch: np.ndarray, width: int, percent: int, buckets: int, hot: int) -> DataFrame:
-    """Prefix shingles and their nodes, packed by bucket of the shingle; those of hot shingles (bucket -1) by task."""
-    shared = docs.sparkSession.sparkContext.broadcast(sketch)
+def _prefix_runs(docs: DataFrame, sketch: np.ndarray, width: int, percent: int, hot: int, want_hot: bool, pack, schema: str) -> DataFrame:
+    """pack(shingles, nodes) of about a million prefix entries at a time, those of hot shingles or of all others."""
+    shared, limit = docs.sparkSession.sparkContext.broadcast(sketch), _level(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, seen, tokens, nodes, held = shared.value, set(), [], [], 0
-
-        def flush() -> pa.RecordBatch:
-            t, v = np.concatenate(tokens), np.concatenate(nodes)
-            bucket = (mix64(t) % U(buckets)).astype(np.int64)
-            bucket[counts[(t >> U(64 - SKETCH)).astype(np.int64)] >= hot] = -1
-            order = np.argsort(bucket, kind="stable")
-            t, v, bucket = t[order], v[order], bucket[order]
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
-            ends = list(zip(cuts[:-1], cuts[1:], strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]]), pa.array([t[a:b].tobytes() for a, b in ends], pa.binary()), pa.array([v[a:b].tobytes() for a, b in ends], pa.binary())], names=["bucket", "shingles", "nodes"])
-
+        levels, seen, tokens, nodes, held = shared.value, set(), [], [], 0
         for b in batches:
             for _, node, own in _sets(b.column(1), width):
                 if not own.size or node in seen:
                     continue
                 seen.add(node)
-                size = prefix_size(own.size, percent)
-                rare = np.argsort(counts[(own >> U(64 - SKETCH)).astype(np.int64)], kind="stable")[:size]
+                level = levels[_cell(own)]
+                rare = np.argsort(level, kind="stable")[: prefix_size(own.size, percent)]
+                rare = rare[(level[rare] >= limit) == want_hot]
                 tokens.append(own[rare])
-                nodes.append(np.full(size, node, np.int64))
-                held += size
+                nodes.append(np.full(rare.size, node, np.int64))
+                held += rare.size
                 if held >= 1_000_000:
-                    yield flush()
+                    yield pack(np.concatenate(tokens), np.concatenate(nodes))
                     tokens, nodes, held = [], [], 0
         if held:
-            yield flush()
+            yield pack(np.concatenate(tokens), np.concatenate(nodes))
+
+    return docs.mapInArrow(run, schema)
+
+
+def _meet(rows: pd.DataFrame) -> pd.DataFrame:
+    """(node, pivot, many) of a bucket of prefix entries."""
+    t = np.frombuffer(b"".join(rows["shingles"]), "<u4")
+    v = np.concatenate([np.frombuffer(n, np.int64)[np.frombuffer(i, "<u4")] for n, i in zip(rows["nodes"], rows["places"], strict=True)])
+    order = np.argsort(t, kind="stable")
+    t, v = t[order], v[order]
+    same = np.zeros(t.size, bool)
+    same[1:] = t[1:] == t[:-1]
+    shared = same.copy()
+    shared[:-1] |= same[1:]
+    t, v = t[shared], v[shared]
+    order = np.lexsort((v, t))
+    t, v = t[order], v[order]
+    fresh = np.ones(t.size, bool)
+    fresh[1:] = (t[1:] != t[:-1]) | (v[1:] != v[:-1])
+    t, v = t[fresh], v[fresh]
+    start = np.ones(t.size, bool)
+    start[1:] = t[1:] != t[:-1]
+    group = np.cumsum(start) - 1
+    size = np.bincount(group, minlength=1)
+    out = pd.DataFrame({"node": v, "pivot": v[np.flatnonzero(start)][group] if t.size else v, "many": size[group] > 2 if t.size else np.zeros(0, bool)})
+    out = out[out["node"] != out["pivot"]]
+    return out.groupby(["node", "pivot"], as_index=False, sort=False)["many"].max()
+
+
+def _pivots(docs: DataFrame, sketch: np.ndarray, width: int, percent: int, buckets: int, hot: int) -> DataFrame:
+    """(node, pivot, many): the pivot is the least node of those that share a prefix shingle; many: three or more share it.
+
+    Entries are shuffled packed: within a bucket 32 bits of a mixed shingle tell shingles apart (what falls together
+    by chance meets a pivot in vain), and nodes are numbered in each pack. Shingles that the sketch counts `hot` times or
+    more, whose entries could overfill a task, take native aggregation and join instead.
+    """
+
+    def pack(t: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+        mixed = mix64(t)
+        bucket = (mixed % U(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        bucket, short = bucket[order], (mixed[order] >> U(32)).astype("<u4")
+        own, place = np.unique(v, return_inverse=True)
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
+        rows = []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            here, at = np.unique(place[order[a:b]], return_inverse=True)
+            rows.append((short[a:b].tobytes(), own[here].tobytes(), at.astype("<u4").tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]]), *(pa.array(c, pa.binary()) for c in zip(*rows, strict=True))], names=["bucket", "shingles", "nodes", "places"])
+
+    packed = _prefix_runs(docs, sketch, width, percent, hot, False, pack, "bucket long, shingles binary, nodes binary, places binary")
+    pairs = packed.groupBy("bucket").applyInPandas(_meet, "node long, pivot long, many boolean")
+    if sketch.max() >= _level(hot):
+        plain = lambda t, v: pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(v)], names=["shingle", "node"])
+        entries = materialize(_prefix_runs(docs, sketch, width, percent, hot, True, plain, "shingle long, node long").distinct(), "jaccard-hot")
+        least = entries.groupBy("shingle").agg(F.min("node").alias("pivot"), F.count("*").alias("k"))
+        pairs = pairs.union(entries.join(least, "shingle").filter("node <> pivot").select("node", "pivot", (F.col("k") > 2).alias("many")))
+    return pairs.groupBy("node", "pivot").agg(F.max("many").alias("many"))
+
+
+def _bounded(pairs: DataFrame, signs: DataFrame) -> DataFrame:
+    """Adds least, a lower bound of the distance between node and pivot, and the node's size and signature."""
 
-    return docs.mapInArrow(run, "bucket long, shingles binary, nodes binary")
-
-
-def _pivots(packed: DataFrame) -> DataFrame:
-    """(node, pivot, many): the pivot is the least node of those that share a prefix shingle; many: three or more share it."""
-
-    def meet(rows: pd.DataFrame) -> pd.DataFrame:
-        t = np.frombuffer(b"".join(rows["shingles"]), np.uint64)
-        v = np.frombuffer(b"".join(rows["nodes"]), np.int64)
-        order = np.argsort(t, kind="stable")
-        t, v = t[order], v[order]
-        same = np.zeros(t.size, bool)
-        same[1:] = t[1:] == t[:-1]
-        shared = same.copy()
-        shared[:-1] |= same[1:]
-        t, v = t[shared], v[shared]
-        order = np.lexsort((v, t))
-        t, v = t[order], v[order]
-        fresh = np.ones(t.size, bool)
-        fresh[1:] = (t[1:] != t[:-1]) | (v[1:] != v[:-1])
-        t, v = t[fresh], v[fresh]
-        start = np.ones(t.size, bool)
-        start[1:] = t[1:] != t[:-1]
-        group = np.cumsum(start) - 1
-        size = np.bincount(group, minlength=1)
-        out = pd.DataFrame({"node": v, "pivot": v[np.flatnonzero(start)][group] if t.size else v, "many": size[group] > 2 if t.size else np.zeros(0, bool)})
-        out = out[out["node"] != out["pivot"]]
-        return out.groupby(["node", "pivot"], as_index=False, sort=False)["many"].max()
-
-    cold = packed.filter("bucket >= 0").groupBy("bucket").applyInPandas(meet, "node long, pivot long, many boolean")
-
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for t, v in zip(b.column(1), b.column(2), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(t.as_py(), np.int64)), pa.array(np.frombuffer(v.as_py(), np.int64))], names=["shingle", "node"])
+            out = []
+            for n_a, s_a, n_b, s_b in zip(*(b.column(k).to_pylist() for k in ("n", "signature", "pivot_n", "pivot_signature")), strict=True):
+                x, y = _unsigned(s_a), _unsigned(s_b)
+                m = min(x.size, y.size)
+                out.append(float(least_distance(_folded(x, m), _folded(y, m), n_a, n_b)))
+            keep = ["node", "pivot", "many", "n", "signature"]
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(out, pa.float64())], names=[*keep, "least"])
+
+    its = signs.select(F.col("node").alias("pivot"), F.col("n").alias("pivot_n"), F.col("signature").alias("pivot_signature"))
+    both = pairs.join(signs.select("node", "n", "signature"), "node").join(its, "pivot")
+    return both.select("node", "pivot", "many", "n", "signature", "pivot_n", "pivot_signature").mapInArrow(run, "node long, pivot long, many boolean, n long, signature binary, least double")
+
+
+def _possible(signs: list[np.ndarray], sizes: np.ndarray, radius: float) -> np.ndarray:
+    """Which of a region's nodes could link with another one."""
+    out = np.zeros(len(signs), bool)
+    lengths = np.array([x.size for x in signs])
+    for length in np.unique(lengths):
+        own = np.flatnonzero(lengths == length)
+        # sizes that can link differ by a quarter at most, lengths by one step
+        other = np.flatnonzero((lengths == length) | (lengths == length * 2))
+        table = np.stack([_folded(signs[i], length) for i in other])
+        for i in own:
+            ok = least_distance(signs[i], table, sizes[i], sizes[other]) <= radius + 1e-9
+            ok &= other != i
+            if ok.any():
+                out[i] = True
+                out[other[ok]] = True
+    return out
 
-    entries = packed.filter("bucket = -1").mapInArrow(unpack, "shingle long, node long")
-    least = entries.groupBy("shingle").agg(F.min("node").alias("pivot"), F.count("*").alias("k"))
-    hot = entries.join(least, "shingle").filter("node <> pivot").select("node", "pivot", (F.col("k") > 2).alias("many"))
-    return cold.union(hot).groupBy("node", "pivot").agg(F.max("many").alias("many"))
+
+def _alive(rows: DataFrame, radius: float, region: int) -> DataFrame:
+    """rows: pivot, node, n, signature, near. (region, node, near) of the nodes that could link within their region; all of those in a larger region."""
+    size = rows.groupBy("pivot").agg(F.count("*").alias("size"))
+    rows = rows.join(size.filter("size > 1"), "pivot")
+    large = rows.filter(F.col("size") > region).select(F.col("pivot").alias("region"), "node", "near")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def close() -> list[tuple]:
+            if len(held) < 2:
+                return []
+            ok = _possible([_unsigned(h[2]) for h in held], np.array([h[1] for h in held]), radius)
+            return [(key, h[0], h[3]) for h, keep in zip(held, ok, strict=True) if keep]
+
+        for b in batches:
+            out = []
+            for pivot, *rest in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if pivot != key:
+                    out += close()
+                    key, held = pivot, []
+                held.append(rest)
+            if out:
+                yield batch(out)
+        if out := close():
+            yield batch(out)
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        r, v, near = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(r, pa.int64()), pa.array(v, pa.int64()), pa.array(near, pa.bool_())], names=["region", "node", "near"])
+
+    small = rows.filter(F.col("size") <= region).select("pivot", "node", "n", "signature", "near")
+    small = small.repartition("pivot").sortWithinPartitions("pivot")
+    return small.mapInArrow(run, "region long, node long, near boolean").union(large)
 
 
 def _shingles_of(docs: DataFrame, width: int) -> DataFrame:
@@ -312,22 +462,31 @@ def similar_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """One row for each row of docs: doc_id, n_shingles, component_id (the least id that links lead to, its own included)."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     parts = materialize(_nodes_and_sketch(docs, width), "jaccard-nodes")
-    nodes = parts.filter("slice is null").select("doc_id", "node", "n")
+    nodes = parts.filter("slice is null").select("doc_id", "node", "n", F.col("counts").alias("signature"))
     sketch = _sketch(parts)
     total = nodes.agg(F.sum("n")).first()[0] or 0
     buckets = max(32, total * (100 - percent) // 100 // BUCKET)
 
-    packed = materialize(_prefixes(docs, sketch, width, percent, buckets, hot), "jaccard-prefixes")
-    pairs = materialize(_pivots(packed), "jaccard-pivots")
-    active = pairs.select("node").union(pairs.select("pivot")).distinct()
-    one = nodes.filter("n > 0").join(active, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    texts = docs.join(one.select("doc_id"), "doc_id", "left_semi").select("text")
-    sets = materialize(_shingles_of(texts, width).join(active, "node", "left_semi").dropDuplicates(["node"]), "jaccard-sets")
-
     radius = 1 - percent / 100
-    measured = materialize(_distances(pairs.withColumn("region", F.col("pivot")), sets, percent), "jaccard-distances")
+    pairs = materialize(_pivots(docs, sketch, width, percent, buckets, hot), "jaccard-pivots")
+    active = pairs.select("node").union(pairs.select("pivot")).distinct()
+    signs = nodes.filter("n > 0").join(active, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("signature").alias("signature"))
+    signs = materialize(signs, "jaccard-signatures")
+    bounded = materialize(_bounded(pairs, signs).withColumn("near", F.col("least") <= 2 * radius + 1e-9), "jaccard-bounds")
+    alive = materialize(_alive(bounded.filter("many").drop("many", "least"), radius, region), "jaccard-alive")
+
+    near = bounded.filter("near").select(F.col("pivot").alias("region"), "node", "pivot")
+    wanted = near.select("node").union(near.select("pivot")).union(alive.select("node")).distinct()
+    chosen = signs.join(wanted, "node").select("doc_id")
+    texts = docs.join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select("text")
+    sets = materialize(_shingles_of(texts, width), "jaccard-sets")
+
+    still = alive.filter("near").select("region", "node", F.lit(True).alias("many"))
+    near = near.join(still, ["region", "node"], "left").fillna(False, ["many"])
+    measured = materialize(_distances(near, sets, percent), "jaccard-distances")
     link = measured.filter("linked").select(F.col("node").alias("u"), F.col("pivot").alias("v"))
-    left = materialize(_remainder(measured, radius), "jaccard-remainder")
+    far = alive.filter("not near").select("region", "node")
+    left = materialize(_remainder(measured, radius).union(far), "jaccard-remainder")
     for k in range(rounds):
         size = left.groupBy("region").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("node", F.lit(k)), "node"))["node"].alias("pivot"))
         large = size.filter(F.col("size") > region)
@@ -341,7 +500,7 @@ def similar_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     link = link.union(_joined_regions(left, sets, percent, region))
 
     roots = connected_components(link)
-    out = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    out = nodes.drop("signature").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = out.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
     out = out.join(least, "root", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
