@@ -7,10 +7,29 @@ ids of a text are gathered with numpy. This equals encoding the whole text for t
 
 from __future__ import annotations
 
+import json
+import re
+
 import numpy as np
 
+#: The steps before merging of `word_bpe_49k.json`, which plain pieces can skip.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+#: Printable ASCII, and Latin-1 letters whose lower case is Latin-1 and which no normal form changes.
+PLAIN = re.compile(r"(?!.*<\|)[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
+CHUNKS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[!-/:-`{-~]+").findall
+#: The byte-level alphabet: printable Latin-1 bytes stand for themselves, the other bytes, in order, for 256 and on.
+_SELF = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTES = {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in _SELF)}
+
 #: A piece table above this many entries is started anew.
-MAX_PIECES = 500_000
+MAX_PIECES = 700_000
 
 
 def default_tokenizer() -> str:
@@ -35,6 +54,9 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenize = self.tokenizer.model.tokenize
+        told = json.loads(self.tokenizer.to_str())
+        self.direct = (told["normalizer"], told["pre_tokenizer"]) == (NORMALIZER, PRE_TOKENIZER) and all("<|" in t["content"] for t in told["added_tokens"])
         self._reset()
 
     def _reset(self) -> None:
@@ -44,12 +66,28 @@ class PieceEncoder:
         self.length = np.zeros(1, np.int64)
 
     def _encode_pending(self) -> None:
-        if not self.pieces.pending:
+        pending = self.pieces.pending
+        if not pending:
             return
-        ids = [e.ids for e in self.tokenizer.encode_batch(self.pieces.pending, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        ids: list[int] = []
+        lengths = np.empty(len(pending), np.int64)
+        others = []
+        for i, piece in enumerate(pending):
+            before = len(ids)
+            if self.direct and PLAIN(piece):
+                for chunk in CHUNKS(piece.lower()):
+                    ids += [t.id for t in self.tokenize(chunk if chunk.isascii() else chunk.encode().decode("latin-1").translate(BYTES))]
+            else:
+                others.append(i)
+            lengths[i] = len(ids) - before
         starts = self.flat.size + np.cumsum(lengths) - lengths
-        self.flat = np.concatenate([self.flat, np.fromiter((i for one in ids for i in one), "<u4", int(lengths.sum()))])
+        flat = [self.flat, np.array(ids, "<u4")]
+        end = self.flat.size + len(ids)
+        for i, e in zip(others, self.tokenizer.encode_batch([pending[i] for i in others], add_special_tokens=False), strict=True):
+            flat.append(np.array(e.ids, "<u4"))
+            starts[i], lengths[i] = end, len(e.ids)
+            end += len(e.ids)
+        self.flat = np.concatenate(flat)
         self.start, self.length = np.concatenate([self.start, starts]), np.concatenate([self.length, lengths])
         self.pieces.pending = []
 
