@@ -67,7 +67,7 @@ def running_accuracy(preds: DataFrame, order: str = "item") -> DataFrame:
     """Running accuracies by item. One window, for reports over an evaluation set."""
     w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     hit = lambda c: F.avg((F.col(c) == F.col("label")).cast("int")).over(w)
-    return preds.select(order, F.row_number().over(Window.orderBy(order)).alias("n"), hit("pred").alias("acc"), hit("pred_norm").alias("acc_norm"))
+    return preds.select(order, F.row_number().over(Window.orderBy(order)).cast("long").alias("n"), hit("pred").alias("acc"), hit("pred_norm").alias("acc_norm"))
 
 
 def class_report(preds: DataFrame, classes: int = 4, pred: str = "pred") -> DataFrame:
