@@ -1,0 +1,59 @@
+import sys
+from pathlib import Path
+
+import pytest
+
+ROOT = Path(__file__).resolve().parents[1]
+sys.path.insert(0, str(ROOT))
+
+DATA = Path("/root/testdata")
+
+
+@pytest.fixture(scope="session")
+def spark():
+    from weftline.session import local_session
+
+    return local_session("*", 4)
+
+
+@pytest.fixture(scope="session")
+def sf():
+    if not (DATA / "sf0.001").exists():
+        pytest.skip("no fixture tables")
+    return str(DATA / "sf0.001")
+
+
+@pytest.fixture(scope="session")
+def sql(sf):
+    """Runs SQL over the fixture tables."""
+    import duckdb
+
+    con = duckdb.connect()
+    for f in Path(sf).glob("*.parquet"):
+        con.sql(f"create view {f.stem} as select * from '{f}'")
+    return lambda text: con.execute(text).df()
+
+
+@pytest.fixture(scope="session")
+def same():
+    """Whether two frames hold the same rows, in any order, numbers to nine digits."""
+    import math
+
+    def cell(x):
+        if x is None or (isinstance(x, float) and math.isnan(x)) or str(x) in ("nan", "NaT", "<NA>", "None"):
+            return ""
+        if isinstance(x, bool) or type(x).__name__ == "bool":
+            return str(int(x))
+        try:
+            return f"{float(x):.9g}" if not isinstance(x, str) else x
+        except (TypeError, ValueError):
+            return str(x)
+
+    def rows(frame):
+        return sorted("|".join(map(cell, r)) for r in frame[sorted(frame.columns)].itertuples(index=False))
+
+    def check(a, b):
+        assert sorted(a.columns) == sorted(b.columns)
+        assert rows(a) == rows(b)
+
+    return check

@@ -71,4 +71,4 @@ def policy_objective(tokens: DataFrame, passes: int, examples: int) -> DataFrame
 
 
 def rollout_seed(step: Column, example: Column, pass_no: Column) -> Column:
-    return (step * 10000 + example * 100 + pass_no).cast("long").bitwiseAND(F.lit(0x7FFFFFFF))
+    return (step.cast("long") * 10000 + example.cast("long") * 100 + pass_no).bitwiseAND(F.lit(0x7FFFFFFF))
