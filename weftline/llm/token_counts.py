@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm.encode import default_tokenizer, encoder, text_blocks
 from weftline.operators.prefix import prefix_sum
+from weftline.session import materialize
 
 #: Lengths a bucket of the two-level sums.
 SPAN = 1024
@@ -45,7 +46,7 @@ def length_table(lengths: DataFrame, column: str = "n_tokens") -> DataFrame:
     Between two lengths that occur, limit M >= L gives truncated_tokens = tokens_fit + M * docs_over of the row of L.
     """
     h = lengths.groupBy(F.col(column).alias("limit_tokens")).agg(F.count("*").alias("docs"))
-    h = h.withColumn("tokens", F.col("docs") * F.col("limit_tokens"))
+    h = materialize(h.withColumn("tokens", F.col("docs") * F.col("limit_tokens")), "length-histogram")
     # a descending bucket and order turn the prefix sum into the suffix sum
     h = h.withColumn("bucket", F.floor(F.col("limit_tokens") / SPAN)).withColumn("behind", -F.col("bucket"))
     for value, before, after in (("docs", "docs_fit", "docs_over"), ("tokens", "tokens_fit", "tokens_over")):
