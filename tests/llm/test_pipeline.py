@@ -1,0 +1,123 @@
+"""The stages of corpus_pipeline.py, each against a plain version of its decision on its own input."""
+
+import os
+import re
+from collections import Counter, defaultdict
+
+import pytest
+
+import corpus_pipeline as cp
+from weftline.llm.quality_classifier import score, train
+from weftline.llm.queries_quality import held_out
+from weftline.llm.secrets import fitted, scan
+
+from .test_jaccard_hnsw import plain_classes
+from .test_mixing_packing_counts import WORD, check_packing, plain_targets
+
+
+@pytest.fixture(scope="module")
+def sf():
+    if not os.path.isdir("/root/testdata/sf0.01"):
+        pytest.skip("no fixture tables")
+    return "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def steps(spark, sf, tmp_path_factory):
+    """Each stage's input and output, written and read back."""
+    docs, out = spark.read.parquet(f"{sf}/documents.parquet"), []
+    for name, stage in cp.STAGES:
+        path = str(tmp_path_factory.mktemp("stage") / name)
+        stage(spark, docs, sf).write.parquet(path)
+        after = spark.read.parquet(path)
+        out.append((docs, after))
+        docs = after
+    return out
+
+
+def rows(df):
+    return [tuple(r) for r in df.select(*cp.COLUMNS).collect()]
+
+
+def test_columns(steps):
+    assert [n for n, _ in cp.STAGES] == ["quality_classifier", "jaccard_join", "secret_scans", "source_mixing", "packing"]
+    assert all(after.columns == cp.COLUMNS for _, after in steps[:-1])
+
+
+def test_classifier_stage(spark, sf, steps):
+    before, after = steps[0]
+    model = train(before, spark.read.parquet(f"{sf}/labels.parquet").filter(~held_out(5, 0)))
+    good = {r["doc_id"] for r in score(before, model, ["doc_id"], "text", "p").collect() if r["p"] >= 0.3}
+    assert sorted(rows(after)) == sorted(r for r in rows(before) if r[0] in good) and 0 < len(good) < before.count()
+
+
+def test_near_duplicate_stage(steps):
+    before, after = steps[1]
+    classes = plain_classes([r[:2] for r in rows(before)])
+    first = {i for i, n, c in classes if i == c or not n}
+    assert sorted(rows(after)) == sorted(r for r in rows(before) if r[0] in first)
+
+
+def test_secret_stage(steps):
+    before, after = steps[2]
+    spans = {r["doc_id"]: r["secret_spans"] for r in scan(before, fitted(before), ["doc_id"], "text").collect()}
+    new = {r[0]: r for r in rows(after)}
+    assert any(spans.values())
+    for r in rows(before):
+        text = r[1]
+        for x in reversed(spans[r[0]]):
+            if x["kind"] != "hex" or not any(y["start"] < x["end"] and x["start"] < y["end"] and y is not x for y in spans[r[0]]):
+                text = text[: x["value_start"]] + "[secret]" + text[x["end"] :]
+        assert new[r[0]] == (r[0], text, r[2], r[3], len(text))
+
+
+def test_mixing_stage(steps):
+    before, after = steps[3]
+    have = {r[0]: r for r in rows(before)}
+    sizes, taken, copies = Counter(), Counter(), defaultdict(list)
+    for r in have.values():
+        sizes[r[3]] += len(WORD.findall(r[1] or ""))
+    for r in rows(after):
+        copies[r[0]].append(r)
+        taken[r[3]] += len(WORD.findall(r[1]))
+    targets = plain_targets(sizes)
+    assert all(taken[s] == int(targets[s] + 1e-6) for s in sizes if sizes[s])
+    for i, own in copies.items():
+        assert len(own) <= 2
+        for r in own:
+            assert have[i][1].startswith(r[1]) and r[4] == len(r[1]) and r[2:4] == have[i][2:4]
+        assert sum(r[1] != have[i][1] for r in own) <= 1
+
+
+def test_packing_stage(steps):
+    from weftline.llm.encode import PieceEncoder, default_tokenizer
+
+    before, after = steps[4]
+    check_packing([r[:2] for r in rows(before)], after.collect(), PieceEncoder(default_tokenizer()), 4096)
+
+
+def test_run_is_the_stages(spark, sf, steps):
+    strip = lambda df: Counter((r["doc_id"], r["start"], r["length"], r["ids_crc32"]) for r in df.collect())
+    assert strip(cp.run(spark, sf)) == strip(steps[-1][1])
+
+
+@pytest.mark.parametrize("name", [n for n, _ in cp.STAGES])
+def test_odd_rows(spark, sf, documents, odd_rows, name):
+    stage = dict(cp.STAGES)[name]
+    got = stage(spark, documents(odd_rows), sf).collect()
+    nothing = stage(spark, documents([]), sf)
+    assert nothing.count() == 0
+    if name == "packing":
+        assert Counter(r["doc_id"] for r in got) >= Counter({r[0] for r in odd_rows})
+        return
+    assert set(nothing.columns) == set(cp.COLUMNS)
+    ids = Counter(r["doc_id"] for r in got)
+    given = Counter(r[0] for r in odd_rows)
+    if name == "quality_classifier":
+        assert ids <= given
+    elif name == "jaccard_join":
+        assert ids[6] == 1 and not ids[7] and not ids[9] and ids[None] == 2 and all(ids[i] == 1 for i in (1, 2, 3, 4, 5))
+    elif name == "secret_scans":
+        assert ids == given and not any(re.search("0123456789abcdef0123", r["text"] or "") for r in got)
+    else:
+        assert all(ids[i] <= 2 * given[i] for i in ids) and ids[7] >= 1
