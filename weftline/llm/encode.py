@@ -126,6 +126,11 @@ def encoder(path: str) -> PieceEncoder:
     return _ENCODERS[path]
 
 
+def release() -> None:
+    """Forgets this process's encoders; operators with large tables of their own call it as a task begins."""
+    _ENCODERS.clear()
+
+
 def text_blocks(texts, limit: int = 4_000_000):
     """(first, last) row numbers of runs of texts of about limit characters at most, or of one text."""
     first, size = 0, 0

@@ -22,11 +22,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.columns import map_text
 from weftline.llm.encode import text_blocks
 
 ORDERS = (1, 2, 3)
 BITS = 15
 SCALE = 1 << 16
+#: In training a bucket counts log(1 + times) for each text, in whole multiples of 1 / DAMP, so that one long text does not drown the rest.
+DAMP = 1024
 #: Positions gathered at once.
 PART = 1 << 18
 
@@ -120,14 +123,15 @@ def train(rows: DataFrame, text: str, lang: str, *, orders=ORDERS, bits: int = B
             langs, texts = np.array([number[x] for x in b.column(0).to_pylist()], np.int64), b.column(1).to_pylist()
             for first, last in text_blocks(texts, PART):
                 buckets, offs, _ = ngram_buckets(texts[first:last], orders, bits)
-                owner = np.repeat(langs[first:last], np.diff(offs))
-                table += np.bincount(owner * width + buckets, minlength=table.size).reshape(table.shape)
+                cells, counts = np.unique(np.repeat(np.arange(last - first), np.diff(offs)) * width + buckets, return_counts=True)
+                damped = np.round(np.log1p(counts) * DAMP).astype(np.int64)
+                np.add.at(table, (langs[first:last][cells // width], cells % width), damped)
         at = np.flatnonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(table.ravel()[at])], names=["cell", "n"])
 
     cells = rows.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # languages x buckets at most
     table = np.zeros((len(languages), width))
-    table.ravel()[cells["cell"].to_numpy(np.int64)] = cells["n"].to_numpy(np.int64)
+    table.ravel()[cells["cell"].to_numpy(np.int64)] = cells["n"].to_numpy(np.int64) / DAMP
     total = table.sum(1, keepdims=True)
     logp = np.log((table + alpha) / (total + alpha * width)) if languages else table
     n = np.array([sizes[x] for x in languages], float)
@@ -164,17 +168,13 @@ def score_texts(model: LanguageModel, texts: list[str | None], orders=ORDERS, bi
 
 def predict(docs: DataFrame, model: LanguageModel, keep: list[Column | str], text: str, orders=ORDERS, bits: int = BITS) -> DataFrame:
     """The kept columns, lang_pred and score of every row."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # 2**bits x languages
-    frame = docs.select(*keep, F.col(text).alias("langid_text"))
-    out = frame.drop("langid_text").schema.add("lang_pred", "string").add("score", "double")
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**bits x languages
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            langs, scores = score_texts(shared.value, b.column(b.num_columns - 1).to_pylist(), orders, bits)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(langs, pa.string()), pa.array(scores)], names=[*b.schema.names[:-1], "lang_pred", "score"])
+    def compute(texts: pa.Array) -> Iterator[tuple[int, int, list[pa.Array]]]:
+        langs, scores = score_texts(shared.value, texts.to_pylist(), orders, bits)
+        yield 0, len(texts), [pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
 
-    return frame.mapInArrow(run, out)
+    return map_text(docs, keep, text, "lang_pred string, score double", compute)
 
 
 def accuracy(frame: pd.DataFrame) -> float:

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.columns import map_text
 from weftline.llm.words import U, Words, blocks, chained, mix64
 
 BITS = 18
@@ -141,13 +142,9 @@ def score_block(model: QualityModel, raw: np.ndarray, offs: np.ndarray) -> np.nd
 def score(docs: DataFrame, model: QualityModel, keep: list[Column | str], text: str, column: str = "score") -> DataFrame:
     """The kept columns and the probability of label 1."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**BITS weights
-    frame = docs.select(*keep, F.col(text).alias("classifier_text"))
-    schema = frame.drop("classifier_text").schema.add(column, "double")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            parts = [score_block(shared.value, raw, offs) for _, _, raw, offs in blocks(b.column(b.num_columns - 1))]
-            values = np.concatenate(parts) if parts else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(values)], names=[*b.schema.names[:-1], column])
+    def compute(texts: pa.Array) -> Iterator[tuple[int, int, list[pa.Array]]]:
+        for first, last, raw, offs in blocks(texts):
+            yield first, last, [pa.array(score_block(shared.value, raw, offs))]
 
-    return frame.mapInArrow(run, schema)
+    return map_text(docs, keep, text, f"{column} double", compute)

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.columns import map_text
 from weftline.llm.words import U, Words, blocks, chained, mix64
 from weftline.session import materialize
 
@@ -93,23 +94,17 @@ RULES = {
 
 def statistics_of(docs: DataFrame, keep: list[Column | str], text: str) -> DataFrame:
     """The kept columns, all statistics and `votes`, the pattern of votes as a number in base 3."""
-    frame = docs.select(*keep, F.col(text).alias("rules_text"))
     names = [*STATISTICS, *MORE, "votes"]
-    schema = frame.drop("rules_text").schema
-    for name in names:
-        schema = schema.add(name, "long")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for first, last, raw, offs in blocks(b.column(b.num_columns - 1)):
-                s = block_statistics(raw, offs)
-                votes = np.zeros(last - first, np.int64)
-                for k, rule in enumerate(RULES.values()):
-                    votes += rule(s) * 3**k
-                own = [c.slice(first, last - first) for c in b.columns[:-1]]
-                yield pa.RecordBatch.from_arrays([*own, *(pa.array((s | {"votes": votes})[x].astype(np.int64)) for x in names)], names=[*b.schema.names[:-1], *names])
-
-    return frame.mapInArrow(run, schema)
+
+    def compute(texts: pa.Array) -> Iterator[tuple[int, int, list[pa.Array]]]:
+        for first, last, raw, offs in blocks(texts):
+            s = block_statistics(raw, offs)
+            s["votes"] = np.zeros(last - first, np.int64)
+            for k, rule in enumerate(RULES.values()):
+                s["votes"] += rule(s) * 3**k
+            yield first, last, [pa.array(s[x].astype(np.int64)) for x in names]
+
+    return map_text(docs, keep, text, ", ".join(f"{x} long" for x in names), compute, ("quality", "base_failed", "kept"))
 
 
 @dataclass
