@@ -15,7 +15,7 @@ from weftline.llm.mixing import fair_mix
 from weftline.llm.packing import pack
 from weftline.llm.quality_classifier import score, train
 from weftline.llm.queries_quality import CUT, held_out
-from weftline.llm.secrets import fitted, redacted, scan
+from weftline.llm.secrets import fitted, scan
 from weftline.session import materialize, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -43,9 +43,8 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """All documents, the secrets in their texts replaced by a mark."""
     docs = docs.select(*COLUMNS)
     found = scan(docs, fitted(docs), COLUMNS, "text")
-    clean = redacted(F.col("text"), F.col("secret_spans"))
-    n_chars = F.when(F.size("secret_spans") > 0, F.length(clean).cast("long")).otherwise(F.col("n_chars"))
-    return found.select("doc_id", clean.alias("text"), "lang", "source", n_chars.alias("n_chars"))
+    n_chars = F.when(F.size("secret_spans") > 0, F.length("clean_text").cast("long")).otherwise(F.col("n_chars"))
+    return found.select("doc_id", F.col("clean_text").alias("text"), "lang", "source", n_chars.alias("n_chars"))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
