@@ -9,13 +9,16 @@ from weftline.session import delete_path, materialize
 
 
 def _star(edges: DataFrame, both: bool) -> DataFrame:
-    """large star (both): every larger neighbour of a node is tied to its least neighbour or itself; small star: every smaller one, and the node."""
+    """Minima are written before they are joined back: a node with very many edges is then an oversized partition of a plain
+    join, which adaptive execution splits.
+
+    large star (both): every larger neighbour of a node is tied to its least neighbour or itself; small star: every smaller one, and the node."""
     if both:
         edges = edges.union(edges.select("v", "u"))
-        least = edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
+        least = materialize(edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m")), "least")
         out = edges.filter("v > u").join(least, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        least = edges.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k")
+        least = materialize(edges.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k"), "least")
         rest = edges.join(least, F.col("u") == F.col("k")).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         out = rest.union(least.select(F.col("k").alias("u"), F.col("m").alias("v")))
     return out.distinct()
@@ -34,8 +37,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if told == before or not told["n"]:
             break
         before, last = told, e
-        large = _star(e, True)
+        large = materialize(_star(e, True), "edges")
         e = materialize(_star(large.filter("u > v"), False), "edges")
+        delete_path(spark, large._weftline_path)
         delete_path(spark, last._weftline_path)
     stars = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return stars.union(e.select(F.col("v"), F.col("v")).distinct())
+    return materialize(stars.union(e.select(F.col("v"), F.col("v")).distinct()), "components")

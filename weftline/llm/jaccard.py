@@ -18,6 +18,9 @@
    nodes, each pair of blocks in a task.
 5. Components of the found links, which connect just what all links would.
 
+Aggregates are written before they are joined back, so that a hot key is an oversized partition of a plain join, which
+adaptive execution splits.
+
 No step forms all pairs of a group. Defined results: null, empty and wordless texts have empty sets and link with nothing; a text
 with fewer words than a shingle has its whole sequence as one; equal texts, repeated rows included, are linked; an empty table gives
 no rows; a null id passes through and is never a component's id unless alone; very long texts are taken whole.
@@ -35,6 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.encode import release
 from weftline.llm.graph import connected_components
 from weftline.llm.words import U, Words, blocks, chained, mix64
 from weftline.session import materialize
@@ -118,30 +122,20 @@ def _nodes_and_sketch(docs: DataFrame, width: int) -> DataFrame:
     """
     span = (1 << SKETCH) // SLICES
 
-    def packed(cells: np.ndarray) -> list[tuple[int, bytes]]:
-        found, count = np.unique(cells, return_counts=True)
-        cuts = np.searchsorted(found, np.arange(SLICES + 1) * span)
+    def packed(sketch: np.ndarray) -> list[tuple[int, bytes]]:
         out = []
-        for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-            at, n = (found[a:b] - i * span).astype("<u4"), np.minimum(count[a:b], 255).astype(np.uint8)
-            if (b - a) * 5 < span:
-                data = b"s" + at.tobytes() + n.tobytes()
-            else:
-                dense = np.zeros(span, np.uint8)
-                dense[at] = n
-                data = b"d" + dense.tobytes()
-            if b > a:
+        for i in range(SLICES):
+            part = sketch[i * span : (i + 1) * span]
+            at = np.flatnonzero(part)
+            if at.size:
+                n = np.minimum(part, 255).astype(np.uint8)
+                data = b"s" + at.astype("<u4").tobytes() + n[at].tobytes() if at.size * 5 < span else b"d" + n.tobytes()
                 out.append((i, zlib.compress(data, 1)))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, cells, held = set(), [], 0
-
-        def flush() -> pa.RecordBatch:
-            rows = packed(np.concatenate(cells))
-            none = pa.nulls(len(rows), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, none, pa.array([i for i, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=names)
-
+        release()
+        sketch, seen, cells, held = np.zeros(1 << SKETCH, np.uint32), set(), [], 0
         for b in batches:
             nodes, sizes, signs = [], [], []
             for _, node, own in _sets(b.column(1), width):
@@ -152,12 +146,15 @@ def _nodes_and_sketch(docs: DataFrame, width: int) -> DataFrame:
                     seen.add(node)
                     cells.append(_cell(own))
                     held += own.size
+                if held >= 200_000:
+                    np.add.at(sketch, np.concatenate(cells), 1)
+                    cells, held = [], 0
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(len(nodes), pa.int32()), pa.array(signs, pa.binary())], names=names)
-            if held >= 1 << SKETCH:
-                yield flush()
-                cells, held = [], 0
-        if held:
-            yield flush()
+        if cells:
+            np.add.at(sketch, np.concatenate(cells), 1)
+        if rows := packed(sketch) if seen else []:
+            none = pa.nulls(len(rows), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, none, pa.array([i for i, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=names)
 
     names = ["doc_id", "node", "n", "slice", "counts"]
     return docs.mapInArrow(run, "doc_id long, node long, n long, slice int, counts binary")
@@ -313,7 +310,7 @@ def _possible(signs: list[np.ndarray], sizes: np.ndarray, radius: float) -> np.n
 
 def _alive(rows: DataFrame, radius: float, region: int) -> DataFrame:
     """rows: pivot, node, n, signature, near. (region, node, near) of the nodes that could link within their region; all of those in a larger region."""
-    size = rows.groupBy("pivot").agg(F.count("*").alias("size"))
+    size = materialize(rows.groupBy("pivot").agg(F.count("*").alias("size")), "jaccard-sizes")
     rows = rows.join(size.filter("size > 1"), "pivot")
     large = rows.filter(F.col("size") > region).select(F.col("pivot").alias("region"), "node", "near")
 
@@ -381,7 +378,7 @@ def _distances(regions: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _remainder(measured: DataFrame, radius: float) -> DataFrame:
     """(region, node) still to be joined: nodes outside the radius, and those inside within a window of an outer one."""
     able = measured.filter("many")
-    outer = able.filter("not linked").groupBy("region").agg(F.min("d").alias("nearest"))
+    outer = materialize(able.filter("not linked").groupBy("region").agg(F.min("d").alias("nearest")), "jaccard-outer")
     inside = F.col("d") + (radius + 1e-9) >= F.col("nearest")
     return able.join(outer, "region").filter(~F.col("linked") | inside).select("region", "node")
 
@@ -424,7 +421,7 @@ def _links_in(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
 
 def _joined_regions(members: DataFrame, sets: DataFrame, percent: int, region: int) -> DataFrame:
     """(u, v) links among the members (region, node) of each region."""
-    size = members.groupBy("region").agg(F.count("*").alias("size")).filter("size > 1")
+    size = materialize(members.groupBy("region").agg(F.count("*").alias("size")).filter("size > 1"), "jaccard-sizes")
     chunks = F.when(F.col("size") <= region, F.lit(1)).otherwise(F.ceil(F.col("size") / (region // 2))).cast("int")
     m = members.join(size.withColumn("chunks", chunks), "region").withColumn("chunk", F.pmod(F.xxhash64("node", "region"), F.col("chunks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
@@ -470,15 +467,16 @@ def similar_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     radius = 1 - percent / 100
     pairs = materialize(_pivots(docs, sketch, width, percent, buckets, hot), "jaccard-pivots")
     active = pairs.select("node").union(pairs.select("pivot")).distinct()
-    signs = nodes.filter("n > 0").join(active, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("signature").alias("signature"))
-    signs = materialize(signs, "jaccard-signatures")
+    # equal sets first meet in their own tasks, so that a frequent one does not travel row by row
+    one = nodes.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("signature").alias("signature"))
+    signs = materialize(one.join(active, "node"), "jaccard-signatures")
     bounded = materialize(_bounded(pairs, signs).withColumn("near", F.col("least") <= 2 * radius + 1e-9), "jaccard-bounds")
     alive = materialize(_alive(bounded.filter("many").drop("many", "least"), radius, region), "jaccard-alive")
 
     near = bounded.filter("near").select(F.col("pivot").alias("region"), "node", "pivot")
     wanted = near.select("node").union(near.select("pivot")).union(alive.select("node")).distinct()
-    chosen = signs.join(wanted, "node").select("doc_id")
-    texts = docs.join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select("text")
+    chosen = signs.join(wanted, "node").select(F.col("doc_id").alias("chosen_id"))
+    texts = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("chosen_id")), "left_semi").dropDuplicates(["doc_id", "text"]).select("text")
     sets = materialize(_shingles_of(texts, width), "jaccard-sets")
 
     still = alive.filter("near").select("region", "node", F.lit(True).alias("many"))
@@ -489,7 +487,7 @@ def similar_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     left = materialize(_remainder(measured, radius).union(far), "jaccard-remainder")
     for k in range(rounds):
         size = left.groupBy("region").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("node", F.lit(k)), "node"))["node"].alias("pivot"))
-        large = size.filter(F.col("size") > region)
+        large = materialize(size.filter(F.col("size") > region), "jaccard-large")
         if large.isEmpty():
             break
         again = left.join(large.select("region", "pivot"), "region").filter("node <> pivot").withColumn("many", F.lit(True))
@@ -501,6 +499,6 @@ def similar_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     roots = connected_components(link)
     out = nodes.drop("signature").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = out.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
+    least = materialize(out.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("least")), "jaccard-least")
     out = out.join(least, "root", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))

@@ -66,7 +66,7 @@ def fair_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     )
     thin = materialize(thin, "mix-sizes")  # mix_row is fixed from here on
     sizes = thin.groupBy("mix_source").agg(F.sum("mix_size").alias("mix_source_size"))
-    targets = source_targets(sizes, list(weights), share, cap)
+    targets = materialize(source_targets(sizes, list(weights), share, cap), "mix-targets")  # a row a source
     queue = thin.join(targets.withColumnRenamed("mix_source", "mix_source_"), F.col("mix_source").eqNullSafe(F.col("mix_source_")))
     queue = queue.drop("mix_source_")
     bucket = F.floor(F.conv(F.substring("mix_key", 1, 8), 16, 10).cast("long") / F.lit(2**32 // BUCKETS)).cast("int")

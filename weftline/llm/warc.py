@@ -163,12 +163,12 @@ def _index(rows: list[tuple]) -> pa.RecordBatch:
 def resolve(index: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Adds to each index row new_type and the original's original_key, original_id, original_url, original_date.
 
-    Index rows meet by payload digest: the largest key is found with partial aggregation, and rows are joined
-    to it; a hot digest is an oversized join partition, which adaptive execution splits.
+    Index rows meet by payload digest: the largest key is found with partial aggregation and written, and rows are
+    joined to it; a hot digest is an oversized partition of a plain join, which adaptive execution splits.
     """
     able = index.filter((F.col("record_type") == "response") & (F.col("payload_bytes") >= min_bytes))
     best = F.max(F.struct("key", "record_id", "url", "date")).alias("original")
-    originals = able.groupBy("digest").agg(best).withColumnRenamed("digest", "original_digest")
+    originals = materialize(able.groupBy("digest").agg(best).withColumnRenamed("digest", "original_digest"), "originals")
     joined = index.join(originals, (F.col("digest") == F.col("original_digest")) & (F.col("payload_bytes") >= min_bytes), "left")
     kept = F.col("original").isNull() | (F.col("original.record_id") == F.col("record_id"))
     other = lambda c: F.when(~kept, F.col(f"original.{c}"))
