@@ -2,13 +2,15 @@
 
 Rank r takes conversations r, r + W, ... Within a rank the packing is sequential by definition: a buffer of up to
 `buffer` conversations is refilled before each pick, the longest that fits is taken (the earliest of equals), and a row
-that nothing fits is filled with padding. Ranks are independent; a group streams its conversations in
-order and holds only the buffer.
+that nothing fits is filled with padding. Ranks are independent; a rank's conversations stream through its task in
+order, sorted by Spark, and only the buffer is held.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+from collections.abc import Iterable, Iterator
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -29,9 +31,9 @@ def ranked(rendered: DataFrame, order: str, ranks: int, capacity: int) -> DataFr
     return r.withColumn("rank", (F.col("idx") % ranks).cast("int")).filter(F.size("ids") <= capacity)
 
 
-def fill_rows(lengths: Iterator[tuple[int, int]], capacity: int, buffer: int) -> Iterator[list[int]]:
+def fill_rows(lengths: Iterable[tuple[Any, int]], capacity: int, buffer: int) -> Iterator[list]:
     """Lists of the items of each row, from (item, length) in order."""
-    held: list[tuple[int, int]] = []
+    held: list[tuple[Any, int]] = []
     source, more = iter(lengths), True
     while True:
         row, left = [], capacity
@@ -61,17 +63,25 @@ def pack_bestfit(rendered: DataFrame, *, order: str = "conv_id", ranks: int = 2,
     capacity = length + 1
     schema = "rank int, row_no int, ids array<int>, mask array<int>, convs array<long>"
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("idx", ignore_index=True)
-        out = []
-        for no, row in enumerate(fill_rows(zip(range(len(frame)), map(len, frame["ids"]), strict=True), capacity, buffer)):
-            ids = [t for i in row for t in frame["ids"][i]]
-            mask = [t for i in row for t in frame["mask"][i]]
-            pad = capacity - len(ids)
-            out.append((int(frame["rank"].iloc[0]), no, ids + [BOS] * pad, mask + [0] * pad, [int(frame[order][i]) for i in row]))
-        return pd.DataFrame(out, columns=["rank", "row_no", "ids", "mask", "convs"])
-
-    return ranked(rendered, order, ranks, capacity).select("rank", "idx", order, "ids", "mask").groupBy("rank").applyInPandas(run, schema)
+    def source(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        for b in batches:
+            yield from zip(b["rank"], b[order], b["ids"], b["mask"], strict=True)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out, columns = [], ["rank", "row_no", "ids", "mask", "convs"]
+        for rank, convs in itertools.groupby(source(batches), key=lambda c: c[0]):
+            for no, row in enumerate(fill_rows(((c, len(c[2])) for c in convs), capacity, buffer)):
+                ids, mask = [t for c in row for t in c[2]], [t for c in row for t in c[3]]
+                pad = capacity - len(ids)
+                out.append((rank, no, ids + [BOS] * pad, mask + [0] * pad, [int(c[1]) for c in row]))
+                if len(out) == 100:
+                    yield pd.DataFrame(out, columns=columns)
+                    out = []
+        if out:
+            yield pd.DataFrame(out, columns=columns)
+
+    source_rows = ranked(rendered, order, ranks, capacity).select("rank", "idx", order, "ids", "mask")
+    return source_rows.repartition(ranks, "rank").sortWithinPartitions("rank", "idx").mapInPandas(run, schema)
 
 
 def targets(ids: Column, mask: Column) -> tuple[Column, Column]:
