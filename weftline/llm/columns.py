@@ -12,6 +12,10 @@ from pyspark.sql import types as T
 from weftline.llm.encode import release
 
 
+#: Texts taken from a batch at once.
+ROWS = 1024
+
+
 def map_text(docs: DataFrame, keep: list[Column | str], text: str, outputs: str, compute: Callable[[pa.Array], Iterator[tuple[int, int, list[pa.Array]]]], replaces: tuple[str, ...] = ()) -> DataFrame:
     """The kept columns and the outputs (a DDL), which compute gives for runs [first, last) of a batch's texts, in order.
 
@@ -29,7 +33,7 @@ def map_text(docs: DataFrame, keep: list[Column | str], text: str, outputs: str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        for b in batches:
+        for b in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             for first, last, arrays in compute(b.column(b.num_columns - 1)):
                 kept = [c.slice(first, last - first) for c in b.columns[:-1]]
                 yield pa.RecordBatch.from_arrays([*kept, *arrays], names=names)

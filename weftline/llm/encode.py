@@ -131,6 +131,13 @@ def release() -> None:
     _ENCODERS.clear()
 
 
+def text_slices(batches, rows: int = 1024):
+    """Batches cut to a thousand rows, so that few texts are Python strings at once."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def text_blocks(texts, limit: int = 4_000_000):
     """(first, last) row numbers of runs of texts of about limit characters at most, or of one text."""
     first, size = 0, 0

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.columns import map_text
-from weftline.llm.encode import text_blocks
+from weftline.llm.encode import text_blocks, text_slices
 
 ORDERS = (1, 2, 3)
 BITS = 15
@@ -45,10 +45,10 @@ _LETTER = np.zeros(0, np.uint32)
 
 
 def _letter_table() -> np.ndarray:
-    """For each code point below 0x30000, its lower-case letter, or 32 for what is no letter."""
+    """For each code point below 0x33480, its lower-case letter, or 32 for what is no letter."""
     global _LETTER
     if not _LETTER.size:
-        table = np.full(0x30000, 32, np.uint32)
+        table = np.full(0x33480, 32, np.uint32)
         for c in range(table.size):
             ch = chr(c)
             if ch.isalpha():
@@ -119,7 +119,7 @@ def train(rows: DataFrame, text: str, lang: str, *, orders=ORDERS, bits: int = B
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros((len(languages), width), np.int64)
-        for b in batches:
+        for b in text_slices(batches):
             langs, texts = np.array([number[x] for x in b.column(0).to_pylist()], np.int64), b.column(1).to_pylist()
             for first, last in text_blocks(texts, PART):
                 buckets, offs, _ = ngram_buckets(texts[first:last], orders, bits)

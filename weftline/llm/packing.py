@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.encode import default_tokenizer, encoder, text_blocks
+from weftline.llm.encode import default_tokenizer, encoder, text_blocks, text_slices
 from weftline.operators.prefix import prefix_sum
 from weftline.session import materialize
 
@@ -37,7 +37,7 @@ def encoded_pieces(docs: DataFrame, id_col: str, text_col: str, window: int, tok
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        for batch in batches:
+        for batch in text_slices(batches):
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for first, last in text_blocks(texts):
                 out: list[tuple] = []

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.encode import default_tokenizer, encoder, text_blocks
+from weftline.llm.encode import default_tokenizer, encoder, text_blocks, text_slices
 from weftline.operators.prefix import prefix_sum
 from weftline.session import materialize
 
@@ -31,7 +31,7 @@ def encoded_lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for batch in batches:
+        for batch in text_slices(batches):
             texts = batch.column(1).to_pylist()
             sizes = [x.size + extra for a, b in text_blocks(texts) for x in enc.batch(texts[a:b])]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(np.array(sizes, np.int64))], names=["doc_id", "n_tokens"])

@@ -27,6 +27,7 @@ from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.llm.encode import text_slices
 from weftline.session import materialize, new_path
 
 #: Payload bytes and records after which a new archive begins.
@@ -132,7 +133,7 @@ def write_captures(pages: DataFrame, key: str, url: str, payload: str, date: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         archive, rows = None, []
-        for batch in batches:
+        for batch in text_slices(batches, 256):
             for k, u, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 archive = archive or Archive(folder)
                 body = text if isinstance(text, bytes) else (text or "").encode("utf-8", "surrogatepass")

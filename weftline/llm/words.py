@@ -64,14 +64,16 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
-def blocks(column: pa.Array, limit: int = BLOCK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first, last, bytes, offsets) of runs of texts of limit bytes at most, or of one longer text."""
-    raw, offs = text_bytes(column)
-    first, n = 0, len(offs) - 1
-    while first < n:
-        last = max(first + 1, int(np.searchsorted(offs, offs[first] + limit, "right")) - 1)
-        yield first, last, raw[offs[first] : offs[last]], offs[first : last + 1] - offs[first]
-        first = last
+def blocks(column: pa.Array, limit: int | None = None, rows: int = 1024) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first, last, bytes, offsets) of runs of texts of limit bytes at most, or of one longer text. At most `rows` texts are copied at once."""
+    limit = limit or BLOCK
+    for at in range(0, len(column), rows):
+        raw, offs = text_bytes(column.slice(at, rows))
+        first, n = 0, len(offs) - 1
+        while first < n:
+            last = max(first + 1, int(np.searchsorted(offs, offs[first] + limit, "right")) - 1)
+            yield at + first, at + last, raw[offs[first] : offs[last]], offs[first : last + 1] - offs[first]
+            first = last
 
 
 class Words:
