@@ -202,6 +202,9 @@ def test_few_and_no_vectors(spark):
     assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got] == [(0, 1, 2, 1.0), (0, 2, 1, 0.5)]
     assert hnsw.nearest(spark.createDataFrame([], ddl), F.col("vec_id") % 20 == 0).count() == 0
     assert hnsw.nearest(few, F.lit(False)).count() == 0
+    same = spark.createDataFrame([(0, [1.0, 1.0])] + [(5, [1.0, 0.0])] * 40 + [(5, [2.0, 0.0]), (6, [0.5, 0.0])], ddl)
+    got = hnsw.nearest(same, F.col("vec_id") % 20 == 0, k=3).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in got] == [(5, 2.0), (6, 0.5)]
 
 
 def test_hnsw_query(spark, sf):

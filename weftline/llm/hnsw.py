@@ -10,7 +10,7 @@ again in double precision on the original vectors, and shard results are merged
 Recall is approximate: `ef` trades it for time (tests hold it against brute force). Defined results: vectors that are
 null, zero, hold a null or a non-finite component, or are not of the most frequent dimension take no part, nor do rows with a null id;
 ties go to the smaller id; rows with a query's own id are not its candidates; repeated queries are answered once; an empty table gives
-no rows; other columns are not read.
+no rows; other columns are not read. Of rows that share an id each id is found once, at its best score.
 """
 
 from __future__ import annotations
@@ -233,8 +233,12 @@ def build_index(rows: DataFrame, shards: int, degree: int = DEGREE, ef: int = 48
         full += 0.0  # -0.0 is 0.0
         ids = part["vec_id"].to_numpy(np.int64)
         _, first, node = np.unique(full.view(np.dtype((np.void, full.dtype.itemsize * full.shape[1]))).ravel(), return_index=True, return_inverse=True)
-        order = np.argsort(node, kind="stable")  # members in the order of ids
-        members, starts = ids[order], np.searchsorted(node[order], np.arange(len(first) + 1))
+        order = np.lexsort((ids, node))
+        of, members = node[order], ids[order]
+        fresh = np.ones(len(of), bool)
+        fresh[1:] = (of[1:] != of[:-1]) | (members[1:] != members[:-1])
+        of, members = of[fresh], members[fresh]
+        starts = np.searchsorted(of, np.arange(len(first) + 1))
         vectors = full[first]
         flat = Graph(lengthened(vectors), degree, ef).flat()
         return pd.DataFrame({"shard": [part["shard"].iloc[0]], "vectors": [vectors.tobytes()], "member_ids": [members.tobytes()], "member_from": [starts.astype(np.int64).tobytes()], **{k: [x] for k, x in flat.items()}})
@@ -265,7 +269,10 @@ def search_index(index: DataFrame, shards: int, queries: DataFrame, blocks: int,
             ids, score = members[at], np.repeat(score, size)
             other = ids != own
             ids, score = ids[other], score[other]
-            best = np.lexsort((ids, -score))[:k]
+            best = np.lexsort((ids, -score))
+            # an id's rows are all in this shard; of several vectors of one id the best counts
+            _, first = np.unique(ids[best], return_index=True)
+            best = best[np.sort(first)[:k]]
             out.append((np.full(len(best), own), ids[best], score[best]))
         cols = [np.concatenate(c) for c in zip(*out, strict=True)]
         return pd.DataFrame(dict(zip(["query_id", "vec_id", "score"], cols, strict=True)))
@@ -275,7 +282,7 @@ def search_index(index: DataFrame, shards: int, queries: DataFrame, blocks: int,
     i = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     found = q.groupBy("shard", "block").cogroup(i.groupBy("shard", "block")).applyInPandas(search, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def nearest(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, shard_rows: int = SHARD, block_rows: int = BLOCK, degree: int = DEGREE, ef: int = 96) -> DataFrame:
