@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from weftline.functions import byte_vocab as bv
 from weftline.functions import schedules as sch
 from weftline.operators import bestfit, bpe, chat, choices, corpus, rollouts, views
-from weftline.operators.prefix import prefix_sum
+from weftline.operators.prefix import prefix_sum, whole_div
 from weftline.sources import chat_lines, shards
 from weftline.streaming import token_stream
 
@@ -21,13 +21,20 @@ def test_prefix_sum(spark):
     rng = random.Random(1)
     rows = [(i, rng.choice("ab"), rng.randint(0, 9)) for i in range(500)]
     df = spark.createDataFrame(rows, "k int, g string, v int").withColumn("b", F.floor(F.col("k") / 7))
-    got = {r["k"]: r["p"] for r in prefix_sum(df, "v", ["k"], "b", "p", ["g"]).collect()}
-    for g in "ab":
-        total = 0
-        for k, h, v in rows:
-            if h == g:
-                assert got[k] == total
-                total += v
+    for fan in (None, 5):
+        got = {r["k"]: r["p"] for r in prefix_sum(df, "v", ["k"], "b", "p", ["g"], fan).collect()}
+        for g in "ab":
+            total = 0
+            for k, h, v in rows:
+                if h == g:
+                    assert got[k] == total
+                    total += v
+
+
+def test_whole_div(spark):
+    rows = [(a,) for a in (-7, -1, 0, 1, 6, 7, 8, 10**15, 7 * 10**14 - 1)]
+    for r in spark.createDataFrame(rows, "a long").withColumn("q", whole_div(F.col("a"), 7)).collect():
+        assert r["q"] == r["a"] // 7
 
 
 def test_bytes_round_trip(spark):

@@ -10,20 +10,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.byte_vocab import BOS, byte_ids, byte_length
-from weftline.operators.prefix import prefix_sum
+from weftline.operators.prefix import prefix_sum, whole_div
 
-#: Keys of a prefix-sum bucket.
-SPAN = 64
+#: Keys of a prefix-sum bucket, and buckets of a coarser one: 2**24 keys for each row of the last window.
+SPAN, FAN = 256, 1 << 16
 
 
 def key_bucket(key: str, span: int = SPAN) -> Column:
-    return F.floor(F.col(key) / span)
+    return whole_div(F.col(key), span)
 
 
 def capped_budget(docs: DataFrame, cap: int, max_chars: int, key: str = "doc_id") -> DataFrame:
     """Documents, cut to cap characters, until their total reaches max_chars; the one that crosses it is the last."""
     d = docs.select(key, F.substring("text", 1, cap).alias("text")).withColumn("n", F.char_length("text").cast("long")).withColumn("bucket", key_bucket(key))
-    return prefix_sum(d, "n", [key], "bucket", "before").filter(F.col("before") < max_chars).select(key, "text", "n", "before")
+    return prefix_sum(d, "n", [key], "bucket", "before", fan=FAN, below=max_chars).select(key, "text", "n", "before")
 
 
 def token_counts(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -35,12 +35,12 @@ def token_counts(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 def stream_offsets(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, n, off: where each document's tokens stand in the stream of all."""
     d = docs.select(key, (1 + byte_length(F.col("text"))).alias("n")).withColumn("bucket", key_bucket(key))
-    return prefix_sum(d, "n", [key], "bucket", "off").select(key, "n", "off")
+    return prefix_sum(d, "n", [key], "bucket", "off", fan=FAN).select(key, "n", "off")
 
 
 def shard_fragments(offsets: DataFrame, size: int, key: str = "doc_id") -> DataFrame:
     """A row for each part of a document in a shard: shard k holds stream positions [k size, (k + 1) size)."""
-    div = lambda a: F.floor(a / size)
+    div = lambda a: whole_div(a, size)
     f = offsets.withColumn("shard_id", F.explode(F.sequence(div(F.col("off")), div(F.col("off") + F.col("n") - 1))))
     first = F.col("shard_id") * size
     start = F.greatest("off", first)
@@ -69,10 +69,10 @@ def loader_batches(shards: DataFrame, block: int, ranks: int) -> DataFrame:
     block is batch times sequence length. Rank r reads n = max(1, (M - r) div ranks) batches, M being the whole blocks
     of a shard less its last token.
     """
-    m = F.floor((F.col("length") - 1) / block)
+    m = whole_div(F.col("length") - 1, block)
     s = shards.withColumn("rank", F.explode(F.sequence(F.lit(0), F.lit(ranks - 1)).cast("array<int>")))
     s = s.filter(F.col("length") >= block * (F.col("rank") + 1) + 1)
-    s = s.withColumn("n", F.greatest(F.lit(1), F.floor((m - F.col("rank")) / ranks)))
+    s = s.withColumn("n", F.greatest(F.lit(1), whole_div(m - F.col("rank"), ranks)))
     s = s.withColumn("batch_no", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
     first = block * (F.col("rank") + F.col("batch_no") * ranks)
     return s.select("shard_id", "rank", "batch_no", first.alias("first"), (first + block).alias("last"))
@@ -91,9 +91,9 @@ def batch_rows(fragments: DataFrame, batches: DataFrame, block: int, length: int
     fragments: token_fragments. Each row needs length + 1 tokens; fragments are cut over the rows they cover.
     """
     rows = batches.withColumn("row_no", F.explode(F.sequence(F.lit(0), F.lit(block // length - 1))))
-    rows = rows.withColumn("slot", F.floor(F.col("first") / length) + F.col("row_no"))
+    rows = rows.withColumn("slot", whole_div(F.col("first"), length) + F.col("row_no"))
     end = F.col("start") + F.size("ids")
-    cover = F.sequence(F.greatest(F.lit(0).cast("long"), F.floor((F.col("start") - 1) / length)), F.floor((end - 1) / length))
+    cover = F.sequence(F.greatest(F.lit(0).cast("long"), whole_div(F.col("start") - 1, length)), whole_div(end - 1, length))
     cut = fragments.withColumn("slot", F.explode(cover))
     lo = F.greatest(F.col("start"), F.col("slot") * length)
     hi = F.least(end, (F.col("slot") + 1) * length + 1)
@@ -119,7 +119,7 @@ def next_token_pairs(docs: DataFrame, size: int, key: str = "doc_id") -> DataFra
 def resume_after(docs: DataFrame, done: int, key: str = "doc_id") -> DataFrame:
     """Documents at position done and later in the order of the key."""
     d = docs.withColumn("one_", F.lit(1)).withColumn("bucket_", key_bucket(key))
-    return prefix_sum(d, "one_", [key], "bucket_", "seq").filter(F.col("seq") >= done).drop("one_", "bucket_")
+    return prefix_sum(d, "one_", [key], "bucket_", "seq", fan=FAN).filter(F.col("seq") >= done).drop("one_", "bucket_")
 
 
 def first_rows_joined(docs: DataFrame, n: int, key: str = "doc_id") -> DataFrame:

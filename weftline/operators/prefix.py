@@ -6,22 +6,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def prefix_sum(df: DataFrame, value: str, order: list[Column | str], bucket: str, out: str, group: list[str] = ()) -> DataFrame:
+def whole_div(value: Column, by: int | Column) -> Column:
+    """The whole quotient of whole numbers, rounded down, exact as far as doubles hold it."""
+    by = F.lit(by) if isinstance(by, int) else by
+    return ((value - F.pmod(value, by)) / by).cast("long")
+
+
+def prefix_sum(df: DataFrame, value: str, order: list[Column | str], bucket: str, out: str, group: list[str] = (), fan: int | None = None, below: int | None = None) -> DataFrame:
     """Adds out, the sum of value over all earlier rows of the group.
 
     bucket is a non-null column that never falls as the order rises. Buckets are summed first (partial
-    aggregation), the few totals get a small window, and each bucket is then summed by itself, so that
-    neither a large group nor the whole table meets in one task.
+    aggregation), the totals get a window of their own, and each bucket is then summed by itself, so that
+    neither a large group nor the whole table meets in one task. Where the number of buckets follows the table,
+    fan says how many (whole) bucket numbers make a coarser bucket, over which the totals are summed in the same way.
+    With below, only rows with out < below are given, and buckets that begin at or above it are left out before any
+    of their rows is shuffled, if the totals are small enough to broadcast.
     """
     keys = [*group, bucket]
     total, base, within = f"{out}__total", f"{out}__base", f"{out}__within"
     totals = df.groupBy(*keys).agg(F.sum(value).alias(total))
-    before = Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select(*keys, F.coalesce(F.sum(total).over(before), F.lit(0)).alias(base))
+    if fan:
+        coarse = f"{out}__coarse"
+        bases = prefix_sum(totals.withColumn(coarse, whole_div(F.col(bucket), fan)), total, [bucket], coarse, base, group).select(*keys, base)
+    else:
+        before = Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+        bases = totals.select(*keys, F.coalesce(F.sum(total).over(before), F.lit(0)).alias(base))
+    if below is not None:
+        bases = bases.filter(F.col(base) < below)
     inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        df.withColumn(within, F.coalesce(F.sum(value).over(inside), F.lit(0)))
-        .join(bases, keys)
-        .withColumn(out, F.col(base) + F.col(within))
-        .drop(base, within)
-    )
+    summed = df.join(bases, keys).withColumn(within, F.coalesce(F.sum(value).over(inside), F.lit(0))).withColumn(out, F.col(base) + F.col(within)).drop(base, within)
+    return summed if below is None else summed.filter(F.col(out) < below)

@@ -7,6 +7,8 @@ import random
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.operators.prefix import whole_div
+
 
 def slice_view(task: DataFrame, start: int = 0, stop: int | None = None, step: int = 1) -> DataFrame:
     """Rows start, start + step, ... before stop, numbered anew from 0. task: idx and more."""
@@ -15,7 +17,7 @@ def slice_view(task: DataFrame, start: int = 0, stop: int | None = None, step: i
     hit = (F.col("idx") >= start) & ((F.col("idx") - start) % step == 0)
     if stop is not None:
         hit &= F.col("idx") < stop
-    return task.filter(hit).withColumn("physical", F.col("idx")).withColumn("idx", F.floor((F.col("idx") - start) / step))
+    return task.filter(hit).withColumn("physical", F.col("idx")).withColumn("idx", whole_div(F.col("idx") - start, step))
 
 
 def slice_length(start: int, stop: int, step: int) -> int:
