@@ -8,20 +8,26 @@ from pyspark.sql import functions as F
 from weftline.session import delete_path, materialize
 
 
-def _star(edges: DataFrame, both: bool) -> DataFrame:
-    """Minima are written before they are joined back: a node with very many edges is then an oversized partition of a plain
-    join, which adaptive execution splits.
-
-    large star (both): every larger neighbour of a node is tied to its least neighbour or itself; small star: every smaller one, and the node."""
-    if both:
-        edges = edges.union(edges.select("v", "u"))
-        least = materialize(edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m")), "least")
-        out = edges.filter("v > u").join(least, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        least = materialize(edges.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k"), "least")
-        rest = edges.join(least, F.col("u") == F.col("k")).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        out = rest.union(least.select(F.col("k").alias("u"), F.col("m").alias("v")))
-    return out.distinct()
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Ties every larger neighbour of a node to the node's least neighbour, or to itself. Edges may repeat."""
+    both = edges.union(edges.select("v", "u"))
+    # written before it is joined back: a node with very many edges is then an oversized partition of a plain join, which adaptive execution splits
+    least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m")), "least")
+    tied = both.filter("v > u").join(least, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return tied.filter("u > v")
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """edges: u > v. Ties every smaller neighbour of a node, and the node, to the least of them."""
+    least = materialize(edges.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k"), "least")
+    rest = edges.join(least, F.col("u") == F.col("k")).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return rest.union(least.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct()
+
+
+def _is_settled(edges: DataFrame) -> bool:
+    """Whether the edges are stars: each node hangs on one other at most, and on none that hangs itself."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).union(edges.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("x").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds")).filter("hangs > 1 or (hangs = 1 and holds = 1)").isEmpty()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -30,16 +36,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Each round is written to the shared folder, so that lineage stays short and lost executors cost one round.
     """
     spark = edges.sparkSession
-    e = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    e, before = materialize(e, "edges"), None
-    while True:
-        told = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if told == before or not told["n"]:
-            break
-        before, last = told, e
-        large = materialize(_star(e, True), "edges")
-        e = materialize(_star(large.filter("u > v"), False), "edges")
-        delete_path(spark, large._weftline_path)
-        delete_path(spark, last._weftline_path)
-    stars = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return materialize(stars.union(e.select(F.col("v"), F.col("v")).distinct()), "components")
+    e = materialize(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    while not _is_settled(e):
+        last = e
+        large = materialize(_large_star(e), "edges")
+        e = materialize(_small_star(large), "edges")
+        for done in (last, large):
+            delete_path(spark, done._weftline_path)
+    return materialize(e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select("v", "v").distinct()), "components")

@@ -498,7 +498,7 @@ def similar_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     link = link.union(_joined_regions(left, sets, percent, region))
 
     roots = connected_components(link)
-    out = nodes.drop("signature").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    out = materialize(nodes.drop("signature").join(roots, "node", "left").select("doc_id", "n", F.coalesce("root", "node").alias("root")), "jaccard-roots")
     least = materialize(out.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("least")), "jaccard-least")
     out = out.join(least, "root", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
