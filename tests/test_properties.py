@@ -207,3 +207,18 @@ def test_reward_seed_and_schedule(spark):
     with pytest.raises(ValueError):
         sch.accumulation_steps(100, 3, 7, 1)
     assert sch.flops_per_token(8, 2, 2, 4, 10) == 2 * 12 * 2 * 64 + 2 * 2 * 8 * 4 + 2 * 8 * 10
+
+
+def test_materialized_tables_keep_settings(spark):
+    from weftline.session import BATCH_KEY, BATCH_ROWS, materialize, small_batches
+
+    before = spark.conf.get(BATCH_KEY)
+    df = materialize(spark.range(5), "five")
+    assert df.count() == 5 and df.schema == spark.range(5).schema and spark.conf.get(BATCH_KEY) == before
+    spark.conf.set(BATCH_KEY, "77")
+    with small_batches(spark):
+        assert spark.conf.get(BATCH_KEY) == "77"
+    spark.conf.set(BATCH_KEY, "5000")
+    with small_batches(spark):
+        assert spark.conf.get(BATCH_KEY) == str(BATCH_ROWS)
+    spark.conf.set(BATCH_KEY, before)
