@@ -214,7 +214,7 @@ def test_materialized_tables_keep_settings(spark):
 
     before = spark.conf.get(BATCH_KEY)
     df = materialize(spark.range(5), "five")
-    assert df.count() == 5 and df.schema == spark.range(5).schema and spark.conf.get(BATCH_KEY) == before
+    assert df.count() == 5 and df.dtypes == spark.range(5).dtypes and spark.conf.get(BATCH_KEY) == before
     spark.conf.set(BATCH_KEY, "77")
     with small_batches(spark):
         assert spark.conf.get(BATCH_KEY) == "77"
