@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.byte_vocab import ASSISTANT_END, ASSISTANT_START, BOS, OUTPUT_END, OUTPUT_START, PYTHON_END, PYTHON_START, USER_END, USER_START, byte_ids
+from weftline.operators.prefix import prefix_sum, whole_div
 
 #: A message has content or parts, not both.
 MESSAGES = "array<struct<role: string, content: string, parts: array<struct<type: string, text: string>>>>"
@@ -106,14 +107,14 @@ def visible(ids: Column, mask: Column) -> Column:
 def index_percentiles(values: DataFrame, column: str, quantiles: list[float]) -> DataFrame:
     """quantile, value: of the sorted values, the one at zero-based rank floor(n q), without interpolation.
 
-    Values are counted first; ranks are ranges of the running count of the distinct ones.
+    Whole values are counted first; a rank lies in the run of its value, which prefix sums over the distinct values give.
     """
     counts = values.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("c"))
-    upto = Window.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumn("hi", F.sum("c").over(upto)).withColumn("n", F.sum("c").over(Window.partitionBy(F.lit(0))))
+    runs = prefix_sum(counts.withColumn("bucket_", whole_div(F.col("value"), 1024)), "c", ["value"], "bucket_", "lo", fan=1 << 16)
+    total = values.agg(F.count("*").alias("n"))
+    asked = runs.join(F.broadcast(total)).withColumn("quantile", F.explode(F.array(*map(F.lit, quantiles))))  # total is one row
     rank = F.floor(F.col("n") * F.col("quantile"))
-    asked = ranked.withColumn("quantile", F.explode(F.array(*map(F.lit, quantiles))))
-    return asked.filter((F.col("hi") - F.col("c") <= rank) & (rank < F.col("hi"))).select("quantile", "value")
+    return asked.filter((F.col("lo") <= rank) & (rank < F.col("lo") + F.col("c"))).select("quantile", "value")
 
 
 def length_report(convs: DataFrame, fits: int = 1025) -> DataFrame:
