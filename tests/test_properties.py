@@ -11,6 +11,7 @@ from weftline.functions import byte_vocab as bv
 from weftline.functions import schedules as sch
 from weftline.operators import bestfit, bpe, chat, choices, corpus, rollouts, views
 from weftline.operators.prefix import prefix_sum, whole_div
+from weftline.plans import corpus_queries
 from weftline.sources import chat_lines, shards
 from weftline.streaming import token_stream
 
@@ -76,6 +77,14 @@ def test_bpe_merges_by_a_plain_trainer():
         bpe.merge_pairs(counts, 200)
 
 
+def test_registered_tokenizer_reads_the_whole_corpus(spark, tmp_path):
+    rows = [(i, f"plain words of document {i} " * 400) for i in range(60)] + [(60, "zyzzyva " * 40)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["bytes_hex"] for r in corpus_queries.bpe_train(spark, str(tmp_path)).collect()}
+    assert sum(len(t) for _, t in rows[:60]) > 400_000 and b" zyzzyva".hex().upper() in got
+    assert (corpus_queries.TRAIN_BUDGET, corpus_queries.VOCAB) == (2_000_000_000, 32_768)
+
+
 def test_bpe_encode_decode(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(SPACES)], "doc_id int, text string")
     ranks = bpe.train_bpe(docs, 300)

@@ -13,7 +13,8 @@ from weftline.streaming import token_stream
 
 SIZE, BLOCK, LENGTH, RANKS = 100_000, 4096, 1024, 3
 CAP, BUDGET = 10_000, 400_000
-VOCAB = 400
+#: The reference's training budget in characters and its vocabulary.
+TRAIN_BUDGET, VOCAB = 2_000_000_000, 32_768
 
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:
@@ -113,7 +114,7 @@ def bpe_pretokenize(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _ranks(spark: SparkSession, sf: str) -> dict:
-    return bpe.train_bpe(corpus.capped_budget(docs(spark, sf), CAP, BUDGET), VOCAB)
+    return bpe.train_bpe(corpus.capped_budget(docs(spark, sf), CAP, TRAIN_BUDGET), VOCAB)
 
 
 def bpe_train(spark: SparkSession, sf: str) -> DataFrame:
