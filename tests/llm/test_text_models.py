@@ -151,6 +151,26 @@ def test_em_over_patterns_is_em_over_texts():
     assert quality_rules.fit(np.zeros(0, int), np.zeros(0, int)).shares[0] == 0.8
 
 
+@pytest.mark.parametrize("wrong", [("upper_case",), ("repeated_words",), ("word_length", "marks")])
+def test_rules_that_misfire_are_outvoted(wrong):
+    rng = np.random.default_rng(3)
+    names = list(quality_rules.RULES)
+    n, size = len(names), 30_000
+    bad = rng.random(size) < 0.05
+    votes = np.where(rng.random((size, n)) < np.where(bad, 0.1, 0.002)[:, None], 1, 2)
+    votes[np.arange(size)[bad], rng.integers(n, size=size)[bad]] = 1
+    misfired = np.zeros(size, bool)
+    for x in wrong:
+        hit = ~bad & (rng.random(size) < 0.33)
+        votes[hit, names.index(x)] = 1
+        misfired ^= hit
+    found, at, counts = np.unique((votes * 3 ** np.arange(n)).sum(1), return_inverse=True, return_counts=True)
+    e = quality_rules.fit(found, counts)
+    kept = e.posterior(quality_rules.unpack(found))[at] >= 0.5
+    assert kept[misfired].mean() > 0.95 and kept[~bad & ~misfired].mean() > 0.95
+    assert all(abs(e.on_good[names.index(x)] - 0.33) < 0.03 for x in wrong) and kept[bad].mean() < 0.3
+
+
 def test_quality_rules(documents, odd_rows):
     good = "The river bends here and then it runs past a mill that nobody has used for years.\n"
     rows = odd_rows + [(400 + i, " ".join(f"{w}{i}{k}" if k % 3 == 0 else w for k, w in enumerate((good * 6).split(" "))), "en", "a") for i in range(200)]

@@ -26,8 +26,9 @@ from weftline.llm.words import U, Words, blocks, chained, mix64
 from weftline.session import materialize
 
 WINDOW = 8
-#: The most that a rule is taken to blame of the good texts.
-BLAME = 0.005
+#: The most that a rule is taken to blame of the good texts, and the same of a rule that is found to misfire: one whose own
+#: way of being bad would hold more than WAY of all texts.
+BLAME, MISFIRE, WAY = 0.005, 0.5, 0.1
 SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
 _WHITE = " \t\n\x0b\x0c\r"
 STATISTICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -137,8 +138,21 @@ def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 300) -> Estimate
     """Expectation-maximisation over counted patterns.
 
     The bounds fix the labels' meaning: most texts are good, a rule blames at most BLAME of the good texts and at
-    least half of those that are bad in its own way.
+    least half of those that are bad in its own way. Votes alone cannot tell a rule that finds many bad texts from one
+    that misfires on as many good ones; from a share of WAY on it is taken to misfire, and its error on good texts is
+    estimated up to MISFIRE, from the start.
     """
+    most = np.full(len(RULES), BLAME)
+    while True:
+        e = _fit(patterns, counts, rounds, most)
+        misfires = (e.shares[1:] > WAY) & (most < MISFIRE)
+        if not misfires.any():
+            return e
+        most[np.argmax(np.where(misfires, e.shares[1:], 0))] = MISFIRE
+
+
+def _fit(patterns: np.ndarray, counts: np.ndarray, rounds: int, most: np.ndarray) -> Estimates:
+    """most: for each rule, the largest share of the good texts that it may blame."""
     e = Estimates()
     if not counts.sum():
         return e
@@ -152,7 +166,7 @@ def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 300) -> Estimate
         rate = lambda w, a, b: ((w * down).sum(0) + a) / ((w * cast).sum(0) + b)
         before, e = e, Estimates(
             shares,
-            np.clip(rate(good, 0.01, 10), 1e-4, BLAME),
+            np.clip(rate(good, 0.01, 10), 1e-4, most),
             np.clip(rate(own, 9, 10), 0.5, 0.999),
             np.clip(rate(other, 1, 10), 0.01, 0.9),
         )
