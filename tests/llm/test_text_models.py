@@ -325,6 +325,20 @@ def test_scan(spark, documents, odd_rows):
     assert secrets.labelled_findings(documents([]), "text") == [] and secrets.scan(documents([]), secrets.train([]), ["doc_id"], "text").count() == 0
 
 
+def test_secrets_beyond_base_patterns_are_not_learned_as_benign(documents):
+    rng = np.random.default_rng(12)
+    pick = lambda k: "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"), k))
+    rows = []
+    for i in range(3000):
+        kind, key = i % 3, pick(30) + "7a"
+        rows.append((i, ("we sent auth bearer " + key + " to the mill", "the ghp_" + key + " was used by him", "a credential: " + key + "== is here")[kind], "en", "a"))
+    rows += [(5000 + i, f"note {i}: api_key = {pick(20)} ends", "en", "a") for i in range(300)]
+    docs = documents(rows)
+    got = secrets.scan(docs, secrets.fitted(docs), ["doc_id"], "text").collect()
+    found = [any(x["kind"] == "net" for x in r["secret_spans"]) for r in got if r["doc_id"] < 5000]
+    assert len(found) == 3000 and np.mean(found) > 0.9
+
+
 def test_secret_query(spark, sf):
     texts = spark.read.parquet(f"{sf}/documents.parquet").toPandas().set_index("doc_id")["text"]
     got = queries.QUERIES["op10_secret_scan"](spark, sf).toPandas()
