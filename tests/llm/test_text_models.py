@@ -295,6 +295,13 @@ def test_thresholds_keep_recall():
     assert (p[50:] >= t).mean() >= 0.9 and secrets._threshold(np.zeros(0), 0.9) == 0.5
 
 
+def test_thresholds_keep_recall_below_a_half():
+    p = np.linspace(0.01, 0.6, 200)
+    for recall in (0.5, 0.9, 0.98, 1.0):
+        t = secrets._threshold(p, recall)
+        assert (p >= t).mean() >= recall >= (p > t).mean()
+
+
 def test_network_finds_made_secrets():
     net = secrets.train([])
     found = secrets._made(np.random.default_rng(99), 400)
