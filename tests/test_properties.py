@@ -11,7 +11,7 @@ from weftline.functions import byte_vocab as bv
 from weftline.functions import schedules as sch
 from weftline.operators import bestfit, bpe, chat, choices, corpus, rollouts, views
 from weftline.operators.prefix import prefix_sum, whole_div
-from weftline.plans import corpus_queries
+from weftline.plans import chat_queries, corpus_queries
 from weftline.sources import chat_lines, shards
 from weftline.streaming import token_stream
 
@@ -193,6 +193,20 @@ def test_mixture_is_the_seeded_shuffle(spark):
     assert views.slice_length(1, 10, 4) == 3
 
 
+@pytest.mark.parametrize("bound", [views.MAX_MIXED, 50])
+def test_registered_mixture_holds_every_document(spark, tmp_path, monkeypatch, bound):
+    monkeypatch.setattr(views, "MAX_MIXED", bound)
+    rows = [(i * i * 7, ["b", None, "a"][i % 3]) for i in range(300)] + [(None, "a"), (-5, "b")]
+    spark.createDataFrame(rows, "doc_id long, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = chat_queries.task_mixture(spark, str(tmp_path)).orderBy("idx").collect()
+    sources = [None, "a", "b", None]
+    lengths = [sum(s == x for _, s in rows) for x in sources]
+    assert [r["idx"] for r in got] == list(range(sum(lengths))) and all(r["source"] == sources[r["task"]] for r in got)
+    order = [(r["task"], r["local"]) for r in got]
+    assert sorted(order) == [(t, i) for t, n in enumerate(lengths) for i in range(n)] != order
+    assert (order == views.mixture_map(lengths)) == (bound > sum(lengths))
+
+
 def test_choice_checks(spark):
     assert len(choices.SUBJECTS) == len(set(choices.SUBJECTS)) == 57
     none = spark.createDataFrame([], "item int, label int, pred int, pred_norm int")

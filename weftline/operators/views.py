@@ -7,7 +7,12 @@ import random
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.operators.prefix import whole_div
+from weftline.operators.prefix import prefix_sum, whole_div
+
+#: Rows of a mixture that the driver shuffles at most; larger ones are in hash order.
+MAX_MIXED = 1_000_000
+#: Bucket numbers that make a coarser bucket of a prefix sum.
+FAN = 1 << 16
 
 
 def slice_view(task: DataFrame, start: int = 0, stop: int | None = None, step: int = 1) -> DataFrame:
@@ -43,9 +48,27 @@ def mixture_map(lengths: list[int], seed: int = 42) -> list[tuple[int, int]]:
 
 def mixture_view(spark: SparkSession, tasks: list[tuple[DataFrame, int]], seed: int = 42) -> DataFrame:
     """All tasks' rows in one shuffled order; a task listed twice counts twice."""
-    order = [(i, t, n) for i, (t, n) in enumerate(mixture_map([n for _, n in tasks], seed))]
-    index = spark.createDataFrame(order, "mixed long, task int, local long")
-    return sequence_view(tasks).join(index, ["task", "local"]).drop("idx").withColumnRenamed("mixed", "idx")
+    return mixed(spark, sequence_view(tasks).drop("idx"), [n for _, n in tasks], seed)
+
+
+def mixed(spark: SparkSession, rows: DataFrame, lengths: list[int], seed: int = 42) -> DataFrame:
+    """Adds idx, the rows' places in one shuffled order: Python's of mixture_map up to MAX_MIXED rows, by hash beyond.
+    rows: task, local from 0 to the task's length, and more."""
+    if sum(lengths) <= MAX_MIXED:
+        order = [(i, t, n) for i, (t, n) in enumerate(mixture_map(lengths, seed))]
+        return rows.join(spark.createDataFrame(order, "idx long, task int, local long"), ["task", "local"])
+    hashed = rows.withColumn("hash_", F.xxhash64(F.lit(seed), "task", "local")).withColumn("bucket_", F.shiftright("hash_", 40)).withColumn("one_", F.lit(1))
+    return prefix_sum(hashed, "one_", ["hash_", "task", "local"], "bucket_", "idx", fan=FAN).drop("one_", "bucket_", "hash_")
+
+
+def grouped_tasks(rows: DataFrame, group: str, key: str) -> tuple[DataFrame, list[int]]:
+    """A task for each value of group, null included, in order: the rows with task and local (their places by key), and the tasks' lengths."""
+    counted = rows.groupBy(group).count().collect()  # a row a task
+    counted.sort(key=lambda r: (r[0] is not None, r[0]))
+    known = rows.sparkSession.createDataFrame([(r[0], i) for i, r in enumerate(counted)], f"group_ {dict(rows.dtypes)[group]}, task int")
+    numbered = rows.join(F.broadcast(known), F.col(group).eqNullSafe(F.col("group_"))).drop("group_").withColumn("one_", F.lit(1))
+    numbered = numbered.withColumn("bucket_", F.coalesce(whole_div(F.col(key), 256), F.lit(-(1 << 55) - 1)))  # null keys first
+    return prefix_sum(numbered, "one_", [key], "bucket_", "local", ["task"], fan=FAN).drop("one_", "bucket_"), [r[1] for r in counted]
 
 
 def hash_shuffled(task: DataFrame, seed: int, key: str = "idx") -> DataFrame:

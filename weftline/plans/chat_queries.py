@@ -102,7 +102,10 @@ def task_sequence(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def task_mixture(spark: SparkSession, sf: str) -> DataFrame:
-    return views.mixture_view(spark, _tasks(spark, sf)).select("idx", "task", "local", "source")
+    """All documents, a task for each source; the first task is listed twice."""
+    rows, lengths = views.grouped_tasks(_task(spark, sf), "source", "idx")
+    again = rows.filter("task = 0").withColumn("task", F.lit(len(lengths)))
+    return views.mixed(spark, rows.drop("idx").unionByName(again.drop("idx")), [*lengths, *lengths[:1]]).select("idx", "task", "local", "source")
 
 
 def task_hash_shuffle(spark: SparkSession, sf: str) -> DataFrame:
