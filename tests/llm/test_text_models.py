@@ -346,6 +346,26 @@ def test_secrets_beyond_base_patterns_are_not_learned_as_benign(documents):
     assert len(found) == 3000 and np.mean(found) > 0.9
 
 
+def test_candidates_of_every_kind_are_scored(documents):
+    told = {
+        "Authorization: Bearer abcDEFghiJKLmnoPQRstuVWX now": "abcDEFghiJKLmnoPQRstuVWX", "a qWErTYuiOPasDFghJKlz here": "qWErTYuiOPasDFghJKlz", "set pwd: hunter22 now": "hunter22",
+        "é pwd = 'P4ss!w0rd#99x', and": "P4ss!w0rd#99x", "credential=8471059263 ok": "8471059263", "db postgres://me:s3cr3tpw@host/x": "s3cr3tpw", "auth key: xkqzjwvbnmtrpldf is": "xkqzjwvbnmtrpldf",
+    }
+    for t, value in told.items():
+        data = t.encode()
+        assert any(value.encode() in data[a:e] for a, e in secrets.candidates(data))
+    for t in ("Geschwindigkeitsbegrenzungen sind hier", "call 4845168114407329 at noon", "the key question is whether this works", "x" * 60, "password: required here"):
+        assert not secrets.candidates(t.encode())
+    rng = np.random.default_rng(8)
+    pick = lambda letters, k: "".join(rng.choice(list(letters), k))
+    upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    make = [lambda: "Authorization: Bearer " + pick(upper + lower, 24), lambda: "pwd: " + pick("etaoinshrdlu", 6) + pick(digits, 2), lambda: "credential = " + pick(digits, 14), lambda: "pwd = P" + pick(lower + digits + "!#$@", 11) + "7"]
+    docs = documents([(i, "he left the note with " + make[i % 4]() + " and went home", "en", "a") for i in range(400)])
+    got = secrets.scan(docs, secrets.fitted(docs), ["doc_id"], "text").collect()
+    for kind in range(4):
+        assert np.mean([bool(r["secret_spans"]) for r in got if r["doc_id"] % 4 == kind]) > 0.8
+
+
 def test_secret_query(spark, sf):
     texts = spark.read.parquet(f"{sf}/documents.parquet").toPandas().set_index("doc_id")["text"]
     got = queries.QUERIES["op10_secret_scan"](spark, sf).toPandas()
