@@ -1,13 +1,13 @@
 """A training corpus from documents: quality, near duplicates, secrets, mix, packing.
 
 STAGES are run in order, each on all that the one before kept, written as Parquet in between. All but the
-last return the columns of documents. Rows that share an id are taken as one document by the second stage,
-which keeps one of them; rows with a null id are kept by it. Other columns of the input are not read.
+last return the columns of documents. The second stage decides by row: rows that share an id but not a text are
+different documents, rows with a null id are judged like all others. Other columns of the input are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm.jaccard import similar_classes
@@ -29,14 +29,14 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates, the document with the least id."""
-    docs = docs.select(*COLUMNS)
-    classes = similar_classes(docs)
-    gone = classes.filter("n_shingles > 0 and component_id < doc_id").select("doc_id").distinct()
-    known = docs.filter("doc_id is not null").join(gone, "doc_id", "left_anti")
-    one = Window.partitionBy("doc_id").orderBy(F.xxhash64(*COLUMNS))
-    known = known.withColumn("copy_no", F.row_number().over(one)).filter("copy_no = 1").select(*COLUMNS)
-    return known.union(docs.filter("doc_id is null"))
+    """Of each class of near duplicates, the row with the least id; rows that share their id and text are one, and null ids come last."""
+    docs = docs.select(*COLUMNS).withColumn("row_key", F.xxhash64("doc_id", "text"))
+    classes = similar_classes(docs, id_col="row_key").select(F.col("doc_id").alias("row_key"), "component_id").distinct()
+    named = docs.select("row_key", "doc_id").join(classes, "row_key")
+    least = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key")).alias("least"))
+    kept = docs.join(least.select("least.row_key"), "row_key", "left_semi")
+    one = kept.groupBy("row_key").agg(F.min_by(F.struct(*COLUMNS), F.xxhash64(*COLUMNS)).alias("row_"))
+    return one.select("row_.*")
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -121,3 +121,11 @@ def test_odd_rows(spark, sf, documents, odd_rows, name):
         assert ids == given and not any(re.search("0123456789abcdef0123", r["text"] or "") for r in got)
     else:
         assert all(ids[i] <= 2 * given[i] for i in ids) and ids[7] >= 1
+
+
+def test_near_duplicates_are_judged_by_row(spark, sf, documents):
+    prose = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    given = [(1, prose(1)), (5, prose(1) + " tail"), (5, prose(2)), (5, prose(3)), (5, prose(3)), (None, prose(4)), (None, prose(4)), (None, prose(1)), (None, prose(5)), (7, prose(5)), (8, "a"), (9, "a"), (10, ""), (11, ""), (None, ""), (None, "")]
+    got = cp.jaccard_join(spark, documents([(i, t, "en", "a") for i, t in given]), sf)
+    want = [(1, prose(1)), (5, prose(2)), (5, prose(3)), (None, prose(4)), (7, prose(5)), (8, "a"), (10, ""), (11, ""), (None, "")]
+    assert Counter((r[0], r[1]) for r in rows(got)) == Counter(want) and got.columns == cp.COLUMNS
