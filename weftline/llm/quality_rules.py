@@ -1,10 +1,12 @@
 """Quality rules as weak supervision.
 
-Each rule looks at a text's statistics and votes good (2), bad (1) or abstains (0). A text's votes make a pattern; texts
-are counted by pattern, of which there are at most 3 ** len(RULES), so that expectation-maximisation over all
-texts runs on a table of bounded size: it estimates each rule's accuracy on good and on bad texts and the share of
-good texts, and gives each pattern its posterior probability of being good. That posterior, not a demand that
-every rule pass, decides which texts are kept.
+Each rule looks at a text's statistics and votes good (2), bad (1) or abstains (0), in a grey zone or where the text is
+too short for it. A text's votes make a pattern; texts are counted by pattern, of which there are at most 3 ** len(RULES), so that
+expectation-maximisation over all texts runs on a table of bounded size. It estimates how often each rule votes each
+way on good texts and on texts that are bad in each of a few ways (WAYS), and the share of each kind; no estimate is bounded. Two or
+more rules see each way of being bad, so that a rule's errors show in the votes of its fellows: a single bad vote that no other rule
+bears out is a misfire, and abstentions that go together speak against a text like bad votes do. Each pattern gets its posterior
+probability of being good. That posterior, not a demand that every rule pass, decides which texts are kept.
 
 Defined results: a null or empty text has no words, so the base rules fail and it is not kept; rules abstain on
 texts too short for them; repeated rows count each time; with an empty table the estimates stay at their start;
@@ -26,13 +28,10 @@ from weftline.llm.words import U, Words, blocks, chained, mix64
 from weftline.session import materialize
 
 WINDOW = 8
-#: The most that a rule is taken to blame of the good texts, and the same of a rule that is found to misfire: one whose own
-#: way of being bad would hold more than WAY of all texts.
-BLAME, MISFIRE, WAY = 0.005, 0.5, 0.1
 SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
 _WHITE = " \t\n\x0b\x0c\r"
 STATISTICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-MORE = ["n_lines", "n_upper", "n_letters", "n_marks", "n_distinct"]
+MORE = ["n_lines", "n_upper", "n_letters", "n_marks", "n_distinct", "n_signs", "n_bytes", "n_bare", "n_capital", "n_again"]
 
 
 def _per_text(flags: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -70,6 +69,14 @@ def block_statistics(raw: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]
 
     upper, lower = (raw >= 65) & (raw <= 90), (raw >= 97) & (raw <= 122)
     out |= {"n_upper": _per_text(upper, offs), "n_letters": _per_text(upper | lower, offs), "n_marks": _per_text((raw == 33) | (raw == 63), offs)}
+    letter = upper | lower | (raw >= 128)  # bytes beyond ASCII count as letters
+    out |= {"n_signs": _per_text(w.inside & ~letter, offs), "n_bytes": _per_text(w.inside, offs)}
+    letters, low = (np.concatenate([[0], np.cumsum(x)]) for x in (letter, lower))
+    held = letters[w.end] - letters[w.start]
+    out |= {"n_bare": _per_text(held == 0, w.first), "n_capital": _per_text((held >= 3) & (low[w.end] == low[w.start]), w.first)}
+    again = np.zeros(hashes.size, bool)
+    again[1:] = (hashes[1:] == hashes[:-1]) & (owner[1:] == owner[:-1])
+    out["n_again"] = _per_text(again, w.first)
     keys = mix64(hashes + owner.astype(np.uint64) * U(0x9E3779B97F4A7C15))
     _, first = np.unique(keys, return_index=True)
     out["n_distinct"] = np.bincount(owner[first], minlength=len(n))
@@ -80,16 +87,41 @@ def _vote(x: np.ndarray, able: np.ndarray, bad: np.ndarray, good: np.ndarray) ->
     return np.where(able & bad, 1, np.where(able & good, 2, 0))
 
 
+def _rule(of: str, over: str, bad, good, able: str = "n_words", least: int = 10):
+    """Votes by the ratio of two statistics: bad and good are conditions on it, between which the rule abstains."""
+
+    def vote(s: dict[str, np.ndarray]) -> np.ndarray:
+        ratio = s[of] / np.maximum(s[over], 1)
+        return _vote(ratio, s[able] >= least, bad(ratio), good(ratio))
+
+    return vote
+
+
+def _above(bad: float, good: float):
+    return lambda x: x > bad, lambda x: x < good
+
+
 #: Votes from statistics s; each rule abstains in the grey zone between its bounds.
 RULES = {
     "length": lambda s: _vote(s["n_words"], s["n_words"] > 0, s["n_words"] < 20, s["n_words"] >= 60),
-    "word_length": lambda s: (lambda m: _vote(m, s["n_words"] >= 10, (m < 2.5) | (m > 12), (m > 3) & (m < 9)))(s["word_chars"] / np.maximum(s["n_words"], 1)),
-    "symbols": lambda s: (lambda m: _vote(m, s["n_words"] >= 10, m > 0.1, m < 0.05))(s["n_symbols"] / np.maximum(s["n_words"], 1)),
-    "marks": lambda s: (lambda m: _vote(m, s["n_words"] >= 10, m > 0.3, m < 0.1))(s["n_marks"] / np.maximum(s["n_words"], 1)),
-    "upper_case": lambda s: (lambda m: _vote(m, s["n_letters"] >= 40, m > 0.4, m < 0.15))(s["n_upper"] / np.maximum(s["n_letters"], 1)),
-    "repeated_lines": lambda s: (lambda m: _vote(m, s["n_lines"] >= 3, m > 0.3, m < 0.1))(s["n_dup_lines"] / np.maximum(s["n_lines"], 1)),
-    "repeated_words": lambda s: (lambda m: _vote(m, s["n_words"] >= 20, m > 0.2, m < 0.1))(s["n_repeat_words"] / np.maximum(s["n_words"], 1)),
-    "variety": lambda s: (lambda m: _vote(m, s["n_words"] >= 40, m < 1, m > 2))(s["n_distinct"] / np.sqrt(np.maximum(s["n_words"], 1))),
+    "word_length": _rule("word_chars", "n_words", lambda m: (m < 2.5) | (m > 9), lambda m: (m > 3.5) & (m < 7)),
+    "symbols": _rule("n_symbols", "n_words", *_above(0.1, 0.03)),
+    "signs": _rule("n_signs", "n_bytes", *_above(0.15, 0.08)),
+    "bare_words": _rule("n_bare", "n_words", *_above(0.1, 0.03)),
+    "marks": _rule("n_marks", "n_words", *_above(0.3, 0.1)),
+    "upper_case": _rule("n_upper", "n_letters", *_above(0.4, 0.15), "n_letters", 40),
+    "capital_words": _rule("n_capital", "n_words", *_above(0.3, 0.1)),
+    "repeated_lines": _rule("n_dup_lines", "n_lines", *_above(0.3, 0.05), "n_lines", 3),
+    "repeated_words": _rule("n_repeat_words", "n_words", *_above(0.3, 0.05), "n_words", 20),
+    "variety": lambda s: (lambda m: _vote(m, s["n_words"] >= 20, m < 1.5, m > 4))(s["n_distinct"] / np.sqrt(np.maximum(s["n_words"], 1))),
+    "stutter": _rule("n_again", "n_words", *_above(0.2, 0.06)),
+}
+#: The rules that see each way of being bad.
+WAYS = {
+    "signs": ("symbols", "signs", "bare_words"),
+    "shouting": ("marks", "upper_case", "capital_words"),
+    "repetition": ("repeated_lines", "repeated_words", "variety", "stutter"),
+    "shape": ("length", "word_length"),
 }
 
 
@@ -108,69 +140,53 @@ def statistics_of(docs: DataFrame, keep: list[Column | str], text: str) -> DataF
     return map_text(docs, keep, text, ", ".join(f"{x} long" for x in names), compute, ("quality", "base_failed", "kept"))
 
 
+def _start() -> np.ndarray:
+    """Kinds x rules x (abstains, bad, good) before any text is seen."""
+    names = list(RULES)
+    out = np.tile([0.08, 0.02, 0.9], (1 + len(WAYS), len(names), 1))
+    for kind, seen_by in enumerate(WAYS.values(), 1):
+        out[kind] = [0.2, 0.1, 0.7]
+        out[kind, [names.index(x) for x in seen_by]] = [0.15, 0.7, 0.15]
+    return out
+
+
 @dataclass
 class Estimates:
-    """A text is good, or bad in one of len(RULES) ways, way k being what rule k is made to see."""
-
-    shares: np.ndarray = field(default_factory=lambda: np.array([0.8, *[0.2 / len(RULES)] * len(RULES)]))  # good, then each way
-    on_good: np.ndarray = field(default_factory=lambda: np.full(len(RULES), 0.004))  # of a rule's votes on good texts, the share that is bad
-    on_own: np.ndarray = field(default_factory=lambda: np.full(len(RULES), 0.9))  # on texts bad in its own way
-    on_other: np.ndarray = field(default_factory=lambda: np.full(len(RULES), 0.1))  # on texts bad in another way
-
-    def classes(self, votes: np.ndarray) -> np.ndarray:
-        """votes: patterns x rules of 0, 1, 2. Probabilities: patterns x (good, then each way)."""
-        up, down = votes == 2, votes == 1
-        term = lambda q: down * np.log(q) + up * np.log(1 - q)
-        good, own, other = term(self.on_good), term(self.on_own), term(self.on_other)
-        logs = np.column_stack([good.sum(1), other.sum(1, keepdims=True) - other + own]) + np.log(self.shares)
+    """A text is good (kind 0) or bad in one of WAYS."""
+
+    shares: np.ndarray = field(default_factory=lambda: np.array([0.8, *[0.2 / len(WAYS)] * len(WAYS)]))
+    votes: np.ndarray = field(default_factory=_start)  # kinds x rules x (abstains, bad, good): how often a rule votes so on texts of the kind
+
+    def kinds(self, votes: np.ndarray) -> np.ndarray:
+        """votes: patterns x rules of 0, 1, 2. Probabilities: patterns x kinds."""
+        logs = np.log(self.votes)[:, np.arange(votes.shape[1]), votes].sum(2).T + np.log(self.shares)
         p = np.exp(logs - logs.max(1, keepdims=True))
         return p / p.sum(1, keepdims=True)
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        return self.classes(votes)[:, 0]
+        return self.kinds(votes)[:, 0]
 
 
 def unpack(patterns: np.ndarray) -> np.ndarray:
     return np.stack([patterns // 3**k % 3 for k in range(len(RULES))], 1)
 
 
-def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 300) -> Estimates:
-    """Expectation-maximisation over counted patterns.
-
-    The bounds fix the labels' meaning: most texts are good, a rule blames at most BLAME of the good texts and at
-    least half of those that are bad in its own way. Votes alone cannot tell a rule that finds many bad texts from one
-    that misfires on as many good ones; from a share of WAY on it is taken to misfire, and its error on good texts is
-    estimated up to MISFIRE, from the start.
-    """
-    most = np.full(len(RULES), BLAME)
-    while True:
-        e = _fit(patterns, counts, rounds, most)
-        misfires = (e.shares[1:] > WAY) & (most < MISFIRE)
-        if not misfires.any():
-            return e
-        most[np.argmax(np.where(misfires, e.shares[1:], 0))] = MISFIRE
+#: The start counts as this many texts of each kind.
+PRIOR = 5.0
 
 
-def _fit(patterns: np.ndarray, counts: np.ndarray, rounds: int, most: np.ndarray) -> Estimates:
-    """most: for each rule, the largest share of the good texts that it may blame."""
-    e = Estimates()
+def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 500, start: Estimates | None = None) -> Estimates:
+    """Expectation-maximisation over counted patterns. The start says which votes mean what; the counts outweigh it."""
+    first = e = start or Estimates()
     if not counts.sum():
         return e
     votes, n = unpack(patterns), counts.astype(float)[:, None]
-    down, cast = votes == 1, votes > 0
+    cast = [(votes == v).astype(float) for v in range(3)]
     for _ in range(rounds):
-        p = e.classes(votes) * n
-        good, own = p[:, :1], p[:, 1:]
-        other = own.sum(1, keepdims=True) - own
-        shares = (p.sum(0) + 1) / (p.sum() + p.shape[1])
-        rate = lambda w, a, b: ((w * down).sum(0) + a) / ((w * cast).sum(0) + b)
-        before, e = e, Estimates(
-            shares,
-            np.clip(rate(good, 0.01, 10), 1e-4, most),
-            np.clip(rate(own, 9, 10), 0.5, 0.999),
-            np.clip(rate(other, 1, 10), 0.01, 0.9),
-        )
-        if max(np.abs(getattr(e, x) - getattr(before, x)).max() for x in ("shares", "on_good", "on_own", "on_other")) < 1e-9:
+        w = e.kinds(votes) * n
+        seen = np.stack([w.T @ c for c in cast], 2) + PRIOR * first.votes
+        before, e = e, Estimates((w.sum(0) + first.shares) / (w.sum() + 1), seen / seen.sum(2, keepdims=True))
+        if max(np.abs(e.shares - before.shares).max(), np.abs(e.votes - before.votes).max()) < 1e-9:
             break
     return e
 
@@ -179,7 +195,7 @@ def judged(docs: DataFrame, keep: list[Column | str], text: str, threshold: floa
     """The kept columns, statistics, base_failed, quality (posterior) and kept."""
     spark = docs.sparkSession
     stats = materialize(statistics_of(docs, keep, text), "rule-statistics")
-    table = stats.groupBy("votes").agg(F.count("*").alias("n")).toPandas().sort_values("votes")  # 3 ** len(RULES) rows at most
+    table = stats.groupBy("votes").agg(F.count("*").alias("n")).toPandas().sort_values("votes")  # 3 ** len(RULES) rows at most, 531,441
     patterns = table["votes"].to_numpy(np.int64)
     posterior = fit(patterns, table["n"].to_numpy(np.int64)).posterior(unpack(patterns))
     known = spark.createDataFrame(list(zip(patterns.tolist(), posterior.tolist(), strict=True)), "votes long, quality double")
