@@ -1,5 +1,6 @@
 """Operators 6, 7 and 9."""
 
+import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -51,6 +52,29 @@ def plain_targets(sizes, weights=(3, 1, 2), share=1.5, cap=2.0):
         full |= {s: cap * sizes[s] for s in over}
 
 
+def plain_queue(rows, quantum=128, share=1.5):
+    """{(row, copy): (words, offset of the last packet)} of the mix, by a queue of packets; rows: (doc_id, text, lang, source)."""
+    n = [len(WORD.findall(t or "")) for _, t, *_ in rows]
+    sizes, queues = defaultdict(int), defaultdict(list)
+    for r, (i, _, _, s) in enumerate(rows):
+        sizes[s] += n[r]
+        queues[s].append((hashlib.md5(f"{'' if i is None else i}|mix".encode()).hexdigest(), n[r], r))
+    targets, packets = plain_targets(sizes), []
+    for no, s in enumerate(sorted(queues, key=lambda s: (s is None, s))):
+        sent = 0
+        for copy in range(2):
+            for _, size, r in sorted(queues[s]):
+                for at in range(0, size, quantum):
+                    sent += min(quantum, size - at)
+                    packets.append((sent / targets[s], no, sent, min(quantum, size - at), r, copy))
+    out, at, budget = {}, 0, int(share * sum(sizes.values()) + 1e-6)
+    for _, _, _, words, r, copy in sorted(packets):
+        if at < budget:
+            out[r, copy] = (out.get((r, copy), (0, 0))[0] + min(words, budget - at), at)
+        at += words
+    return out
+
+
 def test_mix(documents, odd_rows):
     rows = [r for r in odd_rows] + [(100 + i, "w " * (1 + i % 7), "en", f"s{i % 5}") for i in range(60)]
     got = mixed_amounts(documents(rows)).collect()
@@ -59,28 +83,38 @@ def test_mix(documents, odd_rows):
     for _, t, _, s in rows:
         sizes[s] += len(WORD.findall(t or ""))
     targets = plain_targets(sizes)
-    taken = defaultdict(int)
     by_id = {r[0]: r[3] for r in rows if r[0] is not None}
     for r in got:
         assert 0 <= r["mix_taken"] <= 2 * r["mix_size"]
         if r["mix_id"] is not None:
             assert r["mix_target"] == pytest.approx(targets[by_id[r["mix_id"]]]) and r["mix_source_size"] == sizes[by_id[r["mix_id"]]]
-            taken[by_id[r["mix_id"]]] += r["mix_taken"]
-    for s in {"a", "b", "s0", "s1", "s4"}:
-        assert taken[s] == int(targets[s] + 1e-6)
+    taken = Counter()
+    for (r, _), (words, _) in plain_queue(rows).items():
+        taken[rows[r][0]] += words
+    mine = Counter()
+    for r in got:
+        mine[r["mix_id"]] += r["mix_taken"]
+    assert +mine == +taken and sum(mine.values()) == int(1.5 * sum(sizes.values()))
     assert sorted(map(tuple, mixed_amounts(documents(rows)).collect()), key=str) == sorted(map(tuple, got), key=str)
 
 
-def test_mix_order(documents):
-    rows = [(i, "w " * (1 + i % 5), "en", "ab"[i % 3 == 0]) for i in range(90)]
-    _, mix = fair_mix(documents(rows))
+@pytest.mark.parametrize("quantum", [1, 3, 128])
+def test_mix_is_the_queue(documents, quantum):
+    rng = np.random.default_rng(8)
+    rows = [(i, "w " * int(rng.integers(0, 400) if i % 9 else 3000), "en", ["a", "b", "c", "dd", None][int(rng.integers(5)) if i % 3 else 0]) for i in range(150)]
+    _, mix = fair_mix(documents(rows), quantum=quantum)
+    want = plain_queue(rows, quantum)
     out = mix.orderBy("mix_offset").collect()
-    at = 0
-    for r in out:
-        assert r["mix_offset"] == at
-        at += r["mix_served"]
+    assert {(r["mix_id"], r["mix_copy"]): (r["mix_served"], r["mix_offset"]) for r in out} == {(rows[r][0], c): x for (r, c), x in want.items()}
     finish = [r["mix_finish"] for r in out]
-    assert finish == sorted(finish) and finish[-1] <= 1 + 1e-9
+    assert finish == sorted(finish)
+    sizes, taken = defaultdict(int), defaultdict(int)
+    for _, t, _, s in rows:
+        sizes[s] += len(WORD.findall(t))
+    for r in out:
+        taken[rows[r["mix_id"]][3]] += r["mix_served"]
+    for s, target in plain_targets(sizes).items():
+        assert target - quantum <= taken[s] <= target * (1 + 5 * quantum / sum(taken.values())) + quantum
 
 
 def test_mix_of_nothing(documents):

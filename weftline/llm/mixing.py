@@ -1,10 +1,11 @@
 """Mixing sources to target weights by weighted fair queueing, in DataFrame operations only.
 
 Every document is dealt into its source's queue in the order of a seeded md5 of its id. A queue holds
-`repeats` passes over the source. A document's virtual finish time is the number of its source's words up to
-and with it, divided by the source's target, so that at virtual time v each source has sent v of its target.
-The copies are sorted globally by that time (range buckets of it) and the mix ends where its running size
-reaches the budget, at virtual time 1; the document then in service of each source is sent in part.
+`repeats` passes over the source. A queue sends its documents in packets of `quantum` words, and a packet's virtual finish time is
+the number of its source's words up to and with it, divided by the source's target. The packets of all sources
+are sorted globally by that time (range buckets of it, each sorted by itself), and the mix ends where its running size reaches the
+total budget. Nothing else cuts a source: a source's words are near its target, by a packet and its share of the packets that the
+others still owe at the end, because the queue is fair. A document of which some packets come after the end is sent in part.
 
 Defined results: null and wordless texts have size 0 and are never served; sources may be null (a source of
 its own, sorted last); repeated rows are separate documents; an empty table gives an empty mix; other columns
@@ -20,8 +21,10 @@ from weftline.operators.prefix import prefix_sum
 from weftline.session import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Range buckets of the shuffle key within a source, and of virtual time.
-BUCKETS = 4096
+#: Range buckets of the shuffle key within a source, and of virtual time up to 1, at least; and words a bucket beyond that.
+BUCKETS, MOST, BUCKET_WORDS = 4096, 1 << 20, 1 << 22
+#: Words of a packet.
+QUANTUM = 128
 
 
 def source_targets(sizes: DataFrame, weights: list[int], share: float, cap: float) -> DataFrame:
@@ -45,15 +48,15 @@ def source_targets(sizes: DataFrame, weights: list[int], share: float, cap: floa
     level = F.min(open_).over(everything)["mix_level"]
     full = F.col("mix_cap")
     s = s.withColumn("mix_target", F.least(full, F.coalesce(level * F.col("mix_weight"), full)))
-    return s.select("mix_source", "mix_no", "mix_source_size", "mix_target", F.floor(F.col("mix_target") + 1e-6).alias("mix_take"), "mix_budget")
+    return s.select("mix_source", "mix_no", "mix_source_size", "mix_target", F.floor(F.col("mix_budget") + 1e-6).alias("mix_budget"))
 
 
-def fair_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=(3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: str = "mix") -> tuple[DataFrame, DataFrame]:
+def fair_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=(3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: str = "mix", quantum: int = QUANTUM) -> tuple[DataFrame, DataFrame]:
     """(queue, mix).
 
     queue: one row for each row of docs, thin: its id, mix_row, mix_size, mix_source_size, mix_target.
-    mix: one row for each copy served: mix_row, mix_copy (from 0), mix_served words, mix_finish (virtual finish
-    time), mix_offset (words of the mix before it). Sort by mix_offset for the mixed order.
+    mix: one row for each copy served: mix_row, mix_copy (from 0), mix_served words, and the mix_finish (virtual finish
+    time) and mix_offset (words of the mix before it) of its last packet served. Sort by mix_offset for the mixed order.
     """
     repeats = max(1, -int(-cap // 1))
     key = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(f"|{seed}")))
@@ -67,20 +70,26 @@ def fair_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     thin = materialize(thin, "mix-sizes")  # mix_row is fixed from here on
     sizes = thin.groupBy("mix_source").agg(F.sum("mix_size").alias("mix_source_size"))
     targets = materialize(source_targets(sizes, list(weights), share, cap), "mix-targets")  # a row a source
+    budget = targets.agg(F.max("mix_budget")).first()[0] or 0
+    buckets = min(MOST, 1 << max(BUCKETS.bit_length() - 1, (budget // BUCKET_WORDS).bit_length()))
     queue = thin.join(targets.withColumnRenamed("mix_source", "mix_source_"), F.col("mix_source").eqNullSafe(F.col("mix_source_")))
-    queue = queue.drop("mix_source_")
-    bucket = F.floor(F.conv(F.substring("mix_key", 1, 8), 16, 10).cast("long") / F.lit(2**32 // BUCKETS)).cast("int")
+    queue = queue.drop("mix_source_", "mix_budget")
+    bucket = F.floor(F.conv(F.substring("mix_key", 1, 8), 16, 10).cast("long") / F.lit(2**32 // buckets)).cast("int")
     queue = prefix_sum(queue.withColumn("mix_bucket", bucket), "mix_size", ["mix_key", "mix_size", "mix_row"], "mix_bucket", "mix_before", ["mix_no"])
     queue = materialize(queue.drop("mix_bucket", "mix_key"), "mix-queue")
 
-    start = F.col("mix_copy") * F.col("mix_source_size") + F.col("mix_before")
-    served = F.greatest(F.lit(0), F.least(F.col("mix_size"), F.col("mix_take") - start))
-    mix = queue.filter("mix_size > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    mix = mix.withColumn("mix_served", served).filter("mix_served > 0")
-    mix = mix.withColumn("mix_finish", (start + F.col("mix_served")) / F.col("mix_target"))
-    range_bucket = F.least(F.floor(F.col("mix_finish") * BUCKETS), F.lit(BUCKETS)).cast("int")
-    mix = prefix_sum(mix.withColumn("mix_bucket", range_bucket), "mix_served", ["mix_finish", "mix_no", "mix_copy", "mix_row"], "mix_bucket", "mix_offset")
-    mix = mix.filter(F.col("mix_offset") < F.col("mix_budget"))
+    packets = queue.filter("mix_size > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    packets = packets.withColumn("mix_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("mix_size") - 1, F.lit(quantum).cast("long"))))
+    packets = packets.withColumn("mix_words", F.least(F.lit(quantum), F.col("mix_size") - F.col("mix_from")))
+    packets = packets.withColumn("mix_end", F.col("mix_copy") * F.col("mix_source_size") + F.col("mix_before") + F.col("mix_from") + F.col("mix_words"))
+    packets = packets.withColumn("mix_finish", F.col("mix_end") / F.col("mix_target"))
+    # past virtual time 2 the mix is long over: until then every source has sent its target twice, or all it holds
+    late = F.least(F.floor(F.col("mix_finish") * buckets), F.lit(2 * buckets)).cast("int")
+    packets = packets.select("mix_id", "mix_row", "mix_copy", "mix_size", "mix_words", "mix_finish", "mix_no", "mix_end", late.alias("mix_bucket"))
+    # mix_end tells a source's packets apart, so the order is total
+    sent = prefix_sum(packets, "mix_words", ["mix_finish", "mix_no", "mix_end"], "mix_bucket", "mix_offset", below=budget)
+    sent = sent.withColumn("mix_served", F.least("mix_words", F.lit(budget) - F.col("mix_offset")))
+    mix = sent.groupBy("mix_row", "mix_copy").agg(F.first("mix_id").alias("mix_id"), F.sum("mix_served").alias("mix_served"), F.first("mix_size").alias("mix_size"), F.max("mix_finish").alias("mix_finish"), F.max("mix_offset").alias("mix_offset"))
     return queue, mix.select("mix_id", "mix_row", "mix_copy", "mix_served", "mix_size", "mix_finish", "mix_offset")
 
 

@@ -41,15 +41,22 @@ with d as (
 ), v as (
   select min(rk) rk from l where cap >= lev * weight
 ), t as (
-  select l.source, l.source_size, least(l.cap, coalesce((select lev from l m where m.rk = (select rk from v)) * l.weight, l.cap)) target from l
+  select l.source, l.no, l.source_size, least(l.cap, coalesce((select lev from l m where m.rk = (select rk from v)) * l.weight, l.cap)) target from l
 ), q as (
-  select d.doc_id, d.size, t.source_size, t.target, floor(t.target + 1e-6)::bigint take,
+  select row_number() over (order by d.doc_id) r, d.doc_id, d.size, t.source_size, t.target, t.no,
          coalesce(sum(d.size) over (partition by d.source order by k, d.size, d.doc_id rows between unbounded preceding and 1 preceding), 0)::bigint b
   from d join t on d.source is not distinct from t.source
+), c as (
+  select r, no, target, b + source_size * copy b, size, unnest(generate_series(0, size - 1, 128))::bigint f
+  from q, (values (0), (1)) copies(copy) where size > 0
+), p as (
+  select r, no, least(128, size - f) words, b + f + least(128, size - f) e, (b + f + least(128, size - f)) / target finish from c
+), o as (
+  select r, words, coalesce(sum(words) over (order by finish, no, e rows between unbounded preceding and 1 preceding), 0)::bigint before from p
+), g as (
+  select r, sum(greatest(0, least(words, (select floor(max(budget) + 1e-6) from r) - before)))::bigint taken from o group by r
 )
-select doc_id, size, source_size, target,
-       (greatest(0, least(size, take - b)) + greatest(0, least(size, take - source_size - b)))::bigint taken
-from q
+select doc_id, size, source_size, target, coalesce(g.taken, 0)::bigint taken from q left join g using (r)
 """,
 }
 
