@@ -48,16 +48,17 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The copies of documents that the mix takes; the copy at a source's cut has its first words only."""
+    """The copies of documents that the mix takes, in its order; a copy that the mix's end cuts has its first words only."""
     docs = docs.select(*COLUMNS)
     row_hash = F.xxhash64(*COLUMNS)
     _, mix = fair_mix(docs.withColumn("mix_key_", F.struct("doc_id", row_hash.alias("row_hash"))), id_col="mix_key_")
     rows = docs.withColumn("row_hash", row_hash).withColumn("id_", F.coalesce("doc_id", F.lit(0))).dropDuplicates(["id_", "row_hash"])
-    served = mix.select(F.coalesce("mix_id.doc_id", F.lit(0)).alias("id_"), F.col("mix_id.row_hash").alias("row_hash"), "mix_served", "mix_size")
+    served = mix.select(F.coalesce("mix_id.doc_id", F.lit(0)).alias("id_"), F.col("mix_id.row_hash").alias("row_hash"), "mix_served", "mix_size", "mix_offset")
     part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), 1, F.col("mix_served").cast("int")), "")
     whole = F.col("mix_served") >= F.col("mix_size")
     out = rows.join(served, ["id_", "row_hash"]).withColumn("text", F.when(whole, F.col("text")).otherwise(part))
-    return out.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*COLUMNS)
+    out = out.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text").cast("long")))
+    return out.orderBy("mix_offset").select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
