@@ -1,6 +1,8 @@
 """Operators 6, 7 and 9."""
 
+import glob
 import hashlib
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -32,6 +34,14 @@ def test_pieces_encode_as_whole_texts(texts):
         assert list(ids) == e.tokenizer.encode(t, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("name", sorted(os.path.basename(p) for p in glob.glob(os.path.dirname(default_tokenizer()) + "/*.json")))
+def test_any_tokenizer_encodes_whole_texts(name):
+    e = PieceEncoder(os.path.join(os.path.dirname(default_tokenizer()), name))
+    texts = ["two  spaces\tand a tab \n\n lines", " lead and tail ", "", "É日本 🌍 1234", "x" * 500, None]
+    for t, ids in zip(texts, e.batch(texts), strict=True):
+        assert list(ids) == e.tokenizer.encode(t or "", add_special_tokens=False).ids
+
+
 def test_piece_table_starts_anew(enc, monkeypatch):
     monkeypatch.setattr("weftline.llm.encode.MAX_PIECES", 3)
     for t in ("a b c d", "d e f g", "a z"):
@@ -171,7 +181,7 @@ def check_packing(rows, got, enc, window):
     return by_sequence
 
 
-@pytest.mark.parametrize("window", [16, 4096])
+@pytest.mark.parametrize("window", [16, 4096, 32_768, 131_072])
 def test_packing(documents, odd_rows, enc, window):
     rows = odd_rows + [(200 + i, "a b c " * (i % 9), "en", "a") for i in range(150)]
     check_packing(rows, pack(documents(rows), window=window, buckets=8).collect(), enc, window)

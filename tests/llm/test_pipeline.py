@@ -1,6 +1,7 @@
 """The stages of corpus_pipeline.py, each against a plain version of its decision on its own input."""
 
 import os
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -81,12 +82,27 @@ def test_mixing_stage(steps):
         copies[r[0]].append(r)
         taken[r[3]] += len(WORD.findall(r[1]))
     targets = plain_targets(sizes)
-    assert all(taken[s] == int(targets[s] + 1e-6) for s in sizes if sizes[s])
+    assert sum(taken.values()) == int(sum(targets.values()) + 1e-6)
+    assert all(abs(taken[s] - targets[s]) <= 128 * (1 + len(sizes)) for s in sizes)
     for i, own in copies.items():
         assert len(own) <= 2
         for r in own:
             assert have[i][1].startswith(r[1]) and r[4] == len(r[1]) and r[2:4] == have[i][2:4]
-        assert sum(r[1] != have[i][1] for r in own) <= 1
+
+
+def test_mix_is_in_order(spark, sf, documents):
+    rng = random.Random(3)
+    given = [(i, f"d{i} " * rng.randrange(1, 9), "en", "ab"[i % 3 == 0]) for i in range(120)]
+    got = cp.source_mixing(spark, documents(given), sf).collect()
+    sent, share = Counter(), []
+    sizes = Counter()
+    for _, t, _, s in given:
+        sizes[s] += len(t.split())
+    targets = plain_targets(sizes)
+    for r in got:
+        sent[r["source"]] += len(r["text"].split())
+        share.append(max(sent[s] / targets[s] for s in "ab") - min(sent[s] / targets[s] for s in "ab"))
+    assert sum(sent.values()) == int(1.5 * sum(sizes.values())) and max(share) < 0.1
 
 
 def test_packing_stage(steps):

@@ -1,8 +1,8 @@
-"""Bulk encoding with a public tokenizer whose pieces never span white space.
+"""Bulk encoding with a public tokenizer.
 
-Texts are cut at spaces and line feeds, each distinct piece is encoded once by the tokenizers library, and the
-ids of a text are gathered with numpy. This equals encoding the whole text for tokenizers that drop white space
-(`word_bpe_49k.json`): neither their normaliser nor their splitter joins characters across it.
+Where the steps before merging are those of `word_bpe_49k.json`, which drop white space and join nothing across it, texts are cut
+at spaces and line feeds, each distinct piece is encoded once, and the ids of a text are gathered with numpy, which equals encoding
+the whole text. With any other tokenizer whole texts go to the tokenizers library.
 """
 
 from __future__ import annotations
@@ -56,7 +56,7 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenize = self.tokenizer.model.tokenize
         told = json.loads(self.tokenizer.to_str())
-        self.direct = (told["normalizer"], told["pre_tokenizer"]) == (NORMALIZER, PRE_TOKENIZER) and all("<|" in t["content"] for t in told["added_tokens"])
+        self.direct = (told["normalizer"], told["pre_tokenizer"]) == (NORMALIZER, PRE_TOKENIZER) and all("<|" in t["content"] and not re.search(r"\s", t["content"]) for t in told["added_tokens"])
         self._reset()
 
     def _reset(self) -> None:
@@ -74,7 +74,7 @@ class PieceEncoder:
         others = []
         for i, piece in enumerate(pending):
             before = len(ids)
-            if self.direct and PLAIN(piece):
+            if PLAIN(piece):
                 for chunk in CHUNKS(piece.lower()):
                     ids += [t.id for t in self.tokenize(chunk if chunk.isascii() else chunk.encode().decode("latin-1").translate(BYTES))]
             else:
@@ -96,6 +96,8 @@ class PieceEncoder:
 
     def batch(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids (little-endian uint32) of each text; null encodes as the empty text."""
+        if not self.direct:
+            return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
         if len(self.pieces) > MAX_PIECES:
             self._reset()
         look = self.pieces.__getitem__

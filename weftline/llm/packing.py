@@ -124,18 +124,22 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", win
     keys = ["doc_id", "start", "ids_crc32", "doc_tokens"]
     thin = pieces.withColumn("pack_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")).withColumn("pack_one", F.lit(1))
     ranked = prefix_sum(thin, "pack_one", keys, "pack_bucket", "pack_rank", ["length"])
-    shared = spark.sparkContext.broadcast({c: table[c].to_numpy(np.int64) for c in table.columns})
+    found = {c: table[c].to_numpy(np.int64) for c in table.columns}
+    lengths, steps = np.unique(found["length"]), int(found["rank_from"].max(initial=0)) + 1
+    if lengths.size * steps >= 1 << 63:
+        raise ValueError("too many pieces for the ranks of one plan")
+    shared = spark.sparkContext.broadcast((found, lengths, steps))
     given = [c for c in pieces.columns if c not in ("ids",)]
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = shared.value
-        # ranks stay far below 2**48, so that one sorted key finds a length's filling
-        starts = (t["length"] << 48) + t["rank_from"]
+        t, lengths, steps = shared.value
+        # one sorted key finds a length's filling: the length's number, then the rank, whose fillings all begin below `steps`
+        starts = np.searchsorted(lengths, t["length"]) * steps + t["rank_from"]
         for b in batches:
             length = b.column("length").to_numpy().astype(np.int64)
             rank = b.column("pack_rank").to_numpy().astype(np.int64)
-            i = np.searchsorted(starts, (length << 48) + rank, "right") - 1
+            i = np.searchsorted(starts, np.searchsorted(lengths, length) * steps + np.minimum(rank, steps - 1), "right") - 1
             over = rank - t["rank_from"][i]
             cols = {c: b.column(c).cast(pa.int64()) for c in given}
             cols |= {"sequence_id": pa.array(t["sequence"][i] + over // t["per"][i]), "offset": pa.array(t["offset"][i] + over % t["per"][i] * length)}
