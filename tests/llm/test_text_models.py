@@ -91,6 +91,27 @@ def test_language_id(spark, documents, odd_rows):
     assert langid.predict(documents([]), model, ["doc_id"], "text").count() == 0
 
 
+def test_bayes_scores(spark):
+    """Log-probabilities and posteriors against sums over a text's own n-grams."""
+    rows = [("the mill and the river", "en"), ("la rivière et le moulin", "fr"), ("der Fluss und die Mühle, die Mühle", "de"), ("the the the the", "en"), ("x", None)] * 3
+    model = langid.train(spark.createDataFrame(rows, "text string, lang string"), "text", "lang", sample_a_language=None)
+    width, alpha = 1 << langid.BITS, 0.05
+    grams = lambda t: Counter(langid.ngram_buckets([t])[0].tolist())
+    counts = {g: Counter() for g in ("de", "en", "fr")}
+    for t, g in rows:
+        for b, n in grams(t).items() if g else ():
+            counts[g][b] += round(np.log1p(n) * langid.DAMP) / langid.DAMP
+    known = Counter(g for _, g in rows if g)
+    for t in ("the moulin", "die Mühle steht", "zzz", "le le le fluss", "é"):
+        logs = {}
+        for g, c in counts.items():
+            total = sum(c.values()) + alpha * width
+            logs[g] = np.log(known[g] / known.total()) + sum(n * np.log((c[b] + alpha) / total) for b, n in grams(t).items())
+        best = max(sorted(logs), key=lambda g: logs[g])
+        (lang,), (p,) = langid.score_texts(model, [t])
+        assert lang == best and p == pytest.approx(1 / sum(np.exp(x - logs[best]) for x in logs.values()), rel=1e-2)
+
+
 def held(frame, divisor, rest):
     return [zlib.crc32(str(i).encode()) % divisor == rest for i in frame["doc_id"]]
 
@@ -228,6 +249,45 @@ def test_follow_the_regularised_leader_separates():
     assert m.weights[1] > 0.5 > -0.5 > m.weights[0] and abs(m.weights[2:]).max() < 0.5 * m.weights[1]
 
 
+def test_leader_and_scores_against_plain_versions():
+    rng = np.random.default_rng(5)
+    size, alpha, beta, l1, l2 = 1 << 10, 0.1, 1.0, 0.01, 0.1
+    texts = [" ".join(rng.choice(["mill", "River", "x%%", "42", "and", "and"], 12)) for _ in range(30)]
+    _, _, raw, offs = next(words.blocks(pa.array(texts)))
+    buckets, at = quality_classifier.block_features(raw, offs, 10)
+    examples, z, n = [], Counter(), Counter()
+    for i in range(30):
+        found, count = np.unique(buckets[at[i] : at[i + 1]], return_counts=True)
+        examples.append((found, count * quality_classifier.WEIGHT / count.sum(), i % 2))
+    weight = lambda k: 0.0 if abs(z[k]) <= l1 else -(z[k] - np.sign(z[k]) * l1) / ((beta + n[k] ** 0.5) / alpha + l2)
+    for _ in range(6):
+        for found, value, label in examples:
+            x = {**dict(zip(found.tolist(), value.tolist(), strict=True)), size: 1.0}
+            p = 1 / (1 + np.exp(-sum(weight(k) * v for k, v in x.items())))
+            for k, v, w in [(k, v, weight(k)) for k, v in x.items()]:
+                g = (p - label) * v
+                z[k] += g - ((n[k] + g * g) ** 0.5 - n[k] ** 0.5) / alpha * w
+                n[k] += g * g
+    model = quality_classifier.ftrl(examples, size)
+    assert np.allclose(model.weights, [weight(k) for k in range(size)], atol=1e-6) and model.bias == pytest.approx(weight(size))
+    for i, p in enumerate(quality_classifier.score_block(model, raw, offs)):
+        own = buckets[at[i] : at[i + 1]]
+        mean = sum(float(model.weights[b]) for b in own) * quality_classifier.WEIGHT / len(own)
+        assert p == pytest.approx(1 / (1 + np.exp(-mean - model.bias)))
+
+
+def test_training_rows_are_bounded_under_repeated_ids(spark, documents):
+    rows = [(1, f"text {i} of one id", "en", "a") for i in range(300)] + [(1, "the same text", "en", "a")] * 300 + [(i, "other words", "en", "a") for i in range(2, 40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    model = quality_classifier.train(documents(rows), labels, max_rows=25)
+    found = lambda m: np.count_nonzero(m.weights)
+    again = quality_classifier.train(documents(rows), labels, max_rows=25)
+    assert found(model) and np.array_equal(model.weights, again.weights)
+    # one id with many texts: the sample holds no more rows than the bound, so no more words than its texts have
+    only = quality_classifier.train(documents(rows[:600]), labels, max_rows=25)
+    assert found(only) <= 25 * 40
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.one_of(st.none(), TEXT), min_size=1, max_size=5))
 def test_features_of_a_block_are_those_of_each_text(texts):
@@ -312,6 +372,44 @@ def test_network_gradients():
             assert abs((up - down) / (2 * step) - g[at]) < 5e-3
 
 
+def test_network_against_a_plain_forward_pass():
+    rng = np.random.default_rng(6)
+    net = secrets.Net.new(rng)
+    net.conv_bias += rng.standard_normal(net.conv_bias.shape).astype(np.float32)
+    data = b"we set api token to abc123def456ghi789 then left"
+    for x in (secrets.window(data, 20, 38), secrets.window(b"q" * 90, 0, 90), secrets.window(b"", 0, 0)):
+        inputs = [[*net.embed[c], float(secrets.LEFT <= i < secrets.LEFT + secrets.BODY and c > 0)] for i, c in enumerate(x)]
+        filters = []
+        for k in range(secrets.FILTERS):
+            row = []
+            for i in range(secrets.WIDTH - secrets.SPAN + 1):
+                flat = [v for j in range(secrets.SPAN) for v in inputs[i + j]]
+                row.append(max(0.0, sum(a * b for a, b in zip(flat, net.conv[:, k].tolist(), strict=True)) + net.conv_bias[k]))
+            filters.append(row)
+        pooled = [max(r) for r in filters] + [sum(r) / len(r) for r in filters]
+        want = sum(a * b for a, b in zip(pooled, net.out.tolist(), strict=True)) + net.bias
+        assert net.logits(x[None])[0] == pytest.approx(want, rel=1e-3, abs=1e-4)
+
+
+def test_overlaps_of_sorted_spans():
+    rng = np.random.default_rng(7)
+    for _ in range(300):
+        spans = [(a, a + int(rng.integers(1, 9))) for a in rng.integers(0, 60, 6).tolist()]
+        cover = secrets.merged(spans)
+        for a in range(70):
+            b = a + int(rng.integers(1, 6))
+            assert secrets.overlaps(cover, a, b) == any(s < b and a < e for s, e in spans)
+
+
+def test_the_middle_of_long_candidates_is_seen():
+    data = b"x" * 10 + bytes(range(48, 58)) * 30
+    shown = secrets.windows_of(data, 10, 310)
+    assert len(shown) > 1 and np.array_equal(shown[0], secrets.window(data, 10, 310))
+    marks = [bytes(data[:a] + b"~" + data[a + 1 :]) for a in range(10, 310)]
+    tilde = secrets._CLASS[ord("~")]
+    assert all((np.stack(secrets.windows_of(m, 10, 310))[:, secrets.LEFT : secrets.LEFT + secrets.BODY] == tilde).any() for m in marks)
+
+
 def test_thresholds_keep_recall():
     p = np.linspace(0, 1, 101)
     t = secrets._threshold(p[50:], 0.9)

@@ -5,10 +5,10 @@ sign, other signs kept) and of a mark for a word that repeats the one before, ha
 feature's value is its count over the text's number of n-grams. The weights, of a fixed size, are broadcast,
 and a text's score is one sparse dot product.
 
-Training takes a bounded sample of the labelled rows (max_rows, those with the smallest hash of their id) in one
-task. Defined results: null and empty texts have no n-gram and get the score of the bias; null labels do not
-train; repeated rows train each time; without labels every score is 0.5; very long texts are scored whole;
-other columns pass through.
+Training takes a bounded sample of the labelled rows (max_rows, those with the smallest hash of their id; of rows that share an
+id, those with the smallest hash of their text) in one task. Defined results: null and empty texts have no n-gram and get the score
+of the bias; null labels do not train; rows with the same id, text and label train once; without labels every score is 0.5; very
+long texts are scored whole; other columns pass through.
 """
 
 from __future__ import annotations
@@ -101,28 +101,41 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     rows = docs.select(F.col(id_col).alias("train_id"), F.col(text_col).alias("train_text")).join(F.broadcast(chosen), "train_id")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, bound = {}, None  # the max_rows first of this task, however often an id or a text repeats
         for b in batches:
-            ids, labels_ = b.column(0).to_pylist(), b.column(2).to_pylist()
+            ids, labels_, texts = b.column(0).to_numpy().astype(np.int64), b.column(2).to_numpy(), b.column(3).to_numpy()
+            turns = mix64(ids.astype(np.uint64))
             for first, last, raw, offs in blocks(b.column(1)):
+                keys = [tuple(map(int, (turns[i], ids[i], labels_[i], texts[i]))) for i in range(first, last)]
+                if all(k in held or (bound is not None and k > bound) for k in keys):
+                    continue
                 buckets, at = block_features(raw, offs, bits)
-                data = []
-                for i in range(last - first):
-                    found, count = np.unique(buckets[at[i] : at[i + 1]], return_counts=True)
-                    value = (count * (WEIGHT / max(1, at[i + 1] - at[i]))).astype("<f4")
-                    data.append(found.astype("<u4").tobytes() + value.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(ids[first:last], pa.int64()), pa.array(labels_[first:last], pa.int32()), pa.array(data, pa.binary())], names=["id", "label", "features"])
+                for i, key in enumerate(keys):
+                    if key not in held and (bound is None or key < bound):
+                        found, count = np.unique(buckets[at[i] : at[i + 1]], return_counts=True)
+                        value = (count * (WEIGHT / max(1, at[i + 1] - at[i]))).astype("<f4")
+                        held[key] = found.astype("<u4").tobytes() + value.tobytes()
+                if len(held) > 2 * max_rows:
+                    held = {k: held[k] for k in sorted(held)[:max_rows]}
+                    bound = max(held)
+        for at in range(0, len(order := sorted(held)[:max_rows]), 1000):
+            some = order[at : at + 1000]
+            turn, id_, label, text = zip(*some, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array([t - (1 << 63) for t in turn], pa.int64()), pa.array(id_, pa.int64()), pa.array(label, pa.int32()), pa.array(text, pa.int64()), pa.array([held[k] for k in some], pa.binary())], names=["turn", "id", "label", "text", "features"])
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(batches), ignore_index=True) if (batches := list(batches)) else pd.DataFrame()
         if rows.empty:
             return
-        rows["turn"] = mix64(rows["id"].to_numpy(np.int64).astype(np.uint64))
-        rows = rows.sort_values(["turn", "id", "label", "features"])
+        rows = rows.sort_values(["turn", "id", "label", "text"])
         split = lambda f: (np.frombuffer(f, "<u4", len(f) // 8).astype(np.int64), np.frombuffer(f, "<f4", offset=len(f) // 2).astype(float))
         model = ftrl([(*split(f), y) for f, y in zip(rows["features"], rows["label"], strict=True)], 1 << bits, **options)
         yield pd.DataFrame({"weights": [model.weights.tobytes()], "bias": [model.bias]})
 
-    one = rows.select(F.col("train_id").cast("long"), "train_text", "train_label").mapInArrow(features, "id long, label int, features binary").repartition(1)
+    seen = rows.select(F.col("train_id").cast("long"), "train_text", "train_label", F.xxhash64("train_text").alias("train_hash"))
+    seen = seen.mapInArrow(features, "turn long, id long, label int, text long, features binary")
+    # after the join too no more than max_rows, in the order of training
+    one = seen.dropDuplicates(["turn", "id", "label", "text"]).orderBy("turn", "id", "label", "text").limit(max_rows).repartition(1)
     fitted = one.mapInPandas(learn, "weights binary, bias double").collect()  # one row
     if not fitted:
         return QualityModel(np.zeros(1 << bits, np.float32), 0.0)
