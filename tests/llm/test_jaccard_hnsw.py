@@ -4,6 +4,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
@@ -150,34 +151,61 @@ def test_jaccard_query(spark, sf):
 
 
 def plain_nearest(vectors, k):
-    """query -> [(score, id)] over all usable rows."""
-    good = [(i, np.array(v, float)) for i, v in vectors if i is not None and v is not None and len(v) == 8 and all(x is not None for x in v) and np.isfinite(np.array(v, float)).all() and any(v)]
+    """query -> [(score, id)] over all usable rows of the query's dimension."""
+    good = [(i, np.array(v, float)) for i, v in vectors if i is not None and v is not None and all(x is not None for x in v) and np.isfinite(np.array(v, float)).all() and any(v)]
     out = {}
     for q, x in good:
         if q % 20 == 0:
-            out[q] = sorted(((float((x * y).sum()), i) for i, y in good if i != q), key=lambda p: (-p[0], p[1]))[:k]
+            out[q] = sorted(((float((x * y).sum()), i) for i, y in good if i != q and y.size == x.size), key=lambda p: (-p[0], p[1]))[:k]
     return out
 
 
-def test_graph_recall():
+def vector_sets(n, dim=64):
     rng = np.random.default_rng(8)
-    v = rng.standard_normal((3000, 24)) * rng.uniform(0.5, 3, (3000, 1))
-    g = hnsw.Graph(hnsw.lengthened(v))
-    q = rng.standard_normal((60, 24))
-    found = g.search(np.column_stack([q, np.zeros(60)]).astype(np.float32), 96)
-    true = np.argsort(-(q @ v.T), axis=1)[:, :20]
-    assert np.mean([len(set(a.tolist()) & set(b.tolist())) / 20 for a, b in zip(found, true, strict=True)]) > 0.9
-    again = hnsw.Graph.of(hnsw.lengthened(v), g.flat(), hnsw.DEGREE)
-    assert np.array_equal(again.search(np.column_stack([q, np.zeros(60)]).astype(np.float32), 96), found)
+    g = rng.standard_normal((n, dim))
+    centres = rng.standard_normal((40, dim)) * rng.uniform(0.3, 3, (40, 1))
+    return {
+        "unit": g / np.linalg.norm(g, axis=1, keepdims=True),
+        "gaussian": g,
+        "unequal": g * np.exp(0.5 * rng.standard_normal((n, 1))),
+        "clustered": centres[rng.integers(40, size=n)] + 0.1 * rng.standard_normal((n, dim)),
+    }
+
+
+@pytest.mark.parametrize("name", ["unit", "gaussian", "unequal", "clustered"])
+def test_graph_recall(name):
+    v = vector_sets(8192)[name]
+    g = hnsw.Graph(hnsw.scaled(v))
+    q = v[::40]
+    found = g.search(hnsw.scaled(q), 96)
+    score = q @ v.T
+    true = np.argsort(-score, axis=1)[:, :21]
+    got = np.take_along_axis(found, np.argsort(-np.take_along_axis(score, found, 1), axis=1)[:, :21], 1)
+    assert np.mean([len(set(a.tolist()) & set(b.tolist())) / 21 for a, b in zip(got, true, strict=True)]) > 0.93
+    again = hnsw.Graph.of(hnsw.scaled(v), g.flat(), hnsw.DEGREE)
+    assert np.array_equal(again.search(hnsw.scaled(q), 96), found)
+
+
+def test_recall_of_full_shards(spark):
+    """Shards of the size that tables of this size get, of unequal norms."""
+    v = vector_sets(40_000)["unequal"]
+    frame = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(v)), "embedding": list(v)}))
+    got = hnsw.nearest(frame, F.col("vec_id") % 400 == 0).toPandas()
+    hits = 0
+    for q, rows in got.groupby("query_id"):
+        score = v @ v[q]
+        score[q] = -np.inf
+        hits += len(set(rows["vec_id"]) & set(np.argsort(-score)[:20].tolist()))
+    assert len(got) == 2000 and hits >= 0.9 * len(got)
 
 
 def test_nearest(spark):
     rng = np.random.default_rng(9)
     rows = [(i, [float(x) for x in rng.standard_normal(8) * (1 + i % 3)]) for i in range(400)]
     rows += [(1000 + i, [1.0] * 8) for i in range(60)]  # one frequent vector, queries among it
-    rows += [(2000, None), (2020, [0.0] * 8), (2040, [1.0, None] + [2.0] * 6), (2060, [float("nan")] * 8), (2080, [float("inf")] + [1.0] * 7), (2100, [1.0, 2.0]), (None, [3.0] * 8), (40, rows[40][1])]
+    rows += [(2000, None), (2020, [0.0] * 8), (2040, [1.0, None] + [2.0] * 6), (2060, [float("nan")] * 8), (2080, [float("inf")] + [1.0] * 7), (2100, [1.0, 2.0]), (2120, [2.0, 1.0]), (2121, [1e200, -1e200]), (None, [3.0] * 8), (40, rows[40][1])]
     frame = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, shard string")
-    got = hnsw.nearest(frame, F.col("vec_id") % 20 == 0, k=20, shard_rows=128, block_rows=10).collect()
+    got = hnsw.nearest(frame, F.col("vec_id") % 20 == 0, k=20, shard_bytes=128 * 64).collect()
     true = plain_nearest(rows[:-1], 20)
     by_query = defaultdict(list)
     for r in sorted(got, key=lambda r: (r["query_id"], r["rank"])):
@@ -186,13 +214,14 @@ def test_nearest(spark):
     assert set(by_query) == set(true)
     hits = 0
     for q, found in by_query.items():
-        assert len(found) == 20 == len({i for _, i in found}) and q not in {i for _, i in found}
+        assert len(found) == len(true[q]) == len({i for _, i in found}) and q not in {i for _, i in found}
         assert found == sorted(found, key=lambda p: (-p[0], p[1]))
         vectors = dict(rows[:-1])
-        assert all(abs(s - np.dot(vectors[q], vectors[i])) < 1e-9 for s, i in found)
+        assert all(s == pytest.approx(np.dot(vectors[q], vectors[i])) for s, i in found)
         hits += len({i for _, i in found} & {i for _, i in true[q]})
     assert hits >= 0.9 * 20 * len(true)
     assert [i for _, i in by_query[1000]][:5] == [i for _, i in true[1000]][:5]
+    assert [i for _, i in by_query[2100]] == [2120, 2121] and [i for _, i in by_query[2120]] == [2121, 2100]
 
 
 def test_few_and_no_vectors(spark):

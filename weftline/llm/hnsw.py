@@ -1,16 +1,21 @@
 """Approximate nearest neighbours by inner product: a navigable small-world graph for each shard.
 
-Rows are dealt into shards by a hash of their id, so shards are even whatever vectors are frequent. A shard's
-distinct vectors are the nodes of a hierarchical graph, each with the ids that have it; every level is a flat
-array of neighbours (nodes x degree, -1 where there are fewer). Inner products become the nearness of vectors of
-equal length by one more component, sqrt(max |x|^2 - |x|^2), so that the graph is built in a metric. Insertion
-and search are beam searches for many vectors at once. Queries meet each shard in blocks; candidates are scored
-again in double precision on the original vectors, and shard results are merged by a limited window.
-
-Recall is approximate: `ef` trades it for time (tests hold it against brute force). Defined results: vectors that are
-null, zero, hold a null or a non-finite component, or are not of the most frequent dimension take no part, nor do rows with a null id;
-ties go to the smaller id; rows with a query's own id are not its candidates; repeated queries are answered once; an empty table gives
-no rows; other columns are not read. Of rows that share an id each id is found once, at its best score.
+Rows are dealt into shards by a hash of their id, so shards are even whatever vectors are frequent; vectors of different
+dimensions have no inner product and go to shards of their own. A shard's distinct vectors are the nodes of a hierarchical graph, each
+with the ids that have it; every level is a flat array of neighbours (nodes x degree, -1 where there are fewer). Nodes are
+tied to those of the largest inner product, the measure that is searched for: a graph of distances made from inner products by one
+more component finds far fewer where norms differ. Insertion and search are beam searches for many vectors at once. Queries meet each
+shard in blocks; candidates are scored again in double precision on the original vectors, and shard results are merged by a
+limited window.
+
+A shard holds about shard_bytes of vectors, which grow as the root of the table up to MOST, so that queries meet few shards; a block
+of queries is as large as two shards. The beam's width grows as the root of the shard's rows, which keeps recall level (tests hold it
+against brute force). Recall is approximate: `ef`, the width at EF_ROWS rows, trades it for time.
+
+Defined results: vectors that are null, zero, or hold a null or a non-finite component take no part, nor do rows with a null id;
+ties go to the smaller id; rows with a query's own id are not its candidates; a query id that repeats is answered once, for its
+shortest and then least vector; an empty table gives no rows; other columns are not read. Of rows that share an id each id is found once,
+at its best score.
 """
 
 from __future__ import annotations
@@ -23,13 +28,22 @@ from pyspark.sql import functions as F
 from weftline.session import materialize
 
 DEGREE = 16
-#: Rows of a shard and queries of a block, about.
-SHARD, BLOCK = 8192, 4096
+#: Bytes (of doubles) of a shard for tables up to that size, and of any shard, about.
+SHARD, MOST = 4 << 20, 128 << 20
+#: The beam is `ef` wide at this many rows.
+EF_ROWS = 8192
 #: Vectors searched at once, and candidates expanded in a step.
 TOGETHER, WIDE = 256, 4
 
 
-def _beam(vectors: np.ndarray, graph: np.ndarray, queries: np.ndarray, entry: np.ndarray, ef: int) -> tuple[np.ndarray, np.ndarray]:
+class _Scratch:
+    """Marks of up to TOGETHER searches over n nodes, kept from one batch to the next; only what was touched is cleared."""
+
+    def __init__(self, n: int):
+        self.seen, self.mark = np.zeros((TOGETHER, n + 1), bool), np.zeros((TOGETHER, n), np.int32)
+
+
+def _beam(vectors: np.ndarray, graph: np.ndarray, queries: np.ndarray, entry: np.ndarray, ef: int, scratch: _Scratch) -> tuple[np.ndarray, np.ndarray]:
     """(nodes, nearness) of the ef best found for each query, best first; -1 and -inf where there are fewer."""
     q, n = len(queries), len(vectors)
     rows = np.arange(q)[:, None]
@@ -40,10 +54,10 @@ def _beam(vectors: np.ndarray, graph: np.ndarray, queries: np.ndarray, entry: np
     k = entry.shape[1]
     ids[:, :k], done[:, :k] = entry, False
     near[:, :k] = np.einsum("qkd,qd->qk", vectors[entry], queries)
-    seen = np.zeros((q, n + 1), bool)
-    seen[rows, entry] = True
-    seen[:, n] = True
-    mark = np.zeros((q, n), np.int32)
+    seen, mark = scratch.seen, scratch.mark
+    touched = [(np.broadcast_to(rows, entry.shape).ravel(), entry.ravel()), (np.arange(q), np.full(q, n))]
+    for r, c in touched:
+        seen[r, c] = True
     active = np.arange(q)
     wide = min(WIDE, ef)
     while active.size:
@@ -66,8 +80,9 @@ def _beam(vectors: np.ndarray, graph: np.ndarray, queries: np.ndarray, entry: np
         inner = np.minimum(new, n - 1)
         mark[np.broadcast_to(at, new.shape)[fresh], inner[fresh]] = place[fresh]
         fresh &= mark[at, inner] == place
-        seen[np.broadcast_to(at, new.shape)[fresh], inner[fresh]] = True
         r, c = np.nonzero(fresh)
+        touched.append((active[r], inner[r, c]))
+        seen[touched[-1]] = True
         s = np.full(new.shape, -np.inf, np.float32)
         s[r, c] = np.einsum("nd,nd->n", vectors[inner[r, c]], queries[active[r]])
         all_ids = np.concatenate([ids[active], inner], 1)
@@ -77,6 +92,8 @@ def _beam(vectors: np.ndarray, graph: np.ndarray, queries: np.ndarray, entry: np
         near[active] = np.take_along_axis(all_near, best, 1)
         ids[active] = np.where(near[active] > -np.inf, np.take_along_axis(all_ids, best, 1), -1)
         done[active] = np.take_along_axis(all_done, best, 1) | (near[active] == -np.inf)
+    for r, c in touched:
+        seen[r, c] = False
     order = np.argsort(-near, axis=1, kind="stable")
     return np.take_along_axis(ids, order, 1), np.take_along_axis(near, order, 1)
 
@@ -112,6 +129,7 @@ class Graph:
         height = height[order]
         self.counts = [int((height >= lv).sum()) for lv in range(int(height[0]) + 1)] if n else []
         self.levels = [np.full((c, degree * (2 if lv == 0 else 1)), -1, np.int32) for lv, c in enumerate(self.counts)]
+        self.scratch = _Scratch(n)
         for lv in reversed(range(len(self.counts))):
             self._fill(lv, ef)
 
@@ -127,7 +145,7 @@ class Graph:
             new = np.arange(at, to)
             entry = self._descend(v[new], lv)
             entry[entry >= at] = 0  # the level above has nodes that are not yet on this one
-            ids, _ = _beam(v[:at], graph[:at], v[new], entry, ef)
+            ids, _ = _beam(v[:at], graph[:at], v[new], entry, ef, self.scratch)
             self._join(graph, new, new, ids, degree)
             at = to
 
@@ -175,7 +193,7 @@ class Graph:
         """Entry points on level `to`."""
         entry = np.zeros((len(queries), 1), int)
         for lv in range(len(self.counts) - 1, to, -1):
-            entry, _ = _beam(self.vectors[: self.counts[lv]], self.levels[lv], queries, entry, 8)
+            entry, _ = _beam(self.vectors[: self.counts[lv]], self.levels[lv], queries, entry, 8, self.scratch)
             entry = entry[:, :1]
         return entry
 
@@ -184,7 +202,7 @@ class Graph:
         out = []
         for at in range(0, len(queries), TOGETHER):
             q = queries[at : at + TOGETHER]
-            ids, _ = _beam(self.vectors, self.levels[0], q, self._descend(q, 0), ef)
+            ids, _ = _beam(self.vectors, self.levels[0], q, self._descend(q, 0), ef, self.scratch)
             out.append(np.where(ids >= 0, self.order[np.maximum(ids, 0)], -1))
         return np.concatenate(out)
 
@@ -197,7 +215,7 @@ class Graph:
         g = Graph.__new__(Graph)
         g.counts = np.frombuffer(flat["counts"], np.int64).tolist()
         g.order = np.frombuffer(flat["order"], np.int64)
-        g.vectors = np.ascontiguousarray(vectors[g.order])
+        g.vectors, g.scratch = np.ascontiguousarray(vectors[g.order]), _Scratch(len(vectors))
         data, at, g.levels = np.frombuffer(flat["neighbours"], np.int32), 0, []
         for lv, c in enumerate(g.counts):
             width = degree * (2 if lv == 0 else 1)
@@ -206,25 +224,29 @@ class Graph:
         return g
 
 
-def lengthened(vectors: np.ndarray) -> np.ndarray:
-    """One more component, which makes all vectors equally long."""
-    square = (vectors.astype(float) ** 2).sum(1)
-    return np.column_stack([vectors, np.sqrt(np.maximum(square.max(initial=0) - square, 0))]).astype(np.float32)
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """In single precision, by a common factor that keeps components at most 1; the order of inner products stays."""
+    return (vectors / max(np.abs(vectors).max(initial=0), np.finfo(float).tiny)).astype(np.float32)
 
 
-INDEX = "shard int, vectors binary, member_ids binary, member_from binary, counts binary, order binary, neighbours binary"
+INDEX = "dim int, shard int, vectors binary, member_ids binary, member_from binary, counts binary, order binary, neighbours binary"
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """vec_id, vector (array<double>) of the rows that take part."""
-    v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector")).filter("vec_id is not null and vector is not null and size(vector) > 0")
+    """vec_id, dim, vector (array<double>) of the rows that take part."""
+    v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.size(vector_col).alias("dim"), F.col(vector_col).cast("array<double>").alias("vector")).filter("vec_id is not null and vector is not null and dim > 0")
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
-    v = v.filter(F.forall("vector", finite) & F.exists("vector", lambda x: x != 0))
-    common = v.groupBy(F.size("vector").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1)
-    return v.join(F.broadcast(common.select("dim")), F.size("vector") == F.col("dim")).drop("dim")
+    return v.filter(F.forall("vector", finite) & F.exists("vector", lambda x: x != 0))
+
+
+def shard_plan(rows: DataFrame, is_query: Column, shard_bytes: int | None, most: int) -> DataFrame:
+    """dim, shards, blocks: into how many shards the rows of a dimension are dealt, and its queries into how many blocks."""
+    sizes = rows.groupBy("dim").agg((F.count("*") * F.col("dim") * 8).alias("all"), (F.count_if(is_query) * F.col("dim") * 8).alias("asked"))
+    size = F.lit(shard_bytes) if shard_bytes else F.greatest(F.lit(SHARD), F.least(F.lit(most), F.sqrt(F.col("all") * F.lit(SHARD)).cast("long")))
+    return sizes.select("dim", F.ceil(F.col("all") / size).cast("int").alias("shards"), F.greatest(F.lit(1), F.ceil(F.col("asked") / (2 * size))).cast("int").alias("blocks"))
 
 
-def build_index(rows: DataFrame, shards: int, degree: int = DEGREE, ef: int = 48) -> DataFrame:
+def build_index(rows: DataFrame, plan: DataFrame, degree: int = DEGREE, ef: int = 48) -> DataFrame:
     """One row for each shard, written to the shared folder."""
 
     def build(part: pd.DataFrame) -> pd.DataFrame:
@@ -240,14 +262,14 @@ def build_index(rows: DataFrame, shards: int, degree: int = DEGREE, ef: int = 48
         of, members = of[fresh], members[fresh]
         starts = np.searchsorted(of, np.arange(len(first) + 1))
         vectors = full[first]
-        flat = Graph(lengthened(vectors), degree, ef).flat()
-        return pd.DataFrame({"shard": [part["shard"].iloc[0]], "vectors": [vectors.tobytes()], "member_ids": [members.tobytes()], "member_from": [starts.astype(np.int64).tobytes()], **{k: [x] for k, x in flat.items()}})
+        flat = Graph(scaled(vectors), degree, ef).flat()
+        return pd.DataFrame({"dim": [full.shape[1]], "shard": [part["shard"].iloc[0]], "vectors": [vectors.tobytes()], "member_ids": [members.tobytes()], "member_from": [starts.astype(np.int64).tobytes()], **{k: [x] for k, x in flat.items()}})
 
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
-    return materialize(dealt.groupBy("shard").applyInPandas(build, INDEX), "hnsw-index")
+    dealt = rows.join(plan, "dim").withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.col("shards")).cast("int"))
+    return materialize(dealt.select("dim", "shard", "vec_id", "vector").groupBy("dim", "shard").applyInPandas(build, INDEX), "hnsw-index")
 
 
-def search_index(index: DataFrame, shards: int, queries: DataFrame, blocks: int, k: int, degree: int = DEGREE, ef: int = 96) -> DataFrame:
+def search_index(index: DataFrame, plan: DataFrame, queries: DataFrame, k: int, degree: int = DEGREE, ef: int = 96) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of all shards."""
 
     def search(q: pd.DataFrame, i: pd.DataFrame) -> pd.DataFrame:
@@ -258,8 +280,9 @@ def search_index(index: DataFrame, shards: int, queries: DataFrame, blocks: int,
         asked = np.stack(q["vector"].to_numpy()).astype(np.float64)
         vectors = np.frombuffer(row["vectors"], np.float64).reshape(-1, asked.shape[1])
         members, starts = np.frombuffer(row["member_ids"], np.int64), np.frombuffer(row["member_from"], np.int64)
-        graph = Graph.of(lengthened(vectors), row, degree)
-        found = graph.search(np.column_stack([asked, np.zeros(len(asked))]).astype(np.float32), max(ef, k + 1))
+        graph = Graph.of(scaled(vectors), row, degree)
+        width = int(np.ceil(ef * max(1.0, len(vectors) / EF_ROWS) ** 0.5))
+        found = graph.search(np.concatenate([scaled(x[None]) for x in asked]), max(width, k + 1))
         out = []
         for own, vector, nodes in zip(q["vec_id"].to_numpy(np.int64), asked, found, strict=True):
             nodes = nodes[nodes >= 0]
@@ -277,19 +300,19 @@ def search_index(index: DataFrame, shards: int, queries: DataFrame, blocks: int,
         cols = [np.concatenate(c) for c in zip(*out, strict=True)]
         return pd.DataFrame(dict(zip(["query_id", "vec_id", "score"], cols, strict=True)))
 
-    q = queries.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int"))
-    q = q.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    i = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    found = q.groupBy("shard", "block").cogroup(i.groupBy("shard", "block")).applyInPandas(search, "query_id long, vec_id long, score double")
+    q = queries.join(plan, "dim").withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("blocks")).cast("int"))
+    q = q.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).select("dim", "shard", "block", "vec_id", "vector")
+    i = index.join(plan.select("dim", "blocks"), "dim").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    keys = ["dim", "shard", "block"]
+    found = q.groupBy(*keys).cogroup(i.groupBy(*keys)).applyInPandas(search, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def nearest(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, shard_rows: int = SHARD, block_rows: int = BLOCK, degree: int = DEGREE, ef: int = 96) -> DataFrame:
-    """The k nearest of each query row among all other rows; is_query is a condition on vec_id."""
+def nearest(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, shard_bytes: int | None = None, most: int = MOST, degree: int = DEGREE, ef: int = 96) -> DataFrame:
+    """The k nearest of each query row among all other rows; is_query is a condition on vec_id. With shard_bytes, shards are of that size."""
     rows = materialize(usable(vectors, id_col, vector_col), "hnsw-vectors")
-    n, q = rows.agg(F.count("*"), F.count_if(is_query)).first()
-    shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-q // block_rows))
-    index = build_index(rows, shards, degree)
-    queries = rows.filter(is_query).dropDuplicates(["vec_id"])
-    return search_index(index, shards, queries, blocks, k, degree, ef)
+    plan = materialize(shard_plan(rows, is_query, shard_bytes, most), "hnsw-plan")  # a row for each dimension
+    index = build_index(rows, plan, degree)
+    queries = rows.filter(is_query).groupBy("vec_id").agg(F.min(F.struct("dim", "vector")).alias("v")).select("vec_id", "v.dim", "v.vector")
+    return search_index(index, plan, queries, k, degree, ef)
