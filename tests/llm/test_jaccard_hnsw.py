@@ -37,7 +37,7 @@ def roots_of(pairs, nodes):
     return {x: find(x) for x in nodes}
 
 
-def plain_classes(rows):
+def plain_classes(rows, percent=75):
     """(id, size of the set, least id of the class) of each row, pair by pair."""
     sets = [shingles(t) for _, t in rows]
     groups = defaultdict(list)
@@ -50,7 +50,7 @@ def plain_classes(rows):
             holders[g].append(own[0])
     for s, own in groups.items():
         for j, k in Counter(j for g in s for j in holders[g]).items():
-            if 100 * k >= 75 * (len(s) + len(sets[j]) - k):
+            if 100 * k >= percent * (len(s) + len(sets[j]) - k):
                 links.append((own[0], j))
     root = roots_of(links, range(len(rows)))
     least = {}
@@ -62,7 +62,7 @@ def plain_classes(rows):
 
 def check(docs, rows, **options):
     got = jaccard.similar_classes(docs, **options).collect()
-    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == plain_classes(rows)
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == plain_classes(rows, options.get("percent", 75))
 
 
 @settings(max_examples=150, deadline=None)
@@ -121,13 +121,57 @@ def near_rows(seed):
     return rows
 
 
-@pytest.mark.parametrize(("seed", "options"), [(1, {}), (2, {"hot": 2, "region": 4, "rounds": 1}), (3, {"region": 2, "rounds": 3}), (4, {"hot": 3})])
+@pytest.mark.parametrize(("seed", "options"), [(1, {}), (2, {"hot": 2, "region": 4, "rounds": 1}), (3, {"region": 2, "rounds": 3}), (4, {"hot": 3}), (5, {"percent": 40, "region": 3, "rounds": 2}), (6, {"percent": 40}), (7, {"percent": 90, "region": 3}), (8, {"percent": 60, "hot": 3, "region": 6, "rounds": 6})])
 def test_classes(spark, seed, options):
     rows = near_rows(seed)
     docs = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, node string, root string").repartition(5)
     check(docs, rows, **options)
 
 
+def test_large_regions_are_split(spark, monkeypatch):
+    """Texts that share a passage and texts around a few centres, in regions far above what a task joins; none is left to blocks."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(4))
+    passage = [word() for _ in range(40)]
+    rows = [(i, " ".join([word() for _ in range(8)] + passage[: 30 + i % 10] + [word() for _ in range(8)])) for i in range(120)]
+    for c in range(3):
+        centre = [word() for _ in range(60)]
+        for i in range(60):
+            text = list(centre)
+            for _ in range(rng.randint(0, 3)):
+                text[rng.randrange(60)] = word()
+            rows.append((1000 + 100 * c + i, " ".join(text)))
+    large = []
+    plain = jaccard._joined_regions
+    monkeypatch.setattr(jaccard, "_joined_regions", lambda left, *rest: (large.append(max((r["n"] for r in left.groupBy("region").agg(F.count("*").alias("n")).collect()), default=0)), plain(left, *rest))[1])
+    check(spark.createDataFrame(rows, "doc_id long, text string"), rows, region=24)
+    assert large[0] <= 24
+
+
+@pytest.mark.parametrize("summed", [2, 5, 64])
+def test_sketch_is_the_count(spark, summed):
+    rows = list({shingles(t): (i, t) for i, t in near_rows(9)}.values())  # tasks count equal sets once each
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(11)
+    parts = jaccard.materialize(jaccard._nodes_and_sketch(docs, 5), "test-sketch")
+    counts = np.zeros(1 << jaccard.SKETCH, np.int64)
+    for _, _, own in jaccard._sets(pa.array([t for _, t in rows]), 5):
+        np.add.at(counts, jaccard._cell(own), 1)
+    assert np.array_equal(jaccard._sketch(parts, summed), jaccard._level(counts))
+
+
+def test_possible_at_any_percent():
+    rng = np.random.default_rng(12)
+    for percent in (30, 45, 60, 75, 90):
+        for _ in range(60):
+            base = rng.choice(400, int(rng.integers(4, 200)), replace=False)
+            sets = [np.unique(base[: max(1, int(len(base) * f))]) for f in (1, 0.95, 0.8, percent / 100 + 0.02, 0.31)]
+            arrays = [words.mix64(x.astype(np.uint64)) for x in sets]
+            ok = jaccard._possible([jaccard._unsigned(jaccard.signature(x)) for x in arrays], np.array([len(x) for x in sets]), percent)
+            for i, a in enumerate(sets):
+                if any(100 * len(set(a) & set(b)) >= percent * len(set(a) | set(b)) for j, b in enumerate(sets) if j != i):
+                    assert ok[i]
+
+
 def test_odd_rows(documents, odd_rows):
     check(documents(odd_rows), [r[:2] for r in odd_rows])
     assert jaccard.similar_classes(documents([])).count() == 0

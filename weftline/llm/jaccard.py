@@ -13,15 +13,19 @@
    pivot, hence to one another, and need no more comparison among themselves; a node outside it can only link
    to another one outside, or, by the triangle inequality, to a node inside at a distance of d - r or more. Those
    boundary nodes are replicated with the outer ones.
-4. Recursion. What is left of a region gets a new pivot, and so on; large regions do so in distributed rounds, and
-   regions of up to REGION nodes inside one task. A region that stays large is joined in blocks of REGION / 2
-   nodes, each pair of blocks in a task.
+4. Recursion. What is left of a region of up to REGION nodes and WEIGHT shingles is joined inside one task, pivot by pivot. A larger
+   one is split in distributed rounds. First by Voronoi cells: a few of its nodes are pivots, each node goes to the cell of
+   the nearest and is replicated to those within 2 r of that distance, so that two nodes that link meet in the cell of
+   either's nearest pivot; windows then apply within the cell. Where nodes lie too far from all pivots for cells to be smaller than
+   their region, it is split like the whole input: by the rarest shingles in the order of counts inside the region, which sets apart
+   what its nodes have in common, with the node of the most common shingles as the pivot. What is still large after ROUNDS is joined in
+   blocks of half that size, each pair of blocks in a task: the one step whose work is quadratic, in what is left of such a region.
 5. Components of the found links, which connect just what all links would.
 
 Aggregates are written before they are joined back, so that a hot key is an oversized partition of a plain join, which
 adaptive execution splits.
 
-No step forms all pairs of a group. Defined results: null, empty and wordless texts have empty sets and link with nothing; a text
+Defined results: null, empty and wordless texts have empty sets and link with nothing; a text
 with fewer words than a shingle has its whole sequence as one; equal texts, repeated rows included, are linked; an empty table gives
 no rows; a null id passes through and is never a component's id unless alone; very long texts are taken whole.
 """
@@ -35,7 +39,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.encode import release
@@ -45,11 +49,13 @@ from weftline.session import materialize
 
 #: Bits of the sketch that orders shingles, in this many slices.
 SKETCH, SLICES = 23, 32
-#: Prefix entries of a bucket, about; shingles that the sketch counts so often take the native path.
+#: Prefix entries of a bucket, about. Shingles that the sketch counts HOT times or more, and four times the mean of a cell, take the native path.
 BUCKET, HOT = 400_000, 100_000
-#: Nodes of a region that one task joins.
-REGION = 2048
-ROUNDS = 3
+#: Nodes and shingles of a region that one task joins (LEAST nodes however large they are), pivots of a region's Voronoi cells, and rounds.
+REGION, WEIGHT, LEAST = 2048, 2_000_000, 16
+PIVOTS, ROUNDS = 4, 6
+#: Tables of sketch counts that one task adds.
+SUMMED = 64
 
 
 def shingle_sets(raw: np.ndarray, offs: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -115,23 +121,25 @@ def least_distance(a: np.ndarray, b: np.ndarray, n_a, n_b):
     return 1 - common / np.maximum(n_a + n_b - common, 1)
 
 
+#: Cells of a slice.
+SPAN = (1 << SKETCH) // SLICES
+
+
+def deflated(counts: np.ndarray) -> bytes:
+    at = np.flatnonzero(counts)
+    n = counts.astype("<u4")
+    return zlib.compress(b"s" + at.astype("<u4").tobytes() + n[at].tobytes() if at.size * 2 < n.size else b"d" + n.tobytes(), 1)
+
+
 def _nodes_and_sketch(docs: DataFrame, width: int) -> DataFrame:
     """A row for each text (slice null): doc_id, node, n, signature; and each task's counts of shingles by sketch slice, deflated.
 
-    A slice is dense (a byte for each cell) or, where that is shorter, a list of cells and a list of counts.
+    A slice is dense (four bytes for each cell) or, where that is shorter, a list of cells and a list of counts.
     """
-    span = (1 << SKETCH) // SLICES
 
     def packed(sketch: np.ndarray) -> list[tuple[int, bytes]]:
-        out = []
-        for i in range(SLICES):
-            part = sketch[i * span : (i + 1) * span]
-            at = np.flatnonzero(part)
-            if at.size:
-                n = np.minimum(part, 255).astype(np.uint8)
-                data = b"s" + at.astype("<u4").tobytes() + n[at].tobytes() if at.size * 5 < span else b"d" + n.tobytes()
-                out.append((i, zlib.compress(data, 1)))
-        return out
+        parts = ((i, sketch[i * SPAN : (i + 1) * SPAN]) for i in range(SLICES))
+        return [(i, deflated(part)) for i, part in parts if part.any()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -165,24 +173,30 @@ def _level(count):
     return np.minimum(255, np.log2(1.0 + count) * 10).astype(np.uint8)
 
 
-def _sketch(parts: DataFrame) -> np.ndarray:
-    """The level of each cell."""
-    span = (1 << SKETCH) // SLICES
-
-    def add(rows: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(span, np.int64)
-        for data in map(zlib.decompress, rows["counts"]):
-            if data[:1] == b"d":
-                total += np.frombuffer(data, np.uint8, offset=1)
-            else:
-                n = (len(data) - 1) // 5
-                total[np.frombuffer(data, "<u4", n, 1)] += np.frombuffer(data, np.uint8, n, 1 + 4 * n)
-        return pd.DataFrame({"slice": [rows["slice"].iloc[0]], "levels": [_level(total).tobytes()]})
-
-    rows = parts.filter("slice is not null").select("slice", "counts").groupBy("slice").applyInPandas(add, "slice int, levels binary").collect()  # 2**SKETCH bytes
+def _added(column) -> np.ndarray:
+    total = np.zeros(SPAN, np.int64)
+    for data in map(zlib.decompress, column):
+        if data[:1] == b"d":
+            total += np.frombuffer(data, "<u4", offset=1)
+        else:
+            n = (len(data) - 1) // 8
+            total[np.frombuffer(data, "<u4", n, 1)] += np.frombuffer(data, "<u4", n, 1 + 4 * n)
+    return np.minimum(total, 2**32 - 1)
+
+
+def _sketch(parts: DataFrame, summed: int = SUMMED) -> np.ndarray:
+    """The level of each cell. Tasks' counts are added by slice in a tree, so that no task reads more than about `summed` tables."""
+    rows = parts.filter("slice is not null").select("slice", "counts")
+    most = rows.groupBy("slice").count().agg(F.max("count")).first()[0] or 0
+    while most > summed:
+        groups = -(-most // summed)
+        dealt = rows.withColumn("part", F.pmod(F.xxhash64("counts"), F.lit(groups)))
+        rows = materialize(dealt.groupBy("slice", "part").applyInPandas(lambda r: pd.DataFrame({"slice": [r["slice"].iloc[0]], "counts": [deflated(_added(r["counts"]))]}), "slice int, counts binary"), "jaccard-sketch")
+        most = groups
+    levels = rows.groupBy("slice").applyInPandas(lambda r: pd.DataFrame({"slice": [r["slice"].iloc[0]], "levels": [_level(_added(r["counts"])).tobytes()]}), "slice int, levels binary").collect()  # 2**SKETCH bytes
     out = np.zeros(1 << SKETCH, np.uint8)
-    for r in rows:
-        out[r["slice"] * span : (r["slice"] + 1) * span] = np.frombuffer(r["levels"], np.uint8)
+    for r in levels:
+        out[r["slice"] * SPAN : (r["slice"] + 1) * SPAN] = np.frombuffer(r["levels"], np.uint8)
     return out
 
 
@@ -276,10 +290,13 @@ def _bounded(pairs: DataFrame, signs: DataFrame) -> DataFrame:
     """Adds least, a lower bound of the distance between node and pivot, and the node's size and signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = None, None  # rows come by pivot
         for b in batches:
             out = []
             for n_a, s_a, n_b, s_b in zip(*(b.column(k).to_pylist() for k in ("n", "signature", "pivot_n", "pivot_signature")), strict=True):
-                x, y = _unsigned(s_a), _unsigned(s_b)
+                if s_b != known[0]:
+                    known = s_b, _unsigned(s_b)
+                x, y = _unsigned(s_a), known[1]
                 m = min(x.size, y.size)
                 out.append(float(least_distance(_folded(x, m), _folded(y, m), n_a, n_b)))
             keep = ["node", "pivot", "many", "n", "signature"]
@@ -290,14 +307,15 @@ def _bounded(pairs: DataFrame, signs: DataFrame) -> DataFrame:
     return both.select("node", "pivot", "many", "n", "signature", "pivot_n", "pivot_signature").mapInArrow(run, "node long, pivot long, many boolean, n long, signature binary, least double")
 
 
-def _possible(signs: list[np.ndarray], sizes: np.ndarray, radius: float) -> np.ndarray:
+def _possible(signs: list[np.ndarray], sizes: np.ndarray, percent: int) -> np.ndarray:
     """Which of a region's nodes could link with another one."""
+    radius, steps = 1 - percent / 100, (100 // percent).bit_length()
     out = np.zeros(len(signs), bool)
     lengths = np.array([x.size for x in signs])
     for length in np.unique(lengths):
         own = np.flatnonzero(lengths == length)
-        # sizes that can link differ by a quarter at most, lengths by one step
-        other = np.flatnonzero((lengths == length) | (lengths == length * 2))
+        # sizes that can link differ by 100 / percent times at most, lengths by one step more than its logarithm
+        other = np.flatnonzero((lengths >= length) & (lengths <= length << steps))
         table = np.stack([_folded(signs[i], length) for i in other])
         for i in own:
             ok = least_distance(signs[i], table, sizes[i], sizes[other]) <= radius + 1e-9
@@ -308,11 +326,15 @@ def _possible(signs: list[np.ndarray], sizes: np.ndarray, radius: float) -> np.n
     return out
 
 
-def _alive(rows: DataFrame, radius: float, region: int) -> DataFrame:
+def _is_large(region: int) -> Column:
+    return (F.col("size") > region) | ((F.col("weight") > WEIGHT) & (F.col("size") > LEAST))
+
+
+def _alive(rows: DataFrame, percent: int, region: int) -> DataFrame:
     """rows: pivot, node, n, signature, near. (region, node, near) of the nodes that could link within their region; all of those in a larger region."""
-    size = materialize(rows.groupBy("pivot").agg(F.count("*").alias("size")), "jaccard-sizes")
+    size = materialize(rows.groupBy("pivot").agg(F.count("*").alias("size"), F.sum("n").alias("weight")), "jaccard-sizes")
     rows = rows.join(size.filter("size > 1"), "pivot")
-    large = rows.filter(F.col("size") > region).select(F.col("pivot").alias("region"), "node", "near")
+    large = rows.filter(_is_large(region)).select(F.col("pivot").alias("region"), "node", "near")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
@@ -320,7 +342,7 @@ def _alive(rows: DataFrame, radius: float, region: int) -> DataFrame:
         def close() -> list[tuple]:
             if len(held) < 2:
                 return []
-            ok = _possible([_unsigned(h[2]) for h in held], np.array([h[1] for h in held]), radius)
+            ok = _possible([_unsigned(h[2]) for h in held], np.array([h[1] for h in held]), percent)
             return [(key, h[0], h[3]) for h, keep in zip(held, ok, strict=True) if keep]
 
         for b in batches:
@@ -339,7 +361,7 @@ def _alive(rows: DataFrame, radius: float, region: int) -> DataFrame:
         r, v, near = zip(*rows, strict=True)
         return pa.RecordBatch.from_arrays([pa.array(r, pa.int64()), pa.array(v, pa.int64()), pa.array(near, pa.bool_())], names=["region", "node", "near"])
 
-    small = rows.filter(F.col("size") <= region).select("pivot", "node", "n", "signature", "near")
+    small = rows.filter(~_is_large(region)).select("pivot", "node", "n", "signature", "near")
     small = small.repartition("pivot").sortWithinPartitions("pivot")
     return small.mapInArrow(run, "region long, node long, near boolean").union(large)
 
@@ -419,11 +441,71 @@ def _links_in(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     return links
 
 
-def _joined_regions(members: DataFrame, sets: DataFrame, percent: int, region: int) -> DataFrame:
+def _sized(members: DataFrame, weights: DataFrame) -> DataFrame:
+    """region, its size in nodes and its weight in shingles."""
+    return materialize(members.join(weights, "node").groupBy("region").agg(F.count("*").alias("size"), F.sum("n").alias("weight")), "jaccard-sizes")
+
+
+def _cells(rows: DataFrame, sets: DataFrame, percent: int, turn: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """rows: region, node. (links, cells, pivots): cells has the parent region, the cell as region, and node; pivots (region, pivot) are done with all of theirs."""
+    order = F.xxhash64("node", "region", F.lit(turn))
+    pivots = rows.groupBy("region", F.pmod(order, F.lit(PIVOTS)).alias("j")).agg(F.min_by("node", order).alias("pivot")).select("region", "pivot")
+    pivots = materialize(pivots, "jaccard-cell-pivots")
+    met = rows.join(pivots, "region").filter("node <> pivot").withColumn("many", F.lit(True))
+    measured = materialize(_distances(met, sets, percent), "jaccard-distances")
+    link = measured.filter("linked").select(F.col("node").alias("u"), F.col("pivot").alias("v"))
+    nearest = F.min("d").over(Window.partitionBy("region", "node"))  # a row for each pivot
+    window = 2 * (1 - percent / 100) + 1e-9
+    own = measured.join(pivots.select("region", F.col("pivot").alias("node")), ["region", "node"], "left_anti").withColumn("nearest", nearest).filter(F.col("d") <= F.col("nearest") + window)
+    own = materialize(own.select(F.col("region").alias("parent"), F.xxhash64("region", "pivot").alias("region"), "node", "many", "linked", "d"), "jaccard-cells")
+    parent = own.groupBy("region").agg(F.first("parent").alias("parent"))
+    return link, _remainder(own, 1 - percent / 100).join(parent, "region"), pivots
+
+
+def _by_common_shingles(rows: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(links, regions) of rows (region, node) split by the prefix shingles that nodes share in the order of counts within their region."""
+    entries = rows.join(sets, "node").select("region", "node", F.explode("shingles").alias("shingle"))
+    counts = materialize(entries.groupBy("region", "shingle").agg(F.count("*").alias("k")), "jaccard-local-counts")
+    ranked = entries.join(counts, ["region", "shingle"]).groupBy("region", "node").agg(F.array_sort(F.collect_list(F.struct("k", "shingle"))).alias("own"), F.avg("k").alias("common"))  # a node's set
+    n = F.size("own")
+    prefix = F.slice("own", F.lit(1), n - F.ceil(F.lit(percent) * n / 100).cast("int") + 1)
+    shared = ranked.select("region", "node", "common", F.explode(F.filter(prefix, lambda x: x["k"] > 1)).alias("x")).select("region", "x.shingle", "node", "common")
+    shared = materialize(shared, "jaccard-local-prefixes")
+    central = shared.groupBy("region", "shingle").agg(F.min(F.struct(-F.col("common"), "node"))["node"].alias("pivot"), F.count("*").alias("k")).filter("k > 1")
+    met = shared.join(materialize(central, "jaccard-local-pivots"), ["region", "shingle"]).filter("node <> pivot")
+    met = met.groupBy(F.xxhash64("region", "pivot").alias("region"), "node", "pivot").agg(F.max(F.col("k") > 2).alias("many"))
+    measured = materialize(_distances(met, sets, percent), "jaccard-distances")
+    return measured.filter("linked").select(F.col("node").alias("u"), F.col("pivot").alias("v")), _remainder(measured, 1 - percent / 100)
+
+
+def _recursed(left: DataFrame, sets: DataFrame, weights: DataFrame, percent: int, region: int, rounds: int) -> tuple[list[DataFrame], DataFrame]:
+    """(links found, regions left), large regions being split while any are there and rounds last."""
+    links = []
+    for turn in range(rounds):
+        size = _sized(left, weights)
+        large = size.filter(_is_large(region))
+        if large.isEmpty():
+            break
+        rows = materialize(left.join(large.select("region"), "region", "left_semi"), "jaccard-large")
+        link, cells, pivots = _cells(rows, sets, percent, turn)
+        cells = materialize(cells, "jaccard-cells-left")
+        most = cells.groupBy("parent", "region").count().groupBy("parent").agg(F.max("count").alias("most"), F.sum("count").alias("all"))
+        # a region of which no cell is left is done
+        useless = most.join(large, F.col("parent") == F.col("region")).filter("4 * most > 3 * size or all > 2 * size").select("parent")
+        useless = materialize(useless, "jaccard-useless-cells")
+        kept = cells.join(useless, "parent", "left_anti").select("region", "node")
+        others = rows.join(useless.withColumnRenamed("parent", "region"), "region", "left_semi").join(pivots.withColumnRenamed("pivot", "node"), ["region", "node"], "left_anti")
+        local, regions = _by_common_shingles(others, sets, percent)
+        links += [link, local]
+        left = materialize(left.join(large.select("region"), "region", "left_anti").select("region", "node").union(kept).union(regions), "jaccard-remainder")
+    return links, left
+
+
+def _joined_regions(members: DataFrame, sets: DataFrame, weights: DataFrame, percent: int, region: int) -> DataFrame:
     """(u, v) links among the members (region, node) of each region."""
-    size = materialize(members.groupBy("region").agg(F.count("*").alias("size")).filter("size > 1"), "jaccard-sizes")
-    chunks = F.when(F.col("size") <= region, F.lit(1)).otherwise(F.ceil(F.col("size") / (region // 2))).cast("int")
-    m = members.join(size.withColumn("chunks", chunks), "region").withColumn("chunk", F.pmod(F.xxhash64("node", "region"), F.col("chunks")).cast("int"))
+    size = _sized(members, weights).filter("size > 1")
+    chunks = F.when(~_is_large(region), F.lit(1)).otherwise(F.greatest(F.ceil(F.col("size") / (region // 2)), F.least(F.ceil(F.col("weight") / (WEIGHT // 2)), F.ceil(F.col("size") / (LEAST // 2))))).cast("int")
+    m = members.join(size.select("region", chunks.alias("chunks")), "region").withColumn("chunk", F.pmod(F.xxhash64("node", "region"), F.col("chunks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     m = m.withColumn("other", other).select("region", "node", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
     m = m.join(sets, "node").select("region", "i", "j", "node", "shingles")
@@ -455,13 +537,14 @@ def _joined_regions(members: DataFrame, sets: DataFrame, percent: int, region: i
     return m.mapInArrow(run, "u long, v long")
 
 
-def similar_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, hot: int = HOT, region: int = REGION, rounds: int = ROUNDS) -> DataFrame:
+def similar_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, hot: int | None = None, region: int = REGION, rounds: int = ROUNDS) -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id (the least id that links lead to, its own included)."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     parts = materialize(_nodes_and_sketch(docs, width), "jaccard-nodes")
     nodes = parts.filter("slice is null").select("doc_id", "node", "n", F.col("counts").alias("signature"))
     sketch = _sketch(parts)
     total = nodes.agg(F.sum("n")).first()[0] or 0
+    hot = hot or max(HOT, 4 * total >> SKETCH)
     buckets = max(32, total * (100 - percent) // 100 // BUCKET)
 
     radius = 1 - percent / 100
@@ -471,7 +554,7 @@ def similar_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     one = nodes.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("signature").alias("signature"))
     signs = materialize(one.join(active, "node"), "jaccard-signatures")
     bounded = materialize(_bounded(pairs, signs).withColumn("near", F.col("least") <= 2 * radius + 1e-9), "jaccard-bounds")
-    alive = materialize(_alive(bounded.filter("many").drop("many", "least"), radius, region), "jaccard-alive")
+    alive = materialize(_alive(bounded.filter("many").drop("many", "least"), percent, region), "jaccard-alive")
 
     near = bounded.filter("near").select(F.col("pivot").alias("region"), "node", "pivot")
     wanted = near.select("node").union(near.select("pivot")).union(alive.select("node")).distinct()
@@ -485,17 +568,11 @@ def similar_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     link = measured.filter("linked").select(F.col("node").alias("u"), F.col("pivot").alias("v"))
     far = alive.filter("not near").select("region", "node")
     left = materialize(_remainder(measured, radius).union(far), "jaccard-remainder")
-    for k in range(rounds):
-        size = left.groupBy("region").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("node", F.lit(k)), "node"))["node"].alias("pivot"))
-        large = materialize(size.filter(F.col("size") > region), "jaccard-large")
-        if large.isEmpty():
-            break
-        again = left.join(large.select("region", "pivot"), "region").filter("node <> pivot").withColumn("many", F.lit(True))
-        measured = materialize(_distances(again, sets, percent), "jaccard-distances")
-        link = link.union(measured.filter("linked").select(F.col("node").alias("u"), F.col("pivot").alias("v")))
-        rest = left.join(large.select("region"), "region", "left_anti")
-        left = materialize(rest.union(_remainder(measured, radius)), "jaccard-remainder")
-    link = link.union(_joined_regions(left, sets, percent, region))
+    weights = signs.select("node", "n")
+    found, left = _recursed(left, sets, weights, percent, region, rounds)
+    for more in found:
+        link = link.union(more)
+    link = link.union(_joined_regions(left, sets, weights, percent, region))
 
     roots = connected_components(link)
     out = materialize(nodes.drop("signature").join(roots, "node", "left").select("doc_id", "n", F.coalesce("root", "node").alias("root")), "jaccard-roots")
