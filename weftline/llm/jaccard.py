@@ -14,12 +14,14 @@
    to another one outside, or, by the triangle inequality, to a node inside at a distance of d - r or more. Those
    boundary nodes are replicated with the outer ones.
 4. Recursion. What is left of a region of up to REGION nodes and WEIGHT shingles is joined inside one task, pivot by pivot. A larger
-   one is split in distributed rounds. First by Voronoi cells: a few of its nodes are pivots, each node goes to the cell of
+   one is split in distributed rounds. One whose nodes are all connected by links that are already found is done; of any other,
+   nodes outside its largest component are compared with all others first. Then by Voronoi cells: these nodes are pivots, each node goes to the cell of
    the nearest and is replicated to those within 2 r of that distance, so that two nodes that link meet in the cell of
    either's nearest pivot; windows then apply within the cell. Where nodes lie too far from all pivots for cells to be smaller than
    their region, it is split like the whole input: by the rarest shingles in the order of counts inside the region, which sets apart
-   what its nodes have in common, with the node of the most common shingles as the pivot. What is still large after ROUNDS is joined in
-   blocks of half that size, each pair of blocks in a task: the one step whose work is quadratic, in what is left of such a region.
+   what its nodes have in common, with the node of the most common shingles as the pivot. Parts no larger than three quarters of
+   their region are split again, to any depth. A larger part, of which neither way makes less (very many texts that are all a little
+   further apart than r), is joined in blocks of half a task's size, each pair of blocks in a task: the one step whose work is quadratic.
 5. Components of the found links, which connect just what all links would.
 
 Aggregates are written before they are joined back, so that a hot key is an oversized partition of a plain join, which
@@ -51,9 +53,9 @@ from weftline.session import materialize
 SKETCH, SLICES = 23, 32
 #: Prefix entries of a bucket, about. Shingles that the sketch counts HOT times or more, and four times the mean of a cell, take the native path.
 BUCKET, HOT = 400_000, 100_000
-#: Nodes and shingles of a region that one task joins (LEAST nodes however large they are), pivots of a region's Voronoi cells, and rounds.
-REGION, WEIGHT, LEAST = 2048, 2_000_000, 16
-PIVOTS, ROUNDS = 4, 6
+#: Nodes and shingles of a region that one task joins (LEAST nodes however large they are), and pivots of a region's Voronoi cells.
+REGION, WEIGHT, LEAST = 4096, 2_000_000, 16
+PIVOTS = 8
 #: Tables of sketch counts that one task adds.
 SUMMED = 64
 
@@ -446,11 +448,25 @@ def _sized(members: DataFrame, weights: DataFrame) -> DataFrame:
     return materialize(members.join(weights, "node").groupBy("region").agg(F.count("*").alias("size"), F.sum("n").alias("weight")), "jaccard-sizes")
 
 
+def _labelled(rows: DataFrame, links: list[DataFrame]) -> DataFrame:
+    """rows (region, node) of the regions that the links don't connect, and whether the node lies outside its region's largest component."""
+    found = links[0]
+    for more in links[1:]:
+        found = found.union(more)
+    roots = connected_components(found)
+    own = materialize(rows.join(roots, "node", "left").select("region", "node", F.coalesce("root", "node").alias("label")), "jaccard-labels")
+    tally = own.groupBy("region", "label").agg(F.count("*").alias("n"))
+    main = tally.groupBy("region").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.count("*").alias("labels")).filter("labels > 1")
+    main = materialize(main.select("region", "main"), "jaccard-main-labels")
+    return own.join(main, "region").select("region", "node", (F.col("label") != F.col("main")).alias("apart"))
+
+
 def _cells(rows: DataFrame, sets: DataFrame, percent: int, turn: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """rows: region, node. (links, cells, pivots): cells has the parent region, the cell as region, and node; pivots (region, pivot) are done with all of theirs."""
+    """rows: region, node, apart. (links, cells, pivots): cells has the parent region, the cell as region, and node; pivots (region, pivot) are done with all of theirs."""
     order = F.xxhash64("node", "region", F.lit(turn))
-    pivots = rows.groupBy("region", F.pmod(order, F.lit(PIVOTS)).alias("j")).agg(F.min_by("node", order).alias("pivot")).select("region", "pivot")
+    pivots = rows.filter("apart").groupBy("region", F.pmod(order, F.lit(PIVOTS)).alias("j")).agg(F.min_by("node", order).alias("pivot")).select("region", "pivot")
     pivots = materialize(pivots, "jaccard-cell-pivots")
+    rows = rows.drop("apart")
     met = rows.join(pivots, "region").filter("node <> pivot").withColumn("many", F.lit(True))
     measured = materialize(_distances(met, sets, percent), "jaccard-distances")
     link = measured.filter("linked").select(F.col("node").alias("u"), F.col("pivot").alias("v"))
@@ -463,7 +479,7 @@ def _cells(rows: DataFrame, sets: DataFrame, percent: int, turn: int) -> tuple[D
 
 
 def _by_common_shingles(rows: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(links, regions) of rows (region, node) split by the prefix shingles that nodes share in the order of counts within their region."""
+    """(links, parts) of rows (region, node) split by the prefix shingles that nodes share in the order of counts within their region."""
     entries = rows.join(sets, "node").select("region", "node", F.explode("shingles").alias("shingle"))
     counts = materialize(entries.groupBy("region", "shingle").agg(F.count("*").alias("k")), "jaccard-local-counts")
     ranked = entries.join(counts, ["region", "shingle"]).groupBy("region", "node").agg(F.array_sort(F.collect_list(F.struct("k", "shingle"))).alias("own"), F.avg("k").alias("common"))  # a node's set
@@ -473,20 +489,32 @@ def _by_common_shingles(rows: DataFrame, sets: DataFrame, percent: int) -> tuple
     shared = materialize(shared, "jaccard-local-prefixes")
     central = shared.groupBy("region", "shingle").agg(F.min(F.struct(-F.col("common"), "node"))["node"].alias("pivot"), F.count("*").alias("k")).filter("k > 1")
     met = shared.join(materialize(central, "jaccard-local-pivots"), ["region", "shingle"]).filter("node <> pivot")
-    met = met.groupBy(F.xxhash64("region", "pivot").alias("region"), "node", "pivot").agg(F.max(F.col("k") > 2).alias("many"))
+    met = met.groupBy("region", "node", "pivot").agg(F.max(F.col("k") > 2).alias("many")).withColumnRenamed("region", "parent").withColumn("region", F.xxhash64("parent", "pivot"))
+    met = materialize(met, "jaccard-local-regions")
     measured = materialize(_distances(met, sets, percent), "jaccard-distances")
-    return measured.filter("linked").select(F.col("node").alias("u"), F.col("pivot").alias("v")), _remainder(measured, 1 - percent / 100)
+    parents = met.select("parent", "region").distinct()
+    return measured.filter("linked").select(F.col("node").alias("u"), F.col("pivot").alias("v")), _remainder(measured, 1 - percent / 100).join(parents, "region")
+
+
+def _shrunk(parts: DataFrame, large: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """parts: parent, region, node. The parts of three quarters of their parent's nodes at most, and the rest."""
+    sizes = parts.groupBy("parent", "region").agg(F.count("*").alias("most"))
+    wide = sizes.join(large.select(F.col("region").alias("parent"), "size"), "parent").filter("4 * most > 3 * size").select("region")
+    wide = materialize(wide, "jaccard-wide")
+    return parts.join(wide, "region", "left_anti"), parts.join(wide, "region", "left_semi")
 
 
-def _recursed(left: DataFrame, sets: DataFrame, weights: DataFrame, percent: int, region: int, rounds: int) -> tuple[list[DataFrame], DataFrame]:
-    """(links found, regions left), large regions being split while any are there and rounds last."""
-    links = []
-    for turn in range(rounds):
+def _recursed(left: DataFrame, link: DataFrame, sets: DataFrame, weights: DataFrame, percent: int, region: int) -> tuple[DataFrame, DataFrame]:
+    """(links with those found here, regions left), large regions being split as long as that makes them smaller."""
+    links, done, turn = [link], [], 0
+    while True:
         size = _sized(left, weights)
         large = size.filter(_is_large(region))
         if large.isEmpty():
             break
-        rows = materialize(left.join(large.select("region"), "region", "left_semi"), "jaccard-large")
+        done.append(left.join(large.select("region"), "region", "left_anti").select("region", "node"))
+        rows = left.join(large.select("region"), "region", "left_semi")
+        rows = materialize(_labelled(rows, links), "jaccard-large")
         link, cells, pivots = _cells(rows, sets, percent, turn)
         cells = materialize(cells, "jaccard-cells-left")
         most = cells.groupBy("parent", "region").count().groupBy("parent").agg(F.max("count").alias("most"), F.sum("count").alias("all"))
@@ -494,11 +522,18 @@ def _recursed(left: DataFrame, sets: DataFrame, weights: DataFrame, percent: int
         useless = most.join(large, F.col("parent") == F.col("region")).filter("4 * most > 3 * size or all > 2 * size").select("parent")
         useless = materialize(useless, "jaccard-useless-cells")
         kept = cells.join(useless, "parent", "left_anti").select("region", "node")
-        others = rows.join(useless.withColumnRenamed("parent", "region"), "region", "left_semi").join(pivots.withColumnRenamed("pivot", "node"), ["region", "node"], "left_anti")
-        local, regions = _by_common_shingles(others, sets, percent)
+        others = rows.select("region", "node").join(useless.withColumnRenamed("parent", "region"), "region", "left_semi").join(pivots.withColumnRenamed("pivot", "node"), ["region", "node"], "left_anti")
+        local, parts = _by_common_shingles(others, sets, percent)
+        shrunk, wide = _shrunk(materialize(parts, "jaccard-local-parts"), large)
         links += [link, local]
-        left = materialize(left.join(large.select("region"), "region", "left_anti").select("region", "node").union(kept).union(regions), "jaccard-remainder")
-    return links, left
+        done.append(materialize(wide.select("region", "node"), "jaccard-dense"))
+        left = materialize(kept.union(shrunk.select("region", "node")), "jaccard-remainder")
+        turn += 1
+    for more in links[1:]:
+        links[0] = links[0].union(more)
+    for more in done:
+        left = left.union(more)
+    return links[0], left
 
 
 def _joined_regions(members: DataFrame, sets: DataFrame, weights: DataFrame, percent: int, region: int) -> DataFrame:
@@ -537,7 +572,7 @@ def _joined_regions(members: DataFrame, sets: DataFrame, weights: DataFrame, per
     return m.mapInArrow(run, "u long, v long")
 
 
-def similar_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, hot: int | None = None, region: int = REGION, rounds: int = ROUNDS) -> DataFrame:
+def similar_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, hot: int | None = None, region: int = REGION) -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id (the least id that links lead to, its own included)."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     parts = materialize(_nodes_and_sketch(docs, width), "jaccard-nodes")
@@ -569,9 +604,7 @@ def similar_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     far = alive.filter("not near").select("region", "node")
     left = materialize(_remainder(measured, radius).union(far), "jaccard-remainder")
     weights = signs.select("node", "n")
-    found, left = _recursed(left, sets, weights, percent, region, rounds)
-    for more in found:
-        link = link.union(more)
+    link, left = _recursed(left, link, sets, weights, percent, region)
     link = link.union(_joined_regions(left, sets, weights, percent, region))
 
     roots = connected_components(link)
