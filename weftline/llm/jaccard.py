@@ -57,7 +57,7 @@ BUCKET, HOT = 400_000, 100_000
 REGION, WEIGHT, LEAST = 4096, 2_000_000, 16
 PIVOTS = 8
 #: Tables of sketch counts that one task adds.
-SUMMED = 64
+SUMMED = 16
 
 
 def shingle_sets(raw: np.ndarray, offs: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
