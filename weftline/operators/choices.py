@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.byte_vocab import byte_ids
+from weftline.operators.prefix import prefix_fold, range_buckets
 
 #: The prompt's first words and its last line.
 HEAD, TAIL = "Multiple Choice question: ", "\nRespond only with the letter of the correct answer."
@@ -64,10 +65,12 @@ def predictions(losses: DataFrame) -> DataFrame:
 
 
 def running_accuracy(preds: DataFrame, order: str = "item") -> DataFrame:
-    """Running accuracies by item. One window, for reports over an evaluation set."""
-    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    hit = lambda c: F.avg((F.col(c) == F.col("label")).cast("int")).over(w)
-    return preds.select(order, F.row_number().over(Window.orderBy(order)).cast("long").alias("n"), hit("pred").alias("acc"), hit("pred_norm").alias("acc_norm"))
+    """Running accuracies by item, bucket by bucket, so that no task holds them all. Predictions of nothing, or against no label, are left out of the ratios."""
+    hit = lambda c: (F.col(c) == F.col("label")).cast("int")
+    s = preds.select(order, F.lit(1).alias("one_"), hit("pred").alias("a_"), hit("pred_norm").alias("b_"))
+    s = s.withColumn("an_", F.col("a_").isNotNull().cast("int")).withColumn("bn_", F.col("b_").isNotNull().cast("int"))
+    s = prefix_fold(range_buckets(s, order, "bucket_"), {"n": (F.sum, "one_"), "as_": (F.sum, "a_"), "bs_": (F.sum, "b_"), "ac_": (F.sum, "an_"), "bc_": (F.sum, "bn_")}, order, "bucket_")
+    return s.select(order, F.col("n").cast("long").alias("n"), F.try_divide("as_", "ac_").alias("acc"), F.try_divide("bs_", "bc_").alias("acc_norm"))
 
 
 def class_report(preds: DataFrame, classes: int = 4, pred: str = "pred") -> DataFrame:

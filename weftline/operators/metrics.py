@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.operators.prefix import prefix_fold, range_buckets
+
 
 def bits_per_byte(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
     """tokens: target, loss. Summed nats of targets with bytes over ln 2 times their bytes; negative targets don't count; infinite without bytes."""
@@ -20,24 +26,45 @@ def validation_loss(batches: DataFrame, n: int) -> DataFrame:
 
 
 def running_best(series: DataFrame, value: str, order: str = "step") -> DataFrame:
-    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return series.select(order, value, F.min(value).over(w).alias("best"))
+    """The least value up to each step, in the order of steps; bucket by bucket, so that no task holds the series."""
+    s = range_buckets(series.select(order, value), order, "bucket_")
+    return prefix_fold(s, {"best": (F.min, value)}, order, "bucket_").select(order, value, "best")
 
 
 def debiased_ema(series: DataFrame, beta: float = 0.9, value: str = "value", order: str = "step", by: str = "series") -> DataFrame:
     """by, order, value, ema, debiased: e = beta e + (1 - beta) x, over 1 - beta ** (order + 1). Values that are not finite are
     skipped, but their steps advance the exponent.
 
-    A log's points are folded in order within its series.
+    Rows are sorted by series and step and streamed, with one number carried from batch to batch, so a series of any length takes
+    linear time and no memory. Steps without a usable value have no row in the result; null steps come first.
     """
-    points = F.array_sort(F.collect_list(F.struct(order, value)))
-    start = F.struct(F.lit(0.0).alias("e"), F.expr(f"cast(array() as array<struct<{order}: bigint, {value}: double, e: double>>)").alias("out"))
-    usable = lambda x: x[value].isNotNull() & ~F.isnan(x[value]) & (F.abs(x[value]) < F.lit(float("inf")))
+    fields = series.select(F.col(by), F.col(order).cast("long"), F.col(value).cast("double"))
+    usable = F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(F.col(value)) < F.lit(float("inf")))
+    rows = fields.filter(usable).repartition(by).sortWithinPartitions(by, order)
+    powers = beta ** np.arange(BLOCK + 1)
+    # row i of the matrix weighs the values up to i
+    at = np.arange(BLOCK)
+    weigh = (1 - beta) * np.where(at[:, None] >= at, beta ** np.maximum(at[:, None] - at, 0), 0.0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, last = object(), 0.0
+        for b in batches:
+            names, x = b.column(0).to_pylist(), b.column(2).to_numpy()
+            out, first = np.empty(len(x)), 0
+            while first < len(x):
+                if names[first] != name:
+                    name, last = names[first], 0.0
+                to = first + 1
+                while to < min(len(x), first + BLOCK) and names[to] == name:
+                    to += 1
+                n = to - first
+                out[first:to] = weigh[:n, :n] @ x[first:to] + powers[1 : n + 1] * last
+                last, first = out[to - 1], to
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], names=["s", "o", "v", "ema"])
+
+    ema = rows.mapInArrow(run, f"s {dict(fields.dtypes)[by]}, o long, v double, ema double").toDF(by, order, value, "ema")
+    return ema.withColumn("debiased", F.col("ema") / (1 - F.pow(F.lit(beta), F.col(order) + 1)))
 
-    def step(s: Column, x: Column) -> Column:
-        e = beta * s["e"] + (1 - beta) * x[value]
-        grown = F.concat(s["out"], F.array(F.struct(x[order].cast("long").alias(order), x[value].cast("double").alias(value), e.alias("e"))))
-        return F.when(usable(x), F.struct(e.alias("e"), grown.alias("out"))).otherwise(s)
 
-    folded = series.groupBy(by).agg(F.aggregate(points, start, step)["out"].alias("p")).select(by, F.inline("p"))
-    return folded.select(by, order, value, F.col("e").alias("ema"), (F.col("e") / (1 - F.pow(F.lit(beta), F.col(order) + 1))).alias("debiased"))
+#: Values that a step of the running mean takes at once.
+BLOCK = 128

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,39 @@ def whole_div(value: Column, by: int | Column) -> Column:
     return ((value - F.pmod(value, by)) / by).cast("long")
 
 
+#: Range buckets of an order, and parts of the rows that share a frequent key.
+BUCKETS, PARTS = 1024, 64
+
+
+def range_buckets(df: DataFrame, key: str, out: str, tie: Column | None = None, buckets: int = BUCKETS) -> DataFrame:
+    """Adds out, a bucket number that never falls in the order of (key, nulls last; tie), whatever keys are sparse, frequent or null.
+
+    Bounds are approximate quantiles of the key. A key at two quantiles is frequent: its rows, and those without a key,
+    are dealt into PARTS buckets by the tie, a hash in 64 bits.
+    """
+    found = df.agg(F.percentile_approx(key, [i / buckets for i in range(1, buckets)], 20 * buckets).alias("q")).first()["q"] or []  # `buckets` numbers
+    often = sorted({a for a, b in zip(found, found[1:], strict=False) if a == b})
+    bounds = sorted(set(found))
+    place = F.lit(0)
+    if bounds:
+        halves = [1 << i for i in reversed(range(len(bounds).bit_length()))]
+        # a search by halves; past the end the last bound stands again, which moves no order
+        padded = bounds + [bounds[-1]] * (2 * halves[0] - 1 - len(bounds))
+        all_ = F.split(F.lit(",".join(map(str, padded))), ",").cast(f"array<{dict(df.dtypes)[key]}>")
+        steps = F.split(F.lit(",".join(map(str, halves))), ",").cast("array<int>")
+        place = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.col(key) >= F.get(all_, at + step - 1), at + step).otherwise(at))
+    part = F.shiftright(F.lit(0).cast("long") if tie is None else tie, 58) + 32
+    within = F.lit(0).cast("long")
+    if often and tie is not None:
+        hot = F.col(key).isin(often)
+        within = F.when(hot, part)
+        # other keys of a frequent key's bucket come after it: the key itself is the bucket's least
+        within = within.otherwise(F.lit(PARTS - 1).cast("long"))
+    last = 2 * len(bounds) + 2
+    number = F.when(F.col(key).isNull(), F.lit(last * PARTS) + part).otherwise(place * PARTS + within)
+    return df.withColumn(out, number.cast("long"))
+
+
 def prefix_sum(df: DataFrame, value: str, order: list[Column | str], bucket: str, out: str, group: list[str] = (), fan: int | None = None, below: int | None = None) -> DataFrame:
     """Adds out, the sum of value over all earlier rows of the group.
 
@@ -36,3 +71,19 @@ def prefix_sum(df: DataFrame, value: str, order: list[Column | str], bucket: str
     inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     summed = df.join(bases, keys).withColumn(within, F.coalesce(F.sum(value).over(inside), F.lit(0))).withColumn(out, F.col(base) + F.col(within)).drop(base, within)
     return summed if below is None else summed.filter(F.col(out) < below)
+
+
+def prefix_fold(df: DataFrame, folds: dict[str, tuple[Callable, str]], order: str, bucket: str) -> DataFrame:
+    """Adds running aggregates over all rows up to and with each, in the order of a key that holds no value twice within a bucket.
+
+    folds: name to (F.sum, F.min or F.max, column). Buckets are folded first, then their folds by a window, then each bucket by itself.
+    """
+    totals = df.groupBy(bucket).agg(*(f(F.col(c)).alias(f"{name}__t") for name, (f, c) in folds.items()))
+    before = Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.select(bucket, *(f(F.col(f"{name}__t")).over(before).alias(f"{name}__b") for name, (f, _) in folds.items()))
+    inside = Window.partitionBy(bucket).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    out = df.join(bases, bucket)
+    both = {F.sum: lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)), F.min: F.least, F.max: F.greatest}
+    for name, (f, c) in folds.items():
+        out = out.withColumn(name, both[f](F.col(f"{name}__b"), f(F.col(c)).over(inside)))
+    return out.drop(*(f"{name}__b" for name in folds))

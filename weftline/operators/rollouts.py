@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.byte_vocab import BOS
+from weftline.operators.prefix import prefix_fold, range_buckets
 
 IGNORE = -100
 
@@ -57,10 +58,11 @@ def pass_at_1(results: DataFrame) -> DataFrame:
 
 def zero_streaks(steps: DataFrame) -> DataFrame:
     """steps: step, reward_mean. The length of the run of zero steps that ends at each step, and whether to warn (5 and more)."""
-    w = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    s = steps.withColumn("island", F.count_if(F.col("reward_mean") != 0).over(w))
-    place = F.sum((F.col("reward_mean") == 0).cast("int")).over(Window.partitionBy("island").orderBy("step").rowsBetween(Window.unboundedPreceding, 0))
-    s = s.withColumn("streak", F.when(F.col("reward_mean") == 0, place).otherwise(0))
+    # a step's streak: the zero steps so far, less those up to the last step that was not zero
+    s = range_buckets(steps, "step", "bucket_").withColumn("zero_", F.coalesce(F.col("reward_mean") == 0, F.lit(False)).cast("long"))
+    s = prefix_fold(s, {"zeros_": (F.sum, "zero_")}, "step", "bucket_").withColumn("mark_", F.when(F.col("reward_mean") != 0, F.col("zeros_")))
+    s = prefix_fold(s, {"last_": (F.max, "mark_")}, "step", "bucket_")
+    s = s.withColumn("streak", F.when(F.col("reward_mean") == 0, F.col("zeros_") - F.coalesce("last_", F.lit(0))).otherwise(0))
     return s.select("step", "reward_mean", "streak", (F.col("streak") >= 5).alias("warn"))
 
 
