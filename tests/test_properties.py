@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from weftline.functions import byte_vocab as bv
 from weftline.functions import schedules as sch
-from weftline.operators import bestfit, bpe, chat, choices, corpus, rollouts, views
-from weftline.operators.prefix import prefix_sum, whole_div
+from weftline.operators import bestfit, bpe, chat, choices, corpus, metrics, rollouts, sampling, views
+from weftline.operators.prefix import prefix_sum, range_buckets, whole_div
 from weftline.plans import chat_queries, corpus_queries
 from weftline.sources import chat_lines, shards
 from weftline.streaming import token_stream
@@ -128,7 +128,7 @@ def test_shards_by_a_plain_model(spark, tmp_path):
         assert r["split"] == ("val" if r["shard_id"] == 0 else "train")
     f = corpus.token_fragments(docs, size)
     lengths = f.groupBy("shard_id").agg(F.sum(F.size("ids")).alias("length"))
-    for r in corpus.batch_rows(f, corpus.loader_batches(lengths, block, 2), block, length).collect():
+    for r in corpus.batch_rows(corpus.byte_fragments(docs, size), corpus.loader_batches(lengths, block, 2), block, length).collect():
         at = r["shard_id"] * size + block * (r["rank"] + 2 * r["batch_no"]) + length * r["row_no"]
         assert r["x"] == stream[at : at + length] and r["y"] == stream[at + 1 : at + length + 1]
     with pytest.raises(ValueError):
@@ -245,3 +245,78 @@ def test_materialized_tables_keep_settings(spark):
     with small_batches(spark):
         assert spark.conf.get(BATCH_KEY) == str(BATCH_ROWS)
     spark.conf.set(BATCH_KEY, before)
+
+
+ODD = [(3, "three"), (1, "one"), (None, "no id"), (1, "one again"), (1, "one"), (2, None), (None, "é and none"), (-5, ""), (2**53 + 1, "far"), (None, "no id"), (None, None)]
+
+
+def test_streams_count_rows_not_keys(spark):
+    docs = spark.createDataFrame(ODD, "doc_id long, text string")
+    size = lambda t: 1 + len((t or "").encode())
+    rows = corpus.stream_offsets(docs).orderBy("off").collect()
+    at = 0
+    for r in rows:
+        assert r["off"] == at
+        at += r["n"]
+    assert [r["doc_id"] for r in rows] == sorted((i for i, _ in ODD), key=lambda i: (i is None, i or 0)) and at == sum(size(t) for _, t in ODD)
+    fragments = corpus.token_fragments(docs, 7).orderBy("shard_id", "start").collect()
+    ids = [i for r in fragments for i in r["ids"]]
+    parts, texts = [], []
+    for i in ids:
+        if i == bv.BOS:
+            parts.append([])
+        else:
+            parts[-1].append(i)
+    texts = sorted(bytes(p).decode() for p in parts)
+    assert texts == sorted(t or "" for _, t in ODD)
+    budget = corpus.capped_budget(docs, 4, 10**6).collect()
+    assert sorted((str(r["doc_id"]), r["text"] or "") for r in budget) == sorted((str(i), (t or "")[:4]) for i, t in ODD)
+    resumed = corpus.resume_after(docs, 4).collect()
+    assert len(resumed) == len(ODD) - 4 and {r["seq"] for r in resumed} == set(range(4, len(ODD)))
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert corpus.stream_offsets(empty).count() == corpus.token_fragments(empty, 7).count() == corpus.next_token_pairs(empty, 7).count() == 0
+
+
+def test_decode_and_compression_keep_rows(spark):
+    docs = spark.createDataFrame([(1, "aaaa"), (1, "bb"), (None, "c"), (2, None), (3, "")], "doc_id long, text string")
+    ranks = bpe.train_bpe(docs, 268)
+    back = bpe.decode(bpe.encode(docs, ranks, keep=("text",)), bpe.vocabulary(spark, ranks), keep=("text",), out="back").collect()
+    assert len(back) == 5 and all(r["back"] == (r["text"] or "") for r in back)
+    got = {(r["doc_id"], r["bytes"]): r["ratio"] for r in bpe.compression(docs, ranks).collect()}
+    assert len(got) == 5 and got[2, 0] is None and all(v >= 1 for k, v in got.items() if k[1])
+
+
+@settings(max_examples=12, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.sampled_from([7, 7, 7, 2**60, -(2**60)]), st.integers(-(2**62), 2**62)), max_size=60))
+def test_range_buckets_follow_the_order(spark, keys):
+    rows = [(k, hash((i, "x")) % 2**63 - 2**62) for i, k in enumerate(keys)]
+    out = range_buckets(spark.createDataFrame(rows, "k long, t long"), "k", "b", F.col("t"), 8).collect()
+    out.sort(key=lambda r: (r["k"] is None, r["k"] or 0, r["t"]))
+    assert len(out) == len(rows) and all(a["b"] <= b["b"] for a, b in zip(out, out[1:], strict=False))
+
+
+def test_folds_over_buckets(spark):
+    rng = random.Random(5)
+    rows = [(i * 1000 - 7, rng.choice([None, 0.0, 1.0, 2.0]) if i else None) for i in range(90)]
+    best = {r["step"]: r["best"] for r in metrics.running_best(spark.createDataFrame(rows, "step long, value double"), "value").collect()}
+    seen = None
+    for step, x in rows:
+        seen = x if seen is None else min(seen, x) if x is not None else seen
+        assert best[step] == seen
+    long = spark.createDataFrame([(s, i, float(i % 7) if i % 5 else None) for s in ("a", "b") for i in range(700)], "series string, step long, value double").repartition(5)
+    for s in ("a", "b"):
+        got = {r["step"]: r["ema"] for r in metrics.debiased_ema(long, 0.99).filter(F.col("series") == s).collect()}
+        e = 0.0
+        for i in range(700):
+            if i % 5:
+                e = 0.99 * e + 0.01 * (i % 7)
+                assert got[i] == pytest.approx(e)
+        assert len(got) == 560
+
+
+def test_draws_follow_the_probabilities(spark):
+    rows = spark.createDataFrame([(r, t, p) for r in range(3000) for t, p in ((1, 0.7), (2, 0.3), (3, 0.0))], "row long, token_id int, prob double")
+    got = sampling.draw(rows, 7).collect()
+    assert len(got) == 3000 == len({r["row"] for r in got}) and {r["token_id"] for r in got} == {1, 2}
+    assert abs(sum(r["token_id"] == 1 for r in got) / 3000 - 0.7) < 0.04
+    assert sorted(map(tuple, sampling.draw(rows, 7).collect())) == sorted(map(tuple, got))

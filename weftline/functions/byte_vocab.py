@@ -11,11 +11,13 @@ BOS, USER_START, USER_END, ASSISTANT_START, ASSISTANT_END, PYTHON_START, PYTHON_
 
 
 def byte_ids(text: Column) -> Column:
-    """array<int> of a text's UTF-8 bytes; null and empty give an empty array.
+    """array<int> of a text's UTF-8 bytes; null and empty give an empty array."""
+    return ids_of_bytes(F.encode(F.coalesce(text, F.lit("")), "UTF-8"))
 
-    The bytes are read as Latin-1, whose characters have the bytes' values as code points.
-    """
-    chars = F.split(F.decode(F.encode(F.coalesce(text, F.lit("")), "UTF-8"), "ISO-8859-1"), "")
+
+def ids_of_bytes(data: Column) -> Column:
+    """array<int> of bytes, read as Latin-1, whose characters have the bytes' values as code points."""
+    chars = F.split(F.decode(data, "ISO-8859-1"), "")
     return F.transform(F.filter(chars, lambda c: c != ""), lambda c: F.ascii(c))
 
 

@@ -113,41 +113,53 @@ def encoding(ranks: dict[bytes, int]):
     return _ENCODINGS[key]
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], key: str = "doc_id", text: str = "text", prepend: int | None = None, append: int | None = None) -> DataFrame:
-    """key, ids. Special tokens' names in a text are ordinary text."""
+def _carried(df: DataFrame, names: list[str]) -> str:
+    return "".join(f"`{c}` {t}, " for c, t in df.select(*names).dtypes)
+
+
+def encode(docs: DataFrame, ranks: dict[bytes, int], key: str = "doc_id", text: str = "text", prepend: int | None = None, append: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """key, the columns in keep, ids. Special tokens' names in a text are ordinary text; a null text is empty. Rows stay rows, whatever their keys."""
     if dict(docs.dtypes)[text] != "string":
         raise ValueError("only strings are encoded")
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
     before, after = [prepend] if prepend is not None else [], [append] if append is not None else []
+    names = [key, *keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(shared.value)
         for b in batches:
-            ids = [before + enc.encode_ordinary(t or "") + after for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=[key, "ids"])
+            ids = [before + enc.encode_ordinary(t or "") + after for t in b.column(b.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(ids, pa.list_(pa.int32()))], names=[*names, "ids"])
+
+    return docs.select(*names, F.col(text).alias("text__")).mapInArrow(run, _carried(docs, names) + "ids array<int>")
 
-    return docs.select(key, text).mapInArrow(run, f"{key} {dict(docs.dtypes)[key]}, ids array<int>")
 
+def decode(rows: DataFrame, vocab: DataFrame, key: str = "doc_id", keep: tuple[str, ...] = (), out: str = "text") -> DataFrame:
+    """key, the columns in keep, and the text: the tokens' bytes joined, malformed UTF-8 as U+FFFD; specials decode to their names, null ids to
+    nothing. One pass over the rows with the vocabulary's bytes, which the driver and every worker hold."""
+    told = {r["token_id"]: bytes(r["bytes"]) if r["bytes"] is not None else r["special"].encode() for r in vocab.select("token_id", "bytes", "special").collect()}  # a row a token
+    shared = rows.sparkSession.sparkContext.broadcast(told)
+    names = [key, *keep]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        look = shared.value.__getitem__
+        for b in batches:
+            texts = [b"".join(map(look, ids or ())).decode(errors="replace") for ids in b.column(b.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string())], names=[*names, out])
 
-def decode(rows: DataFrame, vocab: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, text: the tokens' bytes joined, malformed UTF-8 as U+FFFD; specials decode to their names."""
-    v = vocab.select("token_id", F.coalesce(F.hex("bytes"), F.hex(F.encode("special", "UTF-8"))).alias("h"))
-    parts = rows.select(key, F.posexplode("ids").alias("pos", "token_id")).join(F.broadcast(v), "token_id")
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "h"))), lambda x: x["h"]), "")
-    some = parts.groupBy(key).agg(joined.alias("h")).select(key, F.make_valid_utf8(F.unhex("h").cast("string")).alias("text"))
-    return rows.select(key).join(some, key, "left").select(key, F.coalesce("text", F.lit("")).alias("text"))
+    return rows.select(*names, F.col("ids").alias("ids__")).mapInArrow(run, _carried(rows, names) + f"`{out}` string")
 
 
-def compression(encoded: DataFrame, docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, bytes, tokens, ratio."""
-    d = docs.select(key, F.octet_length("text").cast("long").alias("bytes"))
-    return encoded.select(key, F.size("ids").cast("long").alias("tokens")).join(d, key).withColumn("ratio", F.try_divide("bytes", "tokens"))
+def compression(docs: DataFrame, ranks: dict[bytes, int], key: str = "doc_id") -> DataFrame:
+    """key, bytes, tokens, ratio of each row of docs."""
+    sized = docs.withColumn("bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
+    return encode(sized, ranks, key, keep=("bytes",)).select(key, "bytes", F.size("ids").cast("long").alias("tokens")).withColumn("ratio", F.try_divide("bytes", "tokens"))
 
 
-def comparison(ours: DataFrame, base: DataFrame, key: str) -> DataFrame:
-    """key, both token counts and ratios, relative_diff in percent of the base's tokens (positive: ours has fewer), better."""
-    b = base.select(key, F.col("tokens").alias("base_tokens"), F.col("ratio").alias("base_ratio"))
-    j = ours.select(key, F.col("tokens").alias("our_tokens"), F.col("ratio").alias("our_ratio")).join(b, key)
+def comparison(rows: DataFrame, key: str, ours: str = "our_tokens", base: str = "base_tokens", size: str = "bytes") -> DataFrame:
+    """rows: a row a text with its size and its tokens in two tokenizers. key, both token counts and ratios, relative_diff in percent of the
+    base's tokens (positive: ours has fewer), better."""
+    j = rows.select(key, F.col(ours).alias("our_tokens"), F.try_divide(size, ours).alias("our_ratio"), F.col(base).alias("base_tokens"), F.try_divide(size, base).alias("base_ratio"))
     better = F.when(F.col("base_ratio") > F.col("our_ratio"), "Base").when(F.col("our_ratio") > F.col("base_ratio"), "Ours").otherwise("Tie")
     return j.withColumn("relative_diff", F.try_divide(F.col("base_tokens") - F.col("our_tokens"), F.col("base_tokens")) * 100).withColumn("better", better)
 

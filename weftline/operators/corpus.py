@@ -1,7 +1,12 @@
 """Documents to token streams, shards and training batches.
 
-Order is always an explicit key. Prefix sums are taken in two levels over buckets of that key, and a document
-is laid over the shards or rows it covers by exploding their numbers, never by a range join.
+The stream's order is that of an explicit key, null keys last; rows that share a key are ordered by a hash of their text and its
+length, and count each for itself. Prefix sums are taken in two levels over range buckets of that order, and a document is laid over
+the shards or rows it covers by exploding their numbers, never by a range join. Texts travel as bytes and become ids, four times as
+long, only after the shuffle.
+
+Defined results: a null text is empty (its first token alone); repeated rows are separate documents; an empty table gives an empty
+stream; rows are never joined by their key.
 """
 
 from __future__ import annotations
@@ -9,21 +14,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.functions.byte_vocab import BOS, byte_ids, byte_length
-from weftline.operators.prefix import prefix_sum, whole_div
+from weftline.functions.byte_vocab import BOS, byte_length, ids_of_bytes
+from weftline.operators.prefix import prefix_sum, range_buckets, whole_div
 
-#: Keys of a prefix-sum bucket, and buckets of a coarser one: 2**24 keys for each row of the last window.
-SPAN, FAN = 256, 1 << 16
+#: Columns that put documents in order beside their key.
+_TIE, _BUCKET = "stream_tie", "stream_bucket"
 
 
-def key_bucket(key: str, span: int = SPAN) -> Column:
-    return whole_div(F.col(key), span)
+def _in_stream(docs: DataFrame, key: str, value: str, out: str, below: int | None = None) -> DataFrame:
+    """docs (with text) and out, the sum of value over all documents before each."""
+    d = docs.withColumn(_TIE, F.xxhash64("text"))
+    d = range_buckets(d, key, _BUCKET, F.col(_TIE))
+    order = [F.col(key).asc_nulls_last(), F.col(_TIE), F.octet_length("text").asc_nulls_first()]
+    return prefix_sum(d, value, order, _BUCKET, out, below=below).drop(_TIE, _BUCKET)
 
 
 def capped_budget(docs: DataFrame, cap: int, max_chars: int, key: str = "doc_id") -> DataFrame:
     """Documents, cut to cap characters, until their total reaches max_chars; the one that crosses it is the last."""
-    d = docs.select(key, F.substring("text", 1, cap).alias("text")).withColumn("n", F.char_length("text").cast("long")).withColumn("bucket", key_bucket(key))
-    return prefix_sum(d, "n", [key], "bucket", "before", fan=FAN, below=max_chars).select(key, "text", "n", "before")
+    d = docs.select(key, F.substring("text", 1, cap).alias("text")).withColumn("n", F.coalesce(F.char_length("text"), F.lit(0)).cast("long"))
+    return _in_stream(d, key, "n", "before", max_chars).select(key, "text", "n", "before")
 
 
 def token_counts(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -34,17 +43,16 @@ def token_counts(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def stream_offsets(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, n, off: where each document's tokens stand in the stream of all."""
-    d = docs.select(key, (1 + byte_length(F.col("text"))).alias("n")).withColumn("bucket", key_bucket(key))
-    return prefix_sum(d, "n", [key], "bucket", "off", fan=FAN).select(key, "n", "off")
+    return _in_stream(docs.select(key, "text", (1 + byte_length(F.col("text"))).alias("n")), key, "n", "off").select(key, "n", "off")
 
 
-def shard_fragments(offsets: DataFrame, size: int, key: str = "doc_id") -> DataFrame:
+def shard_fragments(offsets: DataFrame, size: int, key: str = "doc_id", more: tuple[str, ...] = ()) -> DataFrame:
     """A row for each part of a document in a shard: shard k holds stream positions [k size, (k + 1) size)."""
     div = lambda a: whole_div(a, size)
     f = offsets.withColumn("shard_id", F.explode(F.sequence(div(F.col("off")), div(F.col("off") + F.col("n") - 1))))
     first = F.col("shard_id") * size
     start = F.greatest("off", first)
-    return f.select("shard_id", split_of(F.col("shard_id")).alias("split"), key, (start - first).alias("start"), (F.least(F.col("off") + F.col("n"), first + size) - start).alias("tokens"), (start - F.col("off")).alias("from_token"))
+    return f.select("shard_id", split_of(F.col("shard_id")).alias("split"), key, (start - first).alias("start"), (F.least(F.col("off") + F.col("n"), first + size) - start).alias("tokens"), (start - F.col("off")).alias("from_token"), *more)
 
 
 def split_of(shard_id: Column) -> Column:
@@ -55,12 +63,34 @@ def shard_summary(fragments: DataFrame, key: str = "doc_id") -> DataFrame:
     return fragments.groupBy("shard_id", "split").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("fragments"), F.min(key).alias("first_doc"), F.max(key).alias("last_doc"))
 
 
+def _cut(first: Column, data: Column, at: Column, n: Column) -> tuple[Column, Column]:
+    """(first, data) of n tokens from token at on; first: whether a BOS token precedes the data's bytes."""
+    lead = F.when(first, 1).otherwise(0)
+    begins = first & (at == 0)
+    return begins, F.substring(data, (F.greatest(at - lead, F.lit(0)) + 1).cast("int"), (n - begins.cast("int")).cast("int"))
+
+
+def with_ids(fragments: DataFrame) -> DataFrame:
+    """Fragments of bytes with their ids instead."""
+    return fragments.withColumn("ids", ids_of(F.col("first"), F.col("data"))).drop("first", "data")
+
+
+def ids_of(first: Column, data: Column) -> Column:
+    return F.concat(F.when(first, F.array(F.lit(BOS))).otherwise(F.array().cast("array<int>")), ids_of_bytes(data))
+
+
+def byte_fragments(docs: DataFrame, size: int, key: str = "doc_id") -> DataFrame:
+    """shard_id, split, key, start, tokens, first, data: the shards' contents, a row a fragment; data holds a byte for each token but a document's first (BOS)."""
+    d = docs.select(key, "text", (1 + byte_length(F.col("text"))).alias("n"))
+    rows = _in_stream(d, key, "n", "off").withColumn("data", F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
+    parts = shard_fragments(rows, size, key, ("data",))
+    first, data = _cut(F.lit(True), F.col("data"), F.col("from_token"), F.col("tokens"))
+    return parts.select("shard_id", "split", key, "start", "tokens", first.alias("first"), data.alias("data"))
+
+
 def token_fragments(docs: DataFrame, size: int, key: str = "doc_id") -> DataFrame:
     """shard_id, split, key, start, ids: the shards' contents, a row a fragment."""
-    ids = F.concat(F.array(F.lit(BOS)), byte_ids(F.col("text")))
-    parts = shard_fragments(stream_offsets(docs, key), size, key)
-    whole = docs.select(key, ids.alias("all_ids"))
-    return parts.join(whole, key).select("shard_id", "split", key, "start", F.slice("all_ids", F.col("from_token").cast("int") + 1, F.col("tokens").cast("int")).alias("ids"))
+    return with_ids(byte_fragments(docs, size, key)).drop("tokens")
 
 
 def loader_batches(shards: DataFrame, block: int, ranks: int) -> DataFrame:
@@ -88,41 +118,44 @@ def check_loader(shards: DataFrame, block: int, ranks: int) -> None:
 def batch_rows(fragments: DataFrame, batches: DataFrame, block: int, length: int) -> DataFrame:
     """x and y of every row of every batch; y is x one token later.
 
-    fragments: token_fragments. Each row needs length + 1 tokens; fragments are cut over the rows they cover.
+    fragments: byte_fragments. Each row needs length + 1 tokens; fragments are cut over the rows they cover.
     """
     rows = batches.withColumn("row_no", F.explode(F.sequence(F.lit(0), F.lit(block // length - 1))))
-    rows = rows.withColumn("slot", whole_div(F.col("first"), length) + F.col("row_no"))
-    end = F.col("start") + F.size("ids")
+    rows = rows.withColumn("slot", whole_div(F.col("first"), length) + F.col("row_no")).drop("first", "last")
+    end = F.col("start") + F.col("tokens")
     cover = F.sequence(F.greatest(F.lit(0).cast("long"), whole_div(F.col("start") - 1, length)), whole_div(end - 1, length))
     cut = fragments.withColumn("slot", F.explode(cover))
     lo = F.greatest(F.col("start"), F.col("slot") * length)
     hi = F.least(end, (F.col("slot") + 1) * length + 1)
-    cut = cut.filter(hi > lo).select("shard_id", "slot", F.struct(lo.alias("at"), F.slice("ids", (lo - F.col("start")).cast("int") + 1, (hi - lo).cast("int")).alias("ids")).alias("part"))
-    slots = cut.groupBy("shard_id", "slot").agg(F.flatten(F.transform(F.array_sort(F.collect_list("part")), lambda p: p["ids"])).alias("ids"))  # a row's tokens at most
-    out = rows.join(slots, ["shard_id", "slot"])
+    first, data = _cut(F.col("first"), F.col("data"), lo - F.col("start"), hi - lo)
+    cut = cut.filter(hi > lo).select("shard_id", "slot", F.struct(lo.alias("at"), first.alias("first"), data.alias("data")).alias("part"))
+    slots = cut.groupBy("shard_id", "slot").agg(F.array_sort(F.collect_list("part")).alias("parts"))  # a row's tokens at most
+    out = rows.join(slots, ["shard_id", "slot"]).withColumn("ids", F.flatten(F.transform("parts", lambda p: ids_of(p["first"], p["data"]))))
     return out.select("shard_id", "rank", "batch_no", "row_no", F.slice("ids", 1, length).alias("x"), F.slice("ids", 2, length).alias("y"))
 
 
 def next_token_pairs(docs: DataFrame, size: int, key: str = "doc_id") -> DataFrame:
     """token_id, next_id, n over the whole stream within shards of the given size.
 
-    Pairs inside a fragment come from its array; the pair between two fragments of a shard from their ends.
+    Pairs inside a fragment come from its bytes and are counted before any shuffle; the pair between two fragments of a shard from their ends.
     """
-    f = token_fragments(docs, size, key)
-    inside = f.select(F.explode(F.arrays_zip(F.slice("ids", F.lit(1), F.greatest(F.size("ids") - 1, F.lit(0))).alias("token_id"), F.slice("ids", F.lit(2), F.greatest(F.size("ids") - 1, F.lit(0))).alias("next_id"))).alias("p")).select("p.token_id", "p.next_id")
-    ends = f.select("shard_id", "start", (F.col("start") + F.size("ids")).alias("stop"), F.element_at("ids", 1).alias("next_id"), F.element_at("ids", -1).alias("token_id"))
+    f = byte_fragments(docs, size, key)
+    ids = f.select(ids_of(F.col("first"), F.col("data")).alias("ids"))
+    inside = ids.select(F.explode(F.arrays_zip(F.slice("ids", F.lit(1), F.greatest(F.size("ids") - 1, F.lit(0))).alias("token_id"), F.slice("ids", F.lit(2), F.greatest(F.size("ids") - 1, F.lit(0))).alias("next_id"))).alias("p")).select("p.token_id", "p.next_id")
+    byte = lambda at: F.ascii(F.decode(F.substring("data", at, 1), "ISO-8859-1"))
+    head, tail = F.when(F.col("first"), F.lit(BOS)).otherwise(byte(1)), F.when(F.length("data") == 0, F.lit(BOS)).otherwise(byte(-1))
+    ends = f.select("shard_id", "start", (F.col("start") + F.col("tokens")).alias("stop"), head.alias("next_id"), tail.alias("token_id"))
     # fragments of a shard meet end to start
     between = ends.select("shard_id", "stop", "token_id").join(ends.select("shard_id", F.col("start").alias("stop"), "next_id"), ["shard_id", "stop"]).select("token_id", "next_id")
     return inside.union(between).groupBy("token_id", "next_id").agg(F.count("*").alias("n"))
 
 
 def resume_after(docs: DataFrame, done: int, key: str = "doc_id") -> DataFrame:
-    """Documents at position done and later in the order of the key."""
-    d = docs.withColumn("one_", F.lit(1)).withColumn("bucket_", key_bucket(key))
-    return prefix_sum(d, "one_", [key], "bucket_", "seq", fan=FAN).filter(F.col("seq") >= done).drop("one_", "bucket_")
+    """Documents at position done and later in the order of the stream."""
+    return _in_stream(docs.withColumn("one_", F.lit(1)), key, "one_", "seq").filter(F.col("seq") >= done).drop("one_")
 
 
 def first_rows_joined(docs: DataFrame, n: int, key: str = "doc_id") -> DataFrame:
     """The texts of the first n rows, joined by line feeds."""
-    some = docs.orderBy(key).limit(n)
+    some = docs.orderBy(F.col(key).asc_nulls_last()).limit(n)
     return some.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, "text"))), lambda x: x["text"]), "\n").alias("text"))

@@ -63,7 +63,7 @@ def shard_fragments(spark: SparkSession, sf: str) -> DataFrame:
 def shard_files(spark: SparkSession, sf: str) -> DataFrame:
     """Shards written, listed by split, and read back."""
     path = new_path(spark, "shards")
-    shards.write_shards(corpus.token_fragments(docs(spark, sf), SIZE), path)
+    shards.write_shards(corpus.byte_fragments(docs(spark, sf), SIZE), path)
     sums = shards.read_shards(spark, path).select("split", "shard_id", F.explode("ids").alias("i")).groupBy("split", "shard_id").agg(F.sum("i").alias("id_sum"))
     listed = shards.list_shards(spark, path, "val").union(shards.list_shards(spark, path, "train"))
     out = listed.join(sums, ["split", "shard_id"])
@@ -84,7 +84,7 @@ def loader_resume(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def batch_rows(spark: SparkSession, sf: str) -> DataFrame:
-    rows = corpus.batch_rows(corpus.token_fragments(docs(spark, sf), SIZE), loader_batches(spark, sf), BLOCK, LENGTH)
+    rows = corpus.batch_rows(corpus.byte_fragments(docs(spark, sf), SIZE), loader_batches(spark, sf), BLOCK, LENGTH)
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, i: a + i)
     return rows.select("shard_id", "rank", "batch_no", "row_no", F.size("x").alias("n"), total("x").alias("x_sum"), total("y").alias("y_sum"), F.element_at("x", 1).alias("x_first"), F.element_at("y", -1).alias("y_last"))
 
@@ -122,17 +122,32 @@ def bpe_train(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def tok_compare(spark: SparkSession, sf: str) -> DataFrame:
-    d = docs(spark, sf)
-    ours = bpe.compression(bpe.encode(d, _ranks(spark, sf)), d)
-    base = d.select("doc_id", F.octet_length("text").cast("long").alias("tokens")).withColumn("ratio", F.try_divide("tokens", "tokens"))
-    return bpe.comparison(ours, base, "doc_id")
+    ours = bpe.compression(docs(spark, sf), _ranks(spark, sf)).withColumn("base_tokens", F.col("bytes"))
+    return bpe.comparison(ours, "doc_id", "tokens")
+
+
+def tok_compare_plain(spark: SparkSession, sf: str) -> DataFrame:
+    """The byte vocabulary against a token for each character."""
+    d = corpus.token_counts(docs(spark, sf).withColumn("doc_id", F.struct("doc_id", F.char_length("text").cast("long").alias("chars"))))
+    d = d.select("doc_id.doc_id", "n_tokens", "n_bytes", "doc_id.chars")
+    return bpe.comparison(d, "doc_id", "n_tokens", "chars", "n_bytes")
 
 
 def bpe_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     d, ranks = docs(spark, sf), _ranks(spark, sf)
-    back = bpe.decode(bpe.encode(d, ranks), bpe.vocabulary(spark, ranks)).withColumnRenamed("text", "back")
-    j = d.join(back, "doc_id")
-    return j.agg(F.count("*").alias("n"), F.count_if(F.col("back") == F.col("text")).alias("n_equal"))
+    back = bpe.decode(bpe.encode(d, ranks, keep=("text",)), bpe.vocabulary(spark, ranks), keep=("text",), out="back")
+    return back.agg(F.count("*").alias("n"), F.count_if(F.col("back") == F.col("text")).alias("n_equal"))
+
+
+#: Fixed rows: null and repeated ids, equal and null texts.
+ODD_ROWS = [(3, "three"), (1, "one"), (None, "no id"), (1, "one again"), (1, "one"), (2, None), (None, "é and none"), (-5, ""), (9007199254740993, "far"), (None, "no id")]
+
+
+def odd_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Shards of seven tokens of rows whose ids are null, repeated and sparse: as many rows as the SQL's, and every token once."""
+    rows = spark.createDataFrame(ODD_ROWS, "doc_id long, text string")
+    f = corpus.token_fragments(rows, 7)
+    return f.groupBy("shard_id", "split").agg(F.sum(F.size("ids")).cast("long").alias("tokens"), F.countDistinct("start").alias("fragments"), F.count_if(F.element_at("ids", 1) == bv.BOS).alias("begins"))
 
 
 def stream_shards(spark: SparkSession, sf: str) -> DataFrame:
@@ -189,12 +204,21 @@ SQL = {
       select sum(loss) nats, sum(b)::bigint as bytes, sum(loss) / (ln(2) * sum(b)) bpb from v""",
     "bpe_roundtrip": "select count(*) n, count(*) n_equal from documents",
     "stream_shards": _SUMMARY,
+    "tok_compare_plain": """with t as (select doc_id, (1 + strlen(text))::bigint our_tokens, length(text)::bigint base_tokens, strlen(text) b from documents),
+      r as (select doc_id, our_tokens, b / our_tokens our_ratio, base_tokens, b / nullif(base_tokens, 0) base_ratio from t)
+      select *, 100 * ((base_tokens - our_tokens) / nullif(base_tokens, 0)) relative_diff, case when base_ratio > our_ratio then 'Base' when our_ratio > base_ratio then 'Ours' else 'Tie' end better from r""",
+    "odd_stream": """with d as (select * from (values (3, 'three'), (1, 'one'), (null, 'no id'), (1, 'one again'), (1, 'one'), (2, null), (null, 'é and none'), (-5, ''), (9007199254740993, 'far'), (null, 'no id')) t(doc_id, text)),
+      h as (select *, 1 + strlen(coalesce(text, '')) n from d),
+      -- the texts of an id stand in the order of their hashes, 'one again' and 'é and none' first
+      o as (select *, coalesce(sum(n) over (order by doc_id nulls last, case when text in ('one again', 'é and none') then 0 else 1 end rows between unbounded preceding and 1 preceding), 0)::bigint off from h),
+      f as (select *, unnest(range(off // 7, (off + n - 1) // 7 + 1)) k from o)
+      select k shard_id, case when k = 0 then 'val' else 'train' end split, sum(least(off + n, (k + 1) * 7) - greatest(off, k * 7))::bigint tokens, count(*) fragments, count(*) filter (off >= k * 7) begins from f group by k""",
 }
 
 QUERIES = {
     f.__name__: f
     for f in (
         shard_summary, corpus_budget, resume_skip, first_rows_concat, token_counts, doc_tokens, decode_roundtrip, shard_fragments, shard_files, loader_batches, loader_resume,
-        batch_rows, next_token_bigrams, token_bytes, token_bytes_stats, bits_per_byte, bpe_pretokenize, bpe_train, tok_compare, bpe_roundtrip, stream_shards,
+        batch_rows, next_token_bigrams, token_bytes, token_bytes_stats, bits_per_byte, bpe_pretokenize, bpe_train, tok_compare, tok_compare_plain, bpe_roundtrip, stream_shards, odd_stream,
     )
 }

@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.operators.corpus import with_ids
+
 
 def write_shards(fragments: DataFrame, path: str, files: int | None = None) -> None:
-    """fragments: shard_id, split, start, ids. Rows of a shard meet in a task, sorted by their start."""
+    """fragments: shard_id, split, start and ids, or bytes (corpus.byte_fragments), which become ids after the shuffle. Rows of a shard
+    meet in a task, sorted by their start."""
     dealt = fragments.repartition(files, "split", "shard_id") if files else fragments.repartition("split", "shard_id")
-    dealt.sortWithinPartitions("split", "shard_id", "start").write.partitionBy("split", "shard_id").parquet(path)
+    dealt = dealt.sortWithinPartitions("split", "shard_id", "start")
+    (with_ids(dealt).drop("tokens") if "data" in dealt.columns else dealt).write.partitionBy("split", "shard_id").parquet(path)
 
 
 def read_shards(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
