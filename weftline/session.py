@@ -44,9 +44,41 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+class Scratch:
+    """Paths made while it is open, all but the kept ones to be deleted when it closes."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+    def keep(self, *tables: DataFrame) -> None:
+        """Tables (of materialize) that are read later still; an enclosing scratch takes them over."""
+        wanted = {t._weftline_path for t in tables}
+        self.paths = [p for p in self.paths if p not in wanted]
+        if len(_open_scratches) > 1:
+            _open_scratches[-2].paths += wanted
+
+
+_open_scratches: list[Scratch] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Scratch]:
+    """Deletes the intermediate tables of the block when it ends, so that long sessions don't gather them."""
+    own = Scratch()
+    _open_scratches.append(own)
+    try:
+        yield own
+    finally:
+        _open_scratches.remove(own)
+        for path in own.paths:
+            delete_path(spark, path)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, deleted when the application ends."""
+    """A fresh path in the shared folder, deleted when the application ends, or before by an open scratch."""
     path = f"{shared_dir(spark)}/weftline/{name}-{uuid.uuid4().hex}"
+    if _open_scratches:
+        _open_scratches[-1].paths.append(path)
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
