@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 from weftline.llm.encode import release
 from weftline.llm.graph import connected_components
 from weftline.llm.words import U, Words, blocks, chained, mix64
-from weftline.session import materialize
+from weftline.session import materialize, scratch
 
 #: Bits of the sketch that orders shingles, in this many slices.
 SKETCH, SLICES = 23, 32
@@ -574,7 +574,15 @@ def _joined_regions(members: DataFrame, sets: DataFrame, weights: DataFrame, per
 
 def similar_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, hot: int | None = None, region: int = REGION) -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id (the least id that links lead to, its own included)."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    with scratch(docs.sparkSession) as own:
+        out, least = _classes(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), width, percent, hot, region)
+        own.keep(out, least)
+    out = out.join(least, "root", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def _classes(docs: DataFrame, width: int, percent: int, hot: int | None, region: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, root of each row; root and the least id of its class)."""
     parts = materialize(_nodes_and_sketch(docs, width), "jaccard-nodes")
     nodes = parts.filter("slice is null").select("doc_id", "node", "n", F.col("counts").alias("signature"))
     sketch = _sketch(parts)
@@ -610,5 +618,4 @@ def similar_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     roots = connected_components(link)
     out = materialize(nodes.drop("signature").join(roots, "node", "left").select("doc_id", "n", F.coalesce("root", "node").alias("root")), "jaccard-roots")
     least = materialize(out.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("least")), "jaccard-least")
-    out = out.join(least, "root", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out, least

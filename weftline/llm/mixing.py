@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.operators.prefix import prefix_sum
-from weftline.session import materialize
+from weftline.session import delete_path, materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Range buckets of the shuffle key within a source, and of virtual time up to 1, at least; and words a bucket beyond that.
@@ -77,6 +77,8 @@ def fair_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     bucket = F.floor(F.conv(F.substring("mix_key", 1, 8), 16, 10).cast("long") / F.lit(2**32 // buckets)).cast("int")
     queue = prefix_sum(queue.withColumn("mix_bucket", bucket), "mix_size", ["mix_key", "mix_size", "mix_row"], "mix_bucket", "mix_before", ["mix_no"])
     queue = materialize(queue.drop("mix_bucket", "mix_key"), "mix-queue")
+    for done in (thin, targets):
+        delete_path(docs.sparkSession, done._weftline_path)
 
     packets = queue.filter("mix_size > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     packets = packets.withColumn("mix_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("mix_size") - 1, F.lit(quantum).cast("long"))))

@@ -14,11 +14,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.encode import default_tokenizer, encoder, text_blocks, text_slices
-from weftline.operators.prefix import prefix_sum
 from weftline.session import materialize
 
 #: Lengths a bucket of the two-level sums.
@@ -46,13 +45,17 @@ def length_table(lengths: DataFrame, column: str = "n_tokens") -> DataFrame:
     Between two lengths that occur, limit M >= L gives truncated_tokens = tokens_fit + M * docs_over of the row of L.
     """
     h = lengths.groupBy(F.col(column).alias("limit_tokens")).agg(F.count("*").alias("docs"))
-    h = materialize(h.withColumn("tokens", F.col("docs") * F.col("limit_tokens")), "length-histogram")
-    # a descending bucket and order turn the prefix sum into the suffix sum
-    h = h.withColumn("bucket", F.floor(F.col("limit_tokens") / SPAN)).withColumn("behind", -F.col("bucket"))
-    for value, before, after in (("docs", "docs_fit", "docs_over"), ("tokens", "tokens_fit", "tokens_over")):
-        h = prefix_sum(h, value, [F.col("limit_tokens")], "bucket", before)
-        h = prefix_sum(h, value, [F.col("limit_tokens").desc()], "behind", after)
-        h = h.withColumn(before, F.col(before) + F.col(value))
+    h = materialize(h.withColumn("tokens", F.col("docs") * F.col("limit_tokens")), "length-histogram").withColumn("bucket", F.floor(F.col("limit_tokens") / SPAN))
+    sums = h.groupBy("bucket").agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
+    first, last = Window.unboundedPreceding, Window.unboundedFollowing
+    all_, own = Window.orderBy("bucket"), Window.partitionBy("bucket").orderBy("limit_tokens")
+    none = lambda c: F.coalesce(c, F.lit(0))
+    # prefix and suffix sums of buckets of SPAN lengths, then of the lengths of each bucket
+    around = sums.select("bucket", *(none(F.sum(c).over(all_.rowsBetween(*r))).alias(f"{c}_{side}") for c in ("docs", "tokens") for side, r in (("before", (first, -1)), ("after", (1, last)))))
+    h = h.join(around, "bucket")  # a row for SPAN lengths
+    for c in ("docs", "tokens"):
+        h = h.withColumn(f"{c}_fit", F.col(f"{c}_before") + F.sum(c).over(own.rowsBetween(first, 0)))
+        h = h.withColumn(f"{c}_over", F.col(f"{c}_after") + none(F.sum(c).over(own.rowsBetween(1, last))))
     truncated = F.col("tokens_fit") + F.col("limit_tokens") * F.col("docs_over")
     return h.select("limit_tokens", "docs", "tokens", "docs_fit", "tokens_fit", "docs_over", "tokens_over", truncated.alias("truncated_tokens"))
 
