@@ -116,6 +116,11 @@ def _diverse(vectors: np.ndarray, ids: np.ndarray, near: np.ndarray, degree: int
     return np.pad(out, ((0, 0), (0, degree - out.shape[1])), constant_values=-1)
 
 
+def _width(degree: int, level: int) -> int:
+    """Neighbours that a node's array holds."""
+    return degree * (2 if level == 0 else 1) * 3 // 2
+
+
 class Graph:
     """levels[0] holds all nodes; a node is on level l if its height is l or more."""
 
@@ -128,7 +133,7 @@ class Graph:
         self.vectors = vectors = np.ascontiguousarray(vectors[order])
         height = height[order]
         self.counts = [int((height >= lv).sum()) for lv in range(int(height[0]) + 1)] if n else []
-        self.levels = [np.full((c, degree * (2 if lv == 0 else 1)), -1, np.int32) for lv, c in enumerate(self.counts)]
+        self.levels = [np.full((c, _width(degree, lv)), -1, np.int32) for lv, c in enumerate(self.counts)]
         self.scratch = _Scratch(n)
         for lv in reversed(range(len(self.counts))):
             self._fill(lv, ef)
@@ -136,7 +141,7 @@ class Graph:
     def _fill(self, lv: int, ef: int) -> None:
         """Inserts the level's nodes in batches, each no larger than what is there."""
         graph, n, v = self.levels[lv], self.counts[lv], self.vectors
-        degree = graph.shape[1]
+        degree = graph.shape[1] * 2 // 3
         first = min(n, 2 * degree + 1)
         self._join(graph, np.arange(first), np.arange(first), None, degree)
         at = first
@@ -150,8 +155,9 @@ class Graph:
             at = to
 
     def _join(self, graph: np.ndarray, new: np.ndarray, among: np.ndarray, found: np.ndarray | None, degree: int) -> None:
-        """Ties new nodes to the found ones and to one another, both ways, and prunes what overflows."""
-        v = self.vectors
+        """Ties new nodes to the found ones and to one another, both ways. A node's neighbours are pruned to the degree once they
+        overflow the array, which has room for half as many more, so that few insertions prune."""
+        v, wide = self.vectors, graph.shape[1]
         own = v[new] @ v[among].T
         own[np.arange(len(new)), np.arange(len(new))] = -np.inf
         k = min(degree, len(among))
@@ -162,9 +168,9 @@ class Graph:
         near = np.where(ids >= 0, np.einsum("qkd,qd->qk", v[np.maximum(ids, 0)], v[new]), -np.inf)
         order = np.argsort(-near, axis=1, kind="stable")
         ids, near = np.take_along_axis(ids, order, 1), np.take_along_axis(near, order, 1)
-        graph[new] = _diverse(v, ids, near, degree)
+        graph[new, :degree] = _diverse(v, ids, near, degree)
         src = np.repeat(new, degree)
-        dst = graph[new].ravel()
+        dst = graph[new, :degree].ravel()
         ok = dst >= 0
         src, dst = src[ok], dst[ok]
         order = np.argsort(dst, kind="stable")
@@ -181,13 +187,17 @@ class Graph:
             twice = np.zeros(srt.shape, bool)
             twice[:, 1:] = srt[:, 1:] == srt[:, :-1]
             ids = np.where(twice, -1, srt)
-            near = np.where(ids >= 0, np.einsum("qkd,qd->qk", v[np.maximum(ids, 0)], v[part]), -np.inf)
-            order = np.argsort(-near, axis=1, kind="stable")
-            ids, near = np.take_along_axis(ids, order, 1), np.take_along_axis(near, order, 1)
-            room = (ids >= 0).sum(1) <= degree
-            graph[part[room]] = ids[room][:, :degree]
-            if (~room).any():
-                graph[part[~room]] = _diverse(v, ids[~room], near[~room], degree)
+            count = (ids >= 0).sum(1)
+            room = count <= wide
+            kept = -np.sort(-ids[room], 1)[:, :wide]  # -1 comes last
+            graph[part[room], : kept.shape[1]] = kept
+            over = ids[~room]
+            if len(over):
+                at = part[~room]
+                near = np.where(over >= 0, np.einsum("qkd,qd->qk", v[np.maximum(over, 0)], v[at]), -np.inf)
+                order = np.argsort(-near, axis=1, kind="stable")
+                graph[at, degree:] = -1
+                graph[at, :degree] = _diverse(v, np.take_along_axis(over, order, 1), np.take_along_axis(near, order, 1), degree)
 
     def _descend(self, queries: np.ndarray, to: int) -> np.ndarray:
         """Entry points on level `to`."""
@@ -218,7 +228,7 @@ class Graph:
         g.vectors, g.scratch = np.ascontiguousarray(vectors[g.order]), _Scratch(len(vectors))
         data, at, g.levels = np.frombuffer(flat["neighbours"], np.int32), 0, []
         for lv, c in enumerate(g.counts):
-            width = degree * (2 if lv == 0 else 1)
+            width = _width(degree, lv)
             g.levels.append(data[at : at + c * width].reshape(c, width))
             at += c * width
         return g
@@ -269,7 +279,7 @@ def build_index(rows: DataFrame, plan: DataFrame, degree: int = DEGREE, ef: int
     return materialize(dealt.select("dim", "shard", "vec_id", "vector").groupBy("dim", "shard").applyInPandas(build, INDEX), "hnsw-index")
 
 
-def search_index(index: DataFrame, plan: DataFrame, queries: DataFrame, k: int, degree: int = DEGREE, ef: int = 96) -> DataFrame:
+def search_index(index: DataFrame, plan: DataFrame, queries: DataFrame, k: int, degree: int = DEGREE, ef: int = 80) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of all shards."""
 
     def search(q: pd.DataFrame, i: pd.DataFrame) -> pd.DataFrame:
@@ -309,7 +319,7 @@ def search_index(index: DataFrame, plan: DataFrame, queries: DataFrame, k: int,
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def nearest(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, shard_bytes: int | None = None, most: int = MOST, degree: int = DEGREE, ef: int = 96) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, shard_bytes: int | None = None, most: int = MOST, degree: int = DEGREE, ef: int = 80) -> DataFrame:
     """The k nearest of each query row among all other rows; is_query is a condition on vec_id. With shard_bytes, shards are of that size."""
     rows = materialize(usable(vectors, id_col, vector_col), "hnsw-vectors")
     plan = materialize(shard_plan(rows, is_query, shard_bytes, most), "hnsw-plan")  # a row for each dimension
