@@ -193,7 +193,9 @@ def test_packing_of_nothing(documents):
 
 def test_packing_with_ids(documents, enc):
     got = pack(documents([(1, "some words here", "en", "a")]), with_ids=True).collect()
-    assert got[0]["ids"] == [*enc("some words here"), 2]
+    assert np.frombuffer(got[0]["ids"], "<u4").tolist() == [*enc("some words here"), 2]
+    many = pack(documents([(i, "a b c " * (1 + i % 9), "en", "a") for i in range(60)]), with_ids=True, window=16).collect()
+    assert all(zlib.crc32(r["ids"]) == r["ids_crc32"] and len(r["ids"]) == 4 * r["length"] for r in many) and len(many) > 60
 
 
 def test_pack_query(spark, sf, enc):

@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,12 +32,13 @@ from weftline.session import materialize
 
 
 def encoded_pieces(docs: DataFrame, id_col: str, text_col: str, window: int, tokenizer: str, end_id: int, with_ids: bool = False) -> DataFrame:
-    """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens (and ids)."""
-    schema = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
+    """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, piece, a number of its own (and ids, little-endian in 32 bits)."""
+    schema = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long, piece long" + ", ids binary" * with_ids
     end = np.array([end_id], "<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
+        number = TaskContext.get().partitionId() << 40
         for batch in text_slices(batches):
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for first, last in text_blocks(texts):
@@ -45,11 +47,12 @@ def encoded_pieces(docs: DataFrame, id_col: str, text_col: str, window: int, tok
                     ids = np.concatenate([ids, end])
                     for at in range(0, ids.size, window):
                         piece = ids[at : at + window]
-                        row = (doc_id, at, piece.size, zlib.crc32(piece.tobytes()), ids.size)
-                        out.append((*row, piece.tolist()) if with_ids else row)
+                        row = (doc_id, at, piece.size, zlib.crc32(piece.tobytes()), ids.size, number)
+                        out.append((*row, piece.tobytes()) if with_ids else row)
+                        number += 1
                 cols = list(zip(*out, strict=True))
-                types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), *[pa.list_(pa.int32())] * with_ids]
-                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * with_ids]
+                types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * with_ids]
+                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "piece", *["ids"] * with_ids]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, schema)
@@ -112,7 +115,8 @@ def placements(plan: list[tuple[int, dict[int, int]]]) -> tuple[pd.DataFrame, in
 
 
 def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 4096, end_id: int = 2, tokenizer: str | None = None, with_ids: bool = False, buckets: int = 1024) -> DataFrame:
-    """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids, where asked)."""
+    """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids, where asked: little-endian
+    unsigned numbers of 32 bits, as the checksum takes them)."""
     spark = docs.sparkSession
     pieces = materialize(encoded_pieces(docs, id_col, text_col, window, tokenizer or default_tokenizer(), end_id, with_ids), "packed-pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # a row for each length, of which there are `window`
@@ -122,15 +126,15 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", win
         table = pd.concat([table, pd.DataFrame([(window, 0, 1, sequences, 0)], columns=table.columns)], ignore_index=True)
 
     keys = ["doc_id", "start", "ids_crc32", "doc_tokens"]
-    thin = pieces.withColumn("pack_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")).withColumn("pack_one", F.lit(1))
+    thin = pieces.drop("ids").withColumn("pack_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")).withColumn("pack_one", F.lit(1))
     ranked = prefix_sum(thin, "pack_one", keys, "pack_bucket", "pack_rank", ["length"])
     found = {c: table[c].to_numpy(np.int64) for c in table.columns}
     lengths, steps = np.unique(found["length"]), int(found["rank_from"].max(initial=0)) + 1
     if lengths.size * steps >= 1 << 63:
         raise ValueError("too many pieces for the ranks of one plan")
     shared = spark.sparkContext.broadcast((found, lengths, steps))
-    given = [c for c in pieces.columns if c not in ("ids",)]
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
+    given = [*keys[:2], "length", *keys[2:], "piece"]
+    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, piece long, sequence_id long, offset long"
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, lengths, steps = shared.value
@@ -143,8 +147,8 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", win
             over = rank - t["rank_from"][i]
             cols = {c: b.column(c).cast(pa.int64()) for c in given}
             cols |= {"sequence_id": pa.array(t["sequence"][i] + over // t["per"][i]), "offset": pa.array(t["offset"][i] + over % t["per"][i] * length)}
-            if with_ids:
-                cols["ids"] = b.column("ids")
             yield pa.RecordBatch.from_pydict(cols)
 
-    return ranked.select(*pieces.columns, "pack_rank").mapInArrow(place, schema)
+    placed = ranked.select(*given, "pack_rank").mapInArrow(place, schema)
+    # only now, and outside Python, the ids
+    return (placed.join(pieces.select("piece", "ids"), "piece") if with_ids else placed).drop("piece")

@@ -124,18 +124,18 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([pa.array([t - (1 << 63) for t in turn], pa.int64()), pa.array(id_, pa.int64()), pa.array(label, pa.int32()), pa.array(text, pa.int64()), pa.array([held[k] for k in some], pa.binary())], names=["turn", "id", "label", "text", "features"])
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches), ignore_index=True) if (batches := list(batches)) else pd.DataFrame()
+        rows = pd.DataFrame()
+        for b in batches:  # no more than max_rows stay, in the order of training
+            rows = pd.concat([rows, b], ignore_index=True).sort_values(["turn", "id", "label", "text"]).head(max_rows)
         if rows.empty:
             return
-        rows = rows.sort_values(["turn", "id", "label", "text"])
         split = lambda f: (np.frombuffer(f, "<u4", len(f) // 8).astype(np.int64), np.frombuffer(f, "<f4", offset=len(f) // 2).astype(float))
         model = ftrl([(*split(f), y) for f, y in zip(rows["features"], rows["label"], strict=True)], 1 << bits, **options)
         yield pd.DataFrame({"weights": [model.weights.tobytes()], "bias": [model.bias]})
 
     seen = rows.select(F.col("train_id").cast("long"), "train_text", "train_label", F.xxhash64("train_text").alias("train_hash"))
     seen = seen.mapInArrow(features, "turn long, id long, label int, text long, features binary")
-    # after the join too no more than max_rows, in the order of training
-    one = seen.dropDuplicates(["turn", "id", "label", "text"]).orderBy("turn", "id", "label", "text").limit(max_rows).repartition(1)
+    one = seen.dropDuplicates(["turn", "id", "label", "text"]).repartition(1)
     fitted = one.mapInPandas(learn, "weights binary, bias double").collect()  # one row
     if not fitted:
         return QualityModel(np.zeros(1 << bits, np.float32), 0.0)
