@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.columns import map_text
+from weftline.llm.encode import release
 from weftline.llm.words import U, Words, blocks, chained, mix64
 
 BITS = 18
@@ -101,6 +102,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     rows = docs.select(F.col(id_col).alias("train_id"), F.col(text_col).alias("train_text")).join(F.broadcast(chosen), "train_id")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         held, bound = {}, None  # the max_rows first of this task, however often an id or a text repeats
         for b in batches:
             ids, labels_, texts = b.column(0).to_numpy().astype(np.int64), b.column(2).to_numpy(), b.column(3).to_numpy()
@@ -124,6 +126,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([pa.array([t - (1 << 63) for t in turn], pa.int64()), pa.array(id_, pa.int64()), pa.array(label, pa.int32()), pa.array(text, pa.int64()), pa.array([held[k] for k in some], pa.binary())], names=["turn", "id", "label", "text", "features"])
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         rows = pd.DataFrame()
         for b in batches:  # no more than max_rows stay, in the order of training
             rows = pd.concat([rows, b], ignore_index=True).sort_values(["turn", "id", "label", "text"]).head(max_rows)
