@@ -62,8 +62,8 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 4096 tokens, a row for each piece, with its token ids."""
-    return pack(docs.select("doc_id", "text"), with_ids=True)
+    """Sequences of at most 4096 tokens, a row for each piece; `pack` has the token ids too, where asked."""
+    return pack(docs.select("doc_id", "text"))
 
 
 STAGES = [
