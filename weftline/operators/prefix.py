@@ -55,7 +55,7 @@ def prefix_sum(df: DataFrame, value: str, order: list[Column | str], bucket: str
     neither a large group nor the whole table meets in one task. Where the number of buckets follows the table,
     fan says how many (whole) bucket numbers make a coarser bucket, over which the totals are summed in the same way.
     With below, only rows with out < below are given, and buckets that begin at or above it are left out before any
-    of their rows is shuffled, if the totals are small enough to broadcast.
+    of their rows is shuffled: the buckets below it are broadcast, so their number must be bounded.
     """
     keys = [*group, bucket]
     total, base, within = f"{out}__total", f"{out}__base", f"{out}__within"
@@ -67,7 +67,7 @@ def prefix_sum(df: DataFrame, value: str, order: list[Column | str], bucket: str
         before = Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
         bases = totals.select(*keys, F.coalesce(F.sum(total).over(before), F.lit(0)).alias(base))
     if below is not None:
-        bases = bases.filter(F.col(base) < below)
+        bases = F.broadcast(bases.filter(F.col(base) < below))
     inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     summed = df.join(bases, keys).withColumn(within, F.coalesce(F.sum(value).over(inside), F.lit(0))).withColumn(out, F.col(base) + F.col(within)).drop(base, within)
     return summed if below is None else summed.filter(F.col(out) < below)
