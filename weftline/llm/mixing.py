@@ -22,7 +22,7 @@ from weftline.session import delete_path, materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Range buckets of the shuffle key within a source, and of virtual time up to 1, at least; and words a bucket beyond that.
-BUCKETS, MOST, BUCKET_WORDS = 4096, 1 << 20, 1 << 22
+BUCKETS, MOST, BUCKET_WORDS = 4096, 1 << 18, 1 << 22
 #: Words of a packet.
 QUANTUM = 128
 
