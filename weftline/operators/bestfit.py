@@ -17,17 +17,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.byte_vocab import BOS
+from weftline.operators.prefix import prefix_sum, range_buckets
 
 IGNORE = -100
 
 
 def ranked(rendered: DataFrame, order: str, ranks: int, capacity: int) -> DataFrame:
     """idx (dense, from the order), rank = idx % ranks, of the conversations that fit a row."""
-    from weftline.operators.corpus import FAN, key_bucket
-    from weftline.operators.prefix import prefix_sum
-
-    r = rendered.withColumn("one_", F.lit(1)).withColumn("bucket_", key_bucket(order))
-    r = prefix_sum(r, "one_", [order], "bucket_", "idx", fan=FAN).drop("one_", "bucket_")
+    r = range_buckets(rendered.withColumn("one_", F.lit(1)), order, "bucket_", F.xxhash64("ids"))
+    r = prefix_sum(r, "one_", [F.col(order).asc_nulls_last(), F.xxhash64("ids")], "bucket_", "idx").drop("one_", "bucket_")
     return r.withColumn("rank", (F.col("idx") % ranks).cast("int")).filter(F.size("ids") <= capacity)
 
 
