@@ -39,3 +39,9 @@ def map_text(docs: DataFrame, keep: list[Column | str], text: str, outputs: str,
                 yield pa.RecordBatch.from_arrays([*kept, *arrays], names=names)
 
     return numbered.mapInArrow(run, inner).toDF(*(f.name for f in fields), *added.names)
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB's expression for the unsigned crc32 of an ASCII text, bit by bit; it has no function for it."""
+    steps = f"flatten(list_transform(range(1, length({text}) + 1), lambda i: [ascii(substr({text}, i::int, 1))::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, {steps}), lambda c, x: case when x >= 0 then xor(c, x) else xor(c >> 1, (c & 1) * 3988292384) end), 4294967295::bigint)"
