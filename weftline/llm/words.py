@@ -77,12 +77,12 @@ def blocks(column: pa.Array, limit: int | None = None, rows: int = 1024) -> Iter
 
 
 class Words:
-    """Words of a block: start and end bytes, and first[i]:first[i + 1] as the words of text i."""
+    """Words of a block: start and end bytes, and first[i]:first[i + 1] as the words of text i. between: for each byte, whether it parts words; white space if not given."""
 
-    def __init__(self, raw: np.ndarray, offs: np.ndarray):
+    def __init__(self, raw: np.ndarray, offs: np.ndarray, between: np.ndarray | None = None):
         self.raw, self.offs = raw, offs
         n = raw.size
-        space = _table("space")[raw]
+        space = (_table("space") if between is None else between)[raw]
         edge = np.empty(n + 1, bool)  # before which a word can start, or end
         edge[1:n] = space[:-1]
         edge[0] = edge[n] = True
