@@ -1,8 +1,14 @@
 """Byte-pair tokenizers: splitting, training, encoding, decoding, compression.
 
-Spark splits texts and counts distinct chunks; merging, one merge after another by definition, runs on the
-driver over the counted chunks, whose number is checked. Ties go to the most frequent pair, then to the least
-(left, right). Encoding runs in executors with one encoder for each worker process.
+Training is greedy and exact: one merge after another, of the most frequent pair, ties going to the least (left, right). Chunks stay in
+executors. A round counts the pairs of all distinct chunks, takes the F that come first, and cuts the chunks at all other pairs. Every
+merge up to the F-th pair's place happens inside what is left between the cuts: a pair that a merge makes at a cut comes later than the
+pair it was cut at, which comes after all F (its count is no greater, and its new token's number is). So the distinct pieces, with their
+counts, are all that is needed to make many merges, and F is chosen so that they hold SEGMENTS tokens at most. The driver merges those
+and sends each piece's tokens back, by which the executors rewrite their chunks. Memory in the driver depends on SEGMENTS and the
+vocabulary, not on the corpus; rounds are a dozen or two for tens of thousands of merges.
+
+Encoding splits texts with Spark, looks up the distinct chunks of a batch in a table, and merges those that it lacks, by rank.
 """
 
 from __future__ import annotations
@@ -10,17 +16,24 @@ from __future__ import annotations
 import heapq
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions.byte_vocab import SPECIALS
+from weftline.session import materialize, scratch
 
 #: Fixed value: the pattern that cuts texts into chunks.
 PATTERN = r"""'(?i:[sdmt]|ll|ve|re)|[^\r\n\p{L}\p{N}]?+\p{L}+|\p{N}{1,2}| ?[^\s\p{L}\p{N}]++[\r\n]*|\s*[\r\n]|\s+(?!\S)|\s+"""
-#: Distinct chunks that the driver merges at most.
-MAX_CHUNKS = 5_000_000
+#: Tokens of the pieces that the driver merges in a round, at most, and pairs of the first round.
+SEGMENTS, FIRST_PAIRS = 200_000, 32
+#: Tokens that a task handles at once.
+AT_ONCE = 1 << 20
+#: Chunks of the table that encoders share, and its longest chunk in bytes.
+SHARED, SHARED_BYTES = 100_000, 64
 
 
 def chunks(text: Column) -> Column:
@@ -32,43 +45,37 @@ def chunk_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(F.explode(chunks(F.col(text))).alias("chunk")).groupBy("chunk").agg(F.count("*").alias("n"))
 
 
-def merge_pairs(counts: dict[str, int], vocab_size: int) -> dict[bytes, int]:
-    """Ranks of vocab_size - len(SPECIALS) tokens, the 256 bytes first."""
-    wanted = vocab_size - len(SPECIALS)
-    if wanted < 256:
-        raise ValueError(f"a vocabulary needs {256 + len(SPECIALS)} tokens at least")
-    words = [(list(w.encode()), n) for w, n in sorted(counts.items())]
-    tokens = [bytes([b]) for b in range(256)]
+Pair = tuple[int, int]
+
+
+def greedy_merges(words: list[tuple[list[int], int]], first: int, most: int, last: tuple[int, Pair] | None = None) -> list[Pair]:
+    """The pairs merged, at most so many, in order; the words' token lists are rewritten. New tokens count from `first`. With last,
+    (-count, pair), the merges end before a pair that comes after it."""
     pairs: Counter = Counter()
-    where: dict[tuple[int, int], set[int]] = defaultdict(set)
+    where: dict[Pair, set[int]] = defaultdict(set)
     for i, (ids, n) in enumerate(words):
-        for p in zip(ids, ids[1:], strict=False):
+        for p in pairwise(ids):
             pairs[p] += n
             where[p].add(i)
     heap = [(-n, p) for p, n in pairs.items()]
     heapq.heapify(heap)
-    while len(tokens) < wanted and heap:
+    made: list[Pair] = []
+    while len(made) < most and heap:
         n, pair = heapq.heappop(heap)
-        if pairs[pair] != -n or not n:
+        if pairs.get(pair) != -n or not n:
             continue
-        new = len(tokens)
-        tokens.append(tokens[pair[0]] + tokens[pair[1]])
+        if last is not None and (n, pair) > last:
+            break
+        new = first + len(made)
+        made.append(pair)
         touched = set()
         for i in where.pop(pair):
             ids, k = words[i]
-            for p in zip(ids, ids[1:], strict=False):
+            for p in pairwise(ids):
                 pairs[p] -= k
                 touched.add(p)
-            out, at = [], 0
-            while at < len(ids):
-                if at + 1 < len(ids) and (ids[at], ids[at + 1]) == pair:
-                    out.append(new)
-                    at += 2
-                else:
-                    out.append(ids[at])
-                    at += 1
-            ids[:] = out
-            for p in zip(ids, ids[1:], strict=False):
+            ids[:] = merged(ids, pair, new)
+            for p in pairwise(ids):
                 pairs[p] += k
                 where[p].add(i)
                 touched.add(p)
@@ -77,61 +84,318 @@ def merge_pairs(counts: dict[str, int], vocab_size: int) -> dict[bytes, int]:
                 heapq.heappush(heap, (-pairs[p], p))
             else:
                 pairs.pop(p, None)
+    return made
+
+
+def merged(ids: list[int], pair: Pair, new: int) -> list[int]:
+    """The ids with each occurrence of the pair, from the left, as one."""
+    out, at = [], 0
+    while at < len(ids):
+        if at + 1 < len(ids) and (ids[at], ids[at + 1]) == pair:
+            out.append(new)
+            at += 2
+        else:
+            out.append(ids[at])
+            at += 1
+    return out
+
+
+def _wanted(vocab_size: int) -> int:
+    """Tokens that are not special."""
+    if vocab_size - len(SPECIALS) < 256:
+        raise ValueError(f"a vocabulary needs {256 + len(SPECIALS)} tokens at least")
+    return vocab_size - len(SPECIALS)
+
+
+def _ranks(merges: list[Pair]) -> dict[bytes, int]:
+    tokens = [bytes([b]) for b in range(256)]
+    for a, b in merges:
+        tokens.append(tokens[a] + tokens[b])
     return {t: i for i, t in enumerate(tokens)}
 
 
-def train_bpe(docs: DataFrame, vocab_size: int, max_chunks: int = MAX_CHUNKS) -> dict[bytes, int]:
-    counted = chunk_counts(docs)
-    rows = counted.limit(max_chunks + 1).collect()
-    if len(rows) > max_chunks:
-        raise ValueError(f"more than {max_chunks} distinct chunks; train on a budget of the corpus (corpus.capped_budget)")
-    return merge_pairs({r["chunk"]: r["n"] for r in rows}, vocab_size)
+def merge_pairs(counts: dict[str, int], vocab_size: int) -> dict[bytes, int]:
+    """Ranks of vocab_size - len(SPECIALS) tokens, the 256 bytes first, from counted chunks that one process holds."""
+    wanted = _wanted(vocab_size)
+    return _ranks(greedy_merges([(list(w.encode()), n) for w, n in sorted(counts.items())], 256, wanted - 256))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """ids of many words one after another, the words' ends, and their counts; AT_ONCE ids or so at a time."""
+
+    def joined(held: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        words = pa.chunked_array([b.column(0) for b in held]).cast(pa.large_binary()).combine_chunks()
+        _, offsets, data = words.buffers()
+        offs = np.frombuffer(offsets, np.int64)[words.offset : words.offset + len(words) + 1]
+        ids = np.frombuffer(data, np.int32, (offs[-1] - offs[0]) // 4, offs[0]) if len(words) and data else np.zeros(0, np.int32)
+        return ids, (offs[1:] - offs[0]) // 4, np.concatenate([b.column(1).to_numpy() for b in held])
+
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.column(0).nbytes // 4
+        if size >= AT_ONCE:
+            yield joined(held)
+            held, size = [], 0
+    if held:
+        yield joined(held)
 
 
-def vocabulary(spark: SparkSession, ranks: dict[bytes, int]) -> DataFrame:
-    """token_id, bytes, is_special, special, n_bytes (of the decoded token, malformed parts being U+FFFD; 0 for specials), raw_bytes."""
-    rows = [(i, bytearray(t), False, None, len(t.decode(errors="replace").encode()), len(t)) for t, i in ranks.items()]
-    rows += [(len(ranks) + i, None, True, s, 0, 0) for i, s in enumerate(SPECIALS)]
+def _pair_keys(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A number for each id and the next, -1 at the end of a word."""
+    keys = np.full(ids.size, -1, np.int64)
+    keys[:-1] = (ids[:-1].astype(np.int64) << 32) | ids[1:]
+    keys[ends[ends > 0] - 1] = -1
+    return keys
+
+
+def _words(counted: DataFrame) -> DataFrame:
+    """ids (32-bit, one for each byte) and n of counted chunks that have a pair."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data = [np.frombuffer(c, np.uint8).astype(np.int32).tobytes() for c in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(data, pa.binary()), b.column(1)], names=["ids", "n"])
+
+    return counted.select(F.encode("chunk", "UTF-8").alias("ids"), "n").filter("length(ids) > 1").mapInArrow(run, "ids binary, n long")
+
+
+def _first_pairs(words: DataFrame, most: int) -> list[tuple[int, int]]:
+    """(key, count) of the pairs that come first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, ends, n in _blocks(batches):
+            keys = _pair_keys(ids, ends)
+            weight = np.repeat(n, np.diff(ends, prepend=0))
+            inside = keys >= 0
+            found, which = np.unique(keys[inside], return_inverse=True)
+            counts = np.zeros(found.size, np.int64)
+            np.add.at(counts, which, weight[inside])
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts)], names=["key", "n"])
+
+    counted = words.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return [(r["key"], r["n"]) for r in counted.orderBy(F.desc("n"), "key").limit(most).collect()]  # at most the vocabulary's size
+
+
+def _links(ids: np.ndarray, ends: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the pieces of two ids or more between pairs that are not in first, which is sorted."""
+    keys = _pair_keys(ids, ends)
+    at = np.searchsorted(first, keys)
+    at[at == first.size] = 0
+    link = first[at] == keys
+    before = np.zeros(link.size, bool)
+    before[1:] = link[:-1]
+    return np.flatnonzero(link & ~before), np.flatnonzero(~link & before) + 1
+
+
+def _segments(words: DataFrame, first: np.ndarray) -> DataFrame:
+    """ids and n of the distinct pieces."""
+    shared = words.sparkSession.sparkContext.broadcast(np.sort(first))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, ends, n in _blocks(batches):
+            starts, stops = _links(ids, ends, shared.value)
+            weight = n[np.searchsorted(ends, starts, "right")]
+            found: dict[bytes, int] = defaultdict(int)
+            for a, b, k in zip(starts.tolist(), stops.tolist(), weight.tolist(), strict=True):
+                found[ids[a:b].tobytes()] += k
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], names=["ids", "n"])
+
+    return words.mapInArrow(run, "ids binary, n long").groupBy("ids").agg(F.sum("n").alias("n"))
+
+
+def _rewritten(words: DataFrame, first: np.ndarray, pieces: dict[bytes, bytes]) -> DataFrame:
+    """Words with their pieces' new ids, without those that have become one token."""
+    shared = words.sparkSession.sparkContext.broadcast((np.sort(first), pieces))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, told = shared.value
+        for ids, ends, n in _blocks(batches):
+            out, gone = ids.copy(), np.zeros(ids.size + 1, np.int64)
+            starts, stops = _links(ids, ends, known)
+            for a, b in zip(starts.tolist(), stops.tolist(), strict=True):
+                new = np.frombuffer(told[ids[a:b].tobytes()], np.int32)
+                out[a : a + new.size] = new
+                gone[a + new.size] += 1
+                gone[b] -= 1
+            kept = np.cumsum(gone[:-1]) == 0
+            offs = np.concatenate([[0], np.cumsum(kept)])[np.concatenate([[0], ends])]
+            words_ = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(offs.astype(np.int64) * 4), pa.py_buffer(out[kept])]).cast(pa.binary())
+            going = pa.array(np.diff(offs) > 1)
+            yield pa.RecordBatch.from_arrays([words_.filter(going), pa.array(n).filter(going)], names=["ids", "n"])
+
+    return words.mapInArrow(run, "ids binary, n long")
+
+
+def train_bpe(docs: DataFrame, vocab_size: int, segments: int | None = None) -> dict[bytes, int]:
+    """Ranks as merge_pairs gives them, fewer if there are no more pairs, merged round by round over the chunks in executors."""
+    wanted, segments = _wanted(vocab_size) - 256, segments or SEGMENTS
+    spark = docs.sparkSession
+    made: list[Pair] = []
+    with scratch(spark):
+        words = materialize(_words(chunk_counts(docs)), "bpe-words")
+        most = FIRST_PAIRS
+        while len(made) < wanted:
+            top = _first_pairs(words, min(most, wanted))
+            if not top:
+                break
+            while True:
+                keys = np.array([k for k, _ in top], np.int64)
+                found = materialize(_segments(words, keys), "bpe-pieces")
+                size = found.agg(F.sum(F.length("ids"))).first()[0] // 4
+                if size <= segments or len(top) == 1:
+                    break
+                top = top[: len(top) * 2 // 3]
+            rows = found.collect()  # `segments` ids at most
+            pieces = [(np.frombuffer(r["ids"], np.int32).tolist(), r["n"]) for r in rows]
+            key, n = top[-1]
+            made += greedy_merges(pieces, 256 + len(made), wanted - len(made), (-n, (key >> 32, key & 0xFFFFFFFF)))
+            told = {bytes(r["ids"]): np.array(ids, np.int32).tobytes() for r, (ids, _) in zip(rows, pieces, strict=True)}
+            if len(made) < wanted:
+                words = materialize(_rewritten(words, keys, told), "bpe-words")
+            most = int(len(top) * min(3.0, max(1.2, 0.8 * segments / max(size, 1)))) + 1 if size < 0.6 * segments else len(top)
+    return _ranks(made)
+
+
+def vocabulary(spark: SparkSession, ranks: dict[bytes, int], specials_first: bool = False) -> DataFrame:
+    """token_id, bytes, is_special, special, n_bytes (of the decoded token, malformed parts being U+FFFD; 0 for specials), raw_bytes.
+    The special tokens' ids follow the others', or come before them."""
+    shift, start = (len(SPECIALS), 0) if specials_first else (0, len(ranks))
+    rows = [(i + shift, bytearray(t), False, None, len(t.decode(errors="replace").encode()), len(t)) for t, i in ranks.items()]
+    rows += [(start + i, None, True, s, 0, 0) for i, s in enumerate(SPECIALS)]
     return spark.createDataFrame(rows, "token_id int, bytes binary, is_special boolean, special string, n_bytes int, raw_bytes int")
 
 
-def ranks_of(vocab: DataFrame) -> dict[bytes, int]:
-    """Ranks from a vocabulary table, such as one read back from Parquet: a row a token."""
-    return {bytes(r["bytes"]): r["token_id"] for r in vocab.filter("not is_special").collect()}
+def save_vocabulary(vocab: DataFrame, path: str) -> None:
+    vocab.coalesce(1).write.parquet(path)
 
 
-_ENCODINGS: dict = {}
+def load_vocabulary(spark: SparkSession, path: str) -> DataFrame:
+    """A saved vocabulary; its ids must be 0 to n - 1, once each."""
+    vocab = spark.read.parquet(path)
+    n, kinds, least, most = vocab.agg(F.count("*"), F.countDistinct("token_id"), F.min("token_id"), F.max("token_id")).first()
+    if not n or (kinds, least, most) != (n, 0, n - 1):
+        raise ValueError(f"{path} holds no vocabulary")
+    return vocab
 
 
-def encoding(ranks: dict[bytes, int]):
-    import tiktoken
+def ranks_of(vocab: DataFrame) -> dict[bytes, int]:
+    """Ranks from a vocabulary table, such as one read back from Parquet: a row a token. Specials may come first."""
+    rows = vocab.filter("not is_special").select("bytes", "token_id").collect()
+    least = min((r["token_id"] for r in rows), default=0)
+    return {bytes(r["bytes"]): r["token_id"] - least for r in rows}
+
+
+def special_id(vocab: DataFrame, name: str) -> int:
+    """The id of a special token, by its exact name."""
+    found = vocab.filter(F.col("is_special") & (F.col("special") == name)).select("token_id").first()
+    if found is None:
+        raise KeyError(f"{name} is no special token of the vocabulary")
+    return found[0]
+
+
+def begin_id(vocab: DataFrame) -> int:
+    """The id that begins a text: that of the first special token, or where a vocabulary lacks it, of <|endoftext|>."""
+    for name in (SPECIALS[0], "<|endoftext|>"):
+        found = vocab.filter(F.col("is_special") & (F.col("special") == name)).select("token_id").first()
+        if found is not None:
+            return found[0]
+    raise KeyError("the vocabulary has no token that begins a text")
+
+
+def encode_chunk(data: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Token ids of a chunk: the neighbours whose join has the least rank are merged first, from the left. Parts are a linked list of start
+    positions, and possible merges stand in a heap, so a chunk of n bytes takes n log n steps."""
+    if (whole := ranks.get(data)) is not None:
+        return [whole]
+    n = len(data)
+    after = list(range(1, n + 1))  # where the part that begins here ends
+    before = list(range(-1, n - 1))
+    alive = bytearray(b"\1") * n
+    heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(data[i : i + 2])) is not None]
+    heapq.heapify(heap)
+    while heap:
+        _, i, end = heapq.heappop(heap)
+        # the two parts from i are still those that were to end there
+        if not alive[i] or after[i] >= end or after[after[i]] != end:
+            continue
+        alive[after[i]] = 0
+        after[i] = end
+        if end < n:
+            before[end] = i
+            if (r := ranks.get(data[i : after[end]])) is not None:
+                heapq.heappush(heap, (r, i, after[end]))
+        if (left := before[i]) >= 0 and (r := ranks.get(data[left:end])) is not None:
+            heapq.heappush(heap, (r, left, end))
+    out, i = [], 0
+    while i < n:
+        out.append(ranks[data[i : after[i]]])
+        i = after[i]
+    return out
+
+
+def chunk_dictionary(docs: DataFrame, ranks: dict[bytes, int], text: str = "text") -> DataFrame:
+    """chunk, n, ids: every distinct chunk, encoded once."""
+    shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
-    key = hash(tuple(sorted(ranks.items(), key=lambda x: x[1])))
-    if key not in _ENCODINGS:
-        specials = {s: len(ranks) + i for i, s in enumerate(SPECIALS)}
-        _ENCODINGS[key] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=specials)
-    return _ENCODINGS[key]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = [encode_chunk(c.encode(), shared.value) for c in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.list_(pa.int32()))], names=["chunk", "n", "ids"])
+
+    return chunk_counts(docs, text).mapInArrow(run, "chunk string, n long, ids array<int>")
+
+
+def frequent(dictionary: DataFrame) -> dict[str, list[int]]:
+    """The most frequent chunks of a dictionary and their ids: SHARED entries of SHARED_BYTES bytes at most, which encoders can share."""
+    rows = dictionary.filter(F.octet_length("chunk") <= SHARED_BYTES).orderBy(F.desc("n"), "chunk").limit(SHARED).collect()
+    return {r["chunk"]: r["ids"] for r in rows}
 
 
 def _carried(df: DataFrame, names: list[str]) -> str:
     return "".join(f"`{c}` {t}, " for c, t in df.select(*names).dtypes)
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], key: str = "doc_id", text: str = "text", prepend: int | None = None, append: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """key, the columns in keep, ids. Special tokens' names in a text are ordinary text; a null text is empty. Rows stay rows, whatever their keys."""
+def encode(docs: DataFrame, ranks: dict[bytes, int], key: str = "doc_id", text: str = "text", prepend: int | None = None, append: int | None = None, keep: tuple[str, ...] = (), known: dict[str, list[int]] | None = None) -> DataFrame:
+    """key, the columns in keep, ids. Special tokens' names in a text are ordinary text; a null text is empty. Rows stay rows, whatever their keys.
+    known (of `frequent`): chunks that are not encoded anew. No text is shuffled; of the rest, a batch encodes each distinct chunk once."""
     if dict(docs.dtypes)[text] != "string":
         raise ValueError("only strings are encoded")
-    shared = docs.sparkSession.sparkContext.broadcast(ranks)
+    shared = docs.sparkSession.sparkContext.broadcast((ranks, known or {}))
     before, after = [prepend] if prepend is not None else [], [append] if append is not None else []
     names = [key, *keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoding(shared.value)
+        table, told = shared.value
         for b in batches:
-            ids = [before + enc.encode_ordinary(t or "") + after for t in b.column(b.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(ids, pa.list_(pa.int32()))], names=[*names, "ids"])
-
-    return docs.select(*names, F.col(text).alias("text__")).mapInArrow(run, _carried(docs, names) + "ids array<int>")
+            lists = b.column(b.num_columns - 1)
+            ends = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
+            coded = lists.flatten().dictionary_encode()
+            new = [i if (i := told.get(c)) is not None else encode_chunk(c.encode(), table) for c in coded.dictionary.to_pylist()]
+            sizes = np.array([len(i) for i in new], np.int64)
+            flat, begin = np.array([x for i in new for x in i], np.int32), np.cumsum(sizes) - sizes
+            which = coded.indices.to_numpy()
+            n = sizes[which]
+            stop = np.concatenate([[0], np.cumsum(n)])
+            ids = flat[np.repeat(begin[which] - stop[:-1], n) + np.arange(stop[-1])] if stop[-1] else flat[:0]
+            offs = stop[ends]
+            for value, side in ((before, slice(0, -1)), (after, slice(1, None))):
+                if value:
+                    ids = np.insert(ids, offs[side], value[0])
+                    offs = offs + np.arange(offs.size)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(ids, pa.int32()))], names=[*names, "ids"])
+
+    return docs.select(*names, chunks(F.coalesce(text, F.lit(""))).alias("chunks__")).mapInArrow(run, _carried(docs, names) + "ids array<int>")
+
+
+def encode_joined(docs: DataFrame, dictionary: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key and ids as encode gives them, from a dictionary that has every chunk: places of chunks are joined to it and gathered again by row.
+    Nothing is encoded, but every chunk's place is shuffled; for dictionaries that come from elsewhere."""
+    rows = materialize(docs.select(F.col(key).alias("key"), F.monotonically_increasing_id().alias("row_no"), chunks(F.coalesce(text, F.lit(""))).alias("chunks")), "chunks")
+    placed = rows.select("row_no", F.posexplode("chunks").alias("place", "chunk"))
+    found = placed.join(dictionary.select("chunk", "ids"), "chunk", "left").withColumn("ids", F.coalesce("ids", F.raise_error(F.lit("a chunk is not in the dictionary")).cast("array<int>")))
+    texts = found.groupBy("row_no").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("place", "ids"))), lambda x: x["ids"])).alias("ids"))  # a text's chunks
+    return rows.select("key", "row_no").join(texts, "row_no", "left").select(F.col("key").alias(key), F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
 
 
 def decode(rows: DataFrame, vocab: DataFrame, key: str = "doc_id", keep: tuple[str, ...] = (), out: str = "text") -> DataFrame:
@@ -150,10 +414,10 @@ def decode(rows: DataFrame, vocab: DataFrame, key: str = "doc_id", keep: tuple[s
     return rows.select(*names, F.col("ids").alias("ids__")).mapInArrow(run, _carried(rows, names) + f"`{out}` string")
 
 
-def compression(docs: DataFrame, ranks: dict[bytes, int], key: str = "doc_id") -> DataFrame:
+def compression(docs: DataFrame, ranks: dict[bytes, int], key: str = "doc_id", known: dict[str, list[int]] | None = None) -> DataFrame:
     """key, bytes, tokens, ratio of each row of docs."""
     sized = docs.withColumn("bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
-    return encode(sized, ranks, key, keep=("bytes",)).select(key, "bytes", F.size("ids").cast("long").alias("tokens")).withColumn("ratio", F.try_divide("bytes", "tokens"))
+    return encode(sized, ranks, key, keep=("bytes",), known=known).select(key, "bytes", F.size("ids").cast("long").alias("tokens")).withColumn("ratio", F.try_divide("bytes", "tokens"))
 
 
 def comparison(rows: DataFrame, key: str, ours: str = "our_tokens", base: str = "base_tokens", size: str = "bytes") -> DataFrame:

@@ -43,6 +43,15 @@ def doc_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return docs(spark, sf).withColumn("ids", ids).select("doc_id", F.size("ids").cast("long").alias("n"), total.alias("id_sum"), F.element_at("ids", -1).alias("last_id"))
 
 
+def doc_tokens_specials_first(spark: SparkSession, sf: str) -> DataFrame:
+    """doc_tokens in the layout whose special tokens come before the bytes; their ids are looked up by name."""
+    vocab = bpe.vocabulary(spark, {bytes([b]): b for b in range(256)}, specials_first=True)
+    begin, shift = bpe.begin_id(vocab), bpe.special_id(vocab, bv.SPECIALS[-1]) + 1
+    ids = F.concat(F.array(F.lit(begin)), F.transform(bv.byte_ids(F.col("text")), lambda i: i + shift))
+    total = F.aggregate(ids, F.lit(0).cast("long"), lambda a, i: a + i)
+    return docs(spark, sf).withColumn("ids", ids).select("doc_id", F.size("ids").cast("long").alias("n"), total.alias("id_sum"), F.element_at("ids", -1).alias("last_id"))
+
+
 def decode_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     d = docs(spark, sf).withColumn("back", bv.bytes_text(bv.byte_ids(F.col("text"))))
     return d.agg(F.count("*").alias("n"), F.count_if(F.col("back") == F.col("text")).alias("n_equal"))
@@ -113,16 +122,34 @@ def bpe_pretokenize(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", F.size("c").alias("n_chunks"), (F.array_join("c", "") == F.col("text")).alias("whole"))
 
 
-def _ranks(spark: SparkSession, sf: str) -> dict:
-    return bpe.train_bpe(corpus.capped_budget(docs(spark, sf), CAP, TRAIN_BUDGET), VOCAB)
+#: Where an application keeps the vocabulary trained on a corpus.
+_trained: dict[tuple[str, str], str] = {}
+
+
+def trained_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
+    """The vocabulary of a corpus, trained once an application, stored, and read back by every query."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _trained:
+        ranks = bpe.train_bpe(corpus.capped_budget(docs(spark, sf), CAP, TRAIN_BUDGET), VOCAB)
+        path = new_path(spark, "vocabulary")
+        bpe.save_vocabulary(bpe.vocabulary(spark, ranks), path)
+        _trained[key] = path
+    return bpe.load_vocabulary(spark, _trained[key])
 
 
 def bpe_train(spark: SparkSession, sf: str) -> DataFrame:
-    return bpe.vocabulary(spark, _ranks(spark, sf)).select("token_id", F.hex("bytes").alias("bytes_hex"), "is_special", "special", "n_bytes", "raw_bytes")
+    return trained_vocabulary(spark, sf).select("token_id", F.hex("bytes").alias("bytes_hex"), "is_special", "special", "n_bytes", "raw_bytes")
+
+
+def bpe_dictionary(spark: SparkSession, sf: str) -> DataFrame:
+    """Every distinct chunk of the corpus with its tokens."""
+    d = bpe.chunk_dictionary(docs(spark, sf), bpe.ranks_of(trained_vocabulary(spark, sf)))
+    return d.select(F.hex(F.encode("chunk", "UTF-8")).alias("chunk_hex"), "n", F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("ids"))
 
 
 def tok_compare(spark: SparkSession, sf: str) -> DataFrame:
-    ours = bpe.compression(docs(spark, sf), _ranks(spark, sf)).withColumn("base_tokens", F.col("bytes"))
+    ranks = bpe.ranks_of(trained_vocabulary(spark, sf))
+    ours = bpe.compression(docs(spark, sf), ranks).withColumn("base_tokens", F.col("bytes"))
     return bpe.comparison(ours, "doc_id", "tokens")
 
 
@@ -134,8 +161,8 @@ def tok_compare_plain(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def bpe_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    d, ranks = docs(spark, sf), _ranks(spark, sf)
-    back = bpe.decode(bpe.encode(d, ranks, keep=("text",)), bpe.vocabulary(spark, ranks), keep=("text",), out="back")
+    d, vocab = docs(spark, sf), trained_vocabulary(spark, sf)
+    back = bpe.decode(bpe.encode(d, bpe.ranks_of(vocab), keep=("text",)), vocab, keep=("text",), out="back")
     return back.agg(F.count("*").alias("n"), F.count_if(F.col("back") == F.col("text")).alias("n_equal"))
 
 
@@ -180,6 +207,8 @@ SQL = {
     "token_counts": "select doc_id, (1 + strlen(text))::bigint n_tokens, strlen(text)::bigint n_bytes, strlen(text)::double / (1 + strlen(text)) ratio from documents",
     "doc_tokens": f"""with b as (select doc_id, text, {_BYTES.format(t="text")} ids from documents)
       select doc_id, (1 + strlen(text))::bigint n, (256 + coalesce(list_sum(ids), 0))::bigint id_sum, coalesce(ids[-1], 256)::int last_id from b""",
+    "doc_tokens_specials_first": f"""with b as (select doc_id, text, {_BYTES.format(t="text")} ids from documents)
+      select doc_id, (1 + strlen(text))::bigint n, (coalesce(list_sum(ids), 0) + 9 * strlen(text))::bigint id_sum, coalesce(ids[-1] + 9, 0)::int last_id from b""",
     "decode_roundtrip": "select count(*) n, count(*) n_equal from documents",
     "shard_summary": _SUMMARY,
     "shard_fragments": f"""with {_O} select k shard_id, case when k = 0 then 'val' else 'train' end split, doc_id, greatest(off, k * {SIZE}) - k * {SIZE} as start,
@@ -218,7 +247,7 @@ SQL = {
 QUERIES = {
     f.__name__: f
     for f in (
-        shard_summary, corpus_budget, resume_skip, first_rows_concat, token_counts, doc_tokens, decode_roundtrip, shard_fragments, shard_files, loader_batches, loader_resume,
-        batch_rows, next_token_bigrams, token_bytes, token_bytes_stats, bits_per_byte, bpe_pretokenize, bpe_train, tok_compare, tok_compare_plain, bpe_roundtrip, stream_shards, odd_stream,
+        shard_summary, corpus_budget, resume_skip, first_rows_concat, token_counts, doc_tokens, doc_tokens_specials_first, decode_roundtrip, shard_fragments, shard_files, loader_batches, loader_resume,
+        batch_rows, next_token_bigrams, token_bytes, token_bytes_stats, bits_per_byte, bpe_pretokenize, bpe_train, bpe_dictionary, tok_compare, tok_compare_plain, bpe_roundtrip, stream_shards, odd_stream,
     )
 }
