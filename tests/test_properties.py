@@ -8,9 +8,10 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from weftline.functions import byte_vocab as bv
+from weftline.functions import permute
 from weftline.functions import schedules as sch
 from weftline.operators import bestfit, bpe, chat, choices, corpus, metrics, rollouts, sampling, views
-from weftline.operators.prefix import prefix_sum, range_buckets, whole_div
+from weftline.operators.prefix import numbered, prefix_sum, range_buckets, whole_div
 from weftline.plans import chat_queries, corpus_queries
 from weftline.sources import chat_lines, shards
 from weftline.streaming import token_stream
@@ -181,30 +182,92 @@ def test_packed_rows(spark, sf):
     assert sorted(seen) == sorted(have)
 
 
-def test_mixture_is_the_seeded_shuffle(spark):
+def test_mixture_in_python_order(spark):
     a = spark.range(4).select(F.col("id").alias("idx"), F.lit("a").alias("name"))
     b = spark.range(3).select(F.col("id").alias("idx"), F.lit("b").alias("name"))
-    got = [(r["task"], r["local"]) for r in views.mixture_view(spark, [(a, 4), (b, 3), (a, 4)]).orderBy("idx").collect()]
+    tasks = [(a, 4), (b, 3), (a, 4)]
     want = [(0, i) for i in range(4)] + [(1, i) for i in range(3)] + [(2, i) for i in range(4)]
+    listed = lambda order: [(r["task"], r["local"]) for r in views.mixture_view(spark, tasks, order=order).orderBy("idx").collect()]
+    keyed = listed("keyed")
+    assert keyed == [x for _, x in sorted((permute.place_of(i, 11, 42), x) for i, x in enumerate(want))] != want
     random.Random(42).shuffle(want)
-    assert got == want
+    assert listed("python") == want
     with pytest.raises(ValueError):
         views.slice_view(a, 3, 2)
+    with pytest.raises(ValueError):
+        views.mixture_view(spark, [(a, views.LISTED + 1)], order="python")
+    with pytest.raises(ValueError):
+        listed("hash")
     assert views.slice_length(1, 10, 4) == 3
 
 
-@pytest.mark.parametrize("bound", [views.MAX_MIXED, 50])
-def test_registered_mixture_holds_every_document(spark, tmp_path, monkeypatch, bound):
-    monkeypatch.setattr(views, "MAX_MIXED", bound)
-    rows = [(i * i * 7, ["b", None, "a"][i % 3]) for i in range(300)] + [(None, "a"), (-5, "b")]
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 7, 16, 17, 50, 1000, 4097])
+def test_permutations_are_one_to_one(spark, n):
+    for seed in (0, 42, -3, 2**70):
+        places = [permute.place_of(i, n, seed) for i in range(n)]
+        assert sorted(places) == list(range(n)) and [permute.place_of(p, n, seed, permute.once_back) for p in places] == list(range(n))
+    rows = spark.range(-1, n + 1).select("id", permute.where_to(F.col("id"), n, 42).alias("place")).withColumn("back", permute.where_from(F.col("place"), n, 42)).collect()
+    assert {(r["id"], r["place"], r["back"]) for r in rows} == {(-1, None, None), (n, None, None), *((i, permute.place_of(i, n, 42), i) for i in range(n))}
+
+
+@pytest.mark.parametrize("n", [10**6 + 1, 10**12 + 7, (1 << 60) - 1])
+def test_large_permutations(spark, n):
+    ids = [0, 1, 2, n // 3, n - 2, n - 1, n]
+    df = spark.createDataFrame([(i,) for i in [*ids, None]], "id long").select("id", permute.where_to(F.col("id"), n, 7).alias("place"))
+    for r in df.withColumn("back", permute.where_from(F.col("place"), n, 7)).collect():
+        known = r["id"] is not None and r["id"] < n
+        assert (r["place"], r["back"]) == ((permute.place_of(r["id"], n, 7), r["id"]) if known else (None, None))
+    with pytest.raises(ValueError):
+        permute.where_to(F.lit(0), 0, 1)
+
+
+def test_shuffles_mix_and_differ_by_seed():
+    n = 5000
+    orders = {seed: [permute.place_of(i, n, seed) for i in range(n)] for seed in range(4)}
+    for seed, places in orders.items():
+        # neighbours part: of 5,000, about one in 5,000 stays a neighbour; correlation with the order is small
+        assert sum(abs(a - b) == 1 for a, b in zip(places, places[1:], strict=False)) < 25
+        mean = (n - 1) / 2
+        assert abs(sum((i - mean) * (p - mean) for i, p in enumerate(places))) / (n * (n * n - 1) / 12) < 0.08
+        assert all(seed == other or sum(a == b for a, b in zip(places, orders[other], strict=True)) < 25 for other in orders)
+
+
+def test_pages_of_a_shuffle(spark):
+    rows = spark.range(500).select(F.col("id").alias("idx"), (F.col("id") * 3).alias("x"))
+    whole = sorted((r["idx"], r["in_order"], r["x"]) for r in views.shuffled(rows, 500, 9).collect())
+    for first, last in ((0, 500), (17, 40), (40, 40), (499, 500)):
+        assert sorted((r["idx"], r["in_order"], r["x"]) for r in views.shuffled_page(rows, 500, first, last, 9).collect()) == whole[first:last]
+    with pytest.raises(ValueError):
+        views.shuffled_page(rows, 500, 3, 501)
+    assert views.shuffled(rows.limit(0), 0).count() == views.shuffled_page(rows.limit(0), 0, 0, 0).count() == 0
+
+
+def test_registered_mixture_holds_every_document(spark, tmp_path):
+    rows = [(i * i * 7, ["b", None, "a"][i % 3]) for i in range(300)] + [(None, "a"), (-5, "b"), (7, "a"), (7, "a")]
     spark.createDataFrame(rows, "doc_id long, source string").write.parquet(str(tmp_path / "documents.parquet"))
     got = chat_queries.task_mixture(spark, str(tmp_path)).orderBy("idx").collect()
     sources = [None, "a", "b", None]
     lengths = [sum(s == x for _, s in rows) for x in sources]
     assert [r["idx"] for r in got] == list(range(sum(lengths))) and all(r["source"] == sources[r["task"]] for r in got)
     order = [(r["task"], r["local"]) for r in got]
-    assert sorted(order) == [(t, i) for t, n in enumerate(lengths) for i in range(n)] != order
-    assert (order == views.mixture_map(lengths)) == (bound > sum(lengths))
+    listed = [(t, i) for t, n in enumerate(lengths) for i in range(n)]
+    assert order == [x for _, x in sorted((permute.place_of(i, len(listed), 42), x) for i, x in enumerate(listed))]
+
+
+def test_rows_are_numbered_in_order(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice([None, 1, 1, 1, 5, -(2**40)]), rng.choice(["x", None])) for _ in range(2000)]
+    got = sorted((r["p"], r["k"], r["s"]) for r in numbered(spark.createDataFrame(rows, "k long, s string").repartition(7), ["k", "s"], "p").collect())
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")
+    assert [r[0] for r in got] == list(range(2000)) and [r[1:] for r in got] == sorted(rows, key=key)
+    assert numbered(spark.createDataFrame([], "k long, s string"), ["k"], "p").count() == 0
+
+
+def test_hash_order_keeps_every_row(spark):
+    rows = spark.createDataFrame([(1,), (1,), (None,), (2,), (3,)], "idx long")
+    got = views.hash_shuffled(rows, 5).collect()
+    keys = {r["idx"]: r["shuffle_key"] for r in got}
+    assert len(got) == 5 and len(set(keys.values())) == 4 and keys != {r["idx"]: r["shuffle_key"] for r in views.hash_shuffled(rows, 6).collect()}
 
 
 def test_choice_checks(spark):

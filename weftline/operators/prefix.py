@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.session import materialize
+
 
 def whole_div(value: Column, by: int | Column) -> Column:
     """The whole quotient of whole numbers, rounded down, exact as far as doubles hold it."""
@@ -87,3 +89,19 @@ def prefix_fold(df: DataFrame, folds: dict[str, tuple[Callable, str]], order: st
     for name, (f, c) in folds.items():
         out = out.withColumn(name, both[f](F.col(f"{name}__b"), f(F.col(c)).over(inside)))
     return out.drop(*(f"{name}__b" for name in folds))
+
+
+def numbered(rows: DataFrame, order: list[str], out: str) -> DataFrame:
+    """Adds out: the rows' places, from 0, in the order of some columns, nulls first; rows equal in them stand as they fall.
+
+    A range sort puts the rows in order, as many to a task as Spark deals, however the keys lie: equal ones are parted by a number written
+    before. Each task's rows are counted, and the counts of the tasks before are added. The rows are written twice, so they should be thin.
+    """
+    own = materialize(rows.withColumn("tie__", F.monotonically_increasing_id()), "tied")
+    by = [*map(F.col, order), F.col("tie__")]
+    # in a sorted partition the id rises by one from row to row, and its upper bits are the partition's number
+    dealt = materialize(own.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("row__", F.monotonically_increasing_id()).drop("tie__"), "ordered").withColumn("part__", F.shiftright("row__", 33))
+    parts = dealt.groupBy("part__").agg(F.min("row__").alias("first__"), F.count("*").alias("n__"))
+    before = Window.orderBy("part__").rowsBetween(Window.unboundedPreceding, -1)  # a row a task
+    shifts = parts.select("part__", (F.coalesce(F.sum("n__").over(before), F.lit(0)) - F.col("first__")).alias("shift__"))
+    return dealt.join(shifts, "part__").withColumn(out, F.col("row__") + F.col("shift__")).drop("row__", "part__", "shift__")

@@ -1,4 +1,8 @@
-"""Views over indexed tasks: slice, sequence, mixture, export."""
+"""Views over indexed tasks: slice, sequence, mixture, shuffle, export.
+
+Defined results: a task's rows are numbered 0 to n - 1 by idx, once each; rows without a number, or with one beyond, have no place in a
+shuffle. Groups and keys may be null, repeated and sparse: null groups and keys come first, rows with the same key stand as they fall.
+"""
 
 from __future__ import annotations
 
@@ -7,12 +11,12 @@ import random
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.operators.prefix import prefix_sum, whole_div
+from weftline.functions.permute import where_from, where_to
+from weftline.operators.prefix import numbered, whole_div
+from weftline.session import materialize
 
-#: Rows of a mixture that the driver shuffles at most; larger ones are in hash order.
-MAX_MIXED = 1_000_000
-#: Bucket numbers that make a coarser bucket of a prefix sum.
-FAN = 1 << 16
+#: Rows of a mixture in Python's order, which the driver lists.
+LISTED = 5_000_000
 
 
 def slice_view(task: DataFrame, start: int = 0, stop: int | None = None, step: int = 1) -> DataFrame:
@@ -40,37 +44,54 @@ def sequence_view(tasks: list[tuple[DataFrame, int]]) -> DataFrame:
 
 
 def mixture_map(lengths: list[int], seed: int = 42) -> list[tuple[int, int]]:
-    """(task, local) in the order that the seeded shuffle gives: bounded by the index, which the driver holds."""
+    """(task, local) in the order of Python's seeded shuffle: a list that the driver holds."""
     pairs = [(task, local) for task, n in enumerate(lengths) for local in range(n)]
     random.Random(seed).shuffle(pairs)
     return pairs
 
 
-def mixture_view(spark: SparkSession, tasks: list[tuple[DataFrame, int]], seed: int = 42) -> DataFrame:
-    """All tasks' rows in one shuffled order; a task listed twice counts twice."""
-    return mixed(spark, sequence_view(tasks).drop("idx"), [n for _, n in tasks], seed)
+def mixture_view(spark: SparkSession, tasks: list[tuple[DataFrame, int]], seed: int = 42, order: str = "keyed") -> DataFrame:
+    """All tasks' rows in one shuffled order, told by idx; a task listed twice counts twice.
+
+    order: "keyed", a permutation that is computed for each row by itself, whatever the number of rows, or "python", the order of Python's
+    generator, whose list the driver holds (LISTED rows at most, else an error).
+    """
+    lengths = [n for _, n in tasks]
+    rows = sequence_view(tasks)
+    if order == "keyed":
+        return shuffled(rows, sum(lengths), seed)
+    if order != "python":
+        raise ValueError("order is keyed or python")
+    if sum(lengths) > LISTED:
+        raise ValueError(f"the driver lists {LISTED} rows at most; take the keyed order")
+    listed = [(i, t, n) for i, (t, n) in enumerate(mixture_map(lengths, seed))]
+    return rows.drop("idx").join(spark.createDataFrame(listed, "idx long, task int, local long"), ["task", "local"])
+
+
+def shuffled(rows: DataFrame, n: int, seed: int = 42) -> DataFrame:
+    """Rows numbered 0 to n - 1 by idx, with idx anew: their places in a shuffled order. `in_order` is the former idx."""
+    return rows.withColumn("in_order", F.col("idx").cast("long")).withColumn("idx", where_to(F.col("in_order"), n, seed) if n else F.lit(None).cast("long"))
 
 
-def mixed(spark: SparkSession, rows: DataFrame, lengths: list[int], seed: int = 42) -> DataFrame:
-    """Adds idx, the rows' places in one shuffled order: Python's of mixture_map up to MAX_MIXED rows, by hash beyond.
-    rows: task, local from 0 to the task's length, and more."""
-    if sum(lengths) <= MAX_MIXED:
-        order = [(i, t, n) for i, (t, n) in enumerate(mixture_map(lengths, seed))]
-        return rows.join(spark.createDataFrame(order, "idx long, task int, local long"), ["task", "local"])
-    hashed = rows.withColumn("hash_", F.xxhash64(F.lit(seed), "task", "local")).withColumn("bucket_", F.shiftright("hash_", 40)).withColumn("one_", F.lit(1))
-    return prefix_sum(hashed, "one_", ["hash_", "task", "local"], "bucket_", "idx", fan=FAN).drop("one_", "bucket_", "hash_")
+def shuffled_page(rows: DataFrame, n: int, first: int, last: int, seed: int = 42) -> DataFrame:
+    """The rows that shuffled puts at places first to last - 1, without shuffling the others: the places are mapped back and looked up."""
+    if not 0 <= first <= last <= n:
+        raise ValueError("a page lies within the rows")
+    places = rows.sparkSession.range(first, last).select(F.col("id").alias("place"), (where_from(F.col("id"), n, seed) if n else F.col("id")).alias("in_order"))
+    return places.join(rows.withColumnRenamed("idx", "in_order"), "in_order").withColumnRenamed("place", "idx")
 
 
-def grouped_tasks(rows: DataFrame, group: str, key: str) -> tuple[DataFrame, list[int]]:
-    """A task for each value of group, null included, in order: the rows with task and local (their places by key), and the tasks' lengths."""
-    counted = rows.groupBy(group).count().collect()  # a row a task
-    counted.sort(key=lambda r: (r[0] is not None, r[0]))
-    known = rows.sparkSession.createDataFrame([(r[0], i) for i, r in enumerate(counted)], f"group_ {dict(rows.dtypes)[group]}, task int")
-    numbered = rows.join(F.broadcast(known), F.col(group).eqNullSafe(F.col("group_"))).drop("group_").withColumn("one_", F.lit(1))
-    numbered = numbered.withColumn("bucket_", F.coalesce(whole_div(F.col(key), 256), F.lit(-(1 << 55) - 1)))  # null keys first
-    return prefix_sum(numbered, "one_", [key], "bucket_", "local", ["task"], fan=FAN).drop("one_", "bucket_"), [r[1] for r in counted]
+def grouped_tasks(rows: DataFrame, group: str, key: str) -> tuple[DataFrame, DataFrame]:
+    """A task for each value of group, null included and first, in order: the rows with task, local (their places by key in the task, null
+    keys first) and idx (their places in all tasks, one after another), and a table of the tasks: task, first_row, n_rows."""
+    placed = numbered(rows, [group, key], "place_")
+    sizes = placed.groupBy(group).agg(F.min("place_").alias("first_row"), F.count("*").alias("n_rows"))
+    tasks = materialize(numbered(sizes, ["first_row"], "task"), "tasks").withColumn("task", F.col("task").cast("int"))
+    named = tasks.withColumnRenamed(group, "group_")
+    out = placed.join(named.drop("n_rows"), F.col(group).eqNullSafe(F.col("group_"))).drop("group_")
+    return out.withColumn("local", F.col("place_") - F.col("first_row")).withColumn("idx", F.col("place_")).drop("first_row", "place_"), tasks.drop(group)
 
 
 def hash_shuffled(task: DataFrame, seed: int, key: str = "idx") -> DataFrame:
-    """A shuffle for tables that no driver can hold: order by `shuffle_key`; the order differs from the seeded one."""
+    """A shuffle for keys that are not numbered: order by `shuffle_key`, their hash; equal keys stay together."""
     return task.withColumn("shuffle_key", F.xxhash64(F.lit(seed), F.col(key)))

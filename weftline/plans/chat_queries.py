@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import byte_vocab as bv
+from weftline.functions.permute import once_sql
 from weftline.operators import bestfit, chat, views
+from weftline.operators.prefix import numbered
 from weftline.plans.literals import cte, literal
 from weftline.session import new_path, table
 from weftline.sources import chat_lines
@@ -101,11 +103,31 @@ def task_sequence(spark: SparkSession, sf: str) -> DataFrame:
     return views.sequence_view(_tasks(spark, sf)).select("idx", "task", "local", "source")
 
 
+SEED = 42
+
+
 def task_mixture(spark: SparkSession, sf: str) -> DataFrame:
-    """All documents, a task for each source; the first task is listed twice."""
-    rows, lengths = views.grouped_tasks(_task(spark, sf), "source", "idx")
-    again = rows.filter("task = 0").withColumn("task", F.lit(len(lengths)))
-    return views.mixed(spark, rows.drop("idx").unionByName(again.drop("idx")), [*lengths, *lengths[:1]]).select("idx", "task", "local", "source")
+    """All documents, a task for each source, in one shuffled order; the first task is listed twice."""
+    rows, tasks = views.grouped_tasks(_task(spark, sf).withColumnRenamed("idx", "doc_id"), "source", "doc_id")
+    n_tasks, n, again = tasks.agg(F.count("*"), F.sum("n_rows"), F.min(F.when(F.col("task") == 0, F.col("n_rows")))).first()
+    second = rows.filter("task = 0").withColumn("task", F.lit(n_tasks).cast("int")).withColumn("idx", F.col("local") + F.lit(n))
+    return views.shuffled(rows.unionByName(second), (n or 0) + (again or 0), SEED).select("idx", "task", "local", "source")
+
+
+def _numbered_documents(spark: SparkSession, sf: str) -> DataFrame:
+    return numbered(table(spark, sf, "documents").select("doc_id", "source"), ["doc_id"], "idx")
+
+
+def task_shuffle(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _numbered_documents(spark, sf)
+    return views.shuffled(rows, rows.count(), SEED).select("idx", "in_order", "doc_id", "source")
+
+
+def task_shuffle_page(spark: SparkSession, sf: str) -> DataFrame:
+    """The second half of the shuffle, found from its places."""
+    rows = _numbered_documents(spark, sf)
+    n = rows.count()
+    return views.shuffled_page(rows, n, n // 2, n, SEED).select("idx", "in_order", "doc_id", "source")
 
 
 def task_hash_shuffle(spark: SparkSession, sf: str) -> DataFrame:
@@ -134,7 +156,20 @@ _ALL = f"{_R}, r as (select conv_id, list_prepend(256, flatten(list(ids order by
 _LEN = f"""{_C}, n as (select conv_id, least(2048, 1 + list_sum(list_transform(texts, lambda x: strlen(x) + 2)) + case when has_sys then strlen(sys) + 2 else 0 end)::bigint n,
   1 + case when has_sys then strlen(sys) + 2 else 0 end + strlen(texts[1]) + 2 < 2047 and len(roles) > 1 learns from k where alternates and len(roles) >= 1)"""
 
+#: The places of rows (in_order below n) in a shuffled order, by the same rounds; `walked` has each row's place as v.
+_SHUFFLE = f"""sized as (select *, floor(sqrt(n - 1))::bigint + 1 a from (select *, count(*) over () n from rows)),
+walk as (select *, {once_sql("in_order", "a", "((n + a - 1) // a)", SEED)} v from sized
+  union all select * exclude (v), {once_sql("v", "a", "((n + a - 1) // a)", SEED)} v from walk where v >= n),
+walked as (select * from walk where v < n)"""
+_NUMBERED = "rows as (select doc_id, source, row_number() over (order by doc_id nulls first) - 1 in_order from documents)"
+
 SQL = {
+    "task_mixture": f"""with recursive g as (select source, row_number() over (order by source nulls first) - 1 task, count(*) c from documents group by source),
+      d as (select task, source, row_number() over (partition by task order by doc_id nulls first) - 1 as local, row_number() over (order by task, doc_id nulls first) - 1 in_order from documents join g using (source)),
+      rows as (select * from d union all select (select count(*) from g), source, local, (select count(*) from d) + local from d where task = 0), {_SHUFFLE}
+      select v::bigint idx, task::int task, local, source from walked""",
+    "task_shuffle": f"with recursive {_NUMBERED}, {_SHUFFLE} select v::bigint idx, in_order, doc_id, source from walked",
+    "task_shuffle_page": f"with recursive {_NUMBERED}, {_SHUFFLE} select v::bigint idx, in_order, doc_id, source from walked where v >= n // 2",
     "conv_validate": f"with {_C} select conv_id, alternates and len(roles) >= 2 is_chat, alternates and len(roles) >= 1 is_renderable from k",
     "conv_problems": f"""with {cte("chats")}, c as (select conv_id, list(role order by turn) roles, list(coalesce(text, chr(1)) order by turn) texts from chats group by conv_id),
       q as (select conv_id, roles whole, case when roles[1] = 'system' then roles[2:] else roles end roles, case when roles[1] = 'system' then texts[2:] else texts end texts from c),
@@ -164,6 +199,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         conv_validate, conv_problems, conv_render, conv_render_tools, conv_completion, conv_length_report, chat_context, auto_steps, pack_bestfit, pack_sources, pack_targets, pack_statistics,
-        task_slice, task_sequence, task_mixture, task_hash_shuffle, export_first,
+        task_slice, task_sequence, task_mixture, task_shuffle, task_shuffle_page, task_hash_shuffle, export_first,
     )
 }
