@@ -11,7 +11,7 @@ from weftline.functions import byte_vocab as bv
 from weftline.functions import permute
 from weftline.functions import schedules as sch
 from weftline.operators import bestfit, bpe, chat, choices, corpus, metrics, rollouts, sampling, views
-from weftline.operators.prefix import numbered, prefix_sum, range_buckets, whole_div
+from weftline.operators.prefix import numbered, prefix_sum, range_buckets, sorted_parts, whole_div
 from weftline.plans import chat_queries, corpus_queries
 from weftline.sources import chat_lines, shards
 from weftline.streaming import token_stream
@@ -377,6 +377,68 @@ def test_folds_over_buckets(spark):
         assert len(got) == 560
 
 
+def test_long_series_is_spread_over_tasks(spark):
+    """One series among others lies in many parts, and its means are those of a loop; null, NaN and infinite values are skipped."""
+    rng = random.Random(8)
+    rows = [("long", i, rng.choice([float(rng.randint(-9, 9)), None, float("nan"), float("inf")])) for i in range(6000)]
+    rows += [(None, i, 1.0) for i in range(3)] + [("short", None, 2.0), ("short", 0, 3.0), ("none", 0, None)]
+    df = spark.createDataFrame(rows, "run string, step long, x double").repartition(9)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # or else so few rows are one part
+    try:
+        assert sorted_parts(df.filter("run = 'long'"), ["run", "step"]).select("part__").distinct().count() > 1
+        got = {(r["run"], r["step"]): (r["ema"], r["debiased"]) for r in metrics.debiased_ema(df, 0.95, "x", "step", "run").collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    e = 0.0
+    for _, i, x in rows[:6000]:
+        if x is not None and abs(x) < float("inf"):
+            e = 0.95 * e + 0.05 * x
+            assert got["long", i] == (pytest.approx(e), pytest.approx(e / (1 - 0.95 ** (i + 1))))
+        else:
+            assert ("long", i) not in got
+    assert got["short", None] == (pytest.approx(0.1), None) and got["short", 0][0] == pytest.approx(0.95 * 0.1 + 0.05 * 3)
+    assert got[None, 2][1] == pytest.approx(1.0) and ("none", 0) not in got
+    assert metrics.debiased_ema(df.limit(0), by="run", value="x").count() == 0
+
+
+def scanned_rows(df):
+    """Rows that the scans of an executed plan gave."""
+    plan = df._jdf.queryExecution().executedPlan()
+
+    def leaves(p):
+        if p.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            return leaves(p.executedPlan())
+        own = p.children()
+        return [p] if own.isEmpty() else [x for i in range(own.size()) for x in leaves(own.apply(i))]
+
+    return [x.metrics().apply("numOutputRows").value() for x in leaves(plan)]
+
+
+def test_a_checkpoint_reads_only_what_follows(spark, tmp_path):
+    rng = random.Random(6)
+    docs = spark.createDataFrame([(i, "ab" * rng.randint(0, 60)) for i in range(900)], "doc_id long, text string")
+    size, block, length, path = 20_000, 128, 32, f"{tmp_path}/s"
+    shards.write_shards(corpus.byte_fragments(docs, size), path, group=16)
+    shards.write_index(spark, path, 16)
+    index = {(r["shard_id"], r["row_group"]): r for r in shards.read_index(spark, path).collect()}
+    lengths = {r["shard_id"]: r["length"] for r in shards.shard_lengths(shards.read_index(spark, path)).collect()}
+    assert lengths == {r["shard_id"]: r["length"] for r in shards.list_shards(spark, path, "train").union(shards.list_shards(spark, path, "val")).collect()}
+    shard, position = 1, 9_000
+    rest = shards.read_after(spark, path, shard, position)
+    rest.collect()
+    read = scanned_rows(rest)
+    # of the checkpoint's shard the row groups that end beyond the position, and nothing of the shards before
+    own = sum(r["fragments"] for (s, _), r in index.items() if s == shard and r["end_token"] > position)
+    later = sum(r["fragments"] for (s, _), r in index.items() if s > shard)
+    assert sorted(read) == sorted([own, later]) and own < sum(r["fragments"] for (s, _), r in index.items() if s == shard)
+    rows = lambda df: sorted((r["shard_id"], r["rank"], r["batch_no"], r["row_no"], tuple(r["x"]), tuple(r["y"])) for r in df.collect())
+    whole = corpus.batch_rows(corpus.byte_fragments(docs, size), corpus.loader_batches(shards.shard_lengths(shards.read_index(spark, path)), block, 2), block, length)
+    want = [r for r in rows(whole) if r[0] > shard or (r[0] == shard and block * (r[1] + 2 * r[2]) >= position)]
+    assert rows(shards.resumed_batches(spark, path, shard, position, block, 2, length)) == want
+    with pytest.raises(ValueError):
+        shards.resumed_batches(spark, path, 0, 0, 10_001, 2, length)
+
+
 def test_draws_follow_the_probabilities(spark):
     rows = spark.createDataFrame([(r, t, p) for r in range(3000) for t, p in ((1, 0.7), (2, 0.3), (3, 0.0))], "row long, token_id int, prob double")
     got = sampling.draw(rows, 7).collect()

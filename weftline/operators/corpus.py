@@ -118,7 +118,7 @@ def check_loader(shards: DataFrame, block: int, ranks: int) -> None:
 def batch_rows(fragments: DataFrame, batches: DataFrame, block: int, length: int) -> DataFrame:
     """x and y of every row of every batch; y is x one token later.
 
-    fragments: byte_fragments. Each row needs length + 1 tokens; fragments are cut over the rows they cover.
+    fragments: byte_fragments, or such with ids for their first and data. Each row needs length + 1 tokens; fragments are cut over the rows they cover.
     """
     rows = batches.withColumn("row_no", F.explode(F.sequence(F.lit(0), F.lit(block // length - 1))))
     rows = rows.withColumn("slot", whole_div(F.col("first"), length) + F.col("row_no")).drop("first", "last")
@@ -127,10 +127,14 @@ def batch_rows(fragments: DataFrame, batches: DataFrame, block: int, length: int
     cut = fragments.withColumn("slot", F.explode(cover))
     lo = F.greatest(F.col("start"), F.col("slot") * length)
     hi = F.least(end, (F.col("slot") + 1) * length + 1)
-    first, data = _cut(F.col("first"), F.col("data"), lo - F.col("start"), hi - lo)
-    cut = cut.filter(hi > lo).select("shard_id", "slot", F.struct(lo.alias("at"), first.alias("first"), data.alias("data")).alias("part"))
+    if "ids" in fragments.columns:
+        part = F.struct(lo.alias("at"), F.slice("ids", (lo - F.col("start") + 1).cast("int"), (hi - lo).cast("int")).alias("ids"))
+    else:
+        first, data = _cut(F.col("first"), F.col("data"), lo - F.col("start"), hi - lo)
+        part = F.struct(lo.alias("at"), first.alias("first"), data.alias("data"))
+    cut = cut.filter(hi > lo).select("shard_id", "slot", part.alias("part"))
     slots = cut.groupBy("shard_id", "slot").agg(F.array_sort(F.collect_list("part")).alias("parts"))  # a row's tokens at most
-    out = rows.join(slots, ["shard_id", "slot"]).withColumn("ids", F.flatten(F.transform("parts", lambda p: ids_of(p["first"], p["data"]))))
+    out = rows.join(slots, ["shard_id", "slot"]).withColumn("ids", F.flatten(F.transform("parts", lambda p: p["ids"] if "ids" in fragments.columns else ids_of(p["first"], p["data"]))))
     return out.select("shard_id", "rank", "batch_no", "row_no", F.slice("ids", 1, length).alias("x"), F.slice("ids", 2, length).alias("y"))
 
 

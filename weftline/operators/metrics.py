@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.operators.prefix import prefix_fold, range_buckets
+from weftline.operators.prefix import prefix_fold, range_buckets, sorted_parts
+from weftline.session import materialize
 
 
 def bits_per_byte(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -35,36 +36,63 @@ def debiased_ema(series: DataFrame, beta: float = 0.9, value: str = "value", ord
     """by, order, value, ema, debiased: e = beta e + (1 - beta) x, over 1 - beta ** (order + 1). Values that are not finite are
     skipped, but their steps advance the exponent.
 
-    Rows are sorted by series and step and streamed, with one number carried from batch to batch, so a series of any length takes
-    linear time and no memory. Steps without a usable value have no row in the result; null steps come first.
+    A step maps the mean before it to the mean after it, e to a e + b, and such maps compose, so the scan has two levels and no series
+    needs one task: rows are range-sorted into parts by series and step; each part composes its own maps, row by row; the parts of a
+    series, a row each, are composed in order to find the mean that each begins with; and that is put into the part's maps. Steps without
+    a usable value have no row in the result; null series and null steps come first, rows of the same step stand as they fall.
     """
-    fields = series.select(F.col(by), F.col(order).cast("long"), F.col(value).cast("double"))
-    usable = F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(F.col(value)) < F.lit(float("inf")))
-    rows = fields.filter(usable).repartition(by).sortWithinPartitions(by, order)
+    fields = series.select(F.col(by).alias("s"), F.col(order).cast("long").alias("o"), F.col(value).cast("double").alias("x"))
+    usable = F.col("x").isNotNull() & ~F.isnan("x") & (F.abs(F.col("x")) < F.lit(float("inf")))
+    parts = sorted_parts(fields.filter(usable), ["s", "o"])
+    composed = materialize(_composed(parts, beta), "ema-parts")
+    ends = composed.groupBy("s", "part__").agg(F.max_by(F.struct("a", "b"), "row__").alias("end"))
+    begins = ends.groupBy("s").applyInArrow(_begins, f"s {dict(fields.dtypes)['s']}, part__ long, e double")
+    begins = begins.withColumnsRenamed({"s": "s_", "part__": "part_"})
+    met = composed.join(begins, F.col("s").eqNullSafe(F.col("s_")) & (F.col("part__") == F.col("part_")))
+    ema = met.withColumn("ema", F.col("a") * F.col("e") + F.col("b"))
+    out = ema.select(F.col("s").alias(by), F.col("o").alias(order), F.col("x").alias(value), "ema")
+    return out.withColumn("debiased", F.col("ema") / (1 - F.pow(F.lit(beta), F.col(order) + 1)))
+
+
+#: Values that a step of the running mean takes at once.
+BLOCK = 128
+
+
+def _composed(parts: DataFrame, beta: float) -> DataFrame:
+    """Adds a and b, the map from the mean before a part's first row of the series to the mean after each row."""
     powers = beta ** np.arange(BLOCK + 1)
     # row i of the matrix weighs the values up to i
     at = np.arange(BLOCK)
     weigh = (1 - beta) * np.where(at[:, None] >= at, beta ** np.maximum(at[:, None] - at, 0), 0.0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, last = object(), 0.0
-        for b in batches:
-            names, x = b.column(0).to_pylist(), b.column(2).to_numpy()
-            out, first = np.empty(len(x)), 0
+        now, a, b = object(), 1.0, 0.0
+        for batch in batches:
+            names, x = list(zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True)), batch.column(2).to_numpy()
+            maps, first = np.empty((2, len(x))), 0
             while first < len(x):
-                if names[first] != name:
-                    name, last = names[first], 0.0
+                if names[first] != now:
+                    now, a, b = names[first], 1.0, 0.0
                 to = first + 1
-                while to < min(len(x), first + BLOCK) and names[to] == name:
+                while to < min(len(x), first + BLOCK) and names[to] == now:
                     to += 1
                 n = to - first
-                out[first:to] = weigh[:n, :n] @ x[first:to] + powers[1 : n + 1] * last
-                last, first = out[to - 1], to
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], names=["s", "o", "v", "ema"])
-
-    ema = rows.mapInArrow(run, f"s {dict(fields.dtypes)[by]}, o long, v double, ema double").toDF(by, order, value, "ema")
-    return ema.withColumn("debiased", F.col("ema") / (1 - F.pow(F.lit(beta), F.col(order) + 1)))
-
-
-#: Values that a step of the running mean takes at once.
-BLOCK = 128
+                maps[0, first:to] = a * powers[1 : n + 1]
+                maps[1, first:to] = weigh[:n, :n] @ x[first:to] + powers[1 : n + 1] * b
+                a, b = maps[:, to - 1]
+                first = to
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(maps[0]), pa.array(maps[1])], names=["s", "o", "x", "part__", "row__", "a", "b"])
+
+    rows = parts.select("s", "o", "x", "part__", "row__").repartition("part__").sortWithinPartitions("part__", "row__")
+    kind = dict(parts.dtypes)["s"]
+    return rows.mapInArrow(run, f"s {kind}, o long, x double, part__ long, row__ long, a double, b double")
+
+
+def _begins(ends: pa.Table) -> pa.Table:
+    """The mean that each part of a series begins with: a row a part."""
+    order = np.argsort(ends["part__"].to_numpy())
+    maps, out, e = ends["end"].to_pylist(), np.empty(len(order)), 0.0
+    for i in order:
+        out[i] = e
+        e = maps[i]["a"] * e + maps[i]["b"]
+    return pa.table({"s": ends["s"], "part__": ends["part__"], "e": pa.array(out)})

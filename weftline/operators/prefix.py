@@ -91,16 +91,24 @@ def prefix_fold(df: DataFrame, folds: dict[str, tuple[Callable, str]], order: st
     return out.drop(*(f"{name}__b" for name in folds))
 
 
-def numbered(rows: DataFrame, order: list[str], out: str) -> DataFrame:
-    """Adds out: the rows' places, from 0, in the order of some columns, nulls first; rows equal in them stand as they fall.
+def sorted_parts(rows: DataFrame, order: list[str]) -> DataFrame:
+    """Rows range-sorted by some columns, nulls first, with part__, the number of the task that a row was dealt to, and row__, which rises
+    by one from row to row of a part, and from part to part.
 
-    A range sort puts the rows in order, as many to a task as Spark deals, however the keys lie: equal ones are parted by a number written
-    before. Each task's rows are counted, and the counts of the tasks before are added. The rows are written twice, so they should be thin.
+    As many rows go to a task as Spark deals, however the keys lie: equal ones are parted by a number written before and stand as they
+    fall. The rows are written twice, so they should be thin.
     """
     own = materialize(rows.withColumn("tie__", F.monotonically_increasing_id()), "tied")
     by = [*map(F.col, order), F.col("tie__")]
     # in a sorted partition the id rises by one from row to row, and its upper bits are the partition's number
-    dealt = materialize(own.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("row__", F.monotonically_increasing_id()).drop("tie__"), "ordered").withColumn("part__", F.shiftright("row__", 33))
+    dealt = own.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("row__", F.monotonically_increasing_id()).drop("tie__")
+    return materialize(dealt, "ordered").withColumn("part__", F.shiftright("row__", 33))
+
+
+def numbered(rows: DataFrame, order: list[str], out: str) -> DataFrame:
+    """Adds out: the rows' places, from 0, in the order of some columns, nulls first. Each part's rows are counted, and the counts of the
+    parts before are added."""
+    dealt = sorted_parts(rows, order)
     parts = dealt.groupBy("part__").agg(F.min("row__").alias("first__"), F.count("*").alias("n__"))
     before = Window.orderBy("part__").rowsBetween(Window.unboundedPreceding, -1)  # a row a task
     shifts = parts.select("part__", (F.coalesce(F.sum("n__").over(before), F.lit(0)) - F.col("first__")).alias("shift__"))

@@ -79,6 +79,25 @@ def shard_files(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(shards.shard_name(F.col("split"), F.col("shard_id")).alias("name"), "split", F.col("shard_id").cast("long").alias("shard_id"), F.col("length").cast("long").alias("length"), "id_sum")
 
 
+def _indexed_shards(spark: SparkSession, sf: str) -> str:
+    path = new_path(spark, "shards")
+    shards.write_shards(corpus.byte_fragments(docs(spark, sf), SIZE), path)
+    shards.write_index(spark, path)
+    return path
+
+
+def shard_index(spark: SparkSession, sf: str) -> DataFrame:
+    index = shards.read_index(spark, _indexed_shards(spark, sf))
+    return index.select("split", F.col("shard_id").cast("long").alias("shard_id"), "row_group", "first_token", "end_token", "fragments")
+
+
+def resume_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Batches of stored shards from a checkpoint on, read through the index; the first shard is for validation and is left out."""
+    rows = shards.resumed_batches(spark, _indexed_shards(spark, sf), 1, 3 * BLOCK, BLOCK, RANKS, LENGTH, "train")
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, i: a + i)
+    return rows.select(F.col("shard_id").cast("long").alias("shard_id"), "rank", "batch_no", "row_no", total("x").alias("x_sum"), total("y").alias("y_sum"))
+
+
 def _lengths(spark: SparkSession, sf: str) -> DataFrame:
     return shard_summary(spark, sf).select("shard_id", F.col("tokens").alias("length"))
 
@@ -223,6 +242,15 @@ SQL = {
               union all select cut.*, {LENGTH}, t from pos join cut on pos.shard_id = cut.shard_id and pos.p = lo + {LENGTH})
       select shard_id, rank, batch_no, row_no, count(*) filter (q < {LENGTH})::int n, sum(t) filter (q < {LENGTH})::bigint x_sum, sum(t) filter (q > 0)::bigint y_sum,
         max(t) filter (q = 0)::int x_first, max(t) filter (q = {LENGTH})::int y_last from hit group by 1, 2, 3, 4""",
+    "shard_index": f"""with {_O}, p as (select k, greatest(off, k * {SIZE}) - k * {SIZE} a, least(off + n, (k + 1) * {SIZE}) - k * {SIZE} e from f),
+      r as (select *, ((row_number() over (partition by k order by a) - 1) // {shards.GROUP})::bigint row_group from p)
+      select case when k = 0 then 'val' else 'train' end split, k shard_id, row_group, min(a) first_token, max(e) end_token, count(*) fragments from r group by k, row_group""",
+    "resume_rows": f"""with {_O}, {_LOADER}, {_TOKENS},
+      kept as (select * from l where shard_id > 1 or (shard_id = 1 and first >= {3 * BLOCK})),
+      cut as (select kept.shard_id, rank, batch_no, r::int row_no, first + r * {LENGTH} lo from kept cross join (select unnest(range({BLOCK // LENGTH})) r)),
+      hit as (select cut.*, pos.p - lo q, t from pos join cut on pos.shard_id = cut.shard_id and pos.p // {LENGTH} = lo // {LENGTH}
+              union all select cut.*, {LENGTH}, t from pos join cut on pos.shard_id = cut.shard_id and pos.p = lo + {LENGTH})
+      select shard_id, rank, batch_no, row_no, sum(t) filter (q < {LENGTH})::bigint x_sum, sum(t) filter (q > 0)::bigint y_sum from hit group by 1, 2, 3, 4""",
     "next_token_bigrams": f"""with {_O}, {_TOKENS}, nx as (select t token_id, lead(t) over (partition by shard_id order by p) next_id from pos)
       select token_id::int token_id, next_id::int next_id, count(*) n from nx where next_id is not null group by 1, 2""",
     "token_bytes": f"""select i::int token_id, i >= 256 is_special, case when i >= 256 then ([{_NAMES}])[(i - 255)::int] end special,
@@ -247,7 +275,7 @@ SQL = {
 QUERIES = {
     f.__name__: f
     for f in (
-        shard_summary, corpus_budget, resume_skip, first_rows_concat, token_counts, doc_tokens, doc_tokens_specials_first, decode_roundtrip, shard_fragments, shard_files, loader_batches, loader_resume,
+        shard_summary, corpus_budget, resume_skip, first_rows_concat, token_counts, doc_tokens, doc_tokens_specials_first, decode_roundtrip, shard_fragments, shard_files, shard_index, resume_rows, loader_batches, loader_resume,
         batch_rows, next_token_bigrams, token_bytes, token_bytes_stats, bits_per_byte, bpe_pretokenize, bpe_train, bpe_dictionary, tok_compare, tok_compare_plain, bpe_roundtrip, stream_shards, odd_stream,
     )
 }
