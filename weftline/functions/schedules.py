@@ -86,8 +86,8 @@ def peak_flops(spark: SparkSession, devices: DataFrame) -> DataFrame:
     return devices.select("device", rule.alias("flops"))
 
 
-def parsed_log(lines: DataFrame, column: str = "value") -> DataFrame:
-    """step, metric, metric_value of every name and number in lines such as `12 train 3.4 norm 0.9`; other lines give nothing.
+def parsed_log(lines: DataFrame, column: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
+    """step, metric, metric_value of every name and number in lines such as `12 train 3.4 norm 0.9`, and the columns in keep; other lines give nothing.
 
     Numbers may be nan or inf.
     """
@@ -97,4 +97,5 @@ def parsed_log(lines: DataFrame, column: str = "value") -> DataFrame:
     names = F.regexp_extract_all(F.col(column), F.lit(" " + pair), F.lit(1))
     values = F.regexp_extract_all(F.col(column), F.lit(" " + pair), F.lit(2))
     number = lambda v: F.when(v == "nan", F.lit(float("nan"))).when(v == "inf", F.lit(float("inf"))).when(v == "-inf", F.lit(float("-inf"))).otherwise(v.try_cast("double"))
-    return ok.select(step.alias("step"), F.explode(F.arrays_zip(names.alias("metric"), values.alias("v"))).alias("p")).select("step", "p.metric", number(F.col("p.v")).alias("metric_value"))
+    found = ok.select(*keep, step.alias("step"), F.explode(F.arrays_zip(names.alias("metric"), values.alias("v"))).alias("p"))
+    return found.select(*keep, "step", "p.metric", number(F.col("p.v")).alias("metric_value"))

@@ -24,28 +24,28 @@ def all_steps(spark: SparkSession, sf: str) -> DataFrame:
     return numbered(table(spark, sf, "events").select("event_id", "event_type", "value"), ["event_id"], "step")
 
 
-def _micro(value: str) -> F.Column:
+def micro(value: str) -> F.Column:
     """Millionths, rounded at a third, which no decimal number meets, so that engines agree."""
     return F.floor(F.col(value) * 1e6 + 1 / 3).cast("long").alias(f"{value}_micro")
 
 
 def ema_users(spark: SparkSession, sf: str) -> DataFrame:
     out = metrics.debiased_ema(by_user(spark, sf), BETA, by="run")
-    return out.select("run", "step", _micro("ema"), _micro("debiased"))
+    return out.select("run", "step", micro("ema"), micro("debiased"))
 
 
 def ema_events(spark: SparkSession, sf: str) -> DataFrame:
     """All events as one series."""
     out = metrics.debiased_ema(all_steps(spark, sf).withColumn("run", F.lit("all")), BETA, by="run")
-    return out.select("step", _micro("ema"), _micro("debiased"))
+    return out.select("step", micro("ema"), micro("debiased"))
 
 
 _USERS = "u as (select user_id run, row_number() over (partition by user_id order by event_id) - 1 step, event_type, value x from events)"
 _ALL = "u as (select 'all' run, row_number() over (order by event_id) - 1 step, event_type, value x from events)"
 #: Weights below 0.9 ** 400 are lost to double precision.
 _EMA = f"e as (select a.run, a.step, sum({1 - BETA}::double * b.x * pow({BETA}::double, a.step - b.step)) ema from u a join u b on a.run = b.run and b.step <= a.step and b.step > a.step - 400 group by a.run, a.step)"
-_micro_sql = lambda x, name: f"floor(({x}) * 1e6::double + {1 / 3}::double)::bigint {name}_micro"
-_TOLD = f"{_micro_sql('ema', 'ema')}, {_micro_sql(f'ema / (1 - pow({BETA}::double, step + 1))', 'debiased')}"
+micro_sql = lambda x, name: f"floor(({x}) * 1e6::double + {1 / 3}::double)::bigint {name}_micro"
+_TOLD = f"{micro_sql('ema', 'ema')}, {micro_sql(f'ema / (1 - pow({BETA}::double, step + 1))', 'debiased')}"
 
 SQL = {
     "ema_users": f"with {_USERS}, {_EMA} select run, step, {_TOLD} from e",
