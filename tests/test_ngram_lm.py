@@ -1,0 +1,68 @@
+"""The language model against a plain one."""
+
+import math
+import random
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from weftline.functions import byte_vocab as bv
+from weftline.operators import metrics, ngram_lm
+
+
+class Plain:
+    def __init__(self, texts):
+        self.abc = Counter(t for x in texts for t in self.triples(x))
+        self.bc = Counter((b, c) for _, b, c in self.abc)
+        self.c = Counter(c for _, c in self.bc)
+
+    @staticmethod
+    def triples(text):
+        ids = [256, 256, *(text or "").encode()]
+        return list(zip(ids, ids[1:], ids[2:], strict=False))
+
+    def share(self, counts, context, c, lower):
+        follow = {k[-1]: n for k, n in counts.items() if k[:-1] == context}
+        n = sum(follow.values())
+        return (max(follow.get(c, 0) - 0.75, 0) + 0.75 * len(follow) * lower) / n if n else lower
+
+    def probability(self, a, b, c):
+        total = sum(self.c.values())
+        p1 = (max(self.c[c] - 0.75, 0) + 0.75 * len(self.c) / 256) / total if total else 1 / 256
+        return self.share(self.abc, (a, b), c, self.share(self.bc, (b,), c, p1))
+
+
+def made(spark, texts):
+    return spark.createDataFrame(list(enumerate(texts)), "k long, text string")
+
+
+def test_losses_by_a_plain_model(spark):
+    rng = random.Random(1)
+    train = ["".join(rng.choice("aabcé ") for _ in range(rng.randint(0, 30))) for _ in range(25)] + [None, ""]
+    held = ["abc", "zz", "é", "", None, "aab aab", "abc"]
+    plain, model = Plain(train), ngram_lm.fit(ngram_lm.triples(made(spark, train), []))
+    # what follows any context sums to one
+    assert all(sum(plain.probability(a, b, c) for c in range(256)) == pytest.approx(1) for a, b in ((97, 98), (256, 256), (1, 97), (7, 8)))
+    got = {}
+    for r in ngram_lm.document_losses(ngram_lm.triples(made(spark, held), ["k"]), model, "k").collect():
+        got.setdefault(r["k"], []).append((r["target"], r["n"], r["loss"]))
+    for k, text in enumerate(held):
+        want = [(c, -math.log(plain.probability(a, b, c))) for a, b, c in Plain.triples(text)]
+        own = sorted((t, x) for t, n, x in got.get(k, []) for _ in range(n))
+        assert [t for t, _ in own] == sorted(t for t, _ in want) and [x for _, x in own] == pytest.approx([x for _, x in sorted(want)])
+    bits = metrics.bits_per_byte(ngram_lm.document_losses(ngram_lm.triples(made(spark, ["abc", "zz"]), ["k"]), model, "k"), bv.vocabulary(spark)).first()
+    nats = -sum(math.log(plain.probability(*t)) for x in ("abc", "zz") for t in Plain.triples(x))
+    assert (bits["nats"], bits["bytes"], bits["bpb"]) == (pytest.approx(nats), 5, pytest.approx(nats / math.log(2) / 5))
+
+
+def test_no_corpus_and_no_table_sent_whole(spark):
+    none = ngram_lm.fit(ngram_lm.triples(made(spark, []), []))
+    rows = ngram_lm.triples(made(spark, ["ab"]), ["k"])
+    assert [r["loss"] for r in ngram_lm.with_losses(rows, none).collect()] == pytest.approx([math.log(256)] * 2)
+    model = ngram_lm.fit(ngram_lm.triples(made(spark, ["ab", "abab"]), []))
+    plan = ngram_lm.losses(rows, model)
+    plan.collect()
+    assert "BroadcastHashJoin" not in plan._jdf.queryExecution().executedPlan().toString()
+    placed = ngram_lm.placed_triples(made(spark, ["ab"]), ["k"], F.array(F.lit(5), F.lit(6), F.lit(7))).collect()
+    assert [tuple(r)[1:] for r in placed] == [(0, 256, 256, 5), (1, 256, 5, 6), (2, 5, 6, 7)]

@@ -73,6 +73,11 @@ def running_accuracy(preds: DataFrame, order: str = "item") -> DataFrame:
     return s.select(order, F.col("n").cast("long").alias("n"), F.try_divide("as_", "ac_").alias("acc"), F.try_divide("bs_", "bc_").alias("acc_norm"))
 
 
+def first_items(running: DataFrame, most: int) -> DataFrame:
+    """The rows of running accuracies up to the `most`-th item, that one included."""
+    return running.filter(F.col("n") <= most)
+
+
 def class_report(preds: DataFrame, classes: int = 4, pred: str = "pred") -> DataFrame:
     """class, tp, fp, fn, precision, recall, f1 of every class, absent ones included; 0 where a denominator is 0."""
     spark = preds.sparkSession

@@ -14,9 +14,11 @@ from weftline.session import materialize
 
 
 def bits_per_byte(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
-    """tokens: target, loss. Summed nats of targets with bytes over ln 2 times their bytes; negative targets don't count; infinite without bytes."""
-    t = tokens.filter("target >= 0").join(F.broadcast(vocab.select(F.col("token_id").alias("target"), "n_bytes")), "target")
-    sums = t.agg(F.coalesce(F.sum(F.when(F.col("n_bytes") > 0, F.col("loss"))), F.lit(0.0)).alias("nats"), F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("bytes"))
+    """tokens: target, loss, and n if a row stands for several. Summed nats of targets with bytes over ln 2 times their bytes; negative
+    targets don't count; infinite without bytes."""
+    n = F.col("n") if "n" in tokens.columns else F.lit(1).cast("long")
+    t = tokens.select("target", "loss", n.alias("n")).filter("target >= 0").join(F.broadcast(vocab.select(F.col("token_id").alias("target"), "n_bytes")), "target")
+    sums = t.agg(F.coalesce(F.sum(F.when(F.col("n_bytes") > 0, F.col("loss") * F.col("n"))), F.lit(0.0)).alias("nats"), F.coalesce(F.sum(F.col("n_bytes") * F.col("n")), F.lit(0)).alias("bytes"))
     return sums.select("nats", "bytes", F.when(F.col("bytes") == 0, F.lit(float("inf"))).otherwise(F.try_divide("nats", F.log(F.lit(2.0)) * F.col("bytes"))).alias("bpb"))
 
 

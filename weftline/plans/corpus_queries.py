@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import byte_vocab as bv
-from weftline.operators import bpe, corpus, metrics
+from weftline.operators import bpe, corpus
 from weftline.session import new_path, table
 from weftline.sources import shards
 from weftline.streaming import token_stream
@@ -129,13 +129,6 @@ def token_bytes_stats(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.token_byte_stats(bv.vocabulary(spark))
 
 
-def bits_per_byte(spark: SparkSession, sf: str) -> DataFrame:
-    """Every token of the corpus as a target, with a made loss; the documents' first tokens are masked."""
-    ids = F.concat(F.array(F.lit(-1)), bv.byte_ids(F.col("text")))
-    tokens = docs(spark, sf).select(F.explode(ids).alias("target")).withColumn("loss", 0.5 + F.pmod("target", F.lit(7)))
-    return metrics.bits_per_byte(tokens, bv.vocabulary(spark))
-
-
 def bpe_pretokenize(spark: SparkSession, sf: str) -> DataFrame:
     d = docs(spark, sf).withColumn("c", bpe.chunks(F.col("text")))
     return d.select("doc_id", F.size("c").alias("n_chunks"), (F.array_join("c", "") == F.col("text")).alias("whole"))
@@ -209,7 +202,7 @@ s as (select k shard_id, sum(least(off + n, (k + 1) * {N}) - greatest(off, k * {
 _LOADER = f"""b as (select shard_id, r rank, unnest(range(greatest(1, ((length - 1) // {BLOCK} - r) // {RANKS})))::bigint batch_no
   from s cross join (select unnest(range({RANKS}))::int r) where length >= {BLOCK} * (r + 1) + 1),
 l as (select shard_id, rank, batch_no, {BLOCK} * (rank + batch_no * {RANKS}) as first, {BLOCK} * (rank + batch_no * {RANKS}) + {BLOCK} as last from b)"""
-_BYTES = "list_transform(range(0, strlen({t})), lambda i: ('0x' || substr(hex(encode({t})), (i * 2 + 1)::int, 2))::int)"
+_BYTES = "list_transform(regexp_extract_all(hex(encode({t})), '..'), lambda i: ('0x' || i)::int)"
 #: One row for each token of the stream: p is its place in its shard.
 _TOKENS = f"""tok as (select doc_id, off, unnest(list_prepend(256, {_BYTES.format(t="text")})) t, unnest(range(0, n)) i from o),
 pos as (select (off + i) // {SIZE} shard_id, (off + i) % {SIZE} p, t from tok)"""
@@ -257,8 +250,6 @@ SQL = {
       (case when i < 128 then 1 when i < 256 then 3 else 0 end)::int n_bytes, (case when i < 256 then 1 else 0 end)::int raw_bytes from (select unnest(range(265)) i)""",
     "token_bytes_stats": """with v as (select case when i < 128 then 1 else 3 end b from (select unnest(range(256)) i))
       select count(*) n, min(b) min_bytes, max(b) max_bytes, avg(b) mean_bytes, stddev_samp(b) std_bytes from v""",
-    "bits_per_byte": f"""with t as (select unnest({_BYTES.format(t="text")}) i from documents), v as (select 0.5::double + i % 7 loss, case when i < 128 then 1 else 3 end b from t)
-      select sum(loss) nats, sum(b)::bigint as bytes, sum(loss) / (ln(2) * sum(b)) bpb from v""",
     "bpe_roundtrip": "select count(*) n, count(*) n_equal from documents",
     "stream_shards": _SUMMARY,
     "tok_compare_plain": """with t as (select doc_id, (1 + strlen(text))::bigint our_tokens, length(text)::bigint base_tokens, strlen(text) b from documents),
@@ -276,6 +267,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         shard_summary, corpus_budget, resume_skip, first_rows_concat, token_counts, doc_tokens, doc_tokens_specials_first, decode_roundtrip, shard_fragments, shard_files, shard_index, resume_rows, loader_batches, loader_resume,
-        batch_rows, next_token_bigrams, token_bytes, token_bytes_stats, bits_per_byte, bpe_pretokenize, bpe_train, bpe_dictionary, tok_compare, tok_compare_plain, bpe_roundtrip, stream_shards, odd_stream,
+        batch_rows, next_token_bigrams, token_bytes, token_bytes_stats, bpe_pretokenize, bpe_train, bpe_dictionary, tok_compare, tok_compare_plain, bpe_roundtrip, stream_shards, odd_stream,
     )
 }

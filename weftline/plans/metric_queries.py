@@ -9,7 +9,7 @@ from weftline.functions import schedules as sch
 from weftline.operators import choices, metrics, rollouts, sampling
 from weftline.plans.literals import cte, literal
 from weftline.session import new_path, ship, table
-from weftline.sources import chat_lines, runs
+from weftline.sources import runs
 
 
 def _joined(ids) -> F.Column:
@@ -31,39 +31,6 @@ def mc_subjects(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(list(enumerate(choices.SUBJECTS)), "no int, subject string")
 
 
-def mc_completion_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    """Completion items written as JSON lines, read back and laid out as tokens."""
-    path = new_path(spark, "items")
-    items = literal(spark, "completion_items")
-    items.select(F.to_json(F.struct(F.col("item").alias("ind"), "ctx", "endings", "label")).alias("value")).write.text(path)
-    back = chat_lines.read_completion_lines(spark, path).select(F.col("ind").cast("int").alias("item"), "ctx", "endings", "label")
-    return choices.completion_tokens(back).select("item", "choice", "label", _joined(F.col("ids")).alias("ids"), _joined(F.col("mask")).alias("mask"))
-
-
-def _preds(spark: SparkSession) -> DataFrame:
-    return choices.predictions(choices.masked_losses(literal(spark, "tie_losses")))
-
-
-def mc_losses(spark: SparkSession, sf: str) -> DataFrame:
-    return choices.masked_losses(literal(spark, "tie_losses"))
-
-
-def mc_predict(spark: SparkSession, sf: str) -> DataFrame:
-    return _preds(spark)
-
-
-def mc_running(spark: SparkSession, sf: str) -> DataFrame:
-    return choices.running_accuracy(_preds(spark))
-
-
-def mc_classes(spark: SparkSession, sf: str) -> DataFrame:
-    return choices.class_report(_preds(spark))
-
-
-def mc_report(spark: SparkSession, sf: str) -> DataFrame:
-    return choices.accuracy_report(_preds(spark))
-
-
 def label_confusion(spark: SparkSession, sf: str) -> DataFrame:
     """A whole table through the class report: toxic as a prediction of quality."""
     preds = table(spark, sf, "labels").select(F.col("toxic").alias("pred"), F.col("quality").alias("label"))
@@ -195,20 +162,10 @@ def run_metadata(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("run", F.col("n_layer").cast("int").alias("n_layer"), _joined(F.col("resid_lambdas")).alias("resid_lambdas"), _joined(F.col("x0_lambdas")).alias("x0_lambdas"))
 
 
-def eval_result(spark: SparkSession, sf: str) -> DataFrame:
-    path = new_path(spark, "result")
-    runs.write_result(choices.accuracy_report(_preds(spark)), path)
-    return spark.read.json(path).select("num_total", "num_correct", "num_correct_norm", "acc", "acc_norm", "macro_f1")
-
-
-_LOSS = f"""with {cte("tie_losses")}, a as (select item, choice, label, sum(loss) loss_sum, avg(loss) loss_mean from tie_losses where mask = 1 and pos > 0 group by 1, 2, 3)"""
-_PRED = f"""{_LOSS}, p as (select item, label, (list(choice order by loss_sum, choice))[1] pred, (list(choice order by loss_mean, choice))[1] pred_norm from a group by 1, 2)"""
-_CLASS = """d as (select unnest(range({n}))::int as class),
-  k as (select class, count(*) filter (pred = class and label = class) tp, count(*) filter (pred = class and label <> class) fp, count(*) filter (pred <> class and label = class) fn from d cross join p group by class),
+CLASS = """dim as (select unnest(range({n}))::int as class),
+  k as (select class, count(*) filter (pred = class and label = class) tp, count(*) filter (pred = class and label <> class) fp, count(*) filter (pred <> class and label = class) fn from dim cross join p group by class),
   g as (select *, coalesce(tp / nullif(tp + fp, 0), 0)::double as precision, coalesce(tp / nullif(tp + fn, 0), 0)::double recall from k),
   h as (select *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0)::double f1 from g)"""
-_REPORT = """select (select count(*) from p) num_total, (select count(*) from p where pred = label) num_correct, (select count(*) from p where pred_norm = label) num_correct_norm"""
-_SHARE = "(select avg((pred = label)::int) from p)", "(select avg((pred_norm = label)::int) from p)", "(select avg(f1) from h)"
 _ANSWER = r"nullif(replace(regexp_extract({t}, '####\s*([\d,.\-]+)', 1), ',', ''), '')"
 _TOPK = """{head}, r as (select "row", token_id, logit, {rank} r from logits), k as (select *, exp((logit - max(logit) over (partition by "row")) / {t}) e from r where r <= 3)
   select "row", token_id, logit, e / sum(e) over (partition by "row") prob from k"""
@@ -221,14 +178,7 @@ SQL = {
       union all select item, question, choices, letters, answer, list_contains(letters, answer), 'lettered' from lettered)
       select item, '{choices.HEAD}' || question || chr(10) || array_to_string(list_transform(range(1, least(len(letters), len(choices)) + 1), lambda i: '- ' || choices[i] || '=' || letters[i] || chr(10)), '') || chr(10) || '{choices.TAIL.strip()}' prompt, reply, is_valid, kind from u""",
     "mc_categorical": f"with {cte('lettered')}, {cte('responses')} select item, case when list_contains(letters, response) then response = answer end correct from lettered join responses using (item)",
-    "mc_completion_tokens": f"""with {cte("completion_items")}, e as (select item, label, ctx, unnest(range(0, 4))::int choice, endings from completion_items), t as (select item, choice, label, ctx || ' ' || endings[choice + 1] x, strlen(ctx) h from e)
-      select item, choice, label, array_to_string(list_transform(range(0, strlen(x)), lambda i: ('0x' || substr(hex(encode(x)), (i * 2 + 1)::int, 2))::int), ',') ids, array_to_string(list_transform(range(0, strlen(x)), lambda i: case when i < h then 0 else 1 end), ',') mask from t""",
-    "mc_losses": f"{_LOSS} select item, choice, label, loss_sum, loss_mean from a",
-    "mc_predict": f"{_PRED} select item, label, pred, pred_norm from p",
-    "mc_running": f"{_PRED} select item, row_number() over (order by item) n, avg((pred = label)::int) over (order by item rows unbounded preceding) acc, avg((pred_norm = label)::int) over (order by item rows unbounded preceding) acc_norm from p",
-    "mc_classes": f"{_PRED}, {_CLASS.replace('{n}', '4')} select class, tp, fp, fn, precision, recall, f1 from h",
-    "mc_report": f"{_PRED}, {_CLASS.replace('{n}', '4')} {_REPORT}, {_SHARE[0]} acc, {_SHARE[1]} acc_norm, {_SHARE[2]} macro_f1",
-    "label_confusion": f"with p as (select toxic pred, quality as label from labels), {_CLASS.replace('{n}', '2')} select class, tp, fp, fn, precision, recall, f1 from h",
+    "label_confusion": f"with p as (select toxic pred, quality as label from labels), {CLASS.replace('{n}', '2')} select class, tp, fp, fn, precision, recall, f1 from h",
     "validation_loss": f"with {cte('rank_batches')} select avg(l) val_loss from (select rank, avg(loss) l from rank_batches where batch_no < 20 group by rank)",
     "ema_debiased": f"""with {cte("series")}, n as (select *, row_number() over (partition by series order by step) i from series),
       e as (select a.series, a.step, a.value, a.i, sum(0.1::double * b.value * pow(0.9::double, a.i - b.i)) ema from n a join n b on a.series = b.series and b.i <= a.i group by 1, 2, 3, 4)
@@ -266,14 +216,13 @@ SQL = {
       (3, 'pass@1', 0.25::double, true), (3, 'reward', 0.125::double, true), (3, 'std', 0.2165::double, true), (3, 'len', 181.5::double, true), (4, 'train', null, false), (5, 'train', null, false), (5, 'norm', 2.0::double, true), (6, 'train', 2.75::double, true)) t(step, metric, metric_value, is_finite)""",
     "run_files": "select 1000000::bigint step, 'd20_wide' largest, 'beta' newest",
     "run_metadata": f"""with {cte("configs")} select run, n_layer, array_to_string(list_transform(range(0, n_layer), lambda i: '1.0'), ',') resid_lambdas, array_to_string(list_transform(range(0, n_layer), lambda i: '0.0'), ',') x0_lambdas from configs""",
-    "eval_result": f"{_PRED}, {_CLASS.replace('{n}', '4')} {_REPORT}, round({_SHARE[0]}, 4) acc, round({_SHARE[1]}, 4) acc_norm, round({_SHARE[2]}, 4) macro_f1",
 }
 
 QUERIES = {
     f.__name__: f
     for f in (
-        mc_render, mc_categorical, mc_subjects, mc_completion_tokens, mc_losses, mc_predict, mc_running, mc_classes, mc_report, label_confusion, validation_loss, ema_debiased, running_best,
+        mc_render, mc_categorical, mc_subjects, label_confusion, validation_loss, ema_debiased, running_best,
         reward_extract, group_advantage, reward_stats, pass_at_1, zero_streak, rollout_targets, policy_objective, rollout_seeds, sample_greedy, topk_exact, topk_ties, topk_events, sample_draw,
-        sample_stops, lr_schedule, tuning_schedule, throughput, peak_flops, log_parse, run_files, run_metadata, eval_result,
+        sample_stops, lr_schedule, tuning_schedule, throughput, peak_flops, log_parse, run_files, run_metadata,
     )
 }
