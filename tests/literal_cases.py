@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import schedules as sch
-from weftline.operators import choices, metrics, rollouts, sampling
-from weftline.plans.literals import cte, literal
+from weftline.operators import bestfit, chat, choices, metrics, rollouts, sampling
+from literals import cte, literal
 from weftline.session import new_path, ship
 from weftline.sources import chat_lines, runs
 
@@ -202,7 +202,7 @@ _TOPK = """{head}, r as (select "row", token_id, logit, {rank} r from logits), k
   select "row", token_id, logit, e / sum(e) over (partition by "row") prob from k"""
 _STATS = "s as (select step, avg(r) reward_mean, stddev_pop(r) reward_std, sum(l) / sum(n) mean_len from (select step, example, avg(reward) r, sum(length) l, count(*) n from rollouts group by 1, 2) group by step)"
 _DOWN = round(sch.DECAY * sch.MAX_STEPS)
-_RULES = " ".join("when " + " and ".join(f"contains(lower(device), '{p}')" for p in parts.split()) + f" then {v!r}::double" for parts, v in sch.PEAK_FLOPS)
+_RULES = " ".join("when " + " and ".join(f"contains(lower(device), '{p}')" for p in parts) + f" then {v!r}::double" for parts, v in sch.PEAK_FLOPS)
 
 SQL = {
     "mc_render": f"""with {cte("four_choice")}, {cte("lettered")}, u as (select item, question, choices, ['A','B','C','D'] letters, (['A','B','C','D'])[answer + 1] reply, len(choices) = 4 is_valid, 'four' kind from four_choice
@@ -263,3 +263,27 @@ QUERIES = {
         sample_stops, lr_schedule, tuning_schedule, throughput, peak_flops, log_parse, run_files, run_metadata, eval_result,
     )
 }
+
+
+def conv_problems(spark: SparkSession, sf: str) -> DataFrame:
+    """Reasons, on small conversations that are wrong in every way."""
+    m = F.col("messages")
+    return chat.assemble(literal(spark, "chats")).select("conv_id", chat.chat_problem(m).alias("chat_problem"), chat.render_problem(m).alias("render_problem"))
+
+
+def pack_targets(spark: SparkSession, sf: str) -> DataFrame:
+    rows = bestfit.with_targets(literal(spark, "packed_rows"))
+    return rows.select("row_no", _joined(F.col("x")).alias("x"), _joined(F.col("y")).alias("y"), F.exists("y", lambda v: v != bestfit.IGNORE).alias("learns"))
+
+
+SQL |= {
+    "conv_problems": f"""with {cte("chats")}, c as (select conv_id, list(role order by turn) roles, list(coalesce(text, chr(1)) order by turn) texts from chats group by conv_id),
+      q as (select conv_id, roles whole, case when roles[1] = 'system' then roles[2:] else roles end roles, case when roles[1] = 'system' then texts[2:] else texts end texts from c),
+      k as (select *, len(list_filter(range(1, len(roles) + 1), lambda i: roles[i] <> case when i % 2 = 1 then 'user' else 'assistant' end)) = 0 alternates from q)
+      select conv_id, case when len(roles) < 2 then 'fewer than two messages' when not alternates then 'roles do not alternate' when list_contains(texts, chr(1)) then 'content is no string' end chat_problem,
+        case when whole[1] = 'system' and coalesce(whole[2], '') <> 'user' then 'no user message after system' when not alternates then 'roles do not alternate'
+          when list_contains(texts, chr(1)) then 'user content is no string' end render_problem from k""",
+    "pack_targets": f"""with {cte("packed_rows")}, t as (select row_no, ids[1:len(ids) - 1] x, list_transform(range(2, len(ids) + 1), lambda i: case when mask[i] = 0 then -100 else ids[i] end) y from packed_rows)
+      select row_no, array_to_string(x, ',') x, array_to_string(y, ',') y, len(list_filter(y, lambda v: v <> -100)) > 0 learns from t""",
+}
+QUERIES |= {f.__name__: f for f in (conv_problems, pack_targets)}

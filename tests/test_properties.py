@@ -182,6 +182,28 @@ def test_packed_rows(spark, sf):
     assert sorted(seen) == sorted(have)
 
 
+def test_packing_of_one_rank_in_many_tasks(spark):
+    """Ranks, buffer and ties as fill_rows has them, for repeated and null keys too; no token goes through the planning tasks."""
+    rng = random.Random(7)
+    rows = [(rng.choice([None, *range(300)]), [bv.BOS] + [k] * rng.randint(0, 40), [0] + [1] * 40) for k in range(500)]
+    rows = [(c, ids, mask[: len(ids)]) for c, ids, mask in rows]
+    df = spark.createDataFrame(rows, "conv_id long, ids array<int>, mask array<int>").coalesce(1)
+    for ranks, buffer in ((1, 20), (3, 200), (2, 1)):
+        packed = bestfit.pack_bestfit(df, ranks=ranks, length=29, buffer=buffer)
+        ordered = sorted(enumerate(rows), key=lambda r: (r[1][0] is not None, r[1][0] or 0, r[0]))
+        want = {}
+        for rank in range(ranks):
+            own = [(r, len(r[1])) for _, r in ordered[rank::ranks] if len(r[1]) <= 30]
+            for no, row in enumerate(bestfit.fill_rows(own, 30, buffer)):
+                ids, mask = [t for r in row for t in r[1]], [m for r in row for m in r[2]]
+                want[rank, no] = (ids + [bv.BOS] * (30 - len(ids)), mask + [0] * (30 - len(ids)), [r[0] for r in row])
+        assert {(r["rank"], r["row_no"]): (r["ids"], r["mask"], r["convs"]) for r in packed.collect()} == want
+    stats = bestfit.packing_stats(packed).first()
+    pads = sum(ids.count(bv.BOS) - len(convs) for ids, _, convs in want.values())
+    assert (stats["rows"], stats["pads"], stats["fill_pct"]) == (len(want), pads, pytest.approx(100 * (1 - pads / (30 * len(want)))))
+    assert bestfit.pack_bestfit(df.limit(0)).count() == 0
+
+
 def test_mixture_in_python_order(spark):
     a = spark.range(4).select(F.col("id").alias("idx"), F.lit("a").alias("name"))
     b = spark.range(3).select(F.col("id").alias("idx"), F.lit("b").alias("name"))

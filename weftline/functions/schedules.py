@@ -11,14 +11,14 @@ from pyspark.sql import functions as F
 MAX_STEPS, WARMUP, DECAY, LAST = 19073, 715, 0.65, 0.1
 #: Parts of a device's name, all of which it must have, and its peak FLOP/s; the first rule that holds counts.
 PEAK_FLOPS = [
-    ("gb200", 2.50e15), ("b200", 2.25e15), ("b100", 1.80e15),
-    ("h200 nvl", 836e12), ("h200 pcie", 836e12), ("h200", 989e12),
-    ("h100 nvl", 835e12), ("h100 pcie", 756e12), ("h100", 989e12),
-    ("h800 nvl", 989e12), ("h800", 756e12),
-    ("a100", 312e12), ("a800", 312e12), ("a40", 149.7e12), ("a30", 165e12),
-    ("l40s", 362e12), ("l4", 121e12),
-    ("mi355", 2.50e15), ("mi325", 1.3074e15), ("mi300x", 1.3074e15), ("mi300a", 980.6e12), ("mi250x", 383e12), ("mi250", 362.1e12),
-    ("5090", 209.5e12), ("4090", 165.2e12), ("3090", 71e12),
+    (("gb200",), 2.50e15), (("b200",), 2.25e15), (("b100",), 1.80e15),
+    (("h200", "nvl"), 836e12), (("h200", "pcie"), 836e12), (("h200",), 989e12),
+    (("h100", "nvl"), 835e12), (("h100", "pcie"), 756e12), (("h100",), 989e12),
+    (("h800", "nvl"), 989e12), (("h800",), 756e12),
+    (("a100",), 312e12), (("a800",), 312e12), (("a40",), 149.7e12), (("a30",), 165e12),
+    (("l40s",), 362e12), (("l4",), 121e12),
+    (("mi355",), 2.50e15), (("mi325",), 1.3074e15), (("mi300x",), 1.3074e15), (("mi300a",), 980.6e12), (("mi250x",), 383e12), (("mi250",), 362.1e12),
+    (("5090",), 209.5e12), (("4090",), 165.2e12), (("3090",), 71e12),
 ]
 
 
@@ -80,7 +80,7 @@ def peak_flops(spark: SparkSession, devices: DataFrame) -> DataFrame:
     rule = F.lit(float("inf"))
     for parts, flops in reversed(PEAK_FLOPS):
         hit = F.lit(True)
-        for p in parts.split():
+        for p in parts:
             hit = hit & name.contains(p)
         rule = F.when(hit, F.lit(float(flops))).otherwise(rule)
     return devices.select("device", rule.alias("flops"))

@@ -2,8 +2,8 @@
 
 Rank r takes conversations r, r + W, ... Within a rank the packing is sequential by definition: a buffer of up to
 `buffer` conversations is refilled before each pick, the longest that fits is taken (the earliest of equals), and a row
-that nothing fits is filled with padding. Ranks are independent; a rank's conversations stream through its task in
-order, sorted by Spark, and only the buffer is held.
+that nothing fits is filled with padding. Ranks are independent; a rank's lengths stream through one task in order, sorted by
+Spark, and only the buffer is held; tokens never go through it.
 """
 
 from __future__ import annotations
@@ -12,12 +12,13 @@ import itertools
 from collections.abc import Iterable, Iterator
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.byte_vocab import BOS
-from weftline.operators.prefix import prefix_sum, range_buckets
+from weftline.operators.prefix import numbered, prefix_sum, range_buckets
+from weftline.session import materialize
 
 IGNORE = -100
 
@@ -56,30 +57,48 @@ def fill_rows(lengths: Iterable[tuple[Any, int]], capacity: int, buffer: int) ->
         yield row
 
 
-def pack_bestfit(rendered: DataFrame, *, order: str = "conv_id", ranks: int = 2, length: int = 4096, buffer: int = 200) -> DataFrame:
-    """rank, row_no, ids, mask, convs: rows of length + 1 tokens, padded with BOS of mask 0; one pass over the source."""
-    capacity = length + 1
-    schema = "rank int, row_no int, ids array<int>, mask array<int>, convs array<long>"
+def planned_rows(lengths: DataFrame, ranks: int, capacity: int, buffer: int) -> DataFrame:
+    """lengths: rank, idx, row_id, n. rank, row_no, slot, row_id: where each conversation goes. A rank is planned in one task, in order, from
+    lengths alone."""
 
-    def source(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+    def source(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for b in batches:
-            yield from zip(b["rank"], b[order], b["ids"], b["mask"], strict=True)
+            yield from zip(*(b.column(k).to_pylist() for k in range(3)), strict=True)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out, columns = [], ["rank", "row_no", "ids", "mask", "convs"]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        made = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.int32(), pa.int64()), strict=True)], names=["rank", "row_no", "slot", "row_id"])
         for rank, convs in itertools.groupby(source(batches), key=lambda c: c[0]):
-            for no, row in enumerate(fill_rows(((c, len(c[2])) for c in convs), capacity, buffer)):
-                ids, mask = [t for c in row for t in c[2]], [t for c in row for t in c[3]]
-                pad = capacity - len(ids)
-                out.append((rank, no, ids + [BOS] * pad, mask + [0] * pad, [int(c[1]) for c in row]))
-                if len(out) == 100:
-                    yield pd.DataFrame(out, columns=columns)
-                    out = []
+            for no, row in enumerate(fill_rows(((c[1], c[2]) for c in convs), capacity, buffer)):
+                out += [(rank, no, slot, row_id) for slot, row_id in enumerate(row)]
+                if len(out) >= 10_000:
+                    yield made()
+                    out.clear()
         if out:
-            yield pd.DataFrame(out, columns=columns)
+            yield made()
+
+    thin = lengths.repartition(ranks, "rank").sortWithinPartitions("rank", "idx").select("rank", "row_id", "n")
+    return thin.mapInArrow(run, "rank int, row_no int, slot int, row_id long")
+
 
-    source_rows = ranked(rendered, order, ranks, capacity).select("rank", "idx", order, "ids", "mask")
-    return source_rows.repartition(ranks, "rank").sortWithinPartitions("rank", "idx").mapInPandas(run, schema)
+def pack_bestfit(rendered: DataFrame, *, order: str = "conv_id", ranks: int = 2, length: int = 4096, buffer: int = 200) -> DataFrame:
+    """rank, row_no, ids, mask, convs: rows of length + 1 tokens, padded with BOS of mask 0; one pass over the source.
+
+    Which conversation goes where depends on lengths alone, so each rank's plan is made from those, a few bytes a conversation, and the
+    rows are put together from it in as many tasks as there is data for, whatever the number of ranks. Rows of the same key are
+    conversations each.
+    """
+    capacity = length + 1
+    rows = materialize(rendered.select(F.col(order).alias("conv"), "ids", "mask", F.monotonically_increasing_id().alias("row_id")), "rendered")
+    placed = numbered(rows.select("row_id", "conv", F.size("ids").alias("n")), ["conv", "row_id"], "idx")
+    lengths = placed.withColumn("rank", (F.col("idx") % ranks).cast("int")).filter(F.col("n") <= capacity)
+    plan = materialize(planned_rows(lengths, ranks, capacity, buffer), "packing-plan")
+    part = F.struct("slot", "ids", "mask", F.col("conv").cast("long").alias("conv"))
+    met = plan.join(rows, "row_id").groupBy("rank", "row_no").agg(F.array_sort(F.collect_list(part)).alias("parts"))  # a row's tokens at most
+    joined = lambda c: F.flatten(F.transform("parts", lambda p: p[c]))
+    pad = F.lit(capacity) - F.aggregate("parts", F.lit(0), lambda n, p: n + F.size(p["ids"]))
+    padded = lambda c, value: F.concat(joined(c), F.array_repeat(F.lit(value), pad))
+    return met.select("rank", "row_no", padded("ids", BOS).alias("ids"), padded("mask", 0).alias("mask"), F.transform("parts", lambda p: p["conv"]).alias("convs"))
 
 
 def targets(ids: Column, mask: Column) -> tuple[Column, Column]:

@@ -29,9 +29,18 @@ def top_k_ties(logits: DataFrame, k: int, temperature: float = 1.0) -> DataFrame
     return _softmax(logits.withColumn("r_", F.rank().over(w)).filter(F.col("r_") <= k), temperature)
 
 
+def softmax_then_top_k(logits: DataFrame, k: int, temperature: float = 1.0) -> DataFrame:
+    """Probabilities over all tokens, then exactly k a row, the lowest ids of equals: `prob` as it was, and `share` of what is left, by which
+    a draw chooses. The set is that of top_k_exact."""
+    w = Window.partitionBy("row").orderBy(F.desc("prob"), "token_id")
+    kept = _softmax(logits, temperature).withColumn("r_", F.row_number().over(w)).filter(F.col("r_") <= k)
+    return kept.select("row", "token_id", "logit", "prob", (F.col("prob") / F.sum("prob").over(Window.partitionBy("row"))).alias("share"))
+
+
 def draw(probs: DataFrame, seed: int) -> DataFrame:
     """One token a row: the first whose running probability passes a seeded uniform number of the row."""
-    u = F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(1 << 30)) / F.lit(1 << 30)
+    # 32 bits of a hash that every engine has
+    u = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.col("row").cast("string"))), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
     w = Window.partitionBy("row").orderBy("token_id").rowsBetween(Window.unboundedPreceding, 0)
     p = probs.withColumn("upto_", F.sum("prob").over(w)).filter((F.col("upto_") > u) | (F.col("upto_") >= 1 - 1e-12))
     return p.groupBy("row").agg(F.min("token_id").alias("token_id"))

@@ -9,7 +9,6 @@ from weftline.functions import byte_vocab as bv
 from weftline.functions.permute import once_sql
 from weftline.operators import bestfit, chat, views
 from weftline.operators.prefix import numbered
-from weftline.plans.literals import cte, literal
 from weftline.session import new_path, table
 from weftline.sources import chat_lines
 
@@ -29,10 +28,20 @@ def conv_validate(spark: SparkSession, sf: str) -> DataFrame:
     return convs(spark, sf).select("conv_id", chat.chat_problem(m).isNull().alias("is_chat"), chat.render_problem(m).isNull().alias("is_renderable"))
 
 
+def broken_turns(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns of all conversations, most of them spoilt in a way that their id says: without a beginning, one role only, no text, one turn only,
+    a system message in place of the first."""
+    way = F.col("conv_id") % 7
+    t = table(spark, sf, "conversations").filter(~((way.isin(1, 5) & (F.col("turn") == 0)) | ((way == 4) & (F.col("turn") > 0))))
+    role = F.when(way == 2, "user").otherwise(F.col("role"))
+    text = F.when(~((way == 3) & (F.col("role") == "user")), F.col("text"))
+    system = table(spark, sf, "conversations").filter(way == 5).select("conv_id", F.lit(-1).cast("long"), F.lit("system"), F.lit("s")).distinct()
+    return t.select("conv_id", "turn", role.alias("role"), text.alias("text")).union(system)
+
+
 def conv_problems(spark: SparkSession, sf: str) -> DataFrame:
-    """Reasons, on small conversations that are wrong in every way."""
     m = F.col("messages")
-    return chat.assemble(literal(spark, "chats")).select("conv_id", chat.chat_problem(m).alias("chat_problem"), chat.render_problem(m).alias("render_problem"))
+    return chat.assemble(broken_turns(spark, sf)).select("conv_id", chat.chat_problem(m).alias("chat_problem"), chat.render_problem(m).alias("render_problem"))
 
 
 def conv_render(spark: SparkSession, sf: str) -> DataFrame:
@@ -40,11 +49,12 @@ def conv_render(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def conv_render_tools(spark: SparkSession, sf: str) -> DataFrame:
-    """A conversation with tool calls, its tokens and their view."""
-    parts = [("text", "ok "), ("python", "1+1"), ("python_output", "2")]
-    rows = [(1, [("user", "sum?", None), ("assistant", None, parts)]), (2, [("user", "x", None), ("assistant", None, [("image", "y")])]), (3, [("system", "be kind", None), ("user", "hi", None), ("assistant", "hello", None)]), (4, [])]
-    c = spark.createDataFrame(rows, f"conv_id long, messages {chat.MESSAGES}")
-    return chat.render(c).select("conv_id", _joined(F.col("ids")).alias("ids"), _joined(F.col("mask")).alias("mask"), F.md5(chat.visible(F.col("ids"), F.col("mask"))).alias("view_md5"))
+    """Every reply followed by a tool call and its output; tokens, masks and their view."""
+    parts = lambda m: F.array(*(F.struct(F.lit(kind).alias("type"), text.alias("text")) for kind, text in (("text", m["content"]), ("python", F.col("conv_id").cast("string")), ("python_output", F.lit("ok")))))
+    none = F.lit(None).cast("array<struct<type: string, text: string>>")
+    with_tools = F.transform("messages", lambda m: F.struct(m["role"].alias("role"), F.when(m["role"] != "assistant", m["content"]).alias("content"), F.when(m["role"] == "assistant", parts(m)).otherwise(none).alias("parts")))
+    out = chat.render(convs(spark, sf).withColumn("messages", with_tools))
+    return out.select("conv_id", F.md5(_joined(F.col("ids"))).alias("ids_md5"), F.md5(_joined(F.col("mask"))).alias("mask_md5"), F.md5(chat.visible(F.col("ids"), F.col("mask"))).alias("view_md5"))
 
 
 def conv_completion(spark: SparkSession, sf: str) -> DataFrame:
@@ -77,8 +87,9 @@ def pack_sources(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def pack_targets(spark: SparkSession, sf: str) -> DataFrame:
-    rows = bestfit.with_targets(literal(spark, "packed_rows"))
-    return rows.select("row_no", _joined(F.col("x")).alias("x"), _joined(F.col("y")).alias("y"), F.exists("y", lambda v: v != bestfit.IGNORE).alias("learns"))
+    """Each rendered conversation as a row."""
+    rows = bestfit.with_targets(chat.render(convs(spark, sf)))
+    return rows.select("conv_id", F.md5(_joined(F.col("x"))).alias("x_md5"), F.md5(_joined(F.col("y"))).alias("y_md5"), F.exists("y", lambda v: v != bestfit.IGNORE).alias("learns"))
 
 
 def pack_statistics(spark: SparkSession, sf: str) -> DataFrame:
@@ -146,7 +157,7 @@ _C = """c as (select conv_id, list(role order by turn) roles, list(text order by
 q as (select conv_id, case when roles[1] = 'system' then roles[2:] else roles end roles, case when roles[1] = 'system' then texts[2:] else texts end texts,
   case when roles[1] = 'system' then texts[1] end sys, roles[1] = 'system' has_sys from c),
 k as (select *, len(list_filter(range(1, len(roles) + 1), lambda i: roles[i] <> case when i % 2 = 1 then 'user' else 'assistant' end)) = 0 alternates from q)"""
-_BYTES = "list_transform(range(0, strlen({t})), lambda j: ('0x' || substr(hex(encode({t})), (j * 2 + 1)::int, 2))::int)"
+_BYTES = "list_transform(regexp_extract_all(hex(encode({t})), '..'), lambda j: ('0x' || j)::int)"
 #: A row a message, with the system text merged; ids and masks with their wrappers.
 _R = f"""{_C}, m as (select conv_id, unnest(range(1, len(roles) + 1)) i, roles, texts, sys from k where alternates and len(roles) >= 1),
 t as (select conv_id, i, roles[i] as role, case when i = 1 and sys is not null then sys || chr(10) || chr(10) || texts[i] else texts[i] end x from m),
@@ -171,7 +182,8 @@ SQL = {
     "task_shuffle": f"with recursive {_NUMBERED}, {_SHUFFLE} select v::bigint idx, in_order, doc_id, source from walked",
     "task_shuffle_page": f"with recursive {_NUMBERED}, {_SHUFFLE} select v::bigint idx, in_order, doc_id, source from walked where v >= n // 2",
     "conv_validate": f"with {_C} select conv_id, alternates and len(roles) >= 2 is_chat, alternates and len(roles) >= 1 is_renderable from k",
-    "conv_problems": f"""with {cte("chats")}, c as (select conv_id, list(role order by turn) roles, list(coalesce(text, chr(1)) order by turn) texts from chats group by conv_id),
+    "conv_problems": """with chats as (select conv_id, turn, case when conv_id % 7 = 2 then 'user' else role end as role, case when not (conv_id % 7 = 3 and role = 'user') then text end as text
+        from conversations where not ((conv_id % 7 in (1, 5) and turn = 0) or (conv_id % 7 = 4 and turn > 0)) union all select distinct conv_id, -1, 'system', 's' from conversations where conv_id % 7 = 5), c as (select conv_id, list(role order by turn) roles, list(coalesce(text, chr(1)) order by turn) texts from chats group by conv_id),
       q as (select conv_id, roles whole, case when roles[1] = 'system' then roles[2:] else roles end roles, case when roles[1] = 'system' then texts[2:] else texts end texts from c),
       k as (select *, len(list_filter(range(1, len(roles) + 1), lambda i: roles[i] <> case when i % 2 = 1 then 'user' else 'assistant' end)) = 0 alternates from q)
       select conv_id, case when len(roles) < 2 then 'fewer than two messages' when not alternates then 'roles do not alternate' when list_contains(texts, chr(1)) then 'content is no string' end chat_problem,
@@ -187,8 +199,13 @@ SQL = {
     "chat_context": f"with {_ALL}, x as (select conv_id, case when len(ids) > 764 then list_prepend(ids[1], ids[-763:]) else ids end ids from r) select conv_id, len(ids)::bigint n, md5(array_to_string(ids, ',')) ids_md5 from x",
     "auto_steps": f"with {_LEN}, h as (select n from n order by conv_id limit 200) select (select count(*) from n) n_convs, (select avg(n) from h) mean_len, greatest(1, floor((select avg(n) from h) * (select count(*) from n) / 16384))::bigint steps",
     "pack_sources": f"""with {_ALL}, x as (select conv_id, len(ids)::bigint n, row_number() over (order by conv_id) - 1 idx from r) select conv_id, idx, (idx % {RANKS})::int as rank, n from x where n <= {LENGTH + 1}""",
-    "pack_targets": f"""with {cte("packed_rows")}, t as (select row_no, ids[1:len(ids) - 1] x, list_transform(range(2, len(ids) + 1), lambda i: case when mask[i] = 0 then -100 else ids[i] end) y from packed_rows)
-      select row_no, array_to_string(x, ',') x, array_to_string(y, ',') y, len(list_filter(y, lambda v: v <> -100)) > 0 learns from t""",
+    "pack_targets": f"""with {_ALL}, cut as (select conv_id, ids[1:2048] ids, mask[1:2048] mask from r), shifted as (select conv_id, ids[1:len(ids) - 1] x, list_transform(range(2, len(ids) + 1), lambda i: case when mask[i] = 0 then -100 else ids[i] end) y from cut)
+      select conv_id, md5(array_to_string(x, ',')) x_md5, md5(array_to_string(y, ',')) y_md5, len(list_filter(y, lambda v: v <> -100)) > 0 learns from shifted""",
+    "conv_render_tools": f"""with {_R.split("w as (select")[0].rstrip().rstrip(",")}, p as (select *, list_transform({_BYTES.format(t="x")}, lambda b: [b, 1]) said, list_transform({_BYTES.format(t="conv_id::varchar")}, lambda b: [b, 1]) code from t),
+      w as (select conv_id, i, case when role = 'user' then [[257, 0]] || list_transform({_BYTES.format(t="x")}, lambda b: [b, 0]) || [[258, 0]] else [[259, 0]] || said || [[261, 1]] || code || [[262, 1], [263, 0], [111, 0], [107, 0], [264, 0], [260, 1]] end k from p),
+      r as (select conv_id, ([[256, 0]] || flatten(list(k order by i)))[1:2048] k from w group by conv_id)
+      select conv_id, md5(array_to_string(list_transform(k, lambda v: v[1]), ',')) ids_md5, md5(array_to_string(list_transform(k, lambda v: v[2]), ',')) mask_md5,
+        md5(array_to_string(list_transform(k, lambda v: chr(27) || case when v[2] = 1 then '[92m' else '[91m' end || v[1] || chr(27) || '[0m'), '|')) view_md5 from r""",
     "task_slice": "select (doc_id - 10) // 7 idx, doc_id physical, source from documents where doc_id >= 10 and doc_id < 5000 and (doc_id - 10) % 7 = 0",
     "task_sequence": """with a as (select doc_id // 2 l, source from documents where doc_id < 60 and doc_id % 2 = 0), b as (select doc_id - 100 l, source from documents where doc_id >= 100 and doc_id < 140)
       select l idx, 0 task, l as local, source from a union all select l + 30, 1, l, source from b union all select l + 70, 2, l, source from a""",

@@ -121,12 +121,19 @@ def next_token_bigrams(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.next_token_pairs(docs(spark, sf), SIZE)
 
 
+def _used(spark: SparkSession, sf: str) -> DataFrame:
+    """The byte vocabulary with the uses of each token in the stream of all documents."""
+    counted = docs(spark, sf).select(F.explode(F.concat(F.array(F.lit(bv.BOS)), bv.byte_ids(F.col("text")))).alias("token_id")).groupBy("token_id").agg(F.count("*").alias("uses"))
+    return bv.vocabulary(spark).join(counted, "token_id", "left").withColumn("uses", F.coalesce("uses", F.lit(0)))
+
+
 def token_bytes(spark: SparkSession, sf: str) -> DataFrame:
-    return bv.vocabulary(spark).select("token_id", "is_special", "special", "n_bytes", "raw_bytes")
+    return _used(spark, sf).select("token_id", "is_special", "special", "n_bytes", "raw_bytes", "uses")
 
 
 def token_bytes_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return bpe.token_byte_stats(bv.vocabulary(spark))
+    """Of the tokens that the corpus uses."""
+    return bpe.token_byte_stats(_used(spark, sf).filter("uses > 0"))
 
 
 def bpe_pretokenize(spark: SparkSession, sf: str) -> DataFrame:
@@ -178,15 +185,11 @@ def bpe_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return back.agg(F.count("*").alias("n"), F.count_if(F.col("back") == F.col("text")).alias("n_equal"))
 
 
-#: Fixed rows: null and repeated ids, equal and null texts.
-ODD_ROWS = [(3, "three"), (1, "one"), (None, "no id"), (1, "one again"), (1, "one"), (2, None), (None, "é and none"), (-5, ""), (9007199254740993, "far"), (None, "no id")]
-
-
 def odd_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """Shards of seven tokens of rows whose ids are null, repeated and sparse: as many rows as the SQL's, and every token once."""
-    rows = spark.createDataFrame(ODD_ROWS, "doc_id long, text string")
-    f = corpus.token_fragments(rows, 7)
-    return f.groupBy("shard_id", "split").agg(F.sum(F.size("ids")).cast("long").alias("tokens"), F.countDistinct("start").alias("fragments"), F.count_if(F.element_at("ids", 1) == bv.BOS).alias("begins"))
+    """Shards of all documents with null and repeated keys and null texts: every token once, whatever the order of rows with one key."""
+    d = docs(spark, sf).select(F.when(F.col("doc_id") % 7 != 0, F.call_function("div", F.col("doc_id"), F.lit(3))).alias("doc_id"), F.when(F.col("doc_id") % 11 != 0, F.col("text")).alias("text"))
+    f = corpus.token_fragments(d, SIZE)
+    return f.groupBy("shard_id", "split").agg(F.sum(F.size("ids")).cast("long").alias("tokens"), F.min("start").alias("first_token"))
 
 
 def stream_shards(spark: SparkSession, sf: str) -> DataFrame:
@@ -246,21 +249,18 @@ SQL = {
       select shard_id, rank, batch_no, row_no, sum(t) filter (q < {LENGTH})::bigint x_sum, sum(t) filter (q > 0)::bigint y_sum from hit group by 1, 2, 3, 4""",
     "next_token_bigrams": f"""with {_O}, {_TOKENS}, nx as (select t token_id, lead(t) over (partition by shard_id order by p) next_id from pos)
       select token_id::int token_id, next_id::int next_id, count(*) n from nx where next_id is not null group by 1, 2""",
-    "token_bytes": f"""select i::int token_id, i >= 256 is_special, case when i >= 256 then ([{_NAMES}])[(i - 255)::int] end special,
-      (case when i < 128 then 1 when i < 256 then 3 else 0 end)::int n_bytes, (case when i < 256 then 1 else 0 end)::int raw_bytes from (select unnest(range(265)) i)""",
-    "token_bytes_stats": """with v as (select case when i < 128 then 1 else 3 end b from (select unnest(range(256)) i))
+    "token_bytes": f"""with u as (select unnest(list_prepend(256, {_BYTES.format(t="text")})) i from documents), n as (select i, count(*) uses from u group by i)
+      select v.i::int token_id, v.i >= 256 is_special, case when v.i >= 256 then ([{_NAMES}])[(v.i - 255)::int] end special, (case when v.i < 128 then 1 when v.i < 256 then 3 else 0 end)::int n_bytes,
+        (case when v.i < 256 then 1 else 0 end)::int raw_bytes, coalesce(uses, 0) uses from (select unnest(range(265)) i) v left join n using (i)""",
+    "token_bytes_stats": f"""with v as (select case when i < 128 then 1 else 3 end b from (select distinct unnest({_BYTES.format(t="text")}) i from documents))
       select count(*) n, min(b) min_bytes, max(b) max_bytes, avg(b) mean_bytes, stddev_samp(b) std_bytes from v""",
     "bpe_roundtrip": "select count(*) n, count(*) n_equal from documents",
     "stream_shards": _SUMMARY,
     "tok_compare_plain": """with t as (select doc_id, (1 + strlen(text))::bigint our_tokens, length(text)::bigint base_tokens, strlen(text) b from documents),
       r as (select doc_id, our_tokens, b / our_tokens our_ratio, base_tokens, b / nullif(base_tokens, 0) base_ratio from t)
       select *, 100 * ((base_tokens - our_tokens) / nullif(base_tokens, 0)) relative_diff, case when base_ratio > our_ratio then 'Base' when our_ratio > base_ratio then 'Ours' else 'Tie' end better from r""",
-    "odd_stream": """with d as (select * from (values (3, 'three'), (1, 'one'), (null, 'no id'), (1, 'one again'), (1, 'one'), (2, null), (null, 'é and none'), (-5, ''), (9007199254740993, 'far'), (null, 'no id')) t(doc_id, text)),
-      h as (select *, 1 + strlen(coalesce(text, '')) n from d),
-      -- the texts of an id stand in the order of their hashes, 'one again' and 'é and none' first
-      o as (select *, coalesce(sum(n) over (order by doc_id nulls last, case when text in ('one again', 'é and none') then 0 else 1 end rows between unbounded preceding and 1 preceding), 0)::bigint off from h),
-      f as (select *, unnest(range(off // 7, (off + n - 1) // 7 + 1)) k from o)
-      select k shard_id, case when k = 0 then 'val' else 'train' end split, sum(least(off + n, (k + 1) * 7) - greatest(off, k * 7))::bigint tokens, count(*) fragments, count(*) filter (off >= k * 7) begins from f group by k""",
+    "odd_stream": f"""with n as (select sum(1 + case when doc_id % 11 <> 0 then strlen(text) else 0 end)::bigint n from documents), k as (select unnest(range((n + {SIZE} - 1) // {SIZE})) k, n from n)
+      select k shard_id, case when k = 0 then 'val' else 'train' end split, least({SIZE}, n - k * {SIZE})::bigint tokens, 0::bigint first_token from k""",
 }
 
 QUERIES = {

@@ -1,13 +1,15 @@
-"""Queries on evaluations, rewards, sampling, schedules and run files, mostly over small literal tables."""
+"""Queries on evaluations, rewards, sampling, schedules and run files, over documents, conversations, labels and events: an event stands for a step,
+a rollout, a logit or a file of a run, as each query says."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weftline.functions import byte_vocab as bv
 from weftline.functions import schedules as sch
 from weftline.operators import choices, metrics, rollouts, sampling
-from weftline.plans.literals import cte, literal
+from weftline.operators.prefix import numbered
 from weftline.session import new_path, ship, table
 from weftline.sources import runs
 
@@ -16,19 +18,41 @@ def _joined(ids) -> F.Column:
     return F.array_join(F.transform(ids, lambda i: i.cast("string")), ",")
 
 
+#: Languages as choices, in the order of their letters.
+LANGS = ("de", "en", "es", "fr")
+
+
+def _questions(spark: SparkSession, sf: str) -> DataFrame:
+    """Of each document: its language as a question with four choices, and the letters of as many choices as its id says, two to six."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("item"), F.substring("text", 1, 40).alias("question"), "lang")
+    choices_ = F.array(*map(F.lit, LANGS))
+    n = (F.col("item") % 5 + 2).cast("int")
+    return d.select("item", "question", choices_.alias("choices"), (F.array_position(choices_, F.col("lang")) - 1).cast("int").alias("answer"), F.slice(F.array(*map(F.lit, "ABCDEF")), F.lit(1), n).alias("letters"))
+
+
+def _letter(index: F.Column) -> F.Column:
+    return F.get(F.array(*map(F.lit, "ABCDEF")), index)
+
+
 def mc_render(spark: SparkSession, sf: str) -> DataFrame:
-    a = choices.four_choice(literal(spark, "four_choice")).select("item", "prompt", "reply", "is_valid", F.lit("four").alias("kind"))
-    b = choices.lettered(literal(spark, "lettered")).select("item", "prompt", "reply", "is_valid", F.lit("lettered").alias("kind"))
-    return a.unionByName(b)
+    q = _questions(spark, sf)
+    a = choices.four_choice(q.withColumn("subject", F.lit("")).withColumn("choices", F.when(F.col("item") % 11 == 0, F.slice("choices", 1, 3)).otherwise(F.col("choices"))))
+    b = choices.lettered(q.withColumn("answer", _letter(F.col("answer"))))
+    told = lambda r, kind: r.select("item", F.md5("prompt").alias("prompt_md5"), "reply", "is_valid", F.lit(kind).alias("kind"))
+    return told(a, "four").unionByName(told(b, "lettered"))
 
 
 def mc_categorical(spark: SparkSession, sf: str) -> DataFrame:
-    j = literal(spark, "lettered").join(literal(spark, "responses"), "item")
-    return j.select("item", choices.categorical(F.col("response"), F.col("answer"), F.col("letters")).alias("correct"))
+    """Replies by the id against the right letter; a letter that the item lacks is no reply."""
+    q = _questions(spark, sf)
+    return q.select("item", choices.categorical(_letter((F.col("item") % 6).cast("int")), _letter(F.col("answer")), F.col("letters")).alias("correct"))
 
 
 def mc_subjects(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(choices.SUBJECTS)), "no int, subject string")
+    """Documents by subject, dealt by id, subjects without any included."""
+    subjects = spark.createDataFrame(list(enumerate(choices.SUBJECTS)), "no int, subject string")
+    counted = table(spark, sf, "documents").groupBy((F.col("doc_id") % len(choices.SUBJECTS)).cast("int").alias("no")).agg(F.count("*").alias("n"))
+    return subjects.join(counted, "no", "left").select("no", "subject", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def label_confusion(spark: SparkSession, sf: str) -> DataFrame:
@@ -37,63 +61,95 @@ def label_confusion(spark: SparkSession, sf: str) -> DataFrame:
     return choices.class_report(preds, 2)
 
 
+def rollout_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as rollouts: an example is a user, its samples are the user's events in order, four to a step; a purchase or sign-up is rewarded."""
+    sample = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
+    e = table(spark, sf, "events").select("event_id", F.col("user_id").alias("example"), "event_type", "value", sample.cast("long").alias("nth"))
+    reward = F.when(F.col("event_type").isin("purchase", "signup"), 1.0).otherwise(0.0)
+    return e.select("event_id", F.call_function("div", F.col("nth"), F.lit(4)).alias("step"), "example", (F.col("nth") % 4).alias("sample"), reward.alias("reward"), (F.col("event_id") % 50 + 1).alias("length"), "event_type", "value")
+
+
 def validation_loss(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.validation_loss(literal(spark, "rank_batches"), 20)
+    """Four ranks by user, an event a batch; the first thousand batches of a rank count."""
+    rank = F.col("user_id") % 4
+    b = numbered(table(spark, sf, "events").select("event_id", rank.alias("rank"), F.col("value").alias("loss")), ["rank", "event_id"], "place")
+    starts = b.groupBy("rank").agg(F.min("place").alias("first"))
+    return metrics.validation_loss(b.join(starts, "rank").withColumn("batch_no", F.col("place") - F.col("first")), 1000)
 
 
-def ema_debiased(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.debiased_ema(literal(spark, "series"))
+def _series(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "events").select(F.col("event_id").alias("step"), "value", "event_type")
 
 
 def running_best(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.running_best(literal(spark, "series").filter("series = 'a'"), "value")
+    return metrics.running_best(_series(spark, sf), "value")
 
 
 def reward_extract(spark: SparkSession, sf: str) -> DataFrame:
-    a = literal(spark, "answers")
-    return a.select("item", rollouts.extracted_answer(F.col("answer")).alias("extracted"), rollouts.reward(F.col("gold"), F.col("answer")).alias("reward"))
+    """Answers in whole texts: the number of characters, with commas, and one more in every third."""
+    d = table(spark, sf, "documents")
+    answer = F.concat(F.col("text"), F.lit(" #### "), F.format_number(F.col("n_chars") + F.when(F.col("doc_id") % 3 == 0, 1).otherwise(0), 0), F.when(F.col("doc_id") % 2 == 0, ".").otherwise(""))
+    gold = F.concat(F.lit("so ####"), F.col("n_chars").cast("string"))
+    return d.select("doc_id", rollouts.extracted_answer(answer).alias("extracted"), rollouts.reward(gold, answer).alias("reward"))
 
 
 def group_advantage(spark: SparkSession, sf: str) -> DataFrame:
-    return rollouts.advantages(literal(spark, "rollouts"), ["step", "example"]).select("step", "example", "sample", "reward", "advantage")
+    return rollouts.advantages(rollout_rows(spark, sf), ["step", "example"]).select("step", "example", "sample", "reward", "advantage")
 
 
 def reward_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return rollouts.step_statistics(literal(spark, "rollouts"))
+    return rollouts.step_statistics(rollout_rows(spark, sf))
 
 
 def pass_at_1(spark: SparkSession, sf: str) -> DataFrame:
-    return rollouts.pass_at_1(literal(spark, "rollouts").filter("sample = 0").select("step", (F.col("reward") > 0).cast("int").alias("correct")))
+    return rollouts.pass_at_1(rollout_rows(spark, sf).filter("sample = 0").select("step", (F.col("reward") > 0).cast("int").alias("correct")))
 
 
 def zero_streak(spark: SparkSession, sf: str) -> DataFrame:
-    return rollouts.zero_streaks(rollouts.step_statistics(literal(spark, "rollouts")))
+    """Every event a step, an error being a reward of 0."""
+    s = _series(spark, sf).select("step", F.when(F.col("event_type") == "error", 0.0).otherwise(1.0).alias("reward_mean"))
+    return rollouts.zero_streaks(s)
 
 
 def rollout_targets(spark: SparkSession, sf: str) -> DataFrame:
-    p = rollouts.padded_targets(literal(spark, "rollout_tokens"), ["example"])
-    return p.select("example", "sample", _joined(F.col("x")).alias("x"), _joined(F.col("y")).alias("y"))
+    """Turns as samples of their conversation, the first eight bytes of each being the prompt."""
+    ids = F.concat(F.array(F.lit(bv.BOS)), bv.byte_ids(F.col("text")))
+    t = table(spark, sf, "conversations").select(F.col("conv_id").alias("example"), F.col("turn").alias("sample"), ids.alias("ids")).withColumn("prefix", F.least(F.size("ids"), F.lit(9)))
+    p = rollouts.padded_targets(t, ["example"])
+    return p.select("example", "sample", F.size("x").cast("long").alias("n"), F.md5(_joined(F.col("x"))).alias("x_md5"), F.md5(_joined(F.col("y"))).alias("y_md5"))
 
 
 def policy_objective(spark: SparkSession, sf: str) -> DataFrame:
-    return rollouts.policy_objective(literal(spark, "objective_tokens"), 2, 4)
+    a = rollouts.advantages(rollout_rows(spark, sf), ["step", "example"])
+    tokens = a.select("step", (-F.col("value") / 100).alias("logp"), F.col("advantage").alias("adv"), F.when(F.col("event_type") == "error", rollouts.IGNORE).otherwise(1).alias("target"))
+    return rollouts.policy_objective(tokens, 2, 4)
 
 
 def rollout_seeds(spark: SparkSession, sf: str) -> DataFrame:
-    r = spark.range(0, 300000, 1001).select(F.col("id").alias("step"))
-    return r.select("step", rollouts.rollout_seed(F.col("step"), F.pmod("step", F.lit(97)), F.pmod("step", F.lit(3))).alias("seed"), (F.col("step") % 4).cast("int").alias("rank"))
+    e = table(spark, sf, "events")
+    return e.select("event_id", rollouts.rollout_seed(F.col("event_id") * 31, F.col("user_id"), F.col("event_id") % 3).alias("seed"), (F.col("event_id") % 4).cast("int").alias("rank"))
+
+
+def _logits(spark: SparkSession, sf: str) -> DataFrame:
+    """Users' events as a row's tokens, with ties."""
+    return table(spark, sf, "events").select(F.col("user_id").alias("row"), F.col("event_id").alias("token_id"), F.floor(F.col("value") / 10).cast("double").alias("logit"))
 
 
 def sample_greedy(spark: SparkSession, sf: str) -> DataFrame:
-    return sampling.greedy(literal(spark, "logits"))
+    return sampling.greedy(_logits(spark, sf))
 
 
 def topk_exact(spark: SparkSession, sf: str) -> DataFrame:
-    return sampling.top_k_exact(literal(spark, "logits"), 3, 0.8)
+    return sampling.top_k_exact(_logits(spark, sf), 3, 8.0)
 
 
 def topk_ties(spark: SparkSession, sf: str) -> DataFrame:
-    return sampling.top_k_ties(literal(spark, "logits"), 3, 0.8)
+    return sampling.top_k_ties(_logits(spark, sf), 3, 8.0)
+
+
+def topk_softmax_first(spark: SparkSession, sf: str) -> DataFrame:
+    """The probabilities of all tokens first, then the three greatest, as they are and renormalised."""
+    return sampling.softmax_then_top_k(_logits(spark, sf), 3, 8.0)
 
 
 def topk_events(spark: SparkSession, sf: str) -> DataFrame:
@@ -103,65 +159,96 @@ def topk_events(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sample_draw(spark: SparkSession, sf: str) -> DataFrame:
-    return sampling.draw(sampling.top_k_exact(literal(spark, "logits"), 3), 7)
+    return sampling.draw(sampling.top_k_exact(_logits(spark, sf), 3, 8.0), 7)
 
 
 def sample_stops(spark: SparkSession, sf: str) -> DataFrame:
-    s = literal(spark, "sampled")
-    return s.select("row", _joined(sampling.until_stop(F.col("ids"), 260)).alias("batch"), _joined(sampling.through_stop(F.col("ids"), 260)).alias("stream"))
+    """Whole texts up to their first full stop."""
+    ids = bv.byte_ids(F.col("text"))
+    return table(spark, sf, "documents").select("doc_id", F.md5(_joined(sampling.until_stop(ids, 46))).alias("batch_md5"), F.md5(_joined(sampling.through_stop(ids, 46))).alias("stream_md5"))
 
 
 def lr_schedule(spark: SparkSession, sf: str) -> DataFrame:
     it = F.col("it")
-    return spark.range(0, sch.MAX_STEPS, 37).select(F.col("id").alias("it")).select("it", sch.pretrain_lr(it).alias("lr"), sch.pretrain_momentum(it).alias("momentum"), sch.weight_decay(it, 0.2).alias("decay"))
+    steps = table(spark, sf, "events").select("event_id", (F.col("event_id") % sch.MAX_STEPS).alias("it"))
+    return steps.select("event_id", sch.pretrain_lr(it).alias("lr"), sch.pretrain_momentum(it).alias("momentum"), sch.weight_decay(it, 0.2).alias("decay"))
 
 
 def tuning_schedule(spark: SparkSession, sf: str) -> DataFrame:
-    r = spark.range(0, 500).select(F.col("id").alias("it"))
+    r = table(spark, sf, "events").select("event_id", (F.col("event_id") % 500).alias("it"))
     p = F.col("it") / 499
-    return r.select("it", sch.tuning_lr(p, 0.05, 0.5).alias("lr"), sch.tuning_momentum(F.col("it")).alias("momentum"), sch.rollout_lr(F.col("it"), 400).alias("rollout_lr"))
+    return r.select("event_id", sch.tuning_lr(p, 0.05, 0.5).alias("lr"), sch.tuning_momentum(F.col("it")).alias("momentum"), sch.rollout_lr(F.col("it"), 400).alias("rollout_lr"))
 
 
 def throughput(spark: SparkSession, sf: str) -> DataFrame:
+    """Each event's value as the seconds of a step."""
     per_token = sch.flops_per_token(768, 12, 6, 1024, 32768)
-    r = spark.range(1, 20).select((F.col("id") / 10.0).alias("dt"))
+    r = table(spark, sf, "events").select("event_id", F.col("value").alias("dt"))
     r = r.withColumn("accum", F.lit(sch.accumulation_steps(524288, 64, 1024, 4))).withColumn("flops_token", F.lit(per_token).cast("long")).withColumn("rl_steps", F.lit(sch.rollout_steps(7473, 16, 2)))
-    return r.select("dt", "accum", "flops_token", "rl_steps", (F.lit(524288) / F.col("dt")).alias("tok_s"), sch.utilisation(F.lit(524288), F.col("dt"), per_token, F.lit(989e12), 4).alias("mfu"))
+    return r.select("event_id", "accum", "flops_token", "rl_steps", (F.lit(524288) / F.col("dt")).alias("tok_s"), sch.utilisation(F.lit(524288), F.col("dt"), per_token, F.lit(989e12), 4).alias("mfu"))
+
+
+#: Names of devices that users are given.
+DEVICES = ("NVIDIA H100 80GB HBM3", "NVIDIA H100 PCIe", "NVIDIA H200 NVL", "NVIDIA GB200", "NVIDIA L4", "NVIDIA L40S", "AMD Instinct MI300X", "Tesla K80", "NVIDIA A100-SXM4-80GB")
 
 
 def peak_flops(spark: SparkSession, sf: str) -> DataFrame:
-    return sch.peak_flops(spark, literal(spark, "devices")).select("device", F.when(F.col("flops") == float("inf"), -1.0).otherwise(F.col("flops")).alias("flops"))
+    """Users by the peak of their device."""
+    e = table(spark, sf, "events").select(F.get(F.array(*map(F.lit, DEVICES)), (F.col("user_id") % len(DEVICES)).cast("int")).alias("device"))
+    f = sch.peak_flops(spark, e).groupBy("device").agg(F.max("flops").alias("flops"), F.count("*").alias("n"))
+    return f.select("device", F.when(F.col("flops") == float("inf"), -1.0).otherwise(F.col("flops")).alias("flops"), "n")
 
 
 def log_parse(spark: SparkSession, sf: str) -> DataFrame:
-    """A log written in two runs, the second resuming, read and parsed."""
+    """Events as a log written in two runs, the second resuming, read and parsed; every seventh loss is not a number, every eleventh line is broken."""
     ship(spark)
     path = new_path(spark, "log")
-    lines = literal(spark, "log_lines")
-    runs.append_log(lines.filter("value like 'broken%'"), path, False)
-    runs.append_log(lines.filter("value not like 'broken%'"), path, True)
+    e = _series(spark, sf)
+    loss = F.when(F.col("step") % 7 == 0, "nan").when(F.col("step") % 13 == 0, "inf").otherwise(F.col("value").cast("string"))
+    line = F.concat_ws(" ", "step", F.lit("train"), loss, F.when(F.col("step") % 2 == 0, "norm 0.5"))
+    lines = e.select("step", F.when(F.col("step") % 11 == 0, F.concat(F.lit("broken "), line)).otherwise(line).alias("value"))
+    runs.append_log(lines.filter("step < 500").select("value"), path, False)
+    runs.append_log(lines.filter("step >= 500").select("value"), path, True)
     p = sch.parsed_log(spark.read.text(path))
     bad = F.isnan("metric_value") | (F.abs("metric_value") == float("inf"))
-    return p.select("step", "metric", F.when(~bad, F.col("metric_value")).alias("metric_value"), (~bad).alias("is_finite"))
+    return p.select(F.col("step").cast("long").alias("step"), "metric", F.when(~bad, F.col("metric_value")).alias("metric_value"), (~bad).alias("is_finite"))
 
 
 def run_files(spark: SparkSession, sf: str) -> DataFrame:
-    """Latest step, largest tag, tag by time."""
-    a = runs.latest_step(literal(spark, "checkpoint_files"))
-    b = runs.largest_tag(literal(spark, "model_tags")).withColumnRenamed("tag", "largest")
-    c = runs.largest_tag(literal(spark, "untagged")).withColumnRenamed("tag", "newest")
+    """Of the runs of users, with a file for each event: latest step, largest tag, tag by time."""
+    e = table(spark, sf, "events")
+    name = F.when(F.col("event_type") == "error", "optim").otherwise("model")
+    a = runs.latest_step(e.select(F.concat(F.lit("run/"), name, F.lit("_"), F.lpad((F.col("event_id") * 37).cast("string"), 6, "0"), F.lit(".pt")).alias("path")))
+    tags = e.select(F.concat(F.when(F.col("user_id") % 3 == 0, "d").otherwise("run"), F.col("user_id").cast("string")).alias("tag"), F.col("event_id").alias("modified"))
+    b = runs.largest_tag(tags).withColumnRenamed("tag", "largest")
+    c = runs.largest_tag(tags.filter("tag like 'run%'")).withColumnRenamed("tag", "newest")
     return a.join(F.broadcast(b)).join(F.broadcast(c))
 
 
 def run_metadata(spark: SparkSession, sf: str) -> DataFrame:
-    """Metadata written by rank 0, read back, and patched."""
+    """A file of metadata for the users' runs, written by rank 0, read back, and patched."""
     path = new_path(spark, "meta")
-    runs.write_metadata(literal(spark, "configs"), path)
-    runs.write_metadata(literal(spark, "configs").limit(0), path, rank=1)
+    configs = table(spark, sf, "events").groupBy(F.col("user_id").alias("run")).agg((F.count("*") % 5 + 1).cast("int").alias("n_layer"), F.max(F.when(F.col("event_type") == "error", "SSL")).alias("window_pattern"))
+    runs.write_metadata(configs, path)
+    runs.write_metadata(configs.limit(0), path, rank=1)
     p = runs.patched_config(spark.read.json(path))
     return p.select("run", F.col("n_layer").cast("int").alias("n_layer"), _joined(F.col("resid_lambdas")).alias("resid_lambdas"), _joined(F.col("x0_lambdas")).alias("x0_lambdas"))
 
 
+#: Three generations of run files: columns, and what older files lack.
+GENERATIONS = {1: ["step", "loss"], 2: ["step", "loss", "lr"], 3: ["step", "loss", "lr", "tokens", "old_key"]}
+DEFAULTS = {1: {"lr": 0.5, "tokens": 1024}, 2: {"tokens": 2048}}
+
+
+def run_generations(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as run files of three generations with unlike columns, read as one table."""
+    path = new_path(spark, "generations")
+    e = table(spark, sf, "events").select(F.col("event_id").alias("step"), F.col("value").alias("loss"), (F.col("user_id") / 4).alias("lr"), (F.col("event_id") * 10).alias("tokens"), F.col("event_type").alias("old_key"))
+    for generation, names in GENERATIONS.items():
+        runs.write_generation(e.filter(F.col("step") % 3 == generation - 1).select(*names), path, generation)
+    return runs.read_generations(spark, path, ["step", "loss", "lr", "tokens"], DEFAULTS)
+
+
 CLASS = """dim as (select unnest(range({n}))::int as class),
   k as (select class, count(*) filter (pred = class and label = class) tp, count(*) filter (pred = class and label <> class) fp, count(*) filter (pred <> class and label = class) fn from dim cross join p group by class),
   g as (select *, coalesce(tp / nullif(tp + fp, 0), 0)::double as precision, coalesce(tp / nullif(tp + fn, 0), 0)::double recall from k),
@@ -169,60 +256,76 @@ CLASS = """dim as (select unnest(range({n}))::int as class),
 _ANSWER = r"nullif(replace(regexp_extract({t}, '####\s*([\d,.\-]+)', 1), ',', ''), '')"
 _TOPK = """{head}, r as (select "row", token_id, logit, {rank} r from logits), k as (select *, exp((logit - max(logit) over (partition by "row")) / {t}) e from r where r <= 3)
   select "row", token_id, logit, e / sum(e) over (partition by "row") prob from k"""
+_LOGITS = 'with logits as (select user_id "row", event_id token_id, floor(value / 10)::double logit from events)'
 _STATS = "s as (select step, avg(r) reward_mean, stddev_pop(r) reward_std, sum(l) / sum(n) mean_len from (select step, example, avg(reward) r, sum(length) l, count(*) n from rollouts group by 1, 2) group by step)"
+_ROLLOUTS = """rollouts as (select *, nth // 4 step, nth % 4 sample from (select event_id, user_id example, event_type, value, row_number() over (partition by user_id order by event_id) - 1 nth,
+  case when event_type in ('purchase', 'signup') then 1.0::double else 0.0::double end reward, event_id % 50 + 1 length from events))"""
 _DOWN = round(sch.DECAY * sch.MAX_STEPS)
-_RULES = " ".join("when " + " and ".join(f"contains(lower(device), '{p}')" for p in parts.split()) + f" then {v!r}::double" for parts, v in sch.PEAK_FLOPS)
+_RULES = " ".join("when " + " and ".join(f"contains(lower(device), '{p}')" for p in parts) + f" then {v!r}::double" for parts, v in sch.PEAK_FLOPS)
+_BYTES = "list_transform(regexp_extract_all(hex(encode({t})), '..'), lambda i: ('0x' || i)::int)"
+_LETTERS = "['A','B','C','D','E','F']"
+_QUESTIONS = f"""q as (select doc_id item, substr(text, 1, 40) question, {list(LANGS)} choices, list_position({list(LANGS)}, lang)::int - 1 answer, {_LETTERS}[1:(doc_id % 5 + 2)::int] letters from documents)"""
 
 SQL = {
-    "mc_render": f"""with {cte("four_choice")}, {cte("lettered")}, u as (select item, question, choices, ['A','B','C','D'] letters, (['A','B','C','D'])[answer + 1] reply, len(choices) = 4 is_valid, 'four' kind from four_choice
-      union all select item, question, choices, letters, answer, list_contains(letters, answer), 'lettered' from lettered)
-      select item, '{choices.HEAD}' || question || chr(10) || array_to_string(list_transform(range(1, least(len(letters), len(choices)) + 1), lambda i: '- ' || choices[i] || '=' || letters[i] || chr(10)), '') || chr(10) || '{choices.TAIL.strip()}' prompt, reply, is_valid, kind from u""",
-    "mc_categorical": f"with {cte('lettered')}, {cte('responses')} select item, case when list_contains(letters, response) then response = answer end correct from lettered join responses using (item)",
+    "mc_render": f"""with {_QUESTIONS}, f as (select item, question, case when item % 11 = 0 then choices[1:3] else choices end choices, {_LETTERS}[1:4] letters, {_LETTERS}[answer + 1] reply, 'four' kind from q),
+      u as (select *, len(choices) = 4 is_valid from f union all select item, question, choices, letters, {_LETTERS}[answer + 1], 'lettered', list_contains(letters, {_LETTERS}[answer + 1]) from q)
+      select item, md5('{choices.HEAD}' || question || chr(10) || array_to_string(list_transform(range(1, least(len(letters), len(choices)) + 1), lambda i: '- ' || choices[i] || '=' || letters[i] || chr(10)), '') || chr(10) || '{choices.TAIL.strip()}') prompt_md5, reply, is_valid, kind from u""",
+    "mc_categorical": f"with {_QUESTIONS}, r as (select *, {_LETTERS}[(item % 6 + 1)::int] response from q) select item, case when list_contains(letters, response) then response = {_LETTERS}[answer + 1] end correct from r",
+    "mc_subjects": f"""with s as (select unnest({list(choices.SUBJECTS)}) subject, unnest(range({len(choices.SUBJECTS)}))::int as no), d as (select (doc_id % {len(choices.SUBJECTS)})::int as no, count(*) n from documents group by 1)
+      select no, subject, coalesce(n, 0) n from s left join d using (no)""",
     "label_confusion": f"with p as (select toxic pred, quality as label from labels), {CLASS.replace('{n}', '2')} select class, tp, fp, fn, precision, recall, f1 from h",
-    "validation_loss": f"with {cte('rank_batches')} select avg(l) val_loss from (select rank, avg(loss) l from rank_batches where batch_no < 20 group by rank)",
-    "ema_debiased": f"""with {cte("series")}, n as (select *, row_number() over (partition by series order by step) i from series),
-      e as (select a.series, a.step, a.value, a.i, sum(0.1::double * b.value * pow(0.9::double, a.i - b.i)) ema from n a join n b on a.series = b.series and b.i <= a.i group by 1, 2, 3, 4)
-      select series, step::bigint step, value, ema, ema / (1 - pow(0.9::double, step + 1)) debiased from e""",
-    "running_best": f"with {cte('series')} select step, value, min(value) over (order by step rows unbounded preceding) best from series where series = 'a'",
-    "reward_extract": f"""with {cte("answers")}, x as (select item, {_ANSWER.format(t="gold")} g, {_ANSWER.format(t="answer")} a from answers)
-      select item, a extracted, case when coalesce(try_cast(g as double) = try_cast(a as double), false) then 1.0::double else 0.0::double end reward from x""",
-    "group_advantage": f"with {cte('rollouts')} select step, example, sample, reward, reward - avg(reward) over (partition by step, example) advantage from rollouts",
-    "reward_stats": f"with {cte('rollouts')}, {_STATS} select step, reward_mean, reward_std, mean_len from s",
-    "pass_at_1": f"with {cte('rollouts')} select step, count(*) filter (reward > 0) correct, count(*) total, count(*) filter (reward > 0) / count(*) pass1 from rollouts where sample = 0 group by step",
-    "zero_streak": f"""with {cte("rollouts")}, {_STATS}, i as (select step, reward_mean, count(*) filter (reward_mean <> 0) over (order by step rows unbounded preceding) g from s),
+    "validation_loss": "with b as (select user_id % 4 rank, value loss, row_number() over (partition by user_id % 4 order by event_id) - 1 batch_no from events) select avg(l) val_loss from (select rank, avg(loss) l from b where batch_no < 1000 group by rank)",
+    "running_best": "select event_id step, value, min(value) over (order by event_id rows unbounded preceding) best from events",
+    "reward_extract": f"""with a as (select doc_id, 'so ####' || n_chars gold, text || ' #### ' || format('{{:,}}', n_chars + case when doc_id % 3 = 0 then 1 else 0 end) || case when doc_id % 2 = 0 then '.' else '' end answer from documents),
+      x as (select doc_id, {_ANSWER.format(t="gold")} g, {_ANSWER.format(t="answer")} a from a)
+      select doc_id, a extracted, case when coalesce(try_cast(g as double) = try_cast(a as double), false) then 1.0::double else 0.0::double end reward from x""",
+    "group_advantage": f"with {_ROLLOUTS} select step, example, sample, reward, reward - avg(reward) over (partition by step, example) advantage from rollouts",
+    "reward_stats": f"with {_ROLLOUTS}, {_STATS} select step, reward_mean, reward_std, mean_len from s",
+    "pass_at_1": f"with {_ROLLOUTS} select step, count(*) filter (reward > 0) correct, count(*) total, count(*) filter (reward > 0) / count(*) pass1 from rollouts where sample = 0 group by step",
+    "zero_streak": """with s as (select event_id step, case when event_type = 'error' then 0.0::double else 1.0::double end reward_mean from events), i as (select *, count(*) filter (reward_mean <> 0) over (order by step rows unbounded preceding) g from s),
       z as (select step, reward_mean, case when reward_mean = 0 then count(*) filter (reward_mean = 0) over (partition by g order by step rows unbounded preceding) else 0 end streak from i)
       select step, reward_mean, streak, streak >= 5 warn from z""",
-    "rollout_targets": f"""with {cte("rollout_tokens")}, m as (select *, max(len(ids)) over (partition by example) most from rollout_tokens),
+    "rollout_targets": f"""with t as (select conv_id example, turn sample, list_prepend(256, {_BYTES.format(t="text")}) ids from conversations), m as (select *, least(len(ids), 9) prefix, max(len(ids)) over (partition by example) most from t),
       p as (select example, sample, list_transform(range(1, most + 1), lambda i: case when i <= len(ids) then ids[i] else 256 end) x, list_transform(range(1, most + 1), lambda i: case when i > prefix and i <= len(ids) then 1 else 0 end) k, most from m)
-      select example, sample, array_to_string(x[1:most - 1], ',') x, array_to_string(list_transform(range(2, most + 1), lambda i: case when k[i] = 0 then -100 else x[i] end), ',') y from p""",
-    "policy_objective": f"with {cte('objective_tokens')} select step, sum(logp * adv) total, count(*) filter (target <> -100) valid, sum(logp * adv) / (greatest(count(*) filter (target <> -100), 1) * 8) objective from objective_tokens group by step",
-    "rollout_seeds": "select s step, (s * 10000 + (s % 97) * 100 + s % 3) & 2147483647 seed, (s % 4)::int as rank from (select unnest(range(0, 300000, 1001)) s)",
-    "sample_greedy": f"""with {cte("logits")} select "row", (list(token_id order by logit desc, token_id))[1] token_id from logits group by "row" """,
-    "topk_exact": _TOPK.format(head=f"with {cte('logits')}", rank='row_number() over (partition by "row" order by logit desc, token_id)', t="0.8::double"),
-    "topk_ties": _TOPK.format(head=f"with {cte('logits')}", rank='rank() over (partition by "row" order by logit desc)', t="0.8::double"),
+      select example, sample, most - 1 n, md5(array_to_string(x[1:most - 1], ',')) x_md5, md5(array_to_string(list_transform(range(2, most + 1), lambda i: case when k[i] = 0 then -100 else x[i] end), ',')) y_md5 from p""",
+    "policy_objective": f"""with {_ROLLOUTS}, t as (select step, -value / 100 logp, reward - avg(reward) over (partition by step, example) adv, case when event_type = 'error' then -100 else 1 end target from rollouts)
+      select step, sum(logp * adv) total, count(*) filter (target <> -100) valid, sum(logp * adv) / (greatest(count(*) filter (target <> -100), 1) * 8) objective from t group by step""",
+    "rollout_seeds": "select event_id, (event_id * 31 * 10000 + user_id * 100 + event_id % 3) & 2147483647 seed, (event_id % 4)::int as rank from events",
+    "sample_greedy": f'{_LOGITS} select "row", (list(token_id order by logit desc, token_id))[1] token_id from logits group by "row"',
+    "topk_exact": _TOPK.format(head=_LOGITS, rank='row_number() over (partition by "row" order by logit desc, token_id)', t="8.0::double"),
+    "topk_ties": _TOPK.format(head=_LOGITS, rank='rank() over (partition by "row" order by logit desc)', t="8.0::double"),
+    "topk_softmax_first": f"""{_LOGITS}, s as (select *, exp((logit - max(logit) over (partition by "row")) / 8.0::double) e from logits), p as (select *, e / sum(e) over (partition by "row") prob, row_number() over (partition by "row" order by e desc, token_id) r from s)
+      select "row", token_id, logit, prob, prob / sum(prob) over (partition by "row") share from p where r <= 3""",
     "topk_events": _TOPK.format(head='with logits as (select user_id "row", event_id token_id, value logit from events)', rank='row_number() over (partition by "row" order by logit desc, token_id)', t="100.0::double"),
-    "sample_stops": f"""with {cte("sampled")}, p as (select *, coalesce(list_position(ids, 260), 0) a from sampled)
-      select "row", array_to_string(case when a > 0 then ids[1:a - 1] else ids end, ',') batch, array_to_string(case when a > 0 then ids[1:a] else ids end, ',') stream from p""",
-    "lr_schedule": f"""with t as (select unnest(range(0, {sch.MAX_STEPS}, 37)) i), v as (select i, ({sch.MAX_STEPS} - i) / {_DOWN}::double l, (i - {sch.MAX_STEPS - _DOWN}) / {_DOWN}::double m, i / 400::double e from t)
-      select i it, case when i < 715 then (i + 1) / 715::double when i <= {sch.MAX_STEPS - _DOWN} then 1.0::double else l + (1 - l) * 0.1::double end lr,
-        case when i < 400 then (1 - e) * 0.85::double + e * 0.97::double when i >= {sch.MAX_STEPS - _DOWN} then 0.97::double * (1 - m) + 0.9::double * m else 0.97::double end momentum, 0.1::double * (1 + cos(pi() * i / {sch.MAX_STEPS})) decay from v""",
-    "tuning_schedule": """with t as (select unnest(range(0, 500)) i), v as (select i, i / 499::double p from t)
-      select i it, case when p < 0.05::double then (p + 1e-8::double) / 0.05::double when p <= 0.5::double then 1.0::double else 1.0::double - (p - 0.5::double) / 0.5::double end lr,
-        (1 - least(i / 300::double, 1)) * 0.85::double + least(i / 300::double, 1) * 0.95::double momentum, greatest(0.0::double, 1 - i / 400::double) rollout_lr from v""",
-    "throughput": """with t as (select unnest(range(1, 20)) / 10::double dt), f as (select dt, (12 * 12 * 2 * 768 * 768 + 12 * 2 * 6 * 128 * 1024 + 2 * 768 * 32768)::bigint k from t)
-      select dt, 2 accum, k flops_token, 934 rl_steps, 524288 / dt tok_s, 100 * (k * (524288 / dt) * 3) / (989e12::double * 4) mfu from f""",
-    "peak_flops": f"with {cte('devices')} select device, case {_RULES} else -1.0::double end flops from devices",
-    "log_parse": """select * from (values (0, 'train', 4.123456::double, true), (1, 'train', 3.5::double, true), (1, 'norm', 0.9123::double, true), (1, 'val', 3.4::double, true), (2, 'val_bpb', 1.0312::double, true),
-      (3, 'pass@1', 0.25::double, true), (3, 'reward', 0.125::double, true), (3, 'std', 0.2165::double, true), (3, 'len', 181.5::double, true), (4, 'train', null, false), (5, 'train', null, false), (5, 'norm', 2.0::double, true), (6, 'train', 2.75::double, true)) t(step, metric, metric_value, is_finite)""",
-    "run_files": "select 1000000::bigint step, 'd20_wide' largest, 'beta' newest",
-    "run_metadata": f"""with {cte("configs")} select run, n_layer, array_to_string(list_transform(range(0, n_layer), lambda i: '1.0'), ',') resid_lambdas, array_to_string(list_transform(range(0, n_layer), lambda i: '0.0'), ',') x0_lambdas from configs""",
+    "sample_draw": f"""{_LOGITS}, r as (select *, row_number() over (partition by "row" order by logit desc, token_id) r from logits), e as (select *, exp((logit - max(logit) over (partition by "row")) / 8.0::double) e from r where r <= 3),
+      p as (select "row", token_id, e / sum(e) over (partition by "row") prob from e), u as (select *, sum(prob) over (partition by "row" order by token_id rows unbounded preceding) upto, ('0x' || substr(md5('7|' || "row"), 1, 8))::bigint / 4294967296 drawn from p)
+      select "row", min(token_id) token_id from u where upto > drawn or upto >= 1 - 1e-12::double group by "row" """,
+    "sample_stops": f"""with d as (select doc_id, {_BYTES.format(t="text")} ids, list_position({_BYTES.format(t="text")}, 46) k from documents)
+      select doc_id, md5(array_to_string(case when k > 0 then ids[1:(k - 1)::int] else ids end, ',')) batch_md5, md5(array_to_string(case when k > 0 then ids[1:k::int] else ids end, ',')) stream_md5 from d""",
+    "lr_schedule": "with t as (select event_id, event_id % " + str(sch.MAX_STEPS) + f""" it from events), l as (select *, ({sch.MAX_STEPS} - it)::double / {_DOWN} left_, ({sch.MAX_STEPS} - {_DOWN}) start from t)
+      select event_id, case when it < 715 then (it + 1) / 715 when it <= start then 1.0::double else left_ + (1 - left_) * 0.1::double end lr,
+        case when it < 400 then (1 - it / 400) * 0.85::double + it / 400 * 0.97::double when it >= start then 0.97::double * (1 - (it - start) / {_DOWN}) + 0.9::double * ((it - start) / {_DOWN}) else 0.97::double end momentum,
+        0.1::double * (1 + cos(pi() * it / {sch.MAX_STEPS})) decay from l""",
+    "tuning_schedule": """with t as (select event_id, event_id % 500 it, event_id % 500 / 499 p from events)
+      select event_id, case when p < 0.05::double then (p + 1e-8::double) / 0.05::double when p <= 0.5::double then 1.0::double else 1.0::double - (p - 0.5::double) / 0.5::double end lr,
+        (1 - least(it / 300, 1.0::double)) * 0.85::double + least(it / 300, 1.0::double) * 0.95::double momentum, greatest(0.0::double, 1 - it / 400) rollout_lr from t""",
+    "throughput": f"""select event_id, 2 accum, {sch.flops_per_token(768, 12, 6, 1024, 32768)}::bigint flops_token, 934 rl_steps, 524288 / value tok_s,
+      100 * ({sch.flops_per_token(768, 12, 6, 1024, 32768)} * (524288 / value) * 3) / (989e12::double * 4) mfu from events""",
+    "peak_flops": f"with e as (select ({list(DEVICES)})[(user_id % {len(DEVICES)} + 1)::int] device from events) select device, max(case {_RULES} else -1.0::double end) flops, count(*) n from e group by device",
+    "log_parse": """with e as (select event_id step, value from events where event_id % 11 <> 0), m as (select step, 'train' metric, case when step % 7 = 0 or step % 13 = 0 then null else value end v from e union all select step, 'norm', 0.5::double from e where step % 2 = 0)
+      select step, metric, v metric_value, v is not null is_finite from m""",
+    "run_files": """with t as (select case when user_id % 3 = 0 then 'd' else 'run' end || user_id tag, user_id, event_id from events)
+      select (select max(event_id * 37) from events where event_type <> 'error') step, (select arg_max(tag, user_id) from t where user_id % 3 = 0) largest, (select arg_max(tag, event_id) from t where user_id % 3 <> 0) newest""",
+    "run_metadata": """with c as (select user_id run, (count(*) % 5 + 1)::int n_layer from events group by user_id)
+      select run, n_layer, array_to_string(list_transform(range(0, n_layer), lambda i: '1.0'), ',') resid_lambdas, array_to_string(list_transform(range(0, n_layer), lambda i: '0.0'), ',') x0_lambdas from c""",
+    "run_generations": """select (event_id % 3 + 1)::int generation, event_id step, value loss, case event_id % 3 when 0 then 0.5::double else user_id / 4 end lr, case event_id % 3 when 0 then 1024 when 1 then 2048 else event_id * 10 end tokens from events""",
 }
 
 QUERIES = {
     f.__name__: f
     for f in (
-        mc_render, mc_categorical, mc_subjects, label_confusion, validation_loss, ema_debiased, running_best,
-        reward_extract, group_advantage, reward_stats, pass_at_1, zero_streak, rollout_targets, policy_objective, rollout_seeds, sample_greedy, topk_exact, topk_ties, topk_events, sample_draw,
-        sample_stops, lr_schedule, tuning_schedule, throughput, peak_flops, log_parse, run_files, run_metadata,
+        mc_render, mc_categorical, mc_subjects, label_confusion, validation_loss, running_best, reward_extract, group_advantage, reward_stats, pass_at_1, zero_streak, rollout_targets,
+        policy_objective, rollout_seeds, sample_greedy, topk_exact, topk_ties, topk_softmax_first, topk_events, sample_draw, sample_stops, lr_schedule, tuning_schedule, throughput, peak_flops,
+        log_parse, run_files, run_metadata, run_generations,
     )
 }

@@ -39,6 +39,28 @@ def patched_config(configs: DataFrame) -> DataFrame:
     return out
 
 
+def write_generation(rows: DataFrame, path: str, generation: int) -> None:
+    """Adds the files of one generation of runs, with whatever columns they have."""
+    rows.write.mode("append").parquet(f"{path}/generation={generation}")
+
+
+def read_generations(spark: SparkSession, path: str, names: list[str], defaults: dict[int, dict]) -> DataFrame:
+    """generation and the wanted columns of run files of all generations, whose columns may differ: the files' schemas are merged, columns that
+    are not wanted are not read, and what files of a generation lack has that generation's default (or is null). Filters on the
+    generation prune folders, others reach the scan."""
+    files = spark.read.option("mergeSchema", True).option("basePath", path).parquet(path)
+    kinds = dict(files.dtypes)
+
+    def column(name: str) -> F.Column:
+        own = F.col(name) if name in kinds else F.lit(None)
+        for generation, values in defaults.items():
+            if name in values:
+                own = F.when(own.isNull() & (F.col("generation") == generation), F.lit(values[name])).otherwise(own)
+        return own.cast(kinds[name]).alias(name) if name in kinds else own.alias(name)
+
+    return files.select(F.col("generation").cast("int").alias("generation"), *map(column, names))
+
+
 def append_log(lines: DataFrame, path: str, resuming: bool) -> None:
     """Adds lines to a run's log, or starts it anew."""
     lines.write.mode("append" if resuming else "overwrite").text(path)
