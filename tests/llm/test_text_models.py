@@ -501,3 +501,37 @@ def test_secret_query(spark, sf):
 
 def test_frames_are_whole():
     assert pd.DataFrame({"lang": ["a", None], "lang_pred": ["a", "b"]}).pipe(langid.accuracy) == 1.0
+
+
+def plain_named(data):
+    """Values after credential words, each looked through by itself."""
+    found = [m.span(1) for m in secrets.URL.finditer(data)]
+    for m in secrets.NAMED.finditer(data.lower()):
+        if v := re.compile(rb"[!-~]{6,}").match(data, m.end()):
+            token = v[0].rstrip(secrets.CLOSING)
+            for quote in (b'"', b"'", b"`"):
+                token = token.split(quote)[0]
+            mixed = re.search(rb"[A-Z]", token[1:]) and re.search(rb"[a-z]", token)
+            if len(token) >= 6 and (re.search(rb"[0-9]", token) or re.search(rb"[!@#$%^&*+?~]", token[:-1]) or mixed or (len(token) >= 16 and len(set(token)) >= 9)):
+                found.append((m.end(), m.end() + len(token)))
+    return found
+
+
+PARTS = [b"key=", b"token: ", b"password is ", b"secret", b'"', b"'", b"`", b";", b")", b"abc", b"ABC", b"a1", b"!", b" ", b"\n", b"=", b"xYz", b"qwertyuiopasdfghj", b"http://u:passw0rdx@h/", b"\xc3\xa9", b"auth"]
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.lists(st.sampled_from(PARTS), max_size=30).map(b"".join))
+def test_named_values_by_a_plain_search(data):
+    assert secrets._named(data) == plain_named(data)
+
+
+@pytest.mark.parametrize("unit", [b'{"key":"abcdef12","n":1},', b"key=", b"token:", b"key=aB1!", b"password=x"])
+def test_text_without_white_space_takes_seconds(unit):
+    """5 MB, in which every credential word's value reaches to the end or to the next quote."""
+    import time
+
+    data, began = unit * (5_000_000 // len(unit)), time.time()
+    secrets.candidates(data)
+    secrets.base_spans(data)
+    assert time.time() - began < 30
