@@ -467,3 +467,49 @@ def test_draws_follow_the_probabilities(spark):
     assert len(got) == 3000 == len({r["row"] for r in got}) and {r["token_id"] for r in got} == {1, 2}
     assert abs(sum(r["token_id"] == 1 for r in got) / 3000 - 0.7) < 0.04
     assert sorted(map(tuple, sampling.draw(rows, 7).collect())) == sorted(map(tuple, got))
+
+
+def test_first_lines_of_files_in_parts(spark, tmp_path):
+    """Lines in physical order, though a file is read in many parts."""
+    for name, first in (("a", 0), ("b", 400)):
+        lines = [f'{{"messages": [{{"role": "user", "content": "{i} {"x" * (i % 50)}"}}]}}' for i in range(first, first + 400)]
+        (tmp_path / f"{name}.jsonl").write_text("\n".join(lines) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        assert chat_lines.physical_lines(spark, str(tmp_path)).rdd.getNumPartitions() > 8
+        got = [r["messages"][0]["content"].split()[0] for r in chat_lines.read_first_lines(spark, str(tmp_path), 650).collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == [str(i) for i in range(650)]
+
+
+def test_chats_turn_by_turn(spark):
+    rows = [(1, 0, "user", "hé"), (1, 1, "assistant", "yes"), (1, 2, "user", ""), (2, 0, "user", "x")]
+    convs = chat.assemble(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = {r["conv_id"]: r["ids"] for r in convs.select("conv_id", chat.accumulated(F.col("messages")).alias("ids")).collect()}
+    whole = {r["conv_id"]: r["ids"] for r in chat.render(convs).collect()}
+    assert got == {k: [*v, bv.ASSISTANT_START] for k, v in whole.items()}  # both end with a user's turn
+    one = spark.range(1).select(
+        chat.answered(F.array(F.lit(5)), F.array(F.lit(7), F.lit(bv.ASSISTANT_END))).alias("ended"), chat.answered(F.array(F.lit(5)), F.array(F.lit(7))).alias("cut"),
+        chat.prompt_ids(F.lit("ab")).alias("prompt"), chat.prompt_ids(F.lit("ab"), 2).alias("short"),
+    ).first()
+    assert one["ended"] == one["cut"] == [5, 7, bv.ASSISTANT_END]
+    assert one["prompt"] == [bv.BOS, bv.USER_START, 97, 98, bv.USER_END, bv.ASSISTANT_START] and one["short"] == [bv.BOS, bv.USER_START, bv.ASSISTANT_START]
+
+
+def test_rows_are_counted_on_their_way(spark):
+    from weftline.session import counted
+
+    df, seen = counted(spark.range(77).filter("id > 6"), "some")
+    assert df.collect() and seen.get["n"] == 70
+
+
+def test_run_files_of_three_generations(spark, tmp_path):
+    from weftline.sources import runs
+
+    runs.write_generation(spark.createDataFrame([(1, 2.0)], "step long, loss double"), str(tmp_path), 1)
+    runs.write_generation(spark.createDataFrame([(2, 1.5, 0.1, "x"), (3, None, None, "y")], "step long, loss double, lr double, gone string"), str(tmp_path), 2)
+    got = runs.read_generations(spark, str(tmp_path), ["step", "loss", "lr", "tokens"], {1: {"lr": 0.5, "tokens": 7}, 2: {"lr": 0.25}})
+    assert sorted(map(tuple, got.collect())) == [(1, 1, 2.0, 0.5, 7), (2, 2, 1.5, 0.1, None), (2, 3, None, 0.25, None)]
+    plan = got.filter("generation = 2 and step > 2")._jdf.queryExecution().executedPlan().toString()
+    assert "gone" not in plan and "GreaterThan(step,2)" in plan and "generation" in plan.split("PartitionFilters: [")[1].split("]")[0]

@@ -99,6 +99,30 @@ def render_for_completion(convs: DataFrame, max_tokens: int = MAX_TOKENS) -> Dat
     return render(ours, max_tokens).select("conv_id", F.concat("ids", F.array(F.lit(ASSISTANT_START))).alias("ids"))
 
 
+def prompt_ids(question: Column, max_tokens: int = MAX_TOKENS) -> Column:
+    """ids of a prompt that asks a model one question: the question as a user's turn, rendered as if a reply followed, then assistant_start."""
+    none = F.lit(None).cast("array<struct<type: string, text: string>>")
+    asked = F.array(F.struct(F.lit("user").alias("role"), question.alias("content"), none.alias("parts"))).cast(MESSAGES)
+    return F.concat(F.transform(rendered(asked, max_tokens), lambda t: t["id"]), F.array(F.lit(ASSISTANT_START)))
+
+
+def asked(so_far: Column, question: Column) -> Column:
+    """A chat's ids after a user's turn, ready for a reply; so_far: its ids before, empty at first."""
+    begun = F.when(F.size(so_far) == 0, F.array(F.lit(BOS))).otherwise(so_far)
+    return F.concat(begun, F.array(F.lit(USER_START)), byte_ids(question), F.array(F.lit(USER_END), F.lit(ASSISTANT_START)))
+
+
+def answered(so_far: Column, reply: Column) -> Column:
+    """A chat's ids after a reply's ids, which end with assistant_end whether or not the reply did."""
+    return F.concat(so_far, reply, F.when(F.element_at(reply, -1) == ASSISTANT_END, F.array().cast("array<int>")).otherwise(F.array(F.lit(ASSISTANT_END))))
+
+
+def accumulated(messages: Column) -> Column:
+    """A chat's ids after its turns one by one, a user's by `asked` and the others by `answered`."""
+    turn = lambda ids, m: F.when(m["role"] == "user", asked(ids, m["content"])).otherwise(answered(ids, byte_ids(m["content"])))
+    return F.aggregate(messages, F.array().cast("array<int>"), turn)
+
+
 def visible(ids: Column, mask: Column) -> Column:
     """Tokens joined by bars, green where learnt and red elsewhere."""
     return F.array_join(F.zip_with(ids, mask, lambda i, k: F.concat(F.when(k == 1, "\x1b[92m").otherwise("\x1b[91m"), i.cast("string"), F.lit("\x1b[0m"))), "|")

@@ -61,6 +61,29 @@ def conv_completion(spark: SparkSession, sf: str) -> DataFrame:
     return chat.render_for_completion(convs(spark, sf)).select("conv_id", F.size("ids").cast("long").alias("n"), F.md5(_joined(F.col("ids"))).alias("ids_md5"))
 
 
+def question_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    """Every user's turn as a question by itself."""
+    t = table(spark, sf, "conversations").filter("role = 'user'").withColumn("ids", chat.prompt_ids(F.col("text")))
+    return t.select("conv_id", "turn", F.size("ids").cast("long").alias("n"), F.md5(_joined(F.col("ids"))).alias("ids_md5"))
+
+
+def chat_accumulated(spark: SparkSession, sf: str) -> DataFrame:
+    """Chats that can be rendered and have no system message, turn by turn."""
+    m = F.col("messages")
+    c = convs(spark, sf).filter(chat.render_problem(m).isNull() & (F.get(m, 0)["role"] == "user")).withColumn("ids", chat.accumulated(m))
+    return c.select("conv_id", F.size("ids").cast("long").alias("n"), F.md5(_joined(F.col("ids"))).alias("ids_md5"))
+
+
+def first_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """The first half of all conversations, from a file of JSON lines in their order."""
+    path = new_path(spark, "chat")
+    c = convs(spark, sf)
+    n = c.count()
+    chat_lines.write_chat_lines(c, path, n)
+    back = chat_lines.read_first_lines(spark, path, n // 2)
+    return back.select(F.size("messages").cast("long").alias("n"), F.md5(F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "|")).alias("text_md5"))
+
+
 def conv_length_report(spark: SparkSession, sf: str) -> DataFrame:
     return chat.length_report(convs(spark, sf))
 
@@ -193,6 +216,12 @@ SQL = {
     "conv_completion": f"""with {_R}, e as (select conv_id from k where roles[-1] = 'assistant'), z as (select w.*, max(i) over (partition by conv_id) last from w where conv_id in (select conv_id from e)),
       p as (select conv_id, list_append(list_prepend(256, flatten(list(ids order by i)))[1:2048], 259) ids from z where i < last group by conv_id)
       select conv_id, len(ids)::bigint n, md5(array_to_string(ids, ',')) ids_md5 from p""",
+    "question_prompts": f"""with p as (select conv_id, turn, ([256, 257] || {_BYTES.format(t="text")} || [258])[1:2048] || [259] ids from conversations where role = 'user') select conv_id, turn, len(ids)::bigint n, md5(array_to_string(ids, ',')) ids_md5 from p""",
+    "chat_accumulated": f"""with {_C}, m as (select conv_id, unnest(range(1, len(roles) + 1)) i, roles, texts from k where alternates and len(roles) >= 1 and not coalesce(has_sys, false)),
+      p as (select conv_id, i, case when roles[i] = 'user' then [257] || {_BYTES.format(t="texts[i]")} || [258, 259] else {_BYTES.format(t="texts[i]")} || [260] end ids from m),
+      a as (select conv_id, [256] || flatten(list(ids order by i)) ids from p group by conv_id) select conv_id, len(ids)::bigint n, md5(array_to_string(ids, ',')) ids_md5 from a""",
+    "first_lines": f"""with {_C}, o as (select *, row_number() over (order by conv_id) r, count(*) over () n from c)
+      select len(roles)::bigint n, md5(array_to_string(list_transform(range(1, len(roles) + 1), lambda i: roles[i] || ':' || texts[i]), '|')) text_md5 from o where r <= o.n // 2""",
     "conv_length_report": f"""with {_LEN}, s as (select n, row_number() over (order by n) - 1 rk, count(*) over () c from n)
       select (select count(*) from n) n_convs, (select count(*) from n where n <= 1025) fits, (select count(*) from n where n <= 1025 and learns) fits_assistant,
         (select floor(avg(n))::bigint from n) avg_len, (select max(n) from n) max_len, (select n from s where rk = floor(c * 0.5::double)) p50, (select n from s where rk = floor(c * 0.9::double)) p90, (select n from s where rk = floor(c * 0.99::double)) p99""",
@@ -215,7 +244,7 @@ SQL = {
 QUERIES = {
     f.__name__: f
     for f in (
-        conv_validate, conv_problems, conv_render, conv_render_tools, conv_completion, conv_length_report, chat_context, auto_steps, pack_bestfit, pack_sources, pack_targets, pack_statistics,
+        conv_validate, conv_problems, conv_render, conv_render_tools, conv_completion, question_prompts, chat_accumulated, first_lines, conv_length_report, chat_context, auto_steps, pack_bestfit, pack_sources, pack_targets, pack_statistics,
         task_slice, task_sequence, task_mixture, task_shuffle, task_shuffle_page, task_hash_shuffle, export_first,
     )
 }

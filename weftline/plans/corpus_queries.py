@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import byte_vocab as bv
 from weftline.operators import bpe, corpus
-from weftline.session import new_path, table
+from weftline.session import counted, materialize, new_path, table
 from weftline.sources import shards
 from weftline.streaming import token_stream
 
@@ -37,6 +39,13 @@ def token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.token_counts(docs(spark, sf))
 
 
+def counted_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that go into shards, counted on their way."""
+    d, seen = counted(docs(spark, sf), f"documents-{uuid.uuid4().hex}")
+    shards.write_shards(corpus.byte_fragments(materialize(d, "documents"), SIZE), new_path(spark, "shards"))
+    return spark.createDataFrame([(seen.get["n"],)], "n long")
+
+
 def doc_tokens(spark: SparkSession, sf: str) -> DataFrame:
     ids = F.concat(F.array(F.lit(bv.BOS)), bv.byte_ids(F.col("text")))
     total = F.aggregate(ids, F.lit(0).cast("long"), lambda a, i: a + i)
@@ -222,6 +231,7 @@ SQL = {
     "token_counts": "select doc_id, (1 + strlen(text))::bigint n_tokens, strlen(text)::bigint n_bytes, strlen(text)::double / (1 + strlen(text)) ratio from documents",
     "doc_tokens": f"""with b as (select doc_id, text, {_BYTES.format(t="text")} ids from documents)
       select doc_id, (1 + strlen(text))::bigint n, (256 + coalesce(list_sum(ids), 0))::bigint id_sum, coalesce(ids[-1], 256)::int last_id from b""",
+    "counted_rows": "select count(*) n from documents",
     "doc_tokens_specials_first": f"""with b as (select doc_id, text, {_BYTES.format(t="text")} ids from documents)
       select doc_id, (1 + strlen(text))::bigint n, (coalesce(list_sum(ids), 0) + 9 * strlen(text))::bigint id_sum, coalesce(ids[-1] + 9, 0)::int last_id from b""",
     "decode_roundtrip": "select count(*) n, count(*) n_equal from documents",
@@ -266,7 +276,7 @@ SQL = {
 QUERIES = {
     f.__name__: f
     for f in (
-        shard_summary, corpus_budget, resume_skip, first_rows_concat, token_counts, doc_tokens, doc_tokens_specials_first, decode_roundtrip, shard_fragments, shard_files, shard_index, resume_rows, loader_batches, loader_resume,
+        shard_summary, corpus_budget, resume_skip, first_rows_concat, token_counts, counted_rows, doc_tokens, doc_tokens_specials_first, decode_roundtrip, shard_fragments, shard_files, shard_index, resume_rows, loader_batches, loader_resume,
         batch_rows, next_token_bigrams, token_bytes, token_bytes_stats, bpe_pretokenize, bpe_train, bpe_dictionary, tok_compare, tok_compare_plain, bpe_roundtrip, stream_shards, odd_stream,
     )
 }

@@ -10,7 +10,8 @@ import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: str | int = "*", shuffle_partitions: int = 8, **conf) -> SparkSession:
@@ -119,6 +120,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def counted(df: DataFrame, name: str = "counted") -> tuple[DataFrame, Observation]:
+    """df, and a count of its rows that the first action over it takes along the way: `.get["n"]` when it has ended."""
+    seen = Observation(name)
+    return df.observe(seen, F.count(F.lit(1)).alias("n")), seen
+
+
 def ship(spark: SparkSession) -> None:
     """Lets Python workers import this package where PYTHONPATH or --py-files don't: by path in local mode, else as a zip."""
     root, sc = str(Path(__file__).resolve().parents[1]), spark.sparkContext

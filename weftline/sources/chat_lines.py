@@ -15,9 +15,16 @@ def read_chat_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.transform("messages", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"), none.alias("parts"))).cast(MESSAGES).alias("messages"))
 
 
+def physical_lines(spark: SparkSession, path: str) -> DataFrame:
+    """value, and the columns that put the lines of files in order: file, block (where the part of the file begins that a task reads at once)
+    and line_id, which rises from line to line of a part."""
+    lines = spark.read.text(path)
+    return lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line_id"))
+
+
 def read_first_lines(spark: SparkSession, path: str, n: int = 5000) -> DataFrame:
-    """The first n physical lines of a file, in order; a blank line is an error."""
-    lines = spark.read.text(path).limit(n)  # a limit takes a file's lines from its start
+    """The first n physical lines, in order, whatever parts the files are read in; a blank line is an error."""
+    lines = physical_lines(spark, path).orderBy("file", "block", "line_id").limit(n)
     return lines.select(F.from_json(F.when(F.trim("value") == "", F.raise_error(F.lit("a blank line"))).otherwise(F.col("value")), "messages array<struct<role: string, content: string>>", {"mode": "FAILFAST"})["messages"].alias("messages"))
 
 
