@@ -1,6 +1,7 @@
 """Operators against plain models and invariants."""
 
 import random
+import re
 
 import pytest
 from hypothesis import given, settings
@@ -11,7 +12,7 @@ from weftline.functions import byte_vocab as bv
 from weftline.functions import permute
 from weftline.functions import schedules as sch
 from weftline.operators import bestfit, bpe, chat, choices, corpus, metrics, rollouts, sampling, views
-from weftline.operators.prefix import numbered, prefix_sum, range_buckets, sorted_parts, whole_div
+from weftline.operators.prefix import numbered, prefix_sum, range_buckets, running_sum, sorted_parts, whole_div
 from weftline.plans import chat_queries, corpus_queries
 from weftline.sources import chat_lines, shards
 from weftline.streaming import token_stream
@@ -513,3 +514,34 @@ def test_run_files_of_three_generations(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == [(1, 1, 2.0, 0.5, 7), (2, 2, 1.5, 0.1, None), (2, 3, None, 0.25, None)]
     plan = got.filter("generation = 2 and step > 2")._jdf.queryExecution().executedPlan().toString()
     assert "gone" not in plan and "GreaterThan(step,2)" in plan and "generation" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_no_text_under_a_window_and_no_hot_part(spark):
+    """Equal rows, rows without a key and long runs of a key are dealt to many parts, and sums pass through windows without their texts."""
+    rng = random.Random(9)
+    rows = [(None, "same", 5)] * 3000 + [(7, "same", 5)] * 3000 + [(rng.randint(0, 10**12), "x" * rng.randint(0, 9), 2) for _ in range(1000)]
+    df = spark.createDataFrame(rows, "k long, text string, n long").repartition(5)
+    for name, value in (("spark.sql.adaptive.coalescePartitions.enabled", "false"), ("spark.sql.shuffle.partitions", "40")):
+        spark.conf.set(name, value)
+    try:
+        out = running_sum(df, "n", [F.col("k").asc_nulls_last()], "before")
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        got = out.collect()
+        sizes = [r["count"] for r in sorted_parts(df.select("k"), ["k"]).groupBy("part__").count().collect()]
+        fragments = corpus.byte_fragments(df, 1000, "k")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len(sizes) > 30 and max(sizes) < 3 * 7000 / 40
+    for p in (plan, fragments):
+        # the side of the join that has the window reads two thin columns
+        assert sorted(re.findall(r"ReadSchema: struct<([^>]*)>", p), key=len)[0] in ("n:bigint,part__:int", "part__:int,n:bigint")
+        assert sum("text" in x for x in re.findall(r"ReadSchema: struct<([^>]*)>", p)) == 1
+    got.sort(key=lambda r: r["before"])
+    total = 0
+    for r in got:
+        assert r["before"] == total
+        total += r["n"]
+    assert len(got) == 7000 and [r["k"] for r in got] == sorted((r[0] for r in rows), key=lambda k: (k is None, k or 0))
+    first = running_sum(df, "n", [F.col("k").asc_nulls_last()], "before", 1000).collect()
+    assert sorted(map(tuple, first)) == sorted(tuple(r) for r in got if r["before"] < 1000)

@@ -1,9 +1,9 @@
 """Documents to token streams, shards and training batches.
 
-The stream's order is that of an explicit key, null keys last; rows that share a key are ordered by a hash of their text and its
-length, and count each for itself. Prefix sums are taken in two levels over range buckets of that order, and a document is laid over
-the shards or rows it covers by exploding their numbers, never by a range join. Texts travel as bytes and become ids, four times as
-long, only after the shuffle.
+The stream's order is that of an explicit key, null keys last; rows that share a key are ordered by a hash of their text, and count
+each for itself. A range sort puts rows in that order and adds them up in the same tasks; no text stands under a window. A document is
+laid over the shards or rows it covers by exploding their numbers, never by a range join. Texts travel as bytes and become ids, four
+times as long, only after the shuffle.
 
 Defined results: a null text is empty (its first token alone); repeated rows are separate documents; an empty table gives an empty
 stream; rows are never joined by their key.
@@ -15,18 +15,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.byte_vocab import BOS, byte_length, ids_of_bytes
-from weftline.operators.prefix import prefix_sum, range_buckets, whole_div
+from weftline.operators.prefix import running_sum, whole_div
 
-#: Columns that put documents in order beside their key.
-_TIE, _BUCKET = "stream_tie", "stream_bucket"
+#: A column that puts documents in order beside their key.
+_TIE = "stream_tie"
 
 
-def _in_stream(docs: DataFrame, key: str, value: str, out: str, below: int | None = None) -> DataFrame:
-    """docs (with text) and out, the sum of value over all documents before each."""
-    d = docs.withColumn(_TIE, F.xxhash64("text"))
-    d = range_buckets(d, key, _BUCKET, F.col(_TIE))
-    order = [F.col(key).asc_nulls_last(), F.col(_TIE), F.octet_length("text").asc_nulls_first()]
-    return prefix_sum(d, value, order, _BUCKET, out, below=below).drop(_TIE, _BUCKET)
+def _in_stream(docs: DataFrame, key: str, value: str, out: str, below: int | None = None, tie: Column | None = None) -> DataFrame:
+    """docs and out, the sum of value over all documents before each."""
+    order = [F.col(key).asc_nulls_last(), F.col(_TIE)]
+    return running_sum(docs.withColumn(_TIE, F.xxhash64("text") if tie is None else tie), value, order, out, below).drop(_TIE)
 
 
 def capped_budget(docs: DataFrame, cap: int, max_chars: int, key: str = "doc_id") -> DataFrame:
@@ -43,7 +41,8 @@ def token_counts(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def stream_offsets(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, n, off: where each document's tokens stand in the stream of all."""
-    return _in_stream(docs.select(key, "text", (1 + byte_length(F.col("text"))).alias("n")), key, "n", "off").select(key, "n", "off")
+    thin = docs.select(key, F.xxhash64("text").alias("hash_"), (1 + byte_length(F.col("text"))).alias("n"))
+    return _in_stream(thin, key, "n", "off", tie=F.col("hash_")).select(key, "n", "off")
 
 
 def shard_fragments(offsets: DataFrame, size: int, key: str = "doc_id", more: tuple[str, ...] = ()) -> DataFrame:
@@ -156,7 +155,7 @@ def next_token_pairs(docs: DataFrame, size: int, key: str = "doc_id") -> DataFra
 
 def resume_after(docs: DataFrame, done: int, key: str = "doc_id") -> DataFrame:
     """Documents at position done and later in the order of the stream."""
-    return _in_stream(docs.withColumn("one_", F.lit(1)), key, "one_", "seq").filter(F.col("seq") >= done).drop("one_")
+    return _in_stream(docs.withColumn("one_", F.lit(1).cast("long")), key, "one_", "seq").filter(F.col("seq") >= done).drop("one_")
 
 
 def first_rows_joined(docs: DataFrame, n: int, key: str = "doc_id") -> DataFrame:

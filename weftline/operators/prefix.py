@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftline.session import materialize
 
@@ -105,6 +108,35 @@ def sorted_parts(rows: DataFrame, order: list[str]) -> DataFrame:
     return materialize(dealt, "ordered").withColumn("part__", F.shiftright("row__", 33))
 
 
+def running_sum(rows: DataFrame, value: str, order: list[Column], out: str, below: int | None = None) -> DataFrame:
+    """Adds out, the sum of value (whole numbers, not null) over all rows before each, in a given order; rows equal in it stand as they fall.
+
+    Rows may be thick: a range sort shuffles them once, as many to a task as Spark deals, however the keys lie (equal ones are parted by a
+    number that a scan gives again if it is repeated), and each task adds its rows up while it writes them. Then only the tasks' sums,
+    a row each, pass through a window. With below, only rows with out < below are given, and parts that begin beyond it are not read.
+    """
+    tied = rows.withColumn("tie__", F.monotonically_increasing_id())
+    dealt = tied.repartitionByRange(*order, F.col("tie__")).sortWithinPartitions(*order, "tie__").drop("tie__").withColumn("part__", F.spark_partition_id())
+    place = dealt.columns.index(value)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0
+        for b in batches:
+            sums = np.cumsum(b.column(place).to_numpy()) + total
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate([[total], sums[:-1]]), pa.int64())], names=[*b.schema.names, "within__"])
+            total = int(sums[-1]) if sums.size else total
+
+    schema = T.StructType([*dealt.schema, T.StructField("within__", T.LongType())])
+    made = materialize(dealt.mapInArrow(run, schema), "running-sum")
+    sums = made.groupBy("part__").agg(F.sum(value).alias("total__"))
+    before = Window.orderBy("part__").rowsBetween(Window.unboundedPreceding, -1)  # a row a task
+    bases = sums.select("part__", F.coalesce(F.sum("total__").over(before), F.lit(0)).alias("base__"))
+    if below is not None:
+        bases = bases.filter(F.col("base__") < below)
+    summed = made.join(bases, "part__").withColumn(out, F.col("base__") + F.col("within__")).drop("part__", "base__", "within__")
+    return summed if below is None else summed.filter(F.col(out) < below)
+
+
 def numbered(rows: DataFrame, order: list[str], out: str) -> DataFrame:
     """Adds out: the rows' places, from 0, in the order of some columns, nulls first. Each part's rows are counted, and the counts of the
     parts before are added."""
