@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import byte_vocab as bv
 from weftline.operators import bpe, corpus
-from weftline.session import counted, materialize, new_path, table
+from weftline.session import counted, materialize, new_path, scratch, table
 from weftline.sources import shards
 from weftline.streaming import token_stream
 
@@ -90,7 +90,8 @@ def shard_files(spark: SparkSession, sf: str) -> DataFrame:
 
 def _indexed_shards(spark: SparkSession, sf: str) -> str:
     path = new_path(spark, "shards")
-    shards.write_shards(corpus.byte_fragments(docs(spark, sf), SIZE), path)
+    with scratch(spark):  # what the shards are made from goes when they are written
+        shards.write_shards(corpus.byte_fragments(docs(spark, sf), SIZE), path)
     shards.write_index(spark, path)
     return path
 
