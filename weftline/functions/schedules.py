@@ -65,7 +65,13 @@ def flops_per_token(embd: int, layers: int, heads: int, block: int, vocab: int)
 
 def utilisation(tokens: Column, seconds: Column, per_token: int, peak: Column, devices: int) -> Column:
     """Percent of peak FLOP/s, training being three forward passes."""
-    return 100 * (per_token * (tokens / seconds) * 3) / (peak * devices)
+    return 100 * (per_token * rate(tokens, seconds) * 3) / (peak * devices)
+
+
+def rate(tokens: Column, seconds: Column) -> Column:
+    """Tokens a second; of no time infinite, with the sign of its zero, as doubles divide."""
+    none = F.when(F.atan2(F.lit(0.0), seconds) > 0, float("-inf")).otherwise(float("inf"))
+    return F.when(seconds == 0, none).otherwise(F.try_divide(tokens, seconds))
 
 
 def accumulation_steps(total: int, batch: int, length: int, devices: int) -> int:
