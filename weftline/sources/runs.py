@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def padded(number: Column, digits: int = 6) -> Column:
+    """A number of so many digits at least; longer ones stay whole, where lpad would cut them."""
+    text = number.cast("string")
+    return F.lpad(text, F.greatest(F.length(text), F.lit(digits)), "0")
+
+
 def latest_step(paths: DataFrame, column: str = "path") -> DataFrame:
     """One row: the greatest step, as a number, among names like model_000100.pt."""
     step = F.regexp_extract(F.col(column), r"model_(\d+)\.pt$", 1)
