@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,42 +53,51 @@ def debiased_ema(series: DataFrame, beta: float = 0.9, value: str = "value", ord
     begins = begins.withColumnsRenamed({"s": "s_", "part__": "part_"})
     met = composed.join(begins, F.col("s").eqNullSafe(F.col("s_")) & (F.col("part__") == F.col("part_")))
     ema = met.withColumn("ema", F.col("a") * F.col("e") + F.col("b"))
-    out = ema.select(F.col("s").alias(by), F.col("o").alias(order), F.col("x").alias(value), "ema")
-    return out.withColumn("debiased", F.col("ema") / (1 - F.pow(F.lit(beta), F.col(order) + 1)))
+    return ema.select(F.col("s").alias(by), F.col("o").alias(order), F.col("x").alias(value), "ema", (F.col("ema") / (1 - F.col("fade"))).alias("debiased"))
 
 
-#: Values that a step of the running mean takes at once.
-BLOCK = 128
+#: Values that a step of the running mean takes at once, and terms that are added up newest first.
+BLOCK = 400
 
 
 def _composed(parts: DataFrame, beta: float) -> DataFrame:
-    """Adds a and b, the map from the mean before a part's first row of the series to the mean after each row."""
-    powers = beta ** np.arange(BLOCK + 1)
-    # row i of the matrix weighs the values up to i
-    at = np.arange(BLOCK)
-    weigh = (1 - beta) * np.where(at[:, None] >= at, beta ** np.maximum(at[:, None] - at, 0), 0.0)
+    """Adds a and b, the map from the mean before a part's first row of the series to the mean after each row, and fade, beta ** (o + 1). b is the plain sum of the
+    weighed values, newest first, as SQL adds them up; what is older than BLOCK values is one more term at the end."""
+    powers = np.array([math.pow(beta, k) for k in range(BLOCK + 1)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, a, b = object(), 1.0, 0.0
+        now, seen, last, sums = object(), 0, np.zeros(BLOCK), np.zeros(BLOCK)
         for batch in batches:
-            names, x = list(zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True)), batch.column(2).to_numpy()
-            maps, first = np.empty((2, len(x))), 0
-            while first < len(x):
-                if names[first] != now:
-                    now, a, b = names[first], 1.0, 0.0
-                to = first + 1
-                while to < min(len(x), first + BLOCK) and names[to] == now:
-                    to += 1
-                n = to - first
-                maps[0, first:to] = a * powers[1 : n + 1]
-                maps[1, first:to] = weigh[:n, :n] @ x[first:to] + powers[1 : n + 1] * b
-                a, b = maps[:, to - 1]
-                first = to
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(maps[0]), pa.array(maps[1])], names=["s", "o", "x", "part__", "row__", "a", "b"])
+            names, part = batch.column(0).to_pylist(), batch.column(3).to_numpy()
+            x, at = batch.column(2).to_numpy(), np.empty(len(names), np.int64)
+            for i, name in enumerate(zip(names, part.tolist(), strict=True)):
+                now, seen = name, seen + 1 if name == now else 0
+                at[i] = seen
+            b = np.empty(len(x))
+            for first in range(0, len(x), BLOCK):
+                # last and sums: what BLOCK rows before had, of whatever series
+                own, place = (1 - beta) * x[first : first + BLOCK], at[first : first + BLOCK]
+                n, held = len(own), np.concatenate([last, own])
+                total = np.zeros(n)
+                for lag in range(min(BLOCK, int(place.max()) + 1)):
+                    total += np.where(place >= lag, held[BLOCK - lag : BLOCK - lag + n] * powers[lag], 0.0)
+                total += np.where(place >= BLOCK, sums[:n] * powers[BLOCK], 0.0)
+                b[first : first + n] = total
+                last, sums = held[n:], np.concatenate([sums, total])[n:]
+            a, fade = np.power(beta, at + 1.0), [None if o is None else _power(beta, o + 1) for o in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(a), pa.array(b), pa.array(fade, pa.float64())], names=["s", "o", "x", "part__", "row__", "a", "b", "fade"])
 
     rows = parts.select("s", "o", "x", "part__", "row__").repartition("part__").sortWithinPartitions("part__", "row__")
     kind = dict(parts.dtypes)["s"]
-    return rows.mapInArrow(run, f"s {kind}, o long, x double, part__ long, row__ long, a double, b double")
+    return rows.mapInArrow(run, f"s {kind}, o long, x double, part__ long, row__ long, a double, b double, fade double")
+
+
+def _power(base: float, exponent: int) -> float:
+    """As the C library gives it, from which Spark's differs by a last bit."""
+    try:
+        return math.pow(base, exponent)
+    except OverflowError:
+        return math.inf
 
 
 def _begins(ends: pa.Table) -> pa.Table:
