@@ -78,11 +78,11 @@ def losses(wanted: DataFrame, model: Model) -> DataFrame:
 
 
 def with_losses(rows: DataFrame, model: Model) -> DataFrame:
-    """rows (a, b, c and more) with loss."""
-    return rows.join(losses(rows, model), ["a", "b", "c"])
+    """rows (a, b, c and more) with loss. Neither side is broadcast: rows that come out of short lists look small to Spark, however many they are."""
+    return rows.join(losses(rows, model).hint("shuffle_merge"), ["a", "b", "c"])
 
 
 def document_losses(rows: DataFrame, model: Model, key: str) -> DataFrame:
     """key, target, n, loss: how often each token with its loss stands in a key's texts. rows: triples with key."""
     counted = rows.groupBy(key, "a", "b", "c").agg(F.count("*").alias("n"))
-    return with_losses(counted, model).select(key, F.col("c").alias("target"), "n", "loss")
+    return counted.join(losses(counted, model), ["a", "b", "c"]).select(key, F.col("c").alias("target"), "n", "loss")

@@ -51,7 +51,7 @@ def items(spark: SparkSession, sf: str) -> DataFrame:
     n = d.count()
     asked = d.select("item", "ctx", (F.col("item") % 4).cast("int").alias("label"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("shift"))
     asked = asked.withColumn("choice", F.pmod(F.col("label") + F.col("shift"), F.lit(4))).withColumn("of", F.pmod(F.col("item") + F.col("shift"), F.lit(max(n, 1)).cast("long")))
-    met = asked.join(d.select(F.col("item").alias("of"), "ending"), "of")
+    met = asked.join(d.select(F.col("item").alias("of"), "ending").hint("shuffle_merge"), "of")
     return met.groupBy("item", "label", "ctx").agg(F.transform(F.array_sort(F.collect_list(F.struct("choice", "ending"))), lambda x: x["ending"]).alias("endings"))
 
 
