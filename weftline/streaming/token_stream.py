@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.operators.corpus import shard_fragments, stream_offsets
-from weftline.session import ship
+from weftline.operators.prefix import range_buckets
+from weftline.session import new_path, ship
 
 
 def _is_directory(spark: SparkSession, path: str) -> bool:
@@ -28,6 +29,27 @@ def document_stream(spark: SparkSession, folder: str, name: str = "documents.par
     return reader.option("pathGlobFilter", name).parquet(folder)
 
 
+def run_ordered(docs: DataFrame, out: str, size: int, goes: int, key: str = "doc_id") -> None:
+    """All documents as a stream that arrives in the order of their key, in some goes: a file source takes files by their time, whatever keys
+    they hold, so the documents are dealt into ranges of the key, and each range's files are moved into the watched folder when
+    the ranges before it have been processed."""
+    spark = docs.sparkSession
+    staged, watched = new_path(spark, "staged"), new_path(spark, "watched")
+    # rows without a key, which come last, are not parted
+    dealt = range_buckets(docs, key, "go", buckets=goes)
+    dealt.write.partitionBy("go").parquet(staged)
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path
+    files = path(staged).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(path(watched))
+    ranges = sorted((s.getPath().getName() for s in files.listStatus(path(staged)) if s.isDirectory()), key=lambda n: int(n.split("=")[1]))
+    if not ranges:  # an empty table is one empty go
+        docs.limit(0).write.parquet(f"{staged}/go=0")
+    for name in ranges or ["go=0"]:
+        files.rename(path(f"{staged}/{name}"), path(f"{watched}/{name}"))
+        run_token_stream(spark.readStream.schema(docs.schema).option("recursiveFileLookup", True).parquet(watched), out, size, key)
+
+
 def run_token_stream(stream: DataFrame, out: str, size: int, key: str = "doc_id") -> None:
     """Processes all that the stream has now, then stops; called again, it goes on where it stopped."""
     spark = stream.sparkSession
