@@ -3,10 +3,11 @@
 Base patterns (assign, access, hex) are found on every whole text. Candidates are runs of 12 or more token
 characters with a letter and a digit, longer ones of letters whose case changes often, values of 6 or more characters of any
 kind but short plain words after a credential word, and passwords in URLs. The network sees the candidate's characters and those around it; it is
-trained on labelled findings: a bounded sample of the corpus's candidates that base patterns find, and a fixed
-number of made ones, secrets and not, so that it is defined on an empty corpus too. Candidates that no base pattern
+trained on labelled findings: all different ones among the corpus's candidates that base patterns find, and as many made ones to each
+PART of them, secrets and not, so that it is defined on an empty corpus too. Each part is trained on in a task of its own, and after each
+round over the findings the parts' weights are averaged. Candidates that no base pattern
 finds are what the network is asked about; they may be secrets and train nothing. Logits are calibrated by Platt scaling
-on held-back findings, and each kind of candidate gets the highest threshold that keeps the wanted recall
+on held-back findings, counted by their logits, and each kind of candidate gets the highest threshold that keeps the wanted recall
 there. A candidate at or above it that no base span overlaps is added as kind `net`; base spans always stay.
 
 Spans are in code points, end exclusive. Defined results: a null text is empty and has no span; repeated rows
@@ -18,7 +19,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -304,52 +305,66 @@ def train(found: list[tuple[bytes, int, int, int]], *, made: int = 3000, recall:
     turn = rng.permutation(len(rows))
     held, kept = turn[: len(turn) // 5], turn[len(turn) // 5 :]
     net = Net.new(rng)
-    state = [(np.zeros_like(p), np.zeros_like(p)) for p in (net.embed, net.conv, net.conv_bias, net.out, np.zeros(1, np.float32))]
-    step = 0
+    state, step = None, 0
     for _ in range(epochs):
-        order = rng.permutation(kept)
-        for at in range(0, len(order), 64):
-            i = order[at : at + 64]
-            step += 1
-            moves = []
-            for k, g in enumerate(net.gradients(x[i], y[i])):
-                m, v = state[k]
-                m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-                state[k] = (m, v)
-                moves.append(0.004 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8))
-            net.embed, net.conv, net.conv_bias, net.out = (p - d.astype(np.float32) for p, d in zip((net.embed, net.conv, net.conv_bias, net.out), moves[:4], strict=True))
-            net.bias -= float(moves[4][0])
-    z, t = net.logits(x[held]).astype(float), y[held].astype(float)
-    net.scale = _platt(z, t)
-    p = net.probabilities(x[held])
-    whole = _threshold(p[t == 1], recall)
-    net.thresholds = tuple(_threshold(own, recall) if len(own := p[(t == 1) & (kinds[held] == k)]) >= 20 else whole for k in range(3))
+        state, step = _round(net, state, step, x, y, rng.permutation(kept))
+    _calibrate(net, net.logits(x[held]).astype(float), y[held].astype(float), kinds[held], np.ones(len(held)), recall)
     return net
 
 
-def _platt(z: np.ndarray, t: np.ndarray, rounds: int = 50) -> tuple[float, float]:
-    """Newton steps for p = sigmoid(a z + b) with smoothed targets and a small ridge."""
-    up, down = t.sum(), len(t) - t.sum()
+def _round(net: Net, state: list | None, step: int, x: np.ndarray, y: np.ndarray, order: np.ndarray) -> tuple[list, int]:
+    """Adam steps over the rows in an order, 64 at a time; the net changes in place. state and step: as returned by the round before."""
+    state = state or [(np.zeros_like(p), np.zeros_like(p)) for p in (net.embed, net.conv, net.conv_bias, net.out, np.zeros(1, np.float32))]
+    for at in range(0, len(order), 64):
+        i = order[at : at + 64]
+        step += 1
+        moves = []
+        for k, g in enumerate(net.gradients(x[i], y[i])):
+            m, v = state[k]
+            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+            state[k] = (m, v)
+            moves.append(0.004 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8))
+        net.embed, net.conv, net.conv_bias, net.out = (p - d.astype(np.float32) for p, d in zip((net.embed, net.conv, net.conv_bias, net.out), moves[:4], strict=True))
+        net.bias -= float(moves[4][0])
+    return state, step
+
+
+def _calibrate(net: Net, z: np.ndarray, t: np.ndarray, kinds: np.ndarray, n: np.ndarray, recall: float) -> None:
+    """Sets scale and thresholds by held-back logits z, with labels, kinds and how many findings each stands for."""
+    net.scale = _platt(z, t, n=n)
+    p = 1 / (1 + np.exp(-np.clip(net.scale[0] * z + net.scale[1], -50, 50)))
+    whole = _threshold(p[t == 1], recall, n[t == 1])
+    of = [(t == 1) & (kinds == k) for k in range(3)]
+    net.thresholds = tuple(_threshold(p[own], recall, n[own]) if n[own].sum() >= 20 else whole for own in of)
+
+
+def _platt(z: np.ndarray, t: np.ndarray, rounds: int = 50, n: np.ndarray | None = None) -> tuple[float, float]:
+    """Newton steps for p = sigmoid(a z + b) with smoothed targets and a small ridge. n: how many each stands for."""
+    n = np.ones(len(t)) if n is None else n
+    up, down = (n * t).sum(), (n * (1 - t)).sum()
     target = np.where(t == 1, (up + 1) / (up + 2), 1 / (down + 2))
     w, x = np.array([1.0, 0.0]), np.column_stack([z, np.ones_like(z)])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))
-        g = x.T @ (p - target) + 1e-3 * w
-        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
+        g = x.T @ (n * (p - target)) + 1e-3 * w
+        h = (x * (n * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
         move = np.linalg.solve(h, g)
         w = w - move / max(1.0, np.abs(move).max())
     return float(w[0]), float(w[1])
 
 
-def _threshold(p: np.ndarray, recall: float) -> float:
-    """The highest threshold that at least `recall` of the probabilities p of true secrets reach; 0.5 if there are none."""
+def _threshold(p: np.ndarray, recall: float, n: np.ndarray | None = None) -> float:
+    """The highest threshold that at least `recall` of the probabilities p of true secrets reach; 0.5 if there are none. n: how many each
+    stands for."""
     if not len(p):
         return 0.5
-    return float(np.sort(p)[int(np.floor((1 - recall) * len(p)))])
+    order = np.argsort(p, kind="stable")
+    upto = np.cumsum((np.ones(len(p)) if n is None else n)[order])
+    return float(p[order][np.searchsorted(upto, np.floor((1 - recall) * upto[-1]), "right")])
 
 
-def labelled_findings(docs: DataFrame, text: str, max_each: int = 2000) -> list[tuple[bytes, int, int, int]]:
-    """At most max_each candidates that base patterns find, those with the smallest hash of their surroundings, labelled 1."""
+def findings(docs: DataFrame, text: str) -> DataFrame:
+    """data, a, b, turn: every different candidate that base patterns find, with what stands around it, and a hash of both."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches):
@@ -364,10 +379,116 @@ def labelled_findings(docs: DataFrame, text: str, max_each: int = 2000) -> list[
             cols = list(zip(*rows, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.int32(), pa.int32()), strict=True)], names=["data", "a", "b"])
 
-    found = docs.select(text).mapInArrow(run, "data binary, a int, b int").withColumn("turn", F.xxhash64("data", "a"))
-    found = materialize(found, "secret-candidates")
-    top = found.dropDuplicates(["turn"]).orderBy("turn").limit(max_each).collect()  # a bounded sample
-    return [(bytes(r["data"]), r["a"], r["b"], 1) for r in top]
+    return docs.select(text).mapInArrow(run, "data binary, a int, b int").withColumn("turn", F.xxhash64("data", "a")).dropDuplicates(["turn"])
+
+
+def labelled_findings(docs: DataFrame, text: str, max_each: int = 2000) -> list[tuple[bytes, int, int, int]]:
+    """At most max_each findings, those with the smallest hash, labelled 1: a look at them. Nothing is fitted on these alone."""
+    return [(bytes(r["data"]), r["a"], r["b"], 1) for r in findings(docs, text).orderBy("turn").limit(max_each).collect()]
+
+
+#: Findings that a task trains on, made ones beside them, and parts whose weights are averaged at once.
+PART, MADE, FAN = 2000, 3000, 32
+#: Held-back logits are counted by steps of this part of one.
+STEPS = 1024
+
+
+def training_rows(docs: DataFrame, text: str = "text", seed: int = 7) -> tuple[DataFrame, int]:
+    """part, x (a window), label, kind, turn, held, of all findings and of MADE made ones to each part; and the number of parts, which
+    follows the findings. A fifth is held back."""
+    schema = "part long, x binary, label int, kind int, turn long"
+
+    def rows(part: list[int], found: list[tuple[bytes, int, int, int]], turn: list[int]) -> pa.RecordBatch:
+        x = [window(t, a, b).tobytes() for t, a, b, _ in found]
+        columns = ((part, pa.int64()), (x, pa.binary()), ([f[3] for f in found], pa.int32()), ([candidate_kind(t[a:b]) for t, a, b, _ in found], pa.int32()), (turn, pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], names=["part", "x", "label", "kind", "turn"])
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, start, end, turn = (c.to_pylist() for c in b.columns)
+            yield rows([0] * len(data), [(t, i, j, 1) for t, i, j in zip(data, start, end, strict=True)], turn)
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in b.column(0).to_pylist():
+                yield rows([part] * MADE, _made(np.random.default_rng([seed, part]), MADE), list(range(MADE)))
+
+    known = materialize(findings(docs, text).mapInArrow(own, schema), "secret-findings")
+    parts = max(1, -(-known.count() // PART))
+    known = known.withColumn("part", F.pmod("turn", F.lit(parts)))
+    both = known.unionByName(docs.sparkSession.range(parts).mapInArrow(made, schema))
+    return materialize(both.withColumn("held", F.pmod(F.xxhash64("turn"), F.lit(5)) == 0), "secret-training"), parts
+
+
+def _packed(net: Net, state: list) -> np.ndarray:
+    """Weights and Adam's means in one row of numbers."""
+    own = [net.embed, net.conv, net.conv_bias, net.out, np.array([net.bias])]
+    return np.concatenate([a.ravel() for a in [*own, *(m for pair in state for m in pair)]]).astype(np.float32)
+
+
+def _unpacked(numbers: np.ndarray) -> tuple[Net, list]:
+    shapes = [(CLASSES, EMBED), (SPAN * (EMBED + 1), FILTERS), (FILTERS,), (2 * FILTERS,), (1,)]
+    shapes += [s for s in shapes for _ in range(2)]
+    ends = np.cumsum([int(np.prod(s)) for s in shapes])
+    a = [part.reshape(s).copy() for part, s in zip(np.split(numbers, ends[:-1]), shapes, strict=True)]
+    return Net(*a[:4], float(a[4][0])), [(a[i], a[i + 1]) for i in range(5, 15, 2)]
+
+
+def _averaged(rows: list[tuple[int, int, bytes]]) -> np.ndarray:
+    """The mean of packed weights, by the rows each was trained on. rows: (part, n, weights), added up in the parts' order."""
+    rows = sorted(rows)
+    return (sum(n * np.frombuffer(w, np.float32).astype(float) for _, n, w in rows) / max(1, sum(n for _, n, _ in rows))).astype(np.float32)
+
+
+def _told(part: int, n: int, weights: np.ndarray) -> pa.Table:
+    return pa.table({"part": pa.array([part], pa.int64()), "n": pa.array([n], pa.int64()), "weights": pa.array([weights.tobytes()], pa.binary())})
+
+
+def _part_round(now: np.ndarray, step: int, seed: list[int]) -> Callable[[pa.Table], pa.Table]:
+    """Trains on a part's rows from the packed weights on."""
+
+    def run(group: pa.Table) -> pa.Table:
+        group, part = group.sort_by([("label", "ascending"), ("turn", "ascending")]), group["part"][0].as_py()
+        net, state = _unpacked(now)
+        x = np.frombuffer(b"".join(group["x"].to_pylist()), np.uint8).reshape(-1, WIDTH)
+        order = np.random.default_rng([*seed, part]).permutation(len(x))
+        state, _ = _round(net, state, step, x, group["label"].to_numpy().astype(np.float32), order)
+        return _told(part, len(x), _packed(net, state))
+
+    return run
+
+
+def _mean(group: pa.Table) -> pa.Table:
+    part, n, weights = (group[c].to_pylist() for c in ("part", "n", "weights"))
+    return _told(part[0] // FAN, sum(n), _averaged(list(zip(part, n, weights, strict=True))))
+
+
+def train_parts(rows: DataFrame, parts: int, *, recall: float = 0.98, epochs: int = 6, seed: int = 7) -> Net:
+    """A net trained on training_rows: in a round each part goes on from the same weights in its own task, then they are averaged, FAN parts at
+    a time. Sums are taken in the parts' order, so that reruns agree."""
+    schema = "part long, n long, weights binary"
+    kept, held = rows.filter("not held").drop("held"), rows.filter("held").select("x", "label", "kind")
+    net, step = Net.new(np.random.default_rng(seed)), 0
+    zeros = [(np.zeros_like(p), np.zeros_like(p)) for p in (net.embed, net.conv, net.conv_bias, net.out, np.zeros(1, np.float32))]
+    now = _packed(net, zeros)
+    for epoch in range(epochs):
+        made = kept.groupBy("part").applyInArrow(_part_round(now, step, [seed, epoch]), schema)
+        left = parts
+        while left > FAN:
+            made, left = made.groupBy(F.call_function("div", F.col("part"), F.lit(FAN))).applyInArrow(_mean, schema), -(-left // FAN)
+        met = [(r["part"], r["n"], bytes(r["weights"])) for r in made.collect()]  # FAN rows at most
+        now, step = _averaged(met), step + -(-sum(n for _, n, _ in met) // (64 * parts))
+    net, _ = _unpacked(now)
+
+    def logits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            z = net.logits(np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint8).reshape(-1, WIDTH))
+            yield pa.RecordBatch.from_arrays([pa.array(np.floor(z.astype(float) * STEPS).astype(np.int64)), *b.columns[1:]], names=["z", "label", "kind"])
+
+    counted = held.mapInArrow(logits, "z long, label int, kind int").groupBy("z", "label", "kind").agg(F.count("*").alias("n"))
+    z, label, kind, n = (np.array(c) for c in zip(*sorted(map(tuple, counted.collect())), strict=True))  # bounded by the logits' range
+    _calibrate(net, z / STEPS, label.astype(float), kind, n.astype(float), recall)
+    return net
 
 
 def without_secrets(text: str, spans: list[dict], mark: str = MARK) -> str:
@@ -427,4 +548,5 @@ def _in_code_points(data: bytes, spans: list[tuple[int, int, int, int]]) -> list
 
 
 def fitted(docs: DataFrame, text: str = "text") -> Net:
-    return train(labelled_findings(docs, text))
+    """A net trained on all findings of docs."""
+    return train_parts(*training_rows(docs, text))
