@@ -56,3 +56,8 @@ def through_stop(ids: Column, stop: int) -> Column:
     """ids up to and with the first stop token, or all."""
     at = F.array_position(ids, F.lit(stop))
     return F.when(at > 0, F.slice(ids, F.lit(1), at.cast("int"))).otherwise(ids)
+
+
+def text_until_stop(text: Column, stop: str) -> Column:
+    """The text before the first stop sign, an ASCII one, or all: its bytes are until_stop's of the text's, but only they become ids."""
+    return F.substring_index(F.coalesce(text, F.lit("")), stop, 1)
