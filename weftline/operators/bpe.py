@@ -30,8 +30,8 @@ from weftline.session import materialize, scratch
 PATTERN = r"""'(?i:[sdmt]|ll|ve|re)|[^\r\n\p{L}\p{N}]?+\p{L}+|\p{N}{1,2}| ?[^\s\p{L}\p{N}]++[\r\n]*|\s*[\r\n]|\s+(?!\S)|\s+"""
 #: Tokens of the pieces that the driver merges in a round, at most, and pairs of the first round.
 SEGMENTS, FIRST_PAIRS = 200_000, 32
-#: Tokens that a task handles at once.
-AT_ONCE = 1 << 20
+#: Tokens that a task handles at once, and chunks or tokens of texts that an encoder or a decoder does.
+AT_ONCE, TEXTS_AT_ONCE = 1 << 20, 1 << 17
 #: Chunks of the table that encoders share, and its longest chunk in bytes.
 SHARED, SHARED_BYTES = 100_000, 64
 
@@ -356,6 +356,17 @@ def _carried(df: DataFrame, names: list[str]) -> str:
     return "".join(f"`{c}` {t}, " for c, t in df.select(*names).dtypes)
 
 
+def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in batches whose last column, of lists, has TEXTS_AT_ONCE elements at most, or which are one row."""
+    for b in batches:
+        ends = np.cumsum(b.column(b.num_columns - 1).value_lengths().fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < b.num_rows:
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TEXTS_AT_ONCE, "right")))
+            yield b.slice(at, stop - at)
+            at = stop
+
+
 def encode(docs: DataFrame, ranks: dict[bytes, int], key: str = "doc_id", text: str = "text", prepend: int | None = None, append: int | None = None, keep: tuple[str, ...] = (), known: dict[str, list[int]] | None = None) -> DataFrame:
     """key, the columns in keep, ids. Special tokens' names in a text are ordinary text; a null text is empty. Rows stay rows, whatever their keys.
     known (of `frequent`): chunks that are not encoded anew. No text is shuffled; of the rest, a batch encodes each distinct chunk once."""
@@ -367,7 +378,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], key: str = "doc_id", text:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, told = shared.value
-        for b in batches:
+        for b in _few(batches):
             lists = b.column(b.num_columns - 1)
             ends = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
             coded = lists.flatten().dictionary_encode()
@@ -407,7 +418,7 @@ def decode(rows: DataFrame, vocab: DataFrame, key: str = "doc_id", keep: tuple[s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = shared.value.__getitem__
-        for b in batches:
+        for b in _few(batches):
             texts = [b"".join(map(look, ids or ())).decode(errors="replace") for ids in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string())], names=[*names, out])
 
