@@ -17,6 +17,7 @@ import heapq
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import pairwise
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,8 @@ SEGMENTS, FIRST_PAIRS = 200_000, 32
 AT_ONCE, TEXTS_AT_ONCE = 1 << 20, 1 << 17
 #: Chunks of the table that encoders share, and its longest chunk in bytes.
 SHARED, SHARED_BYTES = 100_000, 64
+#: Chunks whose ids a task remembers, each of SHARED_BYTES characters at most.
+REMEMBERED = 1 << 17
 
 
 def chunks(text: Column) -> Column:
@@ -334,13 +337,85 @@ def encode_chunk(data: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+class Joins(NamedTuple):
+    """Which two tokens join to a third, as arrays: the tokens of single bytes, the ranks of pairs of bytes, and of other pairs by a sorted key."""
+
+    single: np.ndarray
+    of_bytes: np.ndarray
+    keys: np.ndarray
+    ranks: np.ndarray
+
+
+#: The rank of a pair that does not join.
+NEVER = (1 << 31) - 1
+
+
+def joins(ranks: dict[bytes, int]) -> Joins:
+    """Every way to cut a token of two bytes or more into two tokens."""
+    cuts = sorted((ranks[t[:i]] << 32 | ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks)
+    of_bytes = np.full(1 << 16, NEVER, np.int64)
+    for t, r in ranks.items():
+        if len(t) == 2:
+            of_bytes[t[0] << 8 | t[1]] = r
+    single = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int64)
+    return Joins(single, of_bytes, np.array([k for k, _ in cuts], np.int64), np.array([r for _, r in cuts], np.int64))
+
+
+def encode_chunks(chunks: list[bytes], ranks: dict[bytes, int], table: Joins) -> list[list[int]]:
+    """encode_chunk of many chunks. Short ones are merged side by side: a round makes one merge in each that has any left."""
+    out: list[list[int]] = [[] for _ in chunks]
+    short = []
+    for i, c in enumerate(chunks):
+        if (whole := ranks.get(c)) is not None:
+            out[i] = [whole]
+        elif 0 < len(c) <= SHARED_BYTES:
+            short.append(i)
+        else:
+            out[i] = encode_chunk(c, ranks)
+    if not short:
+        return out
+    data = np.frombuffer(b"".join(chunks[i] for i in short), np.uint8)
+    word, size = np.array(short), np.array([len(chunks[i]) for i in short], np.int64)
+    ids = table.single[data]
+    if ids.min() < 0:
+        raise KeyError("the vocabulary lacks a byte")
+    # a place's rank is that of its token joined to the next one
+    rank = np.full(ids.size, NEVER, np.int64)
+    rank[:-1] = table.of_bytes[data[:-1].astype(np.int64) << 8 | data[1:]]
+    stops = np.cumsum(size)
+    rank[stops - 1] = NEVER
+    while word.size:
+        starts = stops - size
+        least = np.minimum.reduceat(rank << 32 | np.arange(ids.size), starts)
+        going = least >> 32 < NEVER
+        if not going.all():
+            for i, a, b in zip(word[~going].tolist(), starts[~going].tolist(), stops[~going].tolist(), strict=True):
+                out[i] = ids[a:b].tolist()
+        kept = np.repeat(going, size)
+        at = least[going] & 0xFFFFFFFF
+        ids[at] = rank[at]
+        kept[at + 1] = False
+        # where the kept ones come to stand
+        at = np.cumsum(kept)[at] - 1
+        ids, rank = ids[kept], rank[kept]
+        word, size = word[going], size[going] - 1
+        stops = np.cumsum(size)
+        starts = stops - size
+        for place in (at[at > starts] - 1, at[at < stops - 1]):
+            key = ids[place] << 32 | ids[place + 1]
+            found = np.minimum(np.searchsorted(table.keys, key), table.keys.size - 1)
+            rank[place] = np.where(table.keys[found] == key, table.ranks[found], NEVER)
+        rank[stops - 1] = NEVER
+    return out
+
+
 def chunk_dictionary(docs: DataFrame, ranks: dict[bytes, int], text: str = "text") -> DataFrame:
     """chunk, n, ids: every distinct chunk, encoded once."""
-    shared = docs.sparkSession.sparkContext.broadcast(ranks)
+    shared = docs.sparkSession.sparkContext.broadcast((ranks, joins(ranks)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = [encode_chunk(c.encode(), shared.value) for c in b.column(0).to_pylist()]
+            ids = encode_chunks([c.encode() for c in b.column(0).to_pylist()], *shared.value)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.list_(pa.int32()))], names=["chunk", "n", "ids"])
 
     return chunk_counts(docs, text).mapInArrow(run, "chunk string, n long, ids array<int>")
@@ -369,20 +444,30 @@ def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], key: str = "doc_id", text: str = "text", prepend: int | None = None, append: int | None = None, keep: tuple[str, ...] = (), known: dict[str, list[int]] | None = None) -> DataFrame:
     """key, the columns in keep, ids. Special tokens' names in a text are ordinary text; a null text is empty. Rows stay rows, whatever their keys.
-    known (of `frequent`): chunks that are not encoded anew. No text is shuffled; of the rest, a batch encodes each distinct chunk once."""
+    known (of `frequent`): chunks that are not encoded anew. No text is shuffled; of the rest, a task
+    remembers REMEMBERED at most, so that it encodes few twice."""
     if dict(docs.dtypes)[text] != "string":
         raise ValueError("only strings are encoded")
-    shared = docs.sparkSession.sparkContext.broadcast((ranks, known or {}))
+    shared = docs.sparkSession.sparkContext.broadcast((ranks, joins(ranks), known or {}))
     before, after = [prepend] if prepend is not None else [], [append] if append is not None else []
     names = [key, *keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, told = shared.value
+        table, pairs, told = shared.value
+        held: dict[str, list[int]] = {}
         for b in _few(batches):
             lists = b.column(b.num_columns - 1)
             ends = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
             coded = lists.flatten().dictionary_encode()
-            new = [i if (i := told.get(c)) is not None else encode_chunk(c.encode(), table) for c in coded.dictionary.to_pylist()]
+            found = coded.dictionary.to_pylist()
+            new = [told.get(c) or held.get(c) for c in found]
+            lacking = [i for i, x in enumerate(new) if x is None]
+            if len(held) + len(lacking) > REMEMBERED:
+                held.clear()
+            for i, x in zip(lacking, encode_chunks([found[i].encode() for i in lacking], table, pairs), strict=True):
+                new[i] = x
+                if len(found[i]) <= SHARED_BYTES:
+                    held[found[i]] = x
             sizes = np.array([len(i) for i in new], np.int64)
             flat, begin = np.array([x for i in new for x in i], np.int32), np.cumsum(sizes) - sizes
             which = coded.indices.to_numpy()
