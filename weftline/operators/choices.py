@@ -56,8 +56,14 @@ def completion_tokens(items: DataFrame) -> DataFrame:
 
 
 def masked_losses(tokens: DataFrame) -> DataFrame:
-    """tokens: item, choice, label, pos, mask, loss (of the token at pos, seen from the one before). Sum and mean over mask 1, the first token never counting."""
-    return tokens.filter("mask = 1 and pos > 0").groupBy("item", "choice", "label").agg(F.sum("loss").alias("loss_sum"), F.avg("loss").alias("loss_mean"))
+    """tokens: item, choice, label, pos, mask, loss (of the token at pos, seen from the one before). Sum and mean over mask 1, the first token never counting.
+
+    Losses are added up in the order of their places, so that equal choices have equal sums to the last bit, however rows are dealt to tasks.
+    """
+    seen = F.when(F.col("loss").isNotNull(), F.struct("pos", "loss"))
+    told = tokens.filter("mask = 1 and pos > 0").groupBy("item", "choice", "label").agg(F.transform(F.array_sort(F.collect_list(seen)), lambda x: x["loss"]).alias("l_"))
+    total = F.when(F.size("l_") > 0, F.aggregate("l_", F.lit(0.0), lambda a, x: a + x))
+    return told.select("item", "choice", "label", total.alias("loss_sum"), (total / F.size("l_")).alias("loss_mean"))
 
 
 def predictions(losses: DataFrame) -> DataFrame:
