@@ -70,8 +70,8 @@ def utilisation(tokens: Column, seconds: Column, per_token: int, peak: Column, d
 
 def rate(tokens: Column, seconds: Column) -> Column:
     """Tokens a second; of no time infinite, with the sign of its zero, as doubles divide."""
-    none = F.when(F.atan2(F.lit(0.0), seconds) > 0, float("-inf")).otherwise(float("inf"))
-    return F.when(seconds == 0, none).otherwise(F.try_divide(tokens, seconds))
+    # a power keeps the zero's sign, which comparisons and atan2 lose
+    return F.when(seconds == 0, tokens * F.pow(seconds, F.lit(-1.0))).otherwise(F.try_divide(tokens, seconds))
 
 
 def accumulation_steps(total: int, batch: int, length: int, devices: int) -> int:
